@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import pii, secrets
+from evispark.llm import decontam, mixing, pii, secrets
 from evispark.llm.texts import read_table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest_columns(read_table(spark, sf_dir, "documents"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(read_table(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_pii": op3_pii, "op4_secrets": op4_secrets}
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digest_columns(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_pii, op4_secrets, op7_decontamination)}
 
 ORACLE: dict[str, str] = {}
