@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontam, mixing, pii, secrets
+from evispark.llm import decontam, license, mixing, pii, secrets
 from evispark.llm.texts import read_table
 
 
@@ -22,10 +22,47 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license.digest_columns(read_table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest_columns(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_pii, op4_secrets, op7_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_pii, op4_secrets, op5_licenses, op7_decontamination)}
+
+#: Words of a text with A-Z in lower case.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP5 = f"""
+WITH phrase(label, base, phrase) AS (VALUES {", ".join(f"('{k}', {str(b).lower()}, '{p}')" for b, ps in ((True, license.BASE_PHRASES), (False, license.ADDED_PHRASES)) for k, p in ps)}),
+p AS (SELECT label, base, string_split(phrase, ' ') AS pw FROM phrase),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+hit AS (
+  SELECT doc_id, label, base, i - 1 AS start
+  FROM (SELECT doc_id, w, label, base, pw, unnest(range(1, len(w) + 1)) AS i FROM d JOIN p ON list_has_all(w, pw))
+  WHERE w[i : i + len(pw) - 1] = pw
+),
+agg AS (
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+    array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
+  FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 WHEN labels <> '' THEN 0.9 ELSE 0.0 END::DOUBLE AS score
+FROM d LEFT JOIN agg USING (doc_id)"""
+
+_OP7 = f"""
+WITH b AS (SELECT item_id::VARCHAR AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, w[i : i + least(10, len(w)) - 1] AS words FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+place AS (SELECT doc_id, i, n, w[i : i + n - 1] AS words FROM spot, (SELECT DISTINCT n FROM win) WHERE i + n - 1 <= len(w)),
+hit AS (SELECT doc_id, i, place.n, item_id FROM place JOIN win ON place.n = win.n AND place.words = win.words),
+covered AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_licenses": _OP5, "op7_decontamination": _OP7}
