@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontam, license, mixing, pii, secrets
-from evispark.llm.texts import read_table
+from evispark.llm import decontam, langid, license, mixing, pii, secrets
+from evispark.llm.texts import part_of_id, read_table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = part_of_id("doc_id", 5) == 0
+    langs, model = langid.learn(docs.where(part_of_id("doc_id", 5) != 0))
+    return langid.identify(docs, langs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(read_table(spark, sf_dir, "documents"))
 
@@ -30,7 +37,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest_columns(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op3_pii, op4_secrets, op5_licenses, op7_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op7_decontamination)}
 
 #: Words of a text with A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
