@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontam, langid, license, mixing, pii, secrets
+from evispark.llm import decontam, fuzzyhash, langid, license, mixing, pii, secrets, wrappers
 from evispark.llm.texts import part_of_id, read_table
 
 
@@ -33,11 +33,19 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license.digest_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.digest_columns(read_table(spark, sf_dir, "pages"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest_columns(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op7_decontamination)}
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzyhash.compare(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints)}
 
 #: Words of a text with A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
