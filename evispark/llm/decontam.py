@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.texts import NOT_WORD, map_texts, shingle_hashes, word_hashes
+from evispark.llm.texts import NOT_WORD, map_texts, shingle_hashes, text_column, word_hashes
 from evispark.shared import materialize
 
 WINDOW = 10
@@ -67,39 +67,44 @@ class _Block:
             self.lengths[n] = (np.unique(own), mask)
 
 
+def _look_up(texts: list[bytes], known: _Block) -> tuple[np.ndarray, list[list[dict]], list[list[str]]]:
+    """For each text its number of words, merged spans of hit words and items."""
+    hashes, counts = word_hashes(texts, NOT_WORD)
+    ends = np.cumsum(counts)
+    places = []
+    for n, (own, mask) in known.lengths.items():
+        if len(hashes) < n:
+            continue
+        h = shingle_hashes(hashes, n)
+        at = np.flatnonzero(mask[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        near = np.searchsorted(own, h[at])
+        at = at[own[np.minimum(near, len(own) - 1)] == h[at]]
+        doc = np.searchsorted(ends, at, side="right")
+        whole = at + n <= ends[doc] if len(at) else np.zeros(0, bool)
+        places += [(d, a, n) for d, a in zip(doc[whole].tolist(), at[whole].tolist(), strict=True)]
+    hit: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    for d, a, n in places:
+        hit[d].append((a - int(ends[d] - counts[d]), n))
+    spans, items = [[] for _ in texts], [[] for _ in texts]
+    for d, starts in hit.items():
+        words, found, merged = _words(texts[d]), set(), []
+        for a, n in sorted(starts):
+            if own := known.items.get((n, b" ".join(words[a : a + n]))):
+                found.update(own)
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = max(merged[-1][1], a + n)
+                else:
+                    merged.append([a, a + n])
+        spans[d], items[d] = [{"start": a, "end": b} for a, b in merged], sorted(found)
+    return counts, spans, items
+
+
 def _scan(docs: DataFrame, id_col: str, block: _Block) -> DataFrame:
     """(id, n_words, spans, items) for each document: merged spans of hit words and the items whose windows occur."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def work(texts: list[bytes], kept: dict[str, list]) -> dict[str, object]:
-        known = shared.value
-        hashes, counts = word_hashes(texts, NOT_WORD)
-        ends = np.cumsum(counts)
-        places = []
-        for n, (own, mask) in known.lengths.items():
-            if len(hashes) < n:
-                continue
-            h = shingle_hashes(hashes, n)
-            at = np.flatnonzero(mask[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            near = np.searchsorted(own, h[at])
-            at = at[own[np.minimum(near, len(own) - 1)] == h[at]]
-            doc = np.searchsorted(ends, at, side="right")
-            whole = at + n <= ends[doc] if len(at) else np.zeros(0, bool)
-            places += [(d, a, n) for d, a in zip(doc[whole].tolist(), at[whole].tolist(), strict=True)]
-        hit: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for d, a, n in places:
-            hit[d].append((a - int(ends[d] - counts[d]), n))
-        spans, items = [[] for _ in texts], [[] for _ in texts]
-        for d, starts in hit.items():
-            words, found, merged = _words(texts[d]), set(), []
-            for a, n in sorted(starts):
-                if own := known.items.get((n, b" ".join(words[a : a + n]))):
-                    found.update(own)
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], a + n)
-                    else:
-                        merged.append([a, a + n])
-            spans[d], items[d] = [{"start": a, "end": b} for a, b in merged], sorted(found)
+        counts, spans, items = _look_up(texts, shared.value)
         return {"id": kept["id"], "key": kept["key"], "n_words": counts, "spans": spans, "items": items}
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -108,18 +113,18 @@ def _scan(docs: DataFrame, id_col: str, block: _Block) -> DataFrame:
     return map_texts(inner, ["id", "key"], f"id {kind}, key bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, items array<string>", work)
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, with_key: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """A row for each row of docs: id, n_words, spans of hit words (start, end exclusive; merged) and the items found, sorted.
 
     Null texts have no words, and items without words or without item_id no windows; an empty benchmark
-    hits nothing. Copies of a row get the same result. Only id_col and text are read. with_key adds a hash of the text.
+    hits nothing. Copies of a row get the same result. Only id_col and text are read.
     """
     windows = benchmark_windows(benchmark, window)
     total = windows.count()
     blocks = max(1, math.ceil(total / block_windows))
     if blocks == 1:
         one = _scan(docs, id_col, _Block(windows.collect()))
-        return one.select(F.col("id").alias(id_col), *["key"] * with_key, "n_words", "spans", "items")
+        return one.select(F.col("id").alias(id_col), "n_words", "spans", "items")
     windows = materialize(windows, "windows").withColumn("block", F.pmod(F.xxhash64("n", "words"), F.lit(blocks)))
     parts = None
     for b in range(blocks):
@@ -132,7 +137,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = found.select("id", "key", F.aggregate("all", empty, joined).alias("spans"), "items")
     rows = _scan(docs, id_col, _Block([])).select(F.col("id").alias("own"), F.col("key").alias("own_key"), "n_words")
     out = rows.join(found, rows["own"].eqNullSafe(found["id"]) & (rows["own_key"] == found["key"]), "left")
-    return out.select(F.col("own").alias(id_col), *[F.col("own_key").alias("key")] * with_key, "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select(F.col("own").alias(id_col), "n_words", F.coalesce("spans", empty).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def digest_columns(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -142,8 +147,18 @@ def digest_columns(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs, all columns, in which no window of the benchmark occurs; order and copies of rows do not matter."""
-    key = F.xxhash64(F.col("text").cast("string"))
-    hit = find_overlaps(docs, benchmark, id_col, with_key=True).where(F.size("items") > 0).select(F.col(id_col).alias("_hit_id"), F.col("key").alias("_hit_key")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]) & (key == hit["_hit_key"]), "left_anti")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs; order and copies of rows do not matter.
+
+    Each block of windows is one pass over what the blocks before it left.
+    """
+    windows = benchmark_windows(benchmark)
+    blocks = max(1, math.ceil(windows.count() / block_windows))
+    windows = windows.withColumn("block", F.pmod(F.xxhash64("n", "words"), F.lit(blocks)))
+    for b in range(blocks):
+        shared = docs.sparkSession.sparkContext.broadcast(_Block(windows.where(F.col("block") == b).collect()))
+        clean = text_column(lambda texts, shared=shared: [not items for items in _look_up(texts, shared.value)[2]], "boolean")
+        docs = docs.where(clean(F.col("text").cast("string")))
+        if b + 1 < blocks:
+            docs = materialize(docs, "clean")
+    return docs

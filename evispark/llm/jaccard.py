@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.texts import SPACES, group_ends, shingle_hashes, word_hashes
+from evispark.llm.texts import SPACES, group_ends, shingle_hashes, with_ids, word_hashes
 from evispark.operators.components import connected_components
 from evispark.shared import materialize
 
@@ -42,8 +42,6 @@ LANE = 4
 FREQUENT, FREQUENT_MAX = 16, 2_000_000
 #: Groups in a list, or sets in a group, up to which all pairs are made.
 SHORT = 16
-#: Ids up to which a set of ids is sent to all tasks (8 bytes each) instead of joined.
-IDS_MAX = 2_000_000
 #: Rounds of leaders over long lists before the rest is compared.
 LEADERS = 3
 
@@ -82,23 +80,6 @@ def _over_sets(docs: DataFrame, schema: str, work) -> DataFrame:
     return docs.select("id", "text").mapInArrow(run, schema)
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs whose id is in ids (id, distinct): a sorted array in every task if it is small, else a semi-join."""
-    spark = docs.sparkSession
-    if ids.count() > IDS_MAX:
-        return docs.join(ids, "id", "left_semi")
-    wanted = spark.sparkContext.broadcast(np.sort(ids.toArrow().column("id").to_numpy()))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(wanted.value):
-                own = batch.column("id").to_numpy()
-                near = np.minimum(np.searchsorted(wanted.value, own), len(wanted.value) - 1)
-                yield batch.filter(pa.array(wanted.value[near] == own))
-
-    return docs.mapInArrow(keep, docs.schema)
-
-
 def _frequent(docs: DataFrame, lane: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of the lane (hash % lane = 0) that stand in least documents or more, and in how many. Counts cover all docs."""
 
@@ -172,7 +153,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def work(ids: list, sets: list[np.ndarray]) -> dict[str, object]:
         return {"id": ids, "own": [s.tobytes() for s in sets]}
 
-    return _over_sets(_only(docs, ids), "id bigint, own binary", work)
+    return _over_sets(with_ids(docs, ids, "id"), "id bigint, own binary", work)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -284,7 +265,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     known = own.where("id IS NOT NULL")
     whole, links, busy = _first_pass(known)
     if not busy.isEmpty():
-        links = _second_pass(_only(known, busy), links)
+        links = _second_pass(with_ids(known, busy, "id"), links)
     whole = materialize(whole, "members")
     edges = [whole.select(F.col("id").alias("a"), F.col("set").alias("b")), *links]
     classes = _classes(edges)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.texts import group_ends, map_texts
+from evispark.llm.texts import group_ends, map_texts, text_column
 
 #: Trigrams are hashed to so many buckets: the model has this many rows and a column for each language.
 BUCKETS = 1 << 15
@@ -145,6 +145,15 @@ def infer(buckets: np.ndarray, owner: np.ndarray, n_texts: int, model: np.ndarra
     return out
 
 
+def _judge(texts: list[bytes], names: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Predicted languages, scores and proportions."""
+    buckets, owner, has = _trigrams(texts)
+    share = infer(buckets, owner, len(texts), model) if names else np.zeros((len(texts), 1))
+    top = share.argmax(axis=1)
+    known = has & (share.max(axis=1) > 0) & bool(names)
+    return [names[t] if k else "und" for t, k in zip(top, known, strict=True)], np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0), share * known[:, None]
+
+
 def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str = "doc_id") -> DataFrame:
     """A row for each row of docs: id, lang_pred, score (the proportion of lang_pred) and mixture (languages with their proportions).
 
@@ -155,17 +164,20 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
 
     def work(texts: list[bytes], kept: dict[str, list]) -> dict[str, object]:
         names, table = shared.value
-        buckets, owner, has = _trigrams(texts)
-        share = infer(buckets, owner, len(texts), table) if names else np.zeros((len(texts), 1))
-        top = share.argmax(axis=1)
-        known = has & (share.max(axis=1) > 0) & bool(names)
-        return {
-            "id": kept["id"],
-            "lang_pred": [names[t] if k else "und" for t, k in zip(top, known, strict=True)],
-            "score": np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0),
-            "mixture": [[{"lang": names[j], "share": float(row[j])} for j in np.flatnonzero(row > 1e-3)] if k else [] for row, k in zip(share, known, strict=True)],
-        }
+        pred, score, share = _judge(texts, names, table)
+        return {"id": kept["id"], "lang_pred": pred, "score": score, "mixture": [[{"lang": names[j], "share": float(row[j])} for j in np.flatnonzero(row > 1e-3)] for row in share]}
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = map_texts(docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")), ["id"], f"id {kind}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>", work)
     return out.withColumnRenamed("id", id_col)
+
+
+def with_language(docs: DataFrame, langs: list[str], model: np.ndarray, least: float) -> DataFrame:
+    """The rows of docs, all columns, in which one language holds at least that share; `und` is rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast((langs, model))
+
+    def work(texts: list[bytes]) -> list[bool]:
+        pred, score, _ = _judge(texts, *shared.value)
+        return [p != "und" and bool(s >= least) for p, s in zip(pred, score, strict=True)]
+
+    return docs.where(text_column(work, "boolean")(F.col("text").cast("string")))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evispark.llm import decontam, fuzzyhash, jaccard, langid, license, mixing, pii, secrets, wrappers
+from evispark.llm import decontam, fuzzyhash, jaccard, langid, license, mixing, pii, quality, secrets, wrappers
 from evispark.llm.texts import part_of_id, read_table
 
 
@@ -49,7 +49,13 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_classes(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(part_of_id("doc_id", 3) != 1))
+    return quality.score(docs, model).select("doc_id", (part_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality)}
 
 #: Words of a text with A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

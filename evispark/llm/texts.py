@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are handled in groups of about this many bytes, so that numpy's temporaries stay small.
@@ -51,6 +51,52 @@ def map_texts(df: DataFrame, keep: list[str], schema: str, work: Callable[[list[
     return df.select("text", *keep).mapInArrow(run, schema)
 
 
+def text_column(work: Callable[[list[bytes]], list], kind: str) -> Callable[[Column], Column]:
+    """work as a function of a text column, null as empty. Only the texts go to Python; other columns of the rows stay where they are."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructType
+
+    out_type = to_arrow_type(StructType.fromDDL(f"x {kind}")["x"].dataType)
+
+    @F.arrow_udf(kind)
+    def run(column: pa.Array) -> pa.Array:
+        texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
+        out, start = [], 0
+        for end in group_ends([len(t) for t in texts]) if texts else []:
+            out += work(texts[start:end])
+            start = end
+        return pa.array(out, out_type)
+
+    return run
+
+
+#: Ids up to which a set of ids is sent to all tasks (8 bytes each) instead of joined.
+IDS_MAX = 2_000_000
+
+
+def with_ids(df: DataFrame, ids: DataFrame, id_col: str, wanted: bool = True) -> DataFrame:
+    """Rows of df whose integer id is (or, with wanted false, is not) in ids, a column of distinct ids; null is in none.
+
+    Up to IDS_MAX ids go to every task as a sorted array, so that df is not shuffled; more are joined.
+    """
+    ids = ids.toDF("_id").select(F.col("_id").cast("long").alias("_id"))
+    if ids.count() > IDS_MAX:
+        return df.join(ids, F.col(id_col) == F.col("_id"), "left_semi" if wanted else "left_anti")
+    known = df.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("_id").to_numpy()))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(id_col).cast(pa.int64())
+            values = own.fill_null(0).to_numpy(zero_copy_only=False)
+            hit = np.zeros(len(values), bool)
+            if len(known.value):
+                near = np.minimum(np.searchsorted(known.value, values), len(known.value) - 1)
+                hit = (known.value[near] == values) & own.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(hit if wanted else ~hit))
+
+    return df.mapInArrow(keep, df.schema)
+
+
 def word_hashes(texts: list[bytes], breaks: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of all texts in order, and how many words each text has. A-Z count as a-z.
 
