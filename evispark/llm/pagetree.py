@@ -26,6 +26,8 @@ _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 #: Trees are aligned to this depth; below it a node is its text.
 DEPTH = 24
+#: Up to so many neighbours of one sign are apart if they hold elements.
+FEW = 8
 
 
 class Node:
@@ -109,7 +111,7 @@ def _close(stack: list[tuple[str, Node]], names: tuple[str, ...]) -> None:
 
 
 def outline(root: Node) -> tuple[list, list[list[Node]]]:
-    """(nested [sign, digest of the text, children], the nodes of each in preorder). Neighbours of one sign are one node, a list."""
+    """(nested [sign, digest of the text, children], the nodes of each in preorder). Neighbours of one sign are one node if they are many or hold texts alone."""
     members: list[list[Node]] = []
 
     def text(node: Node, h) -> None:
@@ -135,6 +137,8 @@ def outline(root: Node) -> tuple[list, list[list[Node]]]:
                         runs[-1].append(x)
                     else:
                         runs.append([x])
+            # A few neighbours with elements of their own are parts of the page; paragraphs and rows are a list.
+            runs = [part for run in runs for part in ([run] if len(run) > FEW or all(isinstance(t, str) for t in run[0].items) else [[x] for x in run])]
             children = [build(run, depth + 1) for run in runs]
         return [group[0].sign, h.hexdigest(), children]
 
