@@ -18,8 +18,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     now = materialize(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
+
+    def state(df: DataFrame):
+        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+
+    before = state(now)
+    for _ in range(max_rounds if before[0] else 0):
         # Large star: every greater neighbour of a node is tied to the node's least neighbour.
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -28,10 +32,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         least = big.groupBy("a").agg(F.min("b").alias("low"))
         small = big.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
         now = materialize(small.where("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        after = state(now)
+        if after == before:
             break
-        before = state
+        before = after
     else:
-        raise RuntimeError("components did not settle")
+        if before[0]:
+            raise RuntimeError("components did not settle")
     return nodes.join(now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from evispark.plans import graph, scoring
+
+QUERIES = {**graph.QUERIES, **scoring.QUERIES}
+ORACLE = {**graph.ORACLE, **scoring.ORACLE}
