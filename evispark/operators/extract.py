@@ -101,7 +101,7 @@ AMINO_ACIDS = {
 
 def protein_change(raw: Column) -> Column:
     """Struct (hgvs_p, position, ref_aa, alt_aa) of G12D, p.G12D or p.Gly12Asp; null for other text."""
-    three = F.create_map(*(F.lit(x) for k, v in AMINO_ACIDS.items() for x in (k, v), ))
+    three = F.create_map(*(F.lit(x) for k, v in AMINO_ACIDS.items() for x in (k, v)))
     r = F.regexp_replace(F.trim(raw), "^p\\.", "")
     short, long = r"(?i)^([ACDEFGHIKLMNPQRSTVWY])([0-9]+)([ACDEFGHIKLMNPQRSTVWY*])$", r"(?i)^([A-Z][a-z]{2})([0-9]+)([A-Z][a-z]{2})$"
     part = lambda i: F.when(r.rlike(short), three[F.upper(F.regexp_extract(r, short, i))]).when(r.rlike(long), F.initcap(F.regexp_extract(r, long, i)))

@@ -213,7 +213,7 @@ def daily_spend(costs: DataFrame, limit: float) -> DataFrame:
 
 def calls_in_hour(calls: DataFrame, by: str = "model") -> DataFrame:
     """Calls with n_last_hour, how many of their model's were made in the hour up to them."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros("created_at")).rangeBetween(-3_600_000_000, 0)
+    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
     return calls.withColumn("n_last_hour", F.count("*").over(w))
 
 

@@ -150,7 +150,7 @@ def title_identity(c: Column) -> Column:
 
 def sentences(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     """(id, ord, sentence)."""
-    parts = F.filter(F.transform(F.split(F.col(text), r"[.!?;\n]+"), F.trim), lambda s: s != "")
+    parts = F.filter(F.transform(F.split(F.col(text), r"[.!?;\n]+"), lambda x: F.trim(x)), lambda s: s != "")
     return df.select(id_col, F.posexplode(parts).alias("ord", "sentence"))
 
 

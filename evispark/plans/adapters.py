@@ -53,7 +53,7 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")
     return d.select(
         i.cast("string").alias("id"), F.when(i % 3 == 0, F.concat(F.lit("https://doi.org/10.1/"), (i % 400).cast("string"))).alias("doi"), F.when(i % 3 == 1, F.concat(F.lit("PMID:"), (i % 500).cast("string"))).alias("pmid"), F.lit(None).cast("string").alias("pmcid"),
-        F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract_text"), F.array(F.concat(F.lit("Jane Doe"), (i % 50).cast("string"))).alias("authors"), F.lit("J").alias("journal"), "source",
+        F.substring("text", 1, 80).alias("title"), F.col("text").alias("abstract_text"), F.array(F.concat(F.lit("Jane Doe"), (i % 7).cast("string"))).alias("authors"), F.lit("J").alias("journal"), "source",
         F.timestamp_seconds(F.lit(1577836800) + i % 1400 * 86400).alias("published_at"), F.when(i % 5 == 0, "failed").otherwise("parsed").alias("parse_status"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evispark.plans import graph, scoring
+from evispark.plans import graph, operations, scoring, texts
 
-QUERIES = {**graph.QUERIES, **scoring.QUERIES}
-ORACLE = {**graph.ORACLE, **scoring.ORACLE}
+QUERIES = {**graph.QUERIES, **scoring.QUERIES, **texts.QUERIES, **operations.QUERIES}
+ORACLE = {**graph.ORACLE, **scoring.ORACLE, **texts.ORACLE, **operations.ORACLE}

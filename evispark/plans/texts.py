@@ -1,0 +1,179 @@
+"""Queries over texts: preparation, duplicates, extraction, retrieval, checks (T, D, N, R, C, S18)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evispark.functions import rules
+from evispark.functions.similarity import hash_embedder, simhash_column
+from evispark.operators import checks as C
+from evispark.operators import dedup as D
+from evispark.operators import extract as N
+from evispark.operators import retrieve as X
+from evispark.operators import text as T
+from evispark.plans import adapters as A
+
+R = 6
+
+
+def _docs(s, d):
+    return A.table(s, d, "documents")
+
+
+def _sections(s, d):
+    t = _docs(s, d)
+    return t.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"), (F.col("doc_id") % 3).alias("k")).select("paper_id", "ord", F.when(F.col("ord") == 0, "abstract").otherwise("other").alias("section_type"), "text")
+
+
+_SECTIONS = "x AS (SELECT doc_id AS paper_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents), sections AS (SELECT paper_id, ord, CASE ord WHEN 0 THEN 'abstract' ELSE 'other' END AS section_type, text FROM x)"
+
+
+def _lexicon(s, d):
+    """Words that occur: the names of the colours and things that parts have would not; frequent words of the benchmark do."""
+    b = A.table(s, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[A-Za-z]{5,}"), F.lit(0))).alias("w"))
+    own = b.groupBy(F.lower("w").alias("term")).agg(F.count("*").alias("n"))
+    return own.select("term", F.when(F.length("term") > 7, "gene").otherwise("pathway").alias("entity_type"), F.upper("term").alias("canonical"), F.lit(0.9).alias("confidence"), F.lit(True).alias("word_boundary"))
+
+
+def _mentions(s, d):
+    return N.find_mentions(_docs(s, d), _lexicon(s, d), "doc_id", "text")
+
+
+def _queries(s, d):
+    """The stated query set: every vector whose id is divisible by 100."""
+    return A.table(s, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _vectors(s, d):
+    return A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _contents(s, d):
+    return _docs(s, d).select(F.col("doc_id").alias("id"), F.col("doc_id").alias("paper_id"), F.lit(0).alias("chunk_index"), F.col("text").alias("content"))
+
+
+def _fused(s, d):
+    lexical = X.substring_search(_contents(s, d), "tion", limit=400).select("id", "rank")
+    vector = X.vector_search(_vectors(s, d), A.table(s, d, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), 400).select("id", "rank")
+    return X.rank_fusion(lexical, vector, n=50)
+
+
+def _contexts(s, d):
+    t = _docs(s, d)
+    return t.select("doc_id", F.col("source").alias("section"), T.context_terms(F.substring("text", 1, 60), F.array(F.lit("the"))).alias("terms"), (F.col("n_chars") / 1000).alias("score"))
+
+
+def _profiles(s, d):
+    e = A.table(s, d, "events")
+    own = e.groupBy(F.col("user_id").cast("string").alias("gene")).agg(F.count("*").alias("n_chunks"), F.count_if(F.col("event_type") == "view").alias("n_recent"), F.count_if(F.col("event_type") == "error").alias("n_duplicate"))
+    return own.withColumn("literature", F.col("n_recent") / (F.col("n_chunks") + 1))
+
+
+def _bounded(name):
+    return rf"(?i)\b{name}\b"
+
+
+_DOI = r"nullif(lower(regexp_replace(trim(regexp_replace(trim(doi), '^(?i)(https?://(dx\.)?doi\.org/|doi:)', '')), '^/+|/+$', '', 'g')), '')"
+_PMID = "nullif(lower(regexp_replace(regexp_replace(trim(pmid), '^(?i)(pmid:|pmcid:)', ''), '[^A-Za-z0-9]', '', 'g')), '')"
+_BUCKET = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))".format
+_STOP = "(" + ", ".join(f"'{w}'" for w in rules.TITLE_STOP_WORDS) + ")"
+_KEYWORDS = "CASE " + " ".join(f"WHEN contains(lower(text), '{w}') THEN '{c}'" for w, c in rules.CANCER_KEYWORDS) + " END"
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+def _sql(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_RULES = [(f"(?i){p}", n) for p, n in rules.PREDICATE_RULES]
+_MATCHED = "list_distinct(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '{_sql(p)}') THEN '{n}' END" for p, n in _RULES) + "], lambda z: z IS NOT NULL))"
+_POLICY = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{_sql(p)}') THEN '{n}' END" for n, p, _, _ in C.POLICY_RULES if n != "obfuscated_string" and n != "excessive_urls") + "], lambda z: z IS NOT NULL)"
+
+QUERIES = {
+    "t01_section_types": lambda s, d: _docs(s, d).groupBy(T.section_type(F.substring("text", 1, 40)).alias("section_type")).agg(F.count("*").alias("n")),
+    "t02_detect_sections": lambda s, d: T.detect_sections(_docs(s, d).select("doc_id", F.concat(F.lit("Abstract of this\n"), "text", F.lit("\nMethods we used\nResults were\nReferences none")).alias("text")), "doc_id").select("doc_id", "heading", "section_type", "start", F.length("text").alias("n")),
+    "t03_page_sections": lambda s, d: T.page_sections(_sections(s, d).select("paper_id", F.col("ord").alias("page"), "text")).groupBy("paper_id").agg(F.count("*").alias("n"), F.max("ord").alias("last")),
+    "t04_collapse_spaces": lambda s, d: _docs(s, d).select("doc_id", F.length(T.collapse_spaces(F.col("text"))).alias("n")),
+    "t05_abstract_sections": lambda s, d: T.abstract_sections(A.papers(s, d)).groupBy("section_type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")),
+    "t06_chunk_sections": lambda s, d: T.chunk_sections(_sections(s, d)).select("paper_id", "chunk_index", "section_type", "token_count", F.md5("content").alias("md5")),
+    "t07_chunk_words": lambda s, d: T.chunk_words(_docs(s, d), "doc_id", "text", 200, 0.15, 50).select("doc_id", "chunk_index", F.size(T.words(F.col("content"))).alias("n")),
+    "t08_token_estimate": lambda s, d: _docs(s, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens")),
+    "t09_parse_quality": lambda s, d: T.parse_quality(_sections(s, d)),
+    "t10_first_chunks": lambda s, d: T.first_chunks(_contents(s, d)).select("id"),
+    "t11_t12_identity": lambda s, d: D.with_identity(A.papers(s, d)).groupBy("identity_key").agg(F.count("*").alias("n")),
+    "t13_title_identity": lambda s, d: A.papers(s, d).select("id", T.title_identity(F.col("title")).alias("title_identity")),
+    "t14_text_buckets": lambda s, d: A.papers(s, d).groupBy(T.text_bucket(F.col("title")).alias("bucket")).agg(F.count("*").alias("n")),
+    "t15_sentences": lambda s, d: T.sentences(_docs(s, d), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length("sentence")).alias("longest")),
+    "t16_context_terms": lambda s, d: _docs(s, d).select("doc_id", F.size(T.context_terms(F.col("text"), F.array(F.lit("the")))).alias("n")),
+    "d01_first_by_identity": lambda s, d: D.first_by_identity(A.papers(s, d), ["src3", "src1"]).select("id", "identity_key", "source"),
+    "d02_match_existing": lambda s, d: D.match_existing(A.papers(s, d).where("id % 2 = 0"), A.papers(s, d).where("id % 2 = 1")).select("id", "duplicate_of", "method"),
+    "d03_match_titles": lambda s, d: D.match_titles(A.papers(s, d).where("id % 2 = 0"), A.papers(s, d).where("id % 2 = 1")),
+    "d05_simhash_pairs": lambda s, d: D.simhash_pairs(_docs(s, d).select(F.col("doc_id").alias("id"), simhash_column(F.col("text")).alias("simhash"))),
+    "d06_match_fuzzy": lambda s, d: D.match_fuzzy(A.papers(s, d).where("id % 2 = 0"), A.papers(s, d).where("id % 2 = 1")),
+    "d07_upsert_papers": lambda s, d: D.upsert_papers(A.papers(s, d).where("id % 2 = 0"), A.papers(s, d).where("id % 2 = 1"))[0],
+    "d09_doi_rate": lambda s, d: D.duplicate_doi_rate(A.papers(s, d)).withColumn("rate", F.round("rate", R)),
+    "n01_mentions": lambda s, d: _mentions(s, d),
+    "n05_mutations": lambda s, d: _docs(s, d).select(F.explode(N.mutation_mentions(F.col("text"))).alias("mutation")).groupBy("mutation").agg(F.count("*").alias("n")),
+    "n06_cancer_codes": lambda s, d: _docs(s, d).groupBy(N.cancer_code(F.col("text")).alias("code")).agg(F.count("*").alias("n")),
+    "n08_predicates": lambda s, d: A.table(s, d, "conversations").select("conv_id", "turn", N.matched_predicates(F.col("text")).alias("p")).groupBy(F.array_join(F.array_sort("p"), ",").alias("predicates")).agg(F.count("*").alias("n")),
+    "n09_facts": lambda s, d: N.build_facts(_docs(s, d), N.top_genes(_mentions(s, d).where("entity_type = 'gene'").groupBy("doc_id", F.col("canonical").alias("gene")).agg(F.max("confidence").alias("confidence")), 4, "doc_id").select("doc_id", "gene"), "doc_id", "text", chemicals=["thorin", "station"], pathways=["tionth"], cell_lines=["ertion"]),
+    "n12_top_genes": lambda s, d: N.top_genes(A.mentions(s, d).groupBy(F.col("chunk_id").alias("id"), F.col("entity_id").alias("gene")).agg(F.count("*").alias("confidence")), 2).select("id", "gene", "rank"),
+    "n13_resolve_entities": lambda s, d: N.resolve_entities(A.table(s, d, "part").select(F.lit("gene").alias("entity_type"), F.col("p_brand").alias("name")), A.table(s, d, "part").where("p_partkey < 20").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("GENE:"), F.upper("p_brand")).alias("external_id"))).select("external_id", "is_new"),
+    "n14_object_types": lambda s, d: A.kg_facts(s, d).groupBy(N.object_type(F.col("predicate"), F.col("object_name")).alias("object_type")).agg(F.count("*").alias("n")),
+    "n19_cooccurrences": lambda s, d: N.cooccurrences(A.mentions(s, d), 3),
+    "n21_lexicon": lambda s, d: N.lexicon_statistics(_lexicon(s, d)),
+    "r01_vector_search": lambda s, d: X.vector_search(_vectors(s, d), _queries(s, d), 10),
+    "r02_substring_search": lambda s, d: X.substring_search(_contents(s, d), "ersh", limit=100).select("id", "rank"),
+    "r03_full_text_search": lambda s, d: X.full_text_search(_contents(s, d), "the of and", 25),
+    "r05_rank_fusion": lambda s, d: _fused(s, d),
+    "r07_normalise": lambda s, d: _vectors(s, d).select("id", F.round(F.element_at(X.l2_normalise(F.col("embedding")), 1), R).alias("x")),
+    "r08_pending": lambda s, d: X.pending_embeddings(A.chunks(s, d)),
+    "r09_backfill": lambda s, d: X.backfill_embeddings(A.chunks(s, d), hash_embedder(64)).groupBy(F.size("embedding").alias("size")).agg(F.count("*").alias("n")),
+    "r12_topic_groups": lambda s, d: X.topic_groups(_contexts(s, d), 20).withColumn("mean_score", F.round("mean_score", R)),
+    "r13_age_drift": lambda s, d: X.age_drift(A.papers(s, d), A.AS_OF).withColumn("ratio", F.round("ratio", R)),
+    "r16_novelty": lambda s, d: X.novelty(_profiles(s, d)).select("gene", F.round("novelty", R).alias("novelty"), "label"),
+    "r17_features": lambda s, d: X.feature_matrix(_profiles(s, d), ["n_chunks", "n_recent"]).select("gene", F.element_at("features", 2).alias("second")),
+    "c01_leaks": lambda s, d: C.scan_leaks(_docs(s, d)).groupBy("blocked", "max_severity").agg(F.count("*").alias("n"), F.sum("n_leaks").alias("n_leaks")),
+    "c02_clean": lambda s, d: C.clean_leaks(A.table(s, d, "pages"), ["url", "html"]).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars")),
+    "c03_injections": lambda s, d: C.scan_injections(A.table(s, d, "conversations")).groupBy(F.array_join("warnings", ",").alias("warnings")).agg(F.count("*").alias("n")),
+    "c04_policy": lambda s, d: C.check_policy(A.table(s, d, "pages").select(F.col("html").alias("text")), rules=[r for r in C.POLICY_RULES if r[0] not in ("obfuscated_string", "excessive_urls")]).groupBy(F.array_join("violations", ",").alias("violations")).agg(F.count("*").alias("n")),
+    "c05_validity": lambda s, d: C.validate_text(_docs(s, d), least=100, most=20000, forbidden=("idiot",)).groupBy(F.array_join(F.array_remove("errors", "repetition"), ",").alias("errors")).agg(F.count("*").alias("n")),
+}
+
+_FIRST_TERMS = "list_sort(list_distinct(list_filter(string_split_regex(lower(substring(text, 1, 60)), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({}) AND w <> 'the')))[1:2]".format(", ".join(f"'{w}'" for w in T.CONTEXT_STOP_WORDS))
+ORACLE = {
+    "t01_section_types": "WITH h AS (SELECT lower(substring(text, 1, 40)) AS h FROM documents) SELECT CASE WHEN contains(h, 'abstract') THEN 'abstract' WHEN contains(h, 'introduction') OR starts_with(h, 'background') THEN 'introduction' WHEN contains(h, 'method') OR contains(h, 'material') THEN 'methods' WHEN contains(h, 'result') THEN 'results' WHEN contains(h, 'discussion') THEN 'discussion' WHEN contains(h, 'conclusion') THEN 'conclusion' WHEN contains(h, 'supplement') THEN 'supplementary_methods' ELSE 'other' END AS section_type, count(*) AS n FROM h GROUP BY 1",
+    "t03_page_sections": f"WITH {_SECTIONS} SELECT paper_id, count(*) AS n, count(*)::INT AS last FROM sections WHERE length(trim(text)) >= 80 GROUP BY 1",
+    "t04_collapse_spaces": r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::INT AS n FROM documents",
+    "t05_abstract_sections": "SELECT 'abstract' AS section_type, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'other', count(*), sum(length(substring(text, 1, 80)))::BIGINT FROM documents WHERE trim(text) <> ''",
+    "t06_chunk_sections": rf"WITH {_SECTIONS}, w AS (SELECT *, regexp_extract_all(text, '\S+') AS w FROM sections), k AS (SELECT *, unnest(CASE WHEN section_type = 'abstract' THEN [0] ELSE range(0, 1 + CASE WHEN len(w) <= 382 THEN 0 ELSE ceil((len(w) - 382) / 334)::INT END) END) AS k FROM w WHERE section_type = 'abstract' OR len(w) > 0), c AS (SELECT paper_id, ord, k, section_type, CASE WHEN section_type = 'abstract' THEN text ELSE array_to_string(w[k * 334 + 1 : k * 334 + 382], ' ') END AS content FROM k) SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY ord, k) - 1 AS chunk_index, section_type, ceil(len(regexp_extract_all(content, '\S+')) / 0.75)::BIGINT AS token_count, md5(content) AS md5 FROM c",
+    "t08_token_estimate": r"SELECT doc_id, ceil(len(regexp_extract_all(text, '\S+')) / 0.75)::BIGINT AS tokens FROM documents",
+    "t09_parse_quality": f"WITH {_SECTIONS}, g AS (SELECT paper_id, count(*) FILTER (trim(text) <> '') AS n_sections, sum(length(text))::BIGINT AS n_chars FROM sections GROUP BY 1) SELECT *, n_sections >= 2 AND n_chars >= 1200 AS quality_ok, n_chars < 500 AS light_path, CASE WHEN n_sections >= 2 AND n_chars >= 1200 THEN 'parsed' ELSE 'parsed_light' END AS parse_status FROM g",
+    "t10_first_chunks": "SELECT min(doc_id) AS id FROM (SELECT doc_id, to_hex(encode(text))[1:1024] AS k FROM documents) GROUP BY k",
+    "t11_t12_identity": f"WITH {A.PAPERS} SELECT coalesce('doi:' || {_DOI}, 'pmid:' || {_PMID}, 'title:' || nullif({_BUCKET('title')}, ''), 'title:untitled') AS identity_key, count(*) AS n FROM papers GROUP BY 1",
+    "t13_title_identity": f"WITH {A.PAPERS} SELECT id, nullif(array_to_string(list_filter(string_split({_BUCKET('title')}, ' '), lambda w: length(w) > 1 AND w NOT IN {_STOP})[1:36], ' '), '') AS title_identity FROM papers",
+    "t14_text_buckets": f"WITH {A.PAPERS} SELECT {_BUCKET('title')} AS bucket, count(*) AS n FROM papers GROUP BY 1",
+    "t15_sentences": r"WITH x AS (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?;\n]+'))) AS s FROM documents) SELECT doc_id, count(*) AS n, max(length(s))::INT AS longest FROM x WHERE s <> '' GROUP BY 1",
+    "t16_context_terms": "SELECT doc_id, len(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w <> 'the' AND w NOT IN ({}))))::INT AS n FROM documents".format(", ".join(f"'{w}'" for w in T.CONTEXT_STOP_WORDS)),
+    "d01_first_by_identity": f"WITH {A.PAPERS}, k AS (SELECT id, source, coalesce('doi:' || {_DOI}, 'pmid:' || {_PMID}, 'title:' || nullif({_BUCKET('title')}, ''), 'title:untitled') AS identity_key FROM papers), r AS (SELECT *, row_number() OVER (PARTITION BY identity_key ORDER BY CASE source WHEN 'src3' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END, id) AS n FROM k) SELECT id, identity_key, source FROM r WHERE n = 1",
+    "d02_match_existing": f"WITH {A.PAPERS}, k AS (SELECT id, {_DOI} AS d, {_PMID} AS p FROM papers), o AS (SELECT * FROM k WHERE id::INT % 2 = 1), bd AS (SELECT d, min(id) AS x FROM o WHERE d IS NOT NULL GROUP BY 1), bp AS (SELECT p, min(id) AS y FROM o WHERE p IS NOT NULL GROUP BY 1) SELECT k.id, coalesce(x, y) AS duplicate_of, CASE WHEN x IS NOT NULL THEN 'doi' WHEN y IS NOT NULL THEN 'pmid' END AS method FROM k LEFT JOIN bd ON bd.d = k.d LEFT JOIN bp ON bp.p = k.p WHERE k.id::INT % 2 = 0",
+    "d09_doi_rate": f"WITH {A.PAPERS} SELECT count(doi) AS n_rows, count(DISTINCT lower(trim(doi))) AS n_distinct, round((count(doi) - count(DISTINCT lower(trim(doi)))) / count(doi), 6) AS rate FROM papers",
+    "n06_cancer_codes": f"SELECT {_KEYWORDS} AS code, count(*) AS n FROM documents GROUP BY 1",
+    "n08_predicates": f"WITH m AS (SELECT {_MATCHED} AS p FROM conversations) SELECT array_to_string(list_sort(CASE WHEN len(p) > 1 THEN list_filter(p, lambda z: z <> 'associated_with') ELSE p END), ',') AS predicates, count(*) AS n FROM m GROUP BY 1",
+    "n12_top_genes": "WITH g AS (SELECT l_orderkey::VARCHAR AS id, l_partkey::VARCHAR AS gene, count(*) AS c FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC, gene)::INT AS rank FROM g) SELECT id, gene, rank FROM r WHERE rank <= 2",
+    "n13_resolve_entities": "SELECT 'GENE:' || upper(p_brand) AS external_id, NOT bool_or(p_partkey < 20) AS is_new FROM part GROUP BY 1",
+    "n14_object_types": f"WITH {A.FACTS} SELECT CASE WHEN contains(predicate, 'mutation') THEN 'mutation' ELSE 'cancer_type' END AS object_type, count(*) AS n FROM facts GROUP BY 1",
+    "n19_cooccurrences": "WITH m AS (SELECT DISTINCT l_orderkey AS c, l_partkey::VARCHAR AS e FROM lineitem), p AS (SELECT x.e AS a, y.e AS b, count(*) AS n_chunks FROM m x JOIN m y ON x.c = y.c AND x.e <> y.e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n_chunks DESC, b)::INT AS rank FROM p) SELECT a, b, n_chunks, rank FROM r WHERE rank <= 3",
+    "n21_lexicon": "WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{5,}'))) AS term FROM benchmark), k AS (SELECT CASE WHEN length(term) > 7 THEN 'gene' ELSE 'pathway' END AS entity_type FROM t) SELECT entity_type, count(*) AS n_terms FROM k GROUP BY 1 UNION ALL SELECT 'total', count(*) FROM k",
+    "r01_vector_search": f"WITH s AS (SELECT b.vec_id AS query_id, a.vec_id AS id, round({_COS}, 6) AS score FROM embeddings a, embeddings b WHERE b.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+    "r02_substring_search": "SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id)::INT AS rank FROM documents WHERE contains(lower(text), 'ersh') ORDER BY doc_id LIMIT 100",
+    "r03_full_text_search": r"WITH w AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'and')) AS a, len(list_filter(w, lambda x: x = 'of')) AS o, len(list_filter(w, lambda x: x = 'the')) AS t FROM w), s AS (SELECT count(*) AS n, count(*) FILTER (a > 0) AS da, count(*) FILTER (o > 0) AS d_o, count(*) FILTER (t > 0) AS dt FROM c), r AS (SELECT id, round((a * ln((1 + n) / (1 + da)) + o * ln((1 + n) / (1 + d_o)) + t * ln((1 + n) / (1 + dt))) / (1 + ln(1 + l)), 6) AS score FROM c, s WHERE a > 0 AND o > 0 AND t > 0) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM r ORDER BY score DESC, id LIMIT 25",
+    "r05_rank_fusion": f"WITH l AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE contains(lower(text), 'tion') ORDER BY doc_id LIMIT 400), v AS (SELECT a.vec_id AS id, row_number() OVER (ORDER BY round({_COS}, 6) DESC, a.vec_id) AS r FROM embeddings a, embeddings b WHERE b.vec_id = 0 ORDER BY r LIMIT 400), f AS (SELECT coalesce(l.id, v.id) AS id, coalesce(1.0 / (60 + l.r), 0)::DOUBLE + coalesce(1.0 / (60 + v.r), 0) AS raw, l.r AS lexical_rank, v.r AS vector_rank FROM l FULL JOIN v ON l.id = v.id), g AS (SELECT id, round(raw / max(raw) OVER (), 9) AS score, lexical_rank::INT AS lexical_rank, vector_rank::INT AS vector_rank, CASE WHEN lexical_rank IS NULL THEN 'vector' WHEN vector_rank IS NULL THEN 'lexical' ELSE 'hybrid' END AS source FROM f) SELECT *, row_number() OVER (ORDER BY score DESC, id)::INT AS rank FROM g ORDER BY score DESC, id LIMIT 50",
+    "r07_normalise": "SELECT vec_id AS id, round(embedding[1]::DOUBLE / greatest(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 1e-10), 6) AS x FROM embeddings",
+    "r12_topic_groups": f"WITH k AS (SELECT concat_ws(':', source, array_to_string({_FIRST_TERMS}, '+')) AS label, n_chars / 1000 AS s FROM documents) SELECT label, count(*) AS size, round(avg(s), 6) AS mean_score FROM k GROUP BY 1 ORDER BY size DESC, label LIMIT 20",
+    "r13_age_drift": f"WITH {A.PAPERS}, a AS (SELECT date_diff('day', published_at::DATE, DATE '2024-02-01') AS age FROM papers) SELECT count(*) FILTER (age <= 365) AS n_recent, count(*) FILTER (age > 365) AS n_older, round(count(*) FILTER (age <= 365) / count(*), 6) AS ratio, median(age) AS median_age, max(age)::INT AS max_age FROM a",
+    "r16_novelty": "WITH g AS (SELECT user_id::VARCHAR AS gene, count(*) AS n, count(*) FILTER (event_type = 'view') AS r, count(*) FILTER (event_type = 'error') AS d FROM events GROUP BY 1), v AS (SELECT gene, round(0.45 * r / (n + 1) + 0.25 / (1 + ln(1 + n)) + 0.15 * r / n + 0.15 * (1 - d / n), 9) AS v FROM g) SELECT gene, round(v, 6) AS novelty, CASE WHEN v >= 0.7 THEN 'novel' WHEN v >= 0.45 THEN 'mixed' ELSE 'established' END AS label FROM v",
+    "r17_features": "SELECT user_id::VARCHAR AS gene, (count(*) FILTER (event_type = 'view'))::DOUBLE AS second FROM events GROUP BY 1",
+    "c04_policy": f"SELECT array_to_string({_POLICY}, ',') AS violations, count(*) AS n FROM (SELECT html AS t FROM pages) GROUP BY 1",
+    "c05_validity": r"WITH x AS (SELECT text AS t, strlen(text) AS n, (length(text) - length(regexp_replace(text, '\s', '', 'g'))) / greatest(length(text), 1) AS w FROM documents) SELECT array_to_string(list_filter([CASE WHEN n = 0 THEN 'empty' END, CASE WHEN n > 0 AND n < 100 THEN 'too_short' END, CASE WHEN n > 20000 THEN 'too_long' END, CASE WHEN contains(lower(t), 'idiot') THEN 'forbidden:idiot' END, CASE WHEN n >= 50 AND w > 0.9 THEN 'whitespace' END], lambda z: z IS NOT NULL), ',') AS errors, count(*) AS n FROM x GROUP BY 1",
+}

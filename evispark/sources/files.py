@@ -72,7 +72,7 @@ def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     """(symbol, approved, tier, tier_rank) of a tab-separated nomenclature: approved symbols, aliases, previous ones; a symbol keeps its best tier."""
     raw = spark.read.option("header", True).option("sep", "\t").csv(path).where(F.lower("status") == "approved")
-    many = lambda c: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), '"', ""), r"\|"), F.trim), lambda x: x != "")
+    many = lambda c: F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(c, F.lit("")), '"', ""), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     tiers = F.array(*(F.struct(F.lit(t).alias("tier"), F.lit(i).alias("tier_rank"), s.alias("symbols")) for i, (t, s) in enumerate((("preferred", F.array("symbol")), ("alias", many(F.col("alias_symbol"))), ("previous", many(F.col("prev_symbol")))))))
     rows = raw.select(F.col("symbol").alias("approved"), F.explode(tiers).alias("t")).select("approved", "t.tier", "t.tier_rank", F.explode("t.symbols").alias("symbol"))
     best = rows.groupBy(F.upper("symbol").alias("symbol")).agg(F.min(F.struct("tier_rank", "approved", "tier")).alias("b"))
