@@ -43,7 +43,9 @@ FREQUENT, FREQUENT_MAX = 16, 2_000_000
 #: Groups in a list, or sets in a group, up to which all pairs are made.
 SHORT = 16
 #: Rounds of leaders over long lists before the rest is compared.
-LEADERS = 3
+LEADERS = 2
+#: Steps of a label to a lesser one.
+JUMPS = 3
 
 
 def _needed(n):
@@ -62,22 +64,25 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def _over_sets(docs: DataFrame, schema: str, work) -> DataFrame:
-    """work(ids, sets) -> columns, over groups of documents of bounded size; docs has (id, text)."""
+    """work(ids, sets) -> columns, over groups of documents of bounded size; docs has (id, text), or (id, own) with sets already made."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
     kinds = {f.name: to_arrow_type(f.dataType) for f in StructType.fromDDL(schema)}
+    made = "own" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            ids = batch.column("id").to_pylist()
+            contents = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids = batch.column(0).to_pylist()
             start = 0
-            for end in group_ends([len(t) for t in texts]) if texts else []:
-                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, kinds[k]) for k, v in work(ids[start:end], shingle_sets(texts[start:end])).items()})
+            for end in group_ends([len(t) for t in contents]) if contents else []:
+                part = contents[start:end]
+                sets = [np.frombuffer(t, np.uint64) for t in part] if made else shingle_sets(part)
+                yield pa.RecordBatch.from_pydict({k: v if isinstance(v, pa.Array) else pa.array(v, kinds[k]) for k, v in work(ids[start:end], sets).items()})
                 start = end
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "own" if made else "text").mapInArrow(run, schema)
 
 
 def _frequent(docs: DataFrame, lane: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,19 +151,17 @@ def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     counted = rows.withColumn("length", F.count("*").over(Window.partitionBy("s"))).where("length > 1")
     short = counted.where(F.col("length") <= SHORT).groupBy("s").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-    return short, counted.where(F.col("length") > SHORT).select("s", "node", "n")
+    return short, counted.where(F.col("length") > SHORT).drop("length")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    def work(ids: list, sets: list[np.ndarray]) -> dict[str, object]:
-        return {"id": ids, "own": [s.tobytes() for s in sets]}
-
-    return _over_sets(with_ids(docs, ids, "id"), "id bigint, own binary", work)
+    """(id, own) with the whole sets of the documents in ids."""
+    own = _over_sets(with_ids(docs, ids, "id"), "id bigint, own binary", lambda ids, sets: {"id": ids, "own": [s.tobytes() for s in sets]})
+    return materialize(own, "own")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
-    sets = _sets_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,39 +177,38 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(joined.select("a", "b", "of_a", "of_b").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
-def _classes(links: list[DataFrame]) -> DataFrame:
-    """(node, component) over all links so far."""
-    return materialize(connected_components(reduce(DataFrame.union, links), "a", "b"), "classes")
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least of the lesser nodes a node links to, followed for JUMPS steps. Nodes of one label are linked; the reverse need not hold."""
+    step = materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
+    now = step
+    for _ in range(JUMPS):
+        now = now.join(step.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    return now
 
 
-def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one class."""
-    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).drop("a_in", "b_in")
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends have different labels; a node without one is its own."""
+    for c in ("a", "b"):
+        pairs = pairs.join(labels.toDF(c, f"{c}_in"), c, "left").withColumn(f"{c}_in", F.coalesce(f"{c}_in", c))
+    return pairs.where("a_in <> b_in")
 
 
-def _verify_in_turn(docs: DataFrame, pairs: DataFrame, links: list[DataFrame]) -> list[DataFrame]:
-    """Verifies for each set the pair with most in common, then of the others those that are still apart."""
-    pairs = materialize(pairs, "pairs")
-    if pairs.isEmpty():
-        return links
+def _verify_in_turn(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of pairs (a, b, common), a < b: for each set the pair with most in common is verified, then of the others those that are not linked by these."""
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("common", -F.col("a"))).alias("a")).select("a", "b")
-    links = [*links, _verified(docs, materialize(best, "pairs"))]
-    rest = materialize(_apart(pairs.join(best, ["a", "b"], "left_anti"), _classes(links)), "pairs")
-    return links if rest.isEmpty() else [*links, _verified(docs, rest)]
+    best = materialize(best, "best")
+    links = _verified(sets, best)
+    rest = _apart(pairs.join(best, ["a", "b"], "left_anti").select("a", "b"), _labels(links)).select("a", "b")
+    return links.union(_verified(sets, materialize(rest, "rest")))
 
 
-def _first_pass(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
-    """(id, n, set) for every document with a shingle, links between sets, and the busy sets (id). A set is named by its least id."""
-    prefixes = materialize(_prefixes(docs, LANE, _frequent(docs, LANE, FREQUENT)), "prefixes").where("n > 0")
-    sets = materialize(prefixes.groupBy("n", "key", "digest").agg(F.min("id").alias("set")), "sets")
+def _candidates(prefixes: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs (a, b, common) to verify, busy sets (id)) of the first pass."""
     groups = materialize(sets.groupBy("n", "key").agg(F.min("set").alias("group"), F.count("*").alias("sets")), "groups")
     of_groups = prefixes.groupBy("n", "key").agg(F.min(F.struct("id", "prefix")).alias("least"))
     rows = of_groups.select(F.explode("least.prefix").alias("s"), F.col("least.id").alias("node"), "n")
     short, long = _listed(rows)
-    members = sets.join(groups, ["n", "key"]).select("group", "set", F.col("sets") > SHORT)
-    members = members.toDF("group", "set", "large")
+    members = sets.join(groups, ["n", "key"]).select("group", "set", (F.col("sets") > SHORT).alias("large"))
     crowded = members.where("large").select("set")
     busy = long.select(F.col("node").alias("group")).distinct().join(members, "group").select("set").union(crowded).distinct().select(F.col("set").alias("id"))
     between = _short_pairs(short)
@@ -215,42 +217,39 @@ def _first_pass(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]
     expanded = expanded.select(F.least("a_set", "b_set").alias("a"), F.greatest("a_set", "b_set").alias("b"), "common")
     small = members.where("NOT large")
     inside = small.select("group", F.col("set").alias("a")).join(small.select("group", F.col("set").alias("b")), "group").where("a < b").select("a", "b", F.lit(1 << 20).cast("long").alias("common"))
-    links = _verify_in_turn(docs, expanded.union(inside), [])
-    whole = prefixes.join(sets, ["n", "key", "digest"]).select("id", "n", "set")
-    return whole, links, materialize(busy, "busy")
-
-
-def _second_pass(docs: DataFrame, links: list[DataFrame]) -> list[DataFrame]:
-    """Links among busy sets, docs being theirs alone."""
-    prefixes = _prefixes(docs, 1, _frequent(docs, 1, 2)).where("n > 0")
-    rows = prefixes.select(F.explode("prefix").alias("s"), F.col("id").alias("node"), "n")
-    short, long = _listed(materialize(rows, "rows"))
-    long = materialize(long, "long")
-    links = _verify_in_turn(docs, _short_pairs(short), links)
+    return materialize(expanded.union(inside), "pairs"), materialize(busy, "busy")
+
+
+def _second_pass(sets: DataFrame) -> list[DataFrame]:
+    """Links among busy sets, sets (id, own) being theirs alone."""
+    prefixes = _prefixes(sets, 1, _frequent(sets, 1, 2)).where("n > 0")
+    rows = materialize(prefixes.select(F.posexplode("prefix").alias("at", "s"), F.col("id").alias("node"), "n"), "rows")
+    short, long = _listed(rows)
+    pairs, long = materialize(_short_pairs(short), "pairs"), materialize(long, "long")
+    links = [_verify_in_turn(sets, pairs)]
+    member = lambda c: F.struct("at", "node", "n", *c)
     for turn in range(LEADERS + 1):
-        classed = long
-        if links:
-            classes = _classes(links)
-            classed = long.join(classes, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        else:
-            classed = long.withColumn("component", F.col("node"))
-        in_class = classed.groupBy("s", "component").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-        largest = in_class.groupBy("s").agg(F.max(F.struct("size", "component")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
-        largest = materialize(largest.select("s", F.col("top.component").alias("top")), "largest")
-        if largest.isEmpty():
-            break
-        classed = classed.join(largest, "s")
-        own = classed.select("s", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("component").alias("x_in"), "top")
-        if turn < LEADERS:
-            # One leader of a list: first the least set of the largest class, then sets outside of it.
-            pick = F.col("component") == F.col("top") if turn == 0 else F.col("component") != F.col("top")
-            lead = classed.where(pick).groupBy("s").agg(F.min(F.struct("node", "n", "component")).alias("lead"))
-            lead = lead.select("s", F.col("lead.node").alias("y"), F.col("lead.n").alias("y_n"), F.col("lead.component").alias("y_in"))
+        if turn == 0:
+            # The set with the fewest rarer shingles leads its list.
+            classed = long.withColumn("node_in", F.col("node"))
+            lead = classed.groupBy("s").agg(F.min(member(["node_in"])).alias("y"))
         else:
-            lead = classed.where("component <> top").select("s", F.col("node").alias("y"), F.col("n").alias("y_n"), F.col("component").alias("y_in"))
-        pairs = own.join(lead, "s").where((F.col("x_in") != F.col("y_in")) & _close(F.col("x_n"), F.col("y_n")))
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().withColumn("common", F.lit(1).cast("long"))
-        links = _verify_in_turn(docs, pairs, links)
+            classes = materialize(connected_components(reduce(DataFrame.union, links), "a", "b"), "classes")
+            classed = long.join(classes.toDF("node", "node_in"), "node", "left").withColumn("node_in", F.coalesce("node_in", "node"))
+            in_class = classed.groupBy("s", "node_in").agg(F.count("*").alias("size"))
+            largest = in_class.groupBy("s").agg(F.max(F.struct("size", "node_in")).alias("top"), F.count("*").alias("classes")).where("classes > 1")
+            largest = materialize(largest.select("s", F.col("top.node_in").alias("top")), "largest")
+            if largest.isEmpty():
+                break
+            classed = classed.join(largest, "s")
+            outside = classed.where("node_in <> top")
+            lead = outside.groupBy("s").agg(F.min(member(["node_in"])).alias("y")) if turn < LEADERS else outside.select("s", member(["node_in"]).alias("y"))
+        rest = classed.select("s", member(["node_in"]).alias("x"))
+        # Where s is the first that both have, what follows it in either bounds what they have in common.
+        bound = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
+        apart = rest.join(lead, "s").where((F.col("x.node_in") != F.col("y.node_in")) & _close(F.col("x.n"), F.col("y.n")) & bound)
+        apart = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        links.append(_verified(sets, materialize(apart, "apart")))
     return links
 
 
@@ -262,12 +261,17 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Ids are integers; a null id gets a null component. Only id and text are read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    known = own.where("id IS NOT NULL")
-    whole, links, busy = _first_pass(known)
+    every = materialize(_prefixes(own, LANE, _frequent(own, LANE, FREQUENT)), "prefixes")
+    prefixes = every.where("id IS NOT NULL AND n > 0")
+    named = materialize(prefixes.groupBy("n", "key", "digest").agg(F.min("id").alias("set")), "sets")
+    pairs, busy = _candidates(prefixes, named)
+    sets = _sets_of(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(busy).distinct())
+    links = [_verify_in_turn(sets, pairs)]
     if not busy.isEmpty():
-        links = _second_pass(with_ids(known, busy, "id"), links)
-    whole = materialize(whole, "members")
-    edges = [whole.select(F.col("id").alias("a"), F.col("set").alias("b")), *links]
-    classes = _classes(edges)
-    n_shingles = _over_sets(own, "id bigint, n_shingles bigint", lambda ids, sets: {"id": ids, "n_shingles": [len(s) for s in sets]})
-    return n_shingles.join(classes, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+        links += _second_pass(materialize(sets.join(busy, "id", "left_semi"), "busy-sets"))
+    # Ids that stand for several sets tie them.
+    whole = materialize(prefixes.select("id", "n", "key", "digest").join(named, ["n", "key", "digest"]).select("id", "set").distinct(), "members")
+    repeated = whole.join(whole.groupBy("id").count().where("count > 1").select("id"), "id").select(F.col("set").alias("a"), F.col("id").alias("b"))
+    classes = materialize(connected_components(reduce(DataFrame.union, [*links, repeated]), "a", "b"), "classes")
+    of_id = whole.join(classes.toDF("set", "component"), "set", "left").groupBy("id").agg(F.min(F.coalesce("component", "set")).alias("component"))
+    return every.select("id", F.col("n").alias("n_shingles")).join(of_id, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are handled in groups of about this many bytes, so that numpy's temporaries stay small.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: The bytes [\x20\x09-\x0D], which end a word where only white space does.
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
