@@ -12,6 +12,7 @@ from evispark.operators import extract as N
 from evispark.operators import retrieve as X
 from evispark.operators import text as T
 from evispark.plans import adapters as A
+from evispark.sources import webpages
 
 R = 6
 
@@ -133,6 +134,7 @@ QUERIES = {
     "r13_age_drift": lambda s, d: X.age_drift(A.papers(s, d), A.AS_OF).withColumn("ratio", F.round("ratio", R)),
     "r16_novelty": lambda s, d: X.novelty(_profiles(s, d)).select("gene", F.round("novelty", R).alias("novelty"), "label"),
     "r17_features": lambda s, d: X.feature_matrix(_profiles(s, d), ["n_chunks", "n_recent"]).select("gene", F.element_at("features", 2).alias("second")),
+    "s18_pages": lambda s, d: webpages.pages_to_markdown(A.table(s, d, "pages")).select("page_id", "title", "status", F.length("markdown").alias("n")),
     "c01_leaks": lambda s, d: C.scan_leaks(_docs(s, d)).groupBy("blocked", "max_severity").agg(F.count("*").alias("n"), F.sum("n_leaks").alias("n_leaks")),
     "c02_clean": lambda s, d: C.clean_leaks(A.table(s, d, "pages"), ["url", "html"]).groupBy("status").agg(F.count("*").alias("n"), F.sum(F.length("html")).alias("chars")),
     "c03_injections": lambda s, d: C.scan_injections(A.table(s, d, "conversations")).groupBy(F.array_join("warnings", ",").alias("warnings")).agg(F.count("*").alias("n")),

@@ -139,11 +139,12 @@ def article_sections(articles: DataFrame, column: str = "xml", id_col: str = "pa
 
     x = F.col(column)
     abstract = F.array_join(F.xpath(x, F.lit("//abstract//p//text()")), " ")
-    heads = F.xpath(x, F.lit("//body/sec/title/text()"))
-    rows = articles.select(id_col, abstract.alias("abstract"), F.posexplode_outer(heads).alias("i", "heading"), x.alias("_x"))
-    body = F.expr("array_join(xpath(_x, concat('//body/sec[', i + 1, ']//p//text()')), ' ')")
     first = articles.select(id_col, F.lit(0).alias("ord"), F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("heading"), abstract.alias("text"))
-    rest = rows.where("heading IS NOT NULL").select(id_col, (F.col("i") + 1).alias("ord"), section_type(F.col("heading")).alias("section_type"), "heading", body.alias("text"))
+    # A path must be constant: the outer sections are cut out of the text, and each is read by itself.
+    outer = F.regexp_extract_all(F.regexp_extract(x, r"(?s)<body\b[^>]*>(.*)</body>", 1), F.lit(r"(?s)<sec\b(?:(?!<sec\b|</sec>).|<sec\b(?:(?!</sec>).)*</sec>)*</sec>"), F.lit(0))
+    sections = articles.select(id_col, F.posexplode(outer).alias("i", "s"))
+    heading = F.xpath_string("s", F.lit("/sec/title"))
+    rest = sections.select(id_col, (F.col("i") + 1).alias("ord"), section_type(heading).alias("section_type"), heading.alias("heading"), F.array_join(F.xpath("s", F.lit("//p//text()")), " ").alias("text"))
     return first.union(rest).where(F.trim("text") != "")
 
 

@@ -69,7 +69,7 @@ def check_snapshot(spark: SparkSession, path: str, manifest: DataFrame) -> DataF
 
 def import_snapshot(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, lines that are not such rows) of JSON lines."""
-    both = spark.read.schema(StructType(schema.fields).add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").json(path)
+    both = spark.read.schema(StructType(list(schema.fields)).add("_bad", "string")).option("columnNameOfCorruptRecord", "_bad").json(path)
     both = materialize(both, "import")
     return both.where("_bad IS NULL").drop("_bad"), both.where("_bad IS NOT NULL").select("_bad")
 
