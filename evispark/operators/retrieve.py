@@ -109,6 +109,21 @@ def semantic_rerank(targets: DataFrame, hits: DataFrame, weight: float = 0.045,
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("reranked_score", 9)), "gene")))
 
 
+def load_contexts(hits: DataFrame, chunks: DataFrame, papers: DataFrame, genes: DataFrame, n: int = 32, stop: tuple[str, ...] = ()) -> DataFrame:
+    """The n best hits (id, score) with content, published_at, vector (the large one if there is one), genes found in the chunk and terms.
+
+    genes is (id, gene), what was found in which chunk.
+    """
+    from evispark.operators.text import context_terms
+
+    top = hits.select("id", "score").orderBy(F.desc("score"), "id").limit(n)
+    vector = F.coalesce("embedding_large", "embedding") if "embedding_large" in chunks.columns else F.col("embedding")
+    own = top.join(chunks.select("id", "paper_id", "content", vector.alias("vector")), "id").join(papers.select(F.col("id").alias("paper_id"), "published_at"), "paper_id", "left")
+    found = genes.join(top.select("id"), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+    own = own.join(found, "id", "left").withColumn("genes", F.coalesce("genes", F.array().cast("array<string>")))
+    return own.withColumn("terms", F.array_except(context_terms(F.col("content"), F.col("genes")), F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>")))
+
+
 def topic_groups(contexts: DataFrame, n: int = 4) -> DataFrame:
     """(label, size, mean_score) of the n largest groups of chunks (id, section, terms, score): section and the two first terms in order."""
     label = F.concat_ws(":", F.coalesce("section", F.lit("other")), F.array_join(F.slice(F.array_sort("terms"), 1, 2), "+"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evispark.plans import graph, operations, scoring, texts
+from evispark.plans import graph, more, operations, scoring, texts
 
-QUERIES = {**graph.QUERIES, **scoring.QUERIES, **texts.QUERIES, **operations.QUERIES}
-ORACLE = {**graph.ORACLE, **scoring.ORACLE, **texts.ORACLE, **operations.ORACLE}
+QUERIES = {**graph.QUERIES, **scoring.QUERIES, **texts.QUERIES, **operations.QUERIES, **more.QUERIES}
+ORACLE = {**graph.ORACLE, **scoring.ORACLE, **texts.ORACLE, **operations.ORACLE, **more.ORACLE}

@@ -122,6 +122,25 @@ def read_works(spark: SparkSession, path: str) -> DataFrame:
     return _papers(raw, "crossref", doi=F.col("DOI"), title=F.try_element_at("title", F.lit(1)), journal=F.try_element_at("container-title", F.lit(1)), abstract_text=F.regexp_replace("abstract", "<[^>]+>", " "), date=F.substring(F.col("created")["date-time"], 1, 10))
 
 
+def read_europe_pmc(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of results (doi, pmid, title, abstractText, journalTitle, firstPublicationDate)."""
+    raw = spark.read.schema("doi string, pmid string, title string, abstractText string, journalTitle string, firstPublicationDate string").json(path)
+    return _papers(raw, "europepmc", doi=F.col("doi"), pmid=F.col("pmid"), title=F.col("title"), abstract_text=F.col("abstractText"), journal=F.col("journalTitle"), date=F.substring("firstPublicationDate", 1, 10))
+
+
+def read_trials(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of registered studies; the identifier stands as pmid."""
+    raw = spark.read.schema("protocolSection struct<identificationModule:struct<nctId:string,briefTitle:string>,descriptionModule:struct<briefSummary:string>,statusModule:struct<startDateStruct:struct<date:string>>>").json(path)
+    p = F.col("protocolSection")
+    return _papers(raw, "clinicaltrials", pmid=p["identificationModule"]["nctId"], title=p["identificationModule"]["briefTitle"], abstract_text=p["descriptionModule"]["briefSummary"], date=p["statusModule"]["startDateStruct"]["date"])
+
+
+def read_semantic(spark: SparkSession, path: str) -> DataFrame:
+    """JSON lines of papers (externalIds, title, abstract, venue, publicationDate)."""
+    raw = spark.read.schema("externalIds struct<DOI:string,PubMed:string>, title string, abstract string, venue string, publicationDate string").json(path)
+    return _papers(raw, "semanticscholar", doi=F.col("externalIds.DOI"), pmid=F.col("externalIds.PubMed"), title=F.col("title"), abstract_text=F.col("abstract"), journal=F.col("venue"), date=F.col("publicationDate"))
+
+
 def read_preprints(spark: SparkSession, path: str, keywords: list[str], as_of, days: int = 730) -> DataFrame:
     """JSON lines of preprints (doi, title, abstract, date) of the last days whose title or abstract holds any keyword."""
     raw = spark.read.schema("doi string, title string, abstract string, date string").json(path)
