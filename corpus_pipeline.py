@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import decontam, jaccard, langid, mixing, pii
-from evispark.llm.texts import read_table, with_ids
+from evispark.llm.texts import read_table, small_batches, with_ids
 from evispark.shared import materialize
 
 #: A document whose languages are too mixed for one to hold this share is rejected, as is one without letters.
@@ -19,12 +19,14 @@ LEAST_LANGUAGE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, judged by their text alone; learned from the column lang of all of them."""
+    small_batches(spark)
     langs, model = langid.learn(docs)
     return langid.with_language(docs, langs, model, LEAST_LANGUAGE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that of the least doc_id. Rows with a null doc_id stay; rows that repeat a doc_id are one document, of which the first text stays."""
+    small_batches(spark)
     classes = materialize(jaccard.link_classes(docs), "classes")
     dropped = classes.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
     kept = with_ids(docs, dropped, "doc_id", wanted=False)

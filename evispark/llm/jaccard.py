@@ -24,10 +24,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.texts import SPACES, group_ends, shingle_hashes, with_ids, word_hashes
+from evispark.llm.texts import IDS_MAX, SPACES, among, group_ends, shingle_hashes, sorted_ids, word_hashes
 from evispark.operators.components import connected_components
 from evispark.shared import materialize
 
@@ -63,8 +64,8 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _over_sets(docs: DataFrame, schema: str, work) -> DataFrame:
-    """work(ids, sets) -> columns, over groups of documents of bounded size; docs has (id, text), or (id, own) with sets already made."""
+def _over_sets(docs: DataFrame, schema: str, work, wanted: Broadcast | None = None) -> DataFrame:
+    """work(ids, sets) -> columns, over groups of documents of bounded size; docs has (id, text), or (id, own) with sets already made; wanted is a sorted array of the ids to take."""
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructType
 
@@ -73,6 +74,8 @@ def _over_sets(docs: DataFrame, schema: str, work) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pa.array(among(wanted.value, batch.column(0))))  # noqa: PLW2901
             contents = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             ids = batch.column(0).to_pylist()
             start = 0
@@ -155,8 +158,13 @@ def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, own) with the whole sets of the documents in ids."""
-    own = _over_sets(with_ids(docs, ids, "id"), "id bigint, own binary", lambda ids, sets: {"id": ids, "own": [s.tobytes() for s in sets]})
+    """(id, own) with the whole sets of the documents in ids, which are distinct."""
+    wanted = None
+    if ids.count() > IDS_MAX:
+        docs = docs.join(ids, "id", "left_semi")
+    else:
+        wanted = docs.sparkSession.sparkContext.broadcast(sorted_ids(ids))
+    own = _over_sets(docs, "id bigint, own binary", lambda ids, sets: {"id": ids, "own": [s.tobytes() for s in sets]}, wanted)
     return materialize(own, "own")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are handled in groups of about this many bytes, so that numpy's temporaries stay small.
@@ -82,19 +82,27 @@ def with_ids(df: DataFrame, ids: DataFrame, id_col: str, wanted: bool = True) ->
     ids = ids.toDF("_id").select(F.col("_id").cast("long").alias("_id"))
     if ids.count() > IDS_MAX:
         return df.join(ids, F.col(id_col) == F.col("_id"), "left_semi" if wanted else "left_anti")
-    known = df.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column("_id").to_numpy()))
+    known = df.sparkSession.sparkContext.broadcast(sorted_ids(ids))
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(id_col).cast(pa.int64())
-            values = own.fill_null(0).to_numpy(zero_copy_only=False)
-            hit = np.zeros(len(values), bool)
-            if len(known.value):
-                near = np.minimum(np.searchsorted(known.value, values), len(known.value) - 1)
-                hit = (known.value[near] == values) & own.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(hit if wanted else ~hit))
+    @F.arrow_udf("boolean")
+    def hit(column: pa.Array) -> pa.Array:
+        return pa.array(among(known.value, column))
+
+    return df.where(hit(F.col(id_col).cast("long")) == F.lit(wanted))
+
+
+def sorted_ids(ids: DataFrame) -> np.ndarray:
+    """A column of ids, of a checked number, as a sorted array on the driver."""
+    return np.sort(ids.toArrow().column(0).to_numpy())
 
-    return df.mapInArrow(keep, df.schema)
+
+def among(known: np.ndarray, column: pa.Array) -> np.ndarray:
+    """Which ids of an Arrow column are in a sorted array; null is not."""
+    values = column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    if not len(known):
+        return np.zeros(len(values), bool)
+    near = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return (known[near] == values) & column.is_valid().to_numpy(zero_copy_only=False)
 
 
 def word_hashes(texts: list[bytes], breaks: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -146,7 +154,13 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def read_table(spark, sf_dir: str, name: str) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Rows with whole texts are long: 2,000 of them make an Arrow batch of some MB, which bounds Python's share of an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
