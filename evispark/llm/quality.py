@@ -126,8 +126,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "weights": [model.weights[at].tobytes()], "bias": [model.bias], "slope": [model.slope]})
 
-    # One task fits: what it gets is bounded by max_training.
-    r = got.coalesce(1).mapInArrow(train, "at binary, weights binary, bias double, slope double").first()
+    # One task fits: what it gets is bounded by max_training. The scan before it is not part of that task.
+    r = got.repartition(1).mapInArrow(train, "at binary, weights binary, bias double, slope double").first()
     weights = np.zeros(FEATURES)
     weights[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["weights"], np.float64)
     return Model(weights, r["bias"], r["slope"])
