@@ -12,6 +12,8 @@ n - ceil(THRESHOLD * n) + LEAST of a set of n. So:
    all their shingles. A pair with a set that is not busy shares short lists only, so nothing is lost.
    What is still a long list is verified against one leader at a time, and then each set outside the
    list's largest class against the rest of the list: never all pairs of one large class of copies.
+   Pairs with fewer than LEAST shingles in common in short lists can link by those in long lists too:
+   they are verified last, where they are still apart and what is left of both sets allows it.
 
 Only classes are asked for, so a pair whose ends are in one class already is not verified.
 """
@@ -140,12 +142,32 @@ def _close(a, b):
     return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
 
-def _short_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b, common) over lists (s, members (node, n)): pairs in order with enough shingles in common for their sizes."""
+def _in_common(lists: DataFrame) -> DataFrame:
+    """(a, b, common, enough) over lists (s, members (node, n)): pairs in order, and whether the shingles in common are enough for their sizes."""
     pairs = lists.select(F.explode(F.flatten(F.transform("members", lambda x, i: F.transform(F.filter(F.slice("members", i + 2, F.size("members")), lambda y: _close(x["n"], y["n"])), lambda y: F.struct(x.alias("a"), y.alias("b")))))).alias("p"))
     pairs = pairs.select(F.least("p.a.node", "p.b.node").alias("a"), F.greatest("p.a.node", "p.b.node").alias("b"), F.least("p.a.n", "p.b.n").alias("n"))
     needed = F.floor((PERCENT * F.col("n") + 99) / 100)
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n")).where(F.col("common") >= F.least(F.lit(LEAST), needed)).select("a", "b", "common")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("common"), F.min("n").alias("n"))
+    return pairs.select("a", "b", "common", (F.col("common") >= F.least(F.lit(LEAST), needed)).alias("enough"))
+
+
+def _short_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b, common): the pairs of _in_common with enough."""
+    return _in_common(lists).where("enough").drop("enough")
+
+
+def _bounded(x_left, y_left, x_n, y_n, before=0):
+    """Whether sets can link that have `before` shingles in common, and besides these no more than what is left of either."""
+    return (F.least(x_left, y_left) + before) * (100 + PERCENT) >= PERCENT * (x_n + y_n)
+
+
+def _few_pairs(few: DataFrame, long: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of pairs (a, b, common) with too few shingles in common in short lists, those in different classes that can link by what stands from their first long list on."""
+    first = materialize(long.groupBy("node").agg(F.min("at").alias("at"), F.min("n").alias("n")), "first")
+    for c in ("a", "b"):
+        few = few.join(first.toDF(c, f"{c}_at", f"{c}_n"), c)
+    few = few.where(_bounded(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"), F.col("a_n"), F.col("b_n"), F.col("common")))
+    return _apart(few.select("a", "b"), classes).select("a", "b")
 
 
 def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -233,8 +255,8 @@ def _second_pass(sets: DataFrame) -> list[DataFrame]:
     prefixes = _prefixes(sets, 1, _frequent(sets, 1, 2)).where("n > 0")
     rows = materialize(prefixes.select(F.posexplode("prefix").alias("at", "s"), F.col("id").alias("node"), "n"), "rows")
     short, long = _listed(rows)
-    pairs, long = materialize(_short_pairs(short), "pairs"), materialize(long, "long")
-    links = [_verify_in_turn(sets, pairs)]
+    pairs, long = materialize(_in_common(short), "pairs"), materialize(long, "long")
+    links = [_verify_in_turn(sets, pairs.where("enough").drop("enough"))]
     member = lambda c: F.struct("at", "node", "n", *c)
     for turn in range(LEADERS + 1):
         if turn == 0:
@@ -253,11 +275,14 @@ def _second_pass(sets: DataFrame) -> list[DataFrame]:
             outside = classed.where("node_in <> top")
             lead = outside.groupBy("s").agg(F.min(member(["node_in"])).alias("y")) if turn < LEADERS else outside.select("s", member(["node_in"]).alias("y"))
         rest = classed.select("s", member(["node_in"]).alias("x"))
-        # Where s is the first that both have, what follows it in either bounds what they have in common.
-        bound = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) * (100 + PERCENT) >= PERCENT * (F.col("x.n") + F.col("y.n"))
+        # Where s is the first that both have, what follows it in either bounds what they have in common. Pairs
+        # that have others before it, in short lists, are left to _few_pairs.
+        bound = _bounded(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"), F.col("x.n"), F.col("y.n"))
         apart = rest.join(lead, "s").where((F.col("x.node_in") != F.col("y.node_in")) & _close(F.col("x.n"), F.col("y.n")) & bound)
         apart = apart.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
         links.append(_verified(sets, materialize(apart, "apart")))
+    few = _few_pairs(pairs.where("NOT enough"), long, classes)
+    links.append(_verified(sets, materialize(few, "few")))
     return links
 
 

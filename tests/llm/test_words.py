@@ -162,6 +162,20 @@ def test_jaccard_classes(spark, table):
     assert got == classes(enumerate(docs))
 
 
+def test_jaccard_links_behind_short_lists(spark, table):
+    # 33 of 37 shingles stand in all documents; two documents of each lot share one or two more, in short lists.
+    docs = []
+    for lot in range(3):
+        template = [f"t{lot}x{k}" for k in range(36)]
+        for d in range(20):
+            both = [f"b{lot}x{k}" for k in range(1 + lot % 2)] if d in (4, 13) else []
+            docs.append(" ".join(template + both + [f"u{lot}x{d}x{k}" for k in range(4 - len(both))]))
+    want = classes(enumerate(docs))
+    assert sum(c != i for i, (_, c) in want.items()) == 3
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_classes(table(docs)).collect()}
+    assert got == want
+
+
 def test_jaccard_odd_rows(spark, table):
     out = jaccard.link_classes(table(["a b c d e", "a b c d e", "x y", None], ids=[5, None, 5, 9])).collect()
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in out if x["doc_id"] is not None) == [(False, 5, 1, 5), (False, 5, 2, 5), (False, 9, 0, 9)]
