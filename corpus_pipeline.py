@@ -15,6 +15,8 @@ from evispark.shared import materialize
 
 #: A document whose languages are too mixed for one to hold this share is rejected, as is one without letters.
 LEAST_LANGUAGE = 0.4
+#: Near copies share this percentage of their shingles of so many words.
+SHINGLE_WORDS, LIKE_PERCENT = 5, 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, that of the least doc_id. Rows with a null doc_id stay; rows that repeat a doc_id are one document, of which the first text stays."""
     small_batches(spark)
-    classes = materialize(jaccard.link_classes(docs), "classes")
+    classes = materialize(jaccard.link_classes(docs, size=SHINGLE_WORDS, percent=LIKE_PERCENT), "classes")
     dropped = classes.where(F.col("doc_id").isNotNull() & (F.col("component_id") != F.col("doc_id"))).select("doc_id").distinct()
     kept = with_ids(docs, dropped, "doc_id", wanted=False)
     repeated = classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")

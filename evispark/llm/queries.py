@@ -46,7 +46,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link_classes(read_table(spark, sf_dir, "documents"))
+    return jaccard.link_classes(read_table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
