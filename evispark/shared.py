@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The tables written inside each open temporary_tables(), the innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir. Only where it is unset (a local session, as in tests) is one made."""
@@ -22,9 +28,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back, so later jobs survive lost executors without recomputing it."""
+def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back, so later jobs survive lost executors without recomputing it.
+
+    Inside temporary_tables() the table is deleted at its end, unless it outlives that.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()
+    for scope in scopes[:-1][-1:] if outlives else scopes[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that materialize() wrote inside; those that outlive it pass to the scope around it, if any."""
+    written: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), written))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        for path in written:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
