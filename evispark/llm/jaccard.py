@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm.texts import IDS_MAX, SPACES, among, group_ends, shingle_hashes, sorted_ids, word_hashes
 from evispark.operators.components import connected_components
-from evispark.shared import materialize
+from evispark.shared import materialize, temporary_tables
 
 SIZE = 4
 #: Sets link when 100 * intersection >= percent * union.
@@ -171,12 +171,18 @@ def _few_pairs(few: DataFrame, long: DataFrame, classes: DataFrame, percent: int
 
 
 def _listed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (s, node, n) in lists of 2 or more: (short lists as arrays, rows of long lists)."""
-    from pyspark.sql import Window
+    """Rows (s, node, n, ...) in lists of 2 or more: (short lists as arrays, rows of long lists).
 
-    counted = rows.withColumn("length", F.count("*").over(Window.partitionBy("s"))).where("length > 1")
-    short = counted.where(F.col("length") <= SHORT).groupBy("s").agg(F.collect_list(F.struct("node", "n")).alias("members"))
-    return short, counted.where(F.col("length") > SHORT).drop("length")
+    Lists are counted with partial sums, and rows of long lists go before rows are dealt by s, so that
+    no task holds a long list. Where the long ones are too many to broadcast, the rows are written
+    after the join that tells them: a join by itself may be split where a key is hot.
+    """
+    long_keys = materialize(rows.groupBy("s").count().where(F.col("count") > SHORT).select("s"), "long-keys")
+    short = rows.select("s", "node", "n").join(long_keys, "s", "left_anti")
+    if long_keys.count() > IDS_MAX:
+        short = materialize(short, "short")
+    lists = short.groupBy("s").agg(F.collect_list(F.struct("node", "n")).alias("members")).where(F.size("members") > 1)
+    return lists, rows.join(long_keys, "s", "left_semi")
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -294,17 +300,20 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", size: int = SIZE, perc
     Ids are integers; a null id gets a null component. Only id and text are read.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    every = materialize(_prefixes(own, LANE, _frequent(own, LANE, FREQUENT, size), size, percent), "prefixes")
-    prefixes = every.where("id IS NOT NULL AND n > 0")
-    named = materialize(prefixes.groupBy("n", "key", "digest").agg(F.min("id").alias("set")), "sets")
-    pairs, busy = _candidates(prefixes, named, percent)
-    sets = _sets_of(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(busy).distinct(), size)
-    links = [_verify_in_turn(sets, pairs, percent)]
-    if not busy.isEmpty():
-        links += _second_pass(materialize(sets.join(busy, "id", "left_semi"), "busy-sets"), size, percent)
-    # Ids that stand for several sets tie them.
-    whole = materialize(prefixes.select("id", "n", "key", "digest").join(named, ["n", "key", "digest"]).select("id", "set").distinct(), "members")
-    repeated = whole.join(whole.groupBy("id").count().where("count > 1").select("id"), "id").select(F.col("set").alias("a"), F.col("id").alias("b"))
-    classes = materialize(connected_components(reduce(DataFrame.union, [*links, repeated]), "a", "b"), "classes")
-    of_id = whole.join(classes.toDF("set", "component"), "set", "left").groupBy("id").agg(F.min(F.coalesce("component", "set")).alias("component"))
-    return every.select("id", F.col("n").alias("n_shingles")).join(of_id, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    with temporary_tables(docs.sparkSession):
+        every = materialize(_prefixes(own, LANE, _frequent(own, LANE, FREQUENT, size), size, percent), "prefixes")
+        prefixes = every.where("id IS NOT NULL AND n > 0")
+        named = materialize(prefixes.groupBy("n", "key", "digest").agg(F.min("id").alias("set")), "sets")
+        pairs, busy = _candidates(prefixes, named, percent)
+        sets = _sets_of(own, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(busy).distinct(), size)
+        links = [_verify_in_turn(sets, pairs, percent)]
+        if not busy.isEmpty():
+            links += _second_pass(materialize(sets.join(busy, "id", "left_semi"), "busy-sets"), size, percent)
+        # Ids that stand for several sets tie them.
+        whole = materialize(prefixes.select("id", "n", "key", "digest").join(named, ["n", "key", "digest"]).select("id", "set").distinct(), "members")
+        repeated = whole.join(whole.groupBy("id").count().where("count > 1").select("id"), "id").select(F.col("set").alias("a"), F.col("id").alias("b"))
+        classes = materialize(connected_components(reduce(DataFrame.union, [*links, repeated]), "a", "b"), "classes")
+        of_id = whole.join(classes.toDF("set", "component"), "set", "left").groupBy("id").agg(F.min(F.coalesce("component", "set")).alias("component"))
+        found = every.select("id", F.col("n").alias("n_shingles")).join(of_id, "id", "left")
+        found = materialize(found.select("id", "n_shingles", F.coalesce("component", "id").alias("component")), "found", outlives=True)
+    return found.toDF(id_col, "n_shingles", "component_id")

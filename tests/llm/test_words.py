@@ -176,6 +176,36 @@ def test_jaccard_links_behind_short_lists(spark, table):
     assert got == want
 
 
+def test_jaccard_links_of_sets_that_share_templates(spark, table):
+    # Documents of one template, of which 75 to 100 % is kept: lists are longer than SHORT and many pairs are near the threshold.
+    r = random.Random(0)
+    docs = []
+    for lot in range(4):
+        template = [f"t{lot}x{k}" for k in range(r.choice([30, 60, 103]))]
+        for _ in range(3 * jaccard.SHORT):
+            keep = r.uniform(0.75, 1)
+            cut = int(len(template) * (1 - keep))
+            at = r.randrange(len(template) - cut + 1)
+            own = [f"u{r.randrange(200)}" for _ in range(r.randrange(cut + 2))]
+            docs.append(" ".join(r.choice([template[:at] + own + template[at + cut :], own + template[cut:], template[cut:] + own])))
+    # 8 own words and 95 shared ones, twice, among documents of 9 own words and the last 94.
+    shared = [f"s{k}" for k in range(95)]
+    docs += [" ".join([f"o{d}x{k}" for k in range(8)] + shared) for d in range(2)]
+    docs += [" ".join([f"p{d}x{k}" for k in range(9)] + shared[1:]) for d in range(40)]
+    r.shuffle(docs)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_classes(table(docs)).collect()}
+    assert got == classes(enumerate(docs))
+
+
+def test_jaccard_joins_in_place_of_broadcasts(spark, table, monkeypatch):
+    monkeypatch.setattr(jaccard, "IDS_MAX", 0)
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    docs = [near(r, base, r.randrange(4)) for _ in range(50)] + [f"other text of its own {k} and more words" for k in range(30)]
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard.link_classes(table(docs)).collect()}
+    assert got == classes(enumerate(docs))
+
+
 def test_jaccard_odd_rows(spark, table):
     out = jaccard.link_classes(table(["a b c d e", "a b c d e", "x y", None], ids=[5, None, 5, 9])).collect()
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_shingles"], x["component_id"]) for x in out if x["doc_id"] is not None) == [(False, 5, 1, 5), (False, 5, 2, 5), (False, 9, 0, 9)]
