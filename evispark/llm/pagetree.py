@@ -1,11 +1,15 @@
-"""A web page as a tree of block elements, and the alignment of two such trees."""
+"""A web page as a tree of block elements, its outline, and the alignment of two outlines by simple tree matching."""
 
 from __future__ import annotations
 
 import html
 import re
+import sys
+from collections.abc import Callable
 from hashlib import blake2b
 
+import numpy as np
+
 #: Fixed values of HTML: elements without content, elements whose content is not markup, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
@@ -14,9 +18,15 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body article aside div section main nav header footer form table ul ol dl td th li blockquote figure details fieldset".split())
-#: Elements that are not the article, and words in a class, id or role that say so.
-NOT_ARTICLE = frozenset("nav footer aside form button dialog menu head".split())
-NOT_ARTICLE_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted related replies reply respond search share sharing sidebar social sponsor sponsored subscribe widget".split())
+#: Elements that are not the article; a form can hold a whole page, so it is only likely not to be.
+NOT_ARTICLE, LIKELY_NOT = frozenset("nav footer aside button dialog menu head".split()), frozenset(["form"])
+#: A class, id or role says what is not the article if all its words are of these lists, and one of the first two; the second is less sure.
+CERTAIN_WORDS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer login masthead menu nav navbar navigation newsletter pager pagination replies reply sidebar signup sponsor sponsored subscribe subscription".split())
+LIKELY_WORDS = frozenset("banner modal notice overlay popup promo promoted related respond share sharing social widget".split())
+COMPANIONS = frozenset("area article articles bar block body bottom box btn button buttons container content form global header home icons inline inner item items js left link links list listing main message middle outer page panel post posts primary right row secondary section site slot text the thread title top unit widgets wrap wrapper".split())
+#: Elements nested deeper than this stand beside each other, as in browsers.
+MAX_OPEN = 512
+CERTAIN, LIKELY = 2, 1
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(?:[!?][^>]*>?)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -24,24 +34,39 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _CUT = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 _WORD = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
-#: Trees are aligned to this depth; below it a node is its text.
-DEPTH = 24
-#: Up to so many neighbours of one sign are apart if they hold elements.
-FEW = 8
 
 
 class Node:
-    """A block element: sign (name and class words), children, own texts; marked if it is no part of an article, inside if it is in one."""
+    """A block element, or a text among elements (sign "#").
+
+    items are its texts or child nodes in page order, never both. marked says how sure its names make
+    it that it is no part of an article, scope which element it stands in: 0 none, 1 main, or the
+    number of an outermost article element. digest stands for all its texts, shape for its structure.
+    """
+
+    __slots__ = ("digest", "items", "marked", "scope", "shape", "sign")
 
-    __slots__ = ("inside", "items", "marked", "name", "sign")
+    def __init__(self, sign: str, marked: int, scope: int) -> None:
+        self.sign, self.marked, self.scope, self.items = sign, marked, scope, []
+        self.digest, self.shape = b"", 0
 
-    def __init__(self, name: str, sign: str, marked: bool, inside: str) -> None:
-        self.name, self.sign, self.marked, self.inside, self.items = name, sign, marked, inside, []
 
+def told_by(names: list[str]) -> int:
+    """How sure class, id and role names make it that this is a menu, an advert, comments or the like."""
+    found = 0
+    for name in names:
+        parts = [p for p in _WORD.findall(name) if not p.isdigit()]
+        if all(p in CERTAIN_WORDS or p in LIKELY_WORDS or p in COMPANIONS for p in parts):
+            if not CERTAIN_WORDS.isdisjoint(parts):
+                return CERTAIN
+            found = found if LIKELY_WORDS.isdisjoint(parts) else LIKELY
+    return found
 
-def parse(page: str) -> Node:
-    """The page's tree; items of a node are its texts and child nodes in page order. Unclosed and stray tags are put up with."""
-    root = Node("", "", False, "")
+
+def parse(page: str) -> list[Node]:
+    """The page's nodes in page order, its root first. Unclosed and stray tags are put up with."""
+    root = Node("", 0, 0)
+    nodes, articles, beyond = [root], 1, 0
     stack: list[tuple[str, Node]] = [("", root)]
     line: list[str] = []
 
@@ -79,15 +104,34 @@ def parse(page: str) -> Node:
             if name in VOID:
                 continue
             above = stack[-1][1]
-            words = _WORD.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower()) if "=" in m[3] else []
-            inside = "article" if name == "article" else above.inside or ("main" if name == "main" or "main" in words and "role" in m[3] else "")
-            marked = above.marked or name in NOT_ARTICLE or (not above.inside and (name == "header" or "header" in words)) or not NOT_ARTICLE_WORDS.isdisjoint(words) and name not in ("html", "body") or bool(_HIDDEN.search(m[3]))
-            node = Node(name, ".".join([name, *sorted(set(words))]), marked, inside)
+            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower().split() if "=" in m[3] else []
+            scope = above.scope
+            if name == "article" and scope < 2:
+                articles += 1
+                scope = articles
+            elif scope == 0 and (name == "main" or ("main" in names and "role" in m[3])):
+                scope = 1
+            marked = above.marked
+            if name in NOT_ARTICLE or (above.scope == 0 and name == "header") or _HIDDEN.search(m[3]):
+                marked = CERTAIN
+            elif names and name not in ("html", "body"):
+                marked = max(marked, told_by(names), CERTAIN * (above.scope == 0 and "header" in names))
+            if name in LIKELY_NOT:
+                marked = max(marked, LIKELY)
+            words = sorted({w for n in names for w in _WORD.findall(n) if w.isalpha()})
+            node = Node(".".join([name, *words]), marked, scope)
             above.items.append(node)
+            nodes.append(node)
             if not m[3].endswith("/"):
-                stack.append((name, node))
+                if len(stack) <= MAX_OPEN:
+                    stack.append((name, node))
+                else:
+                    beyond += 1
         elif name not in INLINE:
             flush()
+            if beyond:
+                beyond -= 1
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -97,7 +141,9 @@ def parse(page: str) -> Node:
     # A tag that the page's end cuts off is no text.
     line.append(_CUT.sub("", page[at:]))
     flush()
-    return root
+    for node in reversed(nodes):
+        _finish(node)
+    return nodes
 
 
 def _close(stack: list[tuple[str, Node]], names: tuple[str, ...]) -> None:
@@ -110,105 +156,273 @@ def _close(stack: list[tuple[str, Node]], names: tuple[str, ...]) -> None:
             return
 
 
-def outline(root: Node) -> tuple[list, list[list[Node]]]:
-    """(nested [sign, digest of the text, children], the nodes of each in preorder). Neighbours of one sign are one node if they are many or hold texts alone."""
-    members: list[list[Node]] = []
-
-    def text(node: Node, h) -> None:
-        todo = [node]
-        while todo:
-            x = todo.pop()
+def _finish(node: Node) -> None:
+    """Makes nodes of texts that stand among elements; sets digest and shape, those of the children being set."""
+    if any(isinstance(x, Node) for x in node.items):
+        for i, x in enumerate(node.items):
             if isinstance(x, str):
-                h.update(x.encode("utf-8", "surrogatepass") + b"\n")
-            else:
-                todo += reversed(x.items)
+                own = Node("#", node.marked, node.scope)
+                own.items.append(x)
+                _finish(own)
+                node.items[i] = own
+    h, shapes = blake2b(digest_size=8), []
+    for x in node.items:
+        if isinstance(x, Node):
+            h.update(x.digest)
+            if not shapes or shapes[-1] != x.shape:
+                shapes.append(x.shape)
+        else:
+            h.update(x.encode("utf-8", "surrogatepass") + b"\n")
+    node.digest, node.shape = h.digest(), hash((node.sign, *shapes))
+
+
+class Outline:
+    """A page's groups of nodes in preorder: level, sign, digest of the texts, and digests of the members.
+
+    Neighbours of one sign and one shape (paragraphs, rows, records) are one group without children,
+    and so is a node with texts alone; any other node is a group of its own with its children.
+    """
+
+    __slots__ = ("digests", "levels", "members", "nodes", "signs")
 
-    def build(group: list[Node], depth: int) -> list:
-        members.append(group)
-        h = blake2b(digest_size=8)
-        for node in group:
-            text(node, h)
-        children = []
-        if len(group) == 1 and depth < DEPTH:
+    def __init__(self, levels: list[int], signs: list[str], digests: list[str], members: list[list[str]]) -> None:
+        self.levels, self.signs, self.digests, self.members = levels, signs, digests, members
+        self.nodes: list[list[Node]] = []
+
+    def rows(self) -> list[list]:
+        return [self.levels, self.signs, self.digests, self.members]
+
+
+def outline(root: Node) -> Outline:
+    out = Outline([], [], [], [])
+    todo: list[tuple[list[Node], int]] = [([root], 0)]
+    while todo:
+        group, level = todo.pop()
+        inner = len(group) == 1 and bool(group[0].items) and isinstance(group[0].items[0], Node)
+        members = [] if inner else [n.digest.hex() for n in group]
+        out.levels.append(level)
+        out.signs.append(group[0].sign)
+        out.digests.append(group[0].digest.hex() if len(group) == 1 else blake2b("".join(members).encode(), digest_size=8).hexdigest())
+        out.members.append(members)
+        out.nodes.append(group)
+        if inner:
             runs: list[list[Node]] = []
             for x in group[0].items:
-                if isinstance(x, Node):
-                    if runs and runs[-1][0].sign == x.sign:
-                        runs[-1].append(x)
-                    else:
-                        runs.append([x])
-            # A few neighbours with elements of their own are parts of the page; paragraphs and rows are a list.
-            runs = [part for run in runs for part in ([run] if len(run) > FEW or all(isinstance(t, str) for t in run[0].items) else [[x] for x in run])]
-            children = [build(run, depth + 1) for run in runs]
-        return [group[0].sign, h.hexdigest(), children]
-
-    return build([root], 0), members
-
-
-def _size(tree: list) -> int:
-    return 1 + sum(map(_size, tree[2]))
-
-
-def align(a: list, b: list) -> list[tuple[int, int, bool]]:
-    """Simple tree matching of two outlines: pairs (place in a, place in b, same text) in preorder that keep order and ancestry and are most in number."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def match(x: list, y: list) -> tuple[int, list]:
-        """The number of matched pairs, and the matched children."""
-        if x[0] != y[0]:
-            return 0, []
-        if (key := (id(x), id(y))) in memo:
-            return memo[key]
-        p, q = x[2], y[2]
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        got = [[match(c, d)[0] for d in q] for c in p]
-        for i in range(len(p)):
-            for j in range(len(q)):
-                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + got[i][j])
-        pairs, i, j = [], len(p), len(q)
-        while i and j:
-            if got[i - 1][j - 1] and best[i][j] == best[i - 1][j - 1] + got[i - 1][j - 1]:
-                i, j = i - 1, j - 1
-                pairs.append((i, j))
-            elif best[i][j] == best[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-        memo[key] = 1 + best[-1][-1], pairs[::-1]
-        return memo[key]
+                if runs and runs[-1][0].sign == x.sign and runs[-1][0].shape == x.shape:
+                    runs[-1].append(x)
+                else:
+                    runs.append([x])
+            todo += [(run, level + 1) for run in reversed(runs)]
+    return out
 
-    out: list[tuple[int, int, bool]] = []
 
-    def walk(x: list, y: list, i: int, j: int) -> None:
-        n, pairs = match(x, y)
-        if not n:
-            return
-        out.append((i, j, x[1] == y[1]))
-        of_x, of_y = [i + 1], [j + 1]
-        for c in x[2]:
-            of_x.append(of_x[-1] + _size(c))
-        for c in y[2]:
-            of_y.append(of_y[-1] + _size(c))
-        for c, d in pairs:
-            walk(x[2][c], y[2][d], of_x[c], of_y[d])
-
-    walk(a, b, 0, 0)
+def _children(levels: list[int]) -> list[list[int]]:
+    """The places of each place's children."""
+    out: list[list[int]] = [[] for _ in levels]
+    path: list[int] = []
+    for i, level in enumerate(levels):
+        del path[level:]
+        if path:
+            out[path[-1]].append(i)
+        path.append(i)
     return out
 
 
-def blocks(root: Node, template: set[int]) -> list[str]:
-    """The article's texts in page order, without marked nodes and nodes whose id() is in template.
+def _last_row(rows: Callable[[int], np.ndarray], start: int, stop: int, step: int, low: int, high: int) -> np.ndarray:
+    """Best totals of rows start..stop (by step) against each prefix (suffix if step is -1) of the columns low..high."""
+    best = np.zeros(high - low + 1, np.int64)
+    for i in range(start, stop, step):
+        gain = rows(i)[low:high][::step]
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + gain))
+    return best
+
+
+#: Cells of a table that is traced back at once; a larger one is halved first, with the same result.
+CELLS = 1 << 20
+
+
+def best_pairs(rows: Callable[[int], np.ndarray], n: int, m: int) -> list[tuple[int, int]]:
+    """The pairs (row, column), rising in both, whose gains rows(i)[j] have the greatest sum; those without gain are left out."""
+    out: list[tuple[int, int]] = []
+    todo = [(0, n, 0, m)]
+    while todo:
+        a, b, c, d = todo.pop()
+        if a >= b or c >= d:
+            continue
+        if b - a == 1:
+            gain = rows(a)[c:d]
+            j = int(gain.argmax())
+            if gain[j] > 0:
+                out.append((a, c + j))
+        elif (b - a) * (d - c) > CELLS:
+            mid = (a + b) // 2
+            total = _last_row(rows, a, mid, 1, c, d) + _last_row(rows, b - 1, mid - 1, -1, c, d)[::-1]
+            cut = c + int(total.argmax())
+            todo += [(a, mid, c, cut), (mid, b, cut, d)]
+        else:
+            table = np.zeros((b - a + 1, d - c + 1), np.int64)
+            for i in range(a, b):
+                table[i - a + 1, 1:] = np.maximum.accumulate(np.maximum(table[i - a, 1:], table[i - a, :-1] + rows(i)[c:d]))
+            i, j = b - a, d - c
+            while i and j:
+                if table[i, j] == table[i - 1, j]:
+                    i -= 1
+                elif table[i, j] == table[i, j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, c + j))
+    return sorted(out)
+
 
-    A page with an article element is that element; else its main element; else all of it.
+def align(a: Outline, b: Outline) -> list[tuple[int, int, bool]]:
+    """Simple tree matching: pairs (place in a, place in b, same texts), most in number, that keep order, ancestry and signs.
+
+    Among alignments with most pairs, one with most neighbours of the same text is taken. Groups without
+    children are paired as a whole; which of their members are the same is told by their digests.
     """
-    todo, scopes, found = [root], {"": [], "main": [], "article": []}, []
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * MAX_OPEN))
+    known: dict[tuple, int] = {}
+    structure: list[tuple[str, tuple[int, ...]]] = []
+
+    def coded(x: Outline) -> tuple[list[list[int]], list[int]]:
+        """Children, and a number for each place's structure: equal ones match alike."""
+        children, codes = _children(x.levels), [0] * len(x.levels)
+        for i in range(len(x.levels) - 1, -1, -1):
+            key = (x.signs[i], tuple([codes[c] for c in children[i]]))
+            if key not in known:
+                known[key] = len(structure)
+                structure.append(key)
+            codes[i] = known[key]
+        return children, codes
+
+    (of_a, code_a), (of_b, code_b) = coded(a), coded(b)
+    memo: dict[tuple[int, int], int] = {}
+
+    def weight(c: int, d: int) -> int:
+        """Pairs in the best matching of two structures."""
+        (sign, p), (other, q) = structure[c], structure[d]
+        if sign != other:
+            return 0
+        if not p or not q:
+            return 1
+        if (c, d) not in memo:
+            rows = gains(p, q)
+            memo[c, d] = 1 + int(_last_row(rows, 0, len(p), 1, 0, len(q))[-1])
+        return memo[c, d]
+
+    def gains(p: tuple[int, ...], q: tuple[int, ...]) -> Callable[[int], np.ndarray]:
+        kinds, column = np.unique(np.array(q), return_inverse=True)
+        kinds, made = kinds.tolist(), {}
+
+        def rows(i: int) -> np.ndarray:
+            if p[i] not in made:
+                got = []
+                for d in kinds:
+                    got.append(weight(p[i], d))
+                made[p[i]] = np.array(got, np.int64)[column]
+            return made[p[i]]
+
+        return rows
+
+    out: list[tuple[int, int, bool]] = []
+    todo = [(0, 0)] if a.signs[:1] == b.signs[:1] else []
+    while todo:
+        i, j = todo.pop()
+        out.append((i, j, a.digests[i] == b.digests[j]))
+        p, q = of_a[i], of_b[j]
+        same = lambda x, y: code_a[x] == code_b[y] and a.digests[x] == b.digests[y]
+        # What is the same at both ends is paired; only what is between is searched.
+        low = 0
+        while low < min(len(p), len(q)) and same(p[low], q[low]):
+            low += 1
+        high = 0
+        while high < min(len(p), len(q)) - low and same(p[-1 - high], q[-1 - high]):
+            high += 1
+        pairs = [(k, k) for k in range(low)] + [(len(p) - 1 - k, len(q) - 1 - k) for k in range(high)]
+        mid_p, mid_q = p[low : len(p) - high], q[low : len(q) - high]
+        if len(mid_p) == len(mid_q) == 1:
+            if a.signs[mid_p[0]] == b.signs[mid_q[0]]:
+                pairs.append((low, low))
+        elif mid_p and mid_q:
+            rows = gains(tuple(code_a[x] for x in mid_p), tuple(code_b[x] for x in mid_q))
+            texts = np.array([b.digests[x] for x in mid_q])
+            scale = min(len(mid_p), len(mid_q)) + 1
+            full = lambda k: np.where(rows(k) > 0, rows(k) * scale + (texts == a.digests[mid_p[k]]), 0)  # noqa: E731, B023
+            pairs += [(low + x, low + y) for x, y in best_pairs(full, len(mid_p), len(mid_q))]
+        todo += [(p[x], q[y]) for x, y in pairs]
+    return sorted(out)
+
+
+def places(reference: Outline) -> list[int]:
+    """The first of the numbers that a place's members have, which follow those of all places."""
+    at, out = len(reference.levels), []
+    for members in reference.members:
+        out.append(at)
+        at += len(members)
+    return out
+
+
+def compare(reference: Outline, page: Outline) -> list[tuple[int, bool, list[Node]]]:
+    """(number of a place or member of the reference, whether the page has the same there, the page's nodes there)."""
+    first, out = places(reference), []
+    for i, j, same in align(reference, page):
+        own, other = reference.members[i], page.members[j]
+        if not own:
+            out.append((i, same, page.nodes[j] if page.nodes else []))
+            continue
+        found: dict[str, list[Node]] = {}
+        for k, digest in enumerate(other):
+            found.setdefault(digest, []).extend(page.nodes[j][k : k + 1] if page.nodes else [])
+        out += [(first[i] + k, digest in found, found.get(digest, [])) for k, digest in enumerate(own)]
+    return out
+
+
+def texts_of(root: Node, template: set[int], least_mark: int) -> list[tuple[int, str]]:
+    """(scope, text) in page order, without nodes marked that much and nodes whose id() is in template."""
+    todo, found = [root], []
     while todo:
         x = todo.pop()
-        if isinstance(x, Node):
-            if not x.marked and not (id(x) in template and x.inside == ""):
-                found.append((x, None))
-                todo += reversed([(x, t) if isinstance(t, str) else t for t in x.items])
-        else:
-            node, text = x
-            scopes[node.inside].append(text)
-    return scopes["article"] or scopes["main"] or scopes[""]
+        if x.marked < least_mark and id(x) not in template:
+            if x.items and isinstance(x.items[0], Node):
+                todo += reversed(x.items)
+            else:
+                found += [(x.scope, t) for t in x.items]
+    return found
+
+
+#: A text of so many code points is prose; so much more prose outside article elements makes these teasers of other pages.
+PROSE, MORE = 80, 2
+
+
+def story(found: list[tuple[int, str]]) -> list[str]:
+    """Of (scope, text) those of the article: its article elements, unless far more prose stands outside; then its main element on the same terms; else all."""
+    size, prose = {"article": 0, "main": 0, "": 0}, {"article": 0, "main": 0, "": 0}
+    kind = lambda scope: "article" if scope > 1 else "main" if scope else ""
+    for scope, text in found:
+        size[kind(scope)] += len(text)
+        prose[kind(scope)] += len(text) * (len(text) >= PROSE)
+    if size["article"] and prose["main"] + prose[""] <= MORE * size["article"]:
+        # One article that outweighs all others together is the story, the rest teasers.
+        each: dict[int, int] = {}
+        for scope, text in found:
+            if scope > 1:
+                each[scope] = each.get(scope, 0) + len(text)
+        top = max(each, key=lambda s: (each[s], -s))
+        whole = each[top] <= MORE * (size["article"] - each[top])
+        return [text for scope, text in found if scope > 1 and (whole or scope == top)]
+    wanted = ("main",) if size["main"] and prose[""] <= MORE * size["main"] else ("main", "")
+    return [text for scope, text in found if kind(scope) in wanted]
+
+
+def main_blocks(root: Node, template: set[int]) -> list[str]:
+    """The article's texts in page order, without what the host's template and the names of elements exclude.
+
+    Where nothing is left, pages of the host are copies of one article, and names alone decide; where
+    that leaves nothing either, prose in elements that are only likely not to be the article is taken.
+    """
+    for dropped in (template, set()) if template else (template,):
+        if found := story(texts_of(root, dropped, LIKELY)):
+            return found
+    found = story(texts_of(root, template, CERTAIN))
+    return found if sum(len(t) for t in found if len(t) >= PROSE) >= MORE * PROSE else []

@@ -1,16 +1,17 @@
 """Main text of web pages by wrapper induction over pages of the same host.
 
-Each host has a reference page. Every page of the host is aligned with it by simple tree matching, and
-each node of the reference counts in how many pages it is matched and in how many its text is the same.
-Nodes that stay the same are the host's template; what varies is content. Elements and class names
-that say what they are (menus, forms, adverts, comments) go in any case, and what stands inside an
-article element stays unless it is so marked.
+Each host has a reference page. The outline of every page of the host is aligned with it by simple tree
+matching, and each place of the reference counts in how many pages it is matched and in how many its
+texts are the same. Places that stay the same are the host's template, wherever they stand; what varies
+is content. Pages with the same article count as one, or copies would look like a template. Names of
+elements and classes (menus, forms, adverts, comments) exclude what varies too but is no article.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ from evispark.shared import materialize
 
 #: A node is template if at least so many pages match it, and so many of them, with the same text.
 LEAST_PAGES, LEAST_SHARE = 3, 0.8
+#: The weight of one page, whole numbers having exact sums.
+ONE_PAGE = 720720
 #: Wrappers up to this size are sent to all tasks; beyond it they are joined by host.
 BROADCAST_BYTES = 32 << 20
 #: A task hands on its counts when it holds so many.
@@ -36,20 +39,20 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [(t or b"").decode("utf-8", "surrogatepass") for t in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-def reference_pages(pages: DataFrame) -> DataFrame:
-    """(host, reference): the outline of each host's page with the least hash of its url and html. A task hands on one page of each host at most."""
+def outlines(pages: DataFrame) -> DataFrame:
+    """(host, rank, article, outline): for each page with a host the digest of its article, as names tell it, and its outline."""
 
-    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, tuple[int, str]] = {}
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, rank, page in zip(batch.column("host").to_pylist(), batch.column("rank").to_pylist(), _texts(batch, "html"), strict=True):
-                if host not in held or rank < held[host][0]:
-                    held[host] = rank, page
-        for host, (rank, page) in held.items():
-            yield pa.RecordBatch.from_pydict({"host": [host], "rank": pa.array([rank], pa.int64()), "reference": [json.dumps(pagetree.outline(pagetree.parse(page))[0])]})
+            articles, found = [], []
+            for page in _texts(batch, "html"):
+                root = pagetree.parse(page)[0]
+                text = "\n".join(pagetree.main_blocks(root, set())).encode("utf-8", "surrogatepass")
+                articles.append(blake2b(text, digest_size=8).digest() if text else root.digest)
+                found.append(json.dumps(pagetree.outline(root).rows(), separators=(",", ":")))
+            yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "rank": batch.column("rank"), "article": articles, "outline": found})
 
-    found = pages.where("host IS NOT NULL").select("host", "rank", "html").mapInArrow(least, "host string, rank bigint, reference string")
-    return found.groupBy("host").agg(F.min(F.struct("rank", "reference")).alias("least")).select("host", F.col("least")["reference"].alias("reference"))
+    return pages.where("host IS NOT NULL").select("host", "rank", "html").mapInArrow(work, "host string, rank bigint, article binary, outline string")
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame, columns: list[str], work, schema: str) -> DataFrame:
@@ -63,12 +66,20 @@ def _with_wrappers(pages: DataFrame, wrappers: DataFrame, columns: list[str], wo
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, reference, template): outline of the reference page and the places in it, as JSON, that all pages of the host agree on."""
-    references = materialize(reference_pages(pages), "references")
+    """(host, reference, template): outline of the reference page and the numbers of its places and members, as JSON, that the host's pages agree on.
+
+    The reference is the page with the least hash of url and html. A page weighs one divided by the
+    number of the host's pages with the same article.
+    """
+    made = materialize(outlines(pages), "outlines")
+    references = materialize(made.groupBy("host").agg(F.min(F.struct("rank", "outline")).alias("least")).select("host", F.col("least")["outline"].alias("reference")), "references")
+    copies = made.groupBy("host", "article").agg(F.count("*").alias("copies")).where("copies > 1")
+    weight = F.ceil(F.lit(ONE_PAGE) / F.coalesce("copies", F.lit(1))).cast("long")
+    weighed = made.join(copies, ["host", "article"], "left").select("host", "outline", weight.alias("weight"))
 
     def count(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[int]] = {}
-        known: dict[str, list] = {}
+        known: dict[str, pagetree.Outline] = {}
 
         def out() -> pa.RecordBatch:
             rows = [(h, i, n, s) for (h, i), (n, s) in held.items()]
@@ -76,58 +87,60 @@ def induce(pages: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_pydict({k: pa.array(v, kind) for k, v, kind in zip(("host", "place", "n", "same"), zip(*rows, strict=True) if rows else ([],) * 4, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)})
 
         for batch in batches:
-            for host, page, wrapper in zip(batch.column("host").to_pylist(), _texts(batch, "html"), of(batch), strict=True):
+            for host, page, own, wrapper in zip(batch.column("host").to_pylist(), batch.column("outline").to_pylist(), batch.column("weight").to_pylist(), of(batch), strict=True):
                 if wrapper is None:
                     continue
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = json.loads(wrapper[0])
-                tree = pagetree.outline(pagetree.parse(page))[0]
-                if tree[1] == known[host][1]:
+                    known[host] = pagetree.Outline(*json.loads(wrapper[0]))
+                tree = pagetree.Outline(*json.loads(page))
+                if tree.digests[0] == known[host].digests[0]:
                     continue  # the reference itself or a copy of it tells nothing
-                for i, _, same in pagetree.align(known[host], tree):
+                for i, same, _ in pagetree.compare(known[host], tree):
                     now = held.setdefault((host, i), [0, 0])
-                    now[0] += 1
-                    now[1] += same
+                    now[0] += own
+                    now[1] += own * same
             if len(held) > HELD:
                 yield out()
         yield out()
 
-    counts = _with_wrappers(pages.where("host IS NOT NULL").select("host", "html"), references, ["reference"], count, "host string, place int, n bigint, same bigint")
+    counts = _with_wrappers(weighed, references, ["reference"], count, "host string, place int, n bigint, same bigint")
     counts = counts.groupBy("host", "place").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    template = counts.where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= LEAST_SHARE * F.col("n"))).groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("place"))).alias("template"))
+    template = counts.where((F.col("n") >= LEAST_PAGES * ONE_PAGE) & (F.col("same") >= LEAST_SHARE * F.col("n"))).groupBy("host").agg(F.to_json(F.array_sort(F.collect_list("place"))).alias("template"))
     return references.join(template, "host", "left").select("host", "reference", F.coalesce("template", F.lit("[]")).alias("template"))
 
 
-def main_text(page: str, wrapper: tuple[list, set[int]] | None) -> str:
+def main_text(page: str, wrapper: tuple[pagetree.Outline, set[int]] | None) -> str:
     """The page's article: blocks in page order joined by line feeds."""
-    root = pagetree.parse(page)
+    root = pagetree.parse(page)[0]
     dropped: set[int] = set()
     if wrapper is not None and wrapper[1]:
-        tree, members = pagetree.outline(root)
-        dropped = {id(node) for i, j, same in pagetree.align(wrapper[0], tree) if same and i in wrapper[1] and i for node in members[j]}
-    return "\n".join(pagetree.blocks(root, dropped))
+        dropped = {id(node) for i, same, nodes in pagetree.compare(wrapper[0], pagetree.outline(root)) if same and i in wrapper[1] for node in nodes}
+    return "\n".join(pagetree.main_blocks(root, dropped))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """A row for each row of pages: page_id, url, text.
 
     A null html is empty and gives an empty text; a page whose url is null or has no host is judged
-    by its elements alone, as is the only page of a host. Other columns are not read.
+    by its elements alone, as is the only page of a host. Repeated rows each get the same text and
+    count as one page. Of pages of equal rank the lesser outline is the reference. A page is parsed in
+    time in proportion to its length, however deep; alignment of two lists of different elements takes
+    time with the product of their lengths. Other columns are not read.
     """
     own = pages.select("page_id", "url", _host(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("rank"), F.col("html").cast("string").alias("html"))
     wrappers = materialize(induce(own), "wrappers")
 
     def work(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[list, set[int]]] = {}
+        known: dict[str, tuple[pagetree.Outline, set[int]]] = {}
         for batch in batches:
             texts = []
             for host, page, wrapper in zip(batch.column("host").to_pylist(), _texts(batch, "html"), of(batch), strict=True):
                 if wrapper is not None and host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = json.loads(wrapper[0]), set(json.loads(wrapper[1]))
+                    known[host] = pagetree.Outline(*json.loads(wrapper[0])), set(json.loads(wrapper[1]))
                 texts.append(main_text(page, known[host] if wrapper is not None else None).encode("utf-8", "replace").decode())
             yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(texts, pa.string())})
 
