@@ -2,7 +2,7 @@
 
 Each language is a distribution over hashed letter trigrams, counted over all documents learned from.
 For each document, expectation-maximisation estimates the proportions of all languages; then sets of
-the 1, 2, ... largest are fitted anew and the set with the best penalised likelihood is kept.
+the 1, 2, ... largest are fitted anew and the set with the best penalised likelihood of all is kept.
 """
 
 from __future__ import annotations
@@ -21,11 +21,15 @@ from evispark.llm.texts import group_ends, map_texts, text_column
 BUCKETS = 1 << 15
 #: Added to each bucket's count.
 SMOOTHING = 0.05
-#: Largest number of languages; a column of labels with more is not one of languages.
+#: Largest number of languages (the model, 256 KB for each, goes to all tasks); a column of labels with more is not one of languages, and learn() says so.
 MAX_LANGUAGES = 1024
 ROUNDS, TOLERANCE = 20, 1e-3
 #: Neighbouring trigrams share letters; so many count as one observation in the penalised likelihood.
 OVERLAP = 3
+#: What EM may still gain, in log-likelihood, when it stops.
+SLACK = 3.0
+#: Code points of a long text that are taken at a time.
+SLICE = 1 << 17
 
 
 @cache
@@ -33,24 +37,57 @@ def _letters() -> np.ndarray:
     return np.array([chr(i).isalpha() for i in range(0x110000)])
 
 
-def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket and text number of every trigram of letters, other runs being one space, and whether each text has a letter."""
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    """The bucket of each three codes in a row."""
+    h = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(64 - 15)).astype(np.int64)
+
+
+def _codes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in lower case with 32 for what is no letter, and which are letters."""
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    letter = _letters()[codes.astype(np.int64)]
+    codes[~letter] = 32
+    return codes, letter
+
+
+def _counts_of(text: str) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Distinct buckets of one text's trigrams, how many of each, and whether it has a letter: slice by slice, each slice going on where the last one ended."""
+    total, tail, after_letter, has = np.zeros(BUCKETS, np.int64), np.array([32], np.uint64), False, False
+    for at in range(0, len(text) + 1, SLICE):
+        codes, letter = _codes(text[at : at + SLICE] + ("" if at + SLICE <= len(text) else " "))
+        if not len(codes):
+            continue
+        keep = letter.copy()
+        keep[1:] |= letter[:-1]
+        keep[0] |= after_letter
+        own = np.concatenate([tail, codes[keep]])
+        if len(own) > 2:
+            total += np.bincount(_hashed(own), minlength=BUCKETS)
+        tail, after_letter, has = own[-2:], bool(letter[-1]), has or bool(letter.any())
+    at = np.flatnonzero(total)
+    return at, total[at], has
+
+
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, count, text number) of every distinct trigram of letters in each text, other runs being one space; and whether each text has a letter."""
+    if len(texts) == 1:
+        at, n, has = _counts_of(texts[0].decode("utf-8", "surrogatepass"))
+        return at, n, np.zeros(len(at), np.int64), np.array([has])
     lowered = [f" {t.decode('utf-8', 'surrogatepass').lower()} " for t in texts]
     sizes = np.array([len(t) for t in lowered])
-    codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    letter = _letters()[codes.astype(np.int64)]
+    codes, letter = _codes("".join(lowered))
     owner = np.repeat(np.arange(len(texts)), sizes)
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
-    codes[~letter] = 32
     keep = letter.copy()
     keep[1:] |= letter[:-1] | (owner[1:] != owner[:-1])
     keep[0] = True
     codes, owner = codes[keep], owner[keep]
-    h = codes[:-2] * np.uint64(0x9E3779B97F4A7C15) + codes[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + codes[2:] * np.uint64(0x165667B19E3779F9)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
     whole = owner[:-2] == owner[2:]
-    return (h >> np.uint64(64 - 15)).astype(np.int64)[whole], owner[:-2][whole], has
+    both, n = np.unique(owner[:-2][whole] * BUCKETS + _hashed(codes)[whole], return_counts=True)
+    return both % BUCKETS, n, both // BUCKETS, has
 
 
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -67,10 +104,10 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             langs = batch.column("lang").to_pylist()
             start = 0
             for end in group_ends([len(t) for t in texts]) if texts else []:
-                buckets, owner, _ = _trigrams(texts[start:end])
+                buckets, n, owner, _ = _trigrams(texts[start:end])
                 names = sorted(set(langs[start:end]))
                 of = np.array([names.index(x) for x in langs[start:end]])
-                got = np.bincount(of[owner] * BUCKETS + buckets, minlength=len(names) * BUCKETS).reshape(-1, BUCKETS)
+                got = np.bincount(of[owner] * BUCKETS + buckets, n, minlength=len(names) * BUCKETS).astype(np.int64).reshape(-1, BUCKETS)
                 for name, row in zip(names, got, strict=True):
                     totals[name] = totals.get(name, 0) + row
                 start = end
@@ -90,65 +127,64 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, counts / counts.sum(axis=0) if langs else counts
 
 
-def _fit(likelihood: np.ndarray, n: np.ndarray, starts: np.ndarray, owner: np.ndarray, totals: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM for all texts at once: proportions within the allowed languages and log-likelihoods. Rows of likelihood are a text's distinct trigrams."""
+def _fit(likelihood: np.ndarray, n: np.ndarray, sizes: np.ndarray, totals: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM for all texts at once: proportions within the allowed languages and log-likelihoods. Rows of likelihood are a text's distinct trigrams; a text stays as it is once it has settled."""
     share = allowed / allowed.sum(axis=1, keepdims=True)
+    live, rows, own, length = np.arange(len(sizes)), likelihood, n, sizes
     for _ in range(ROUNDS):
-        weight = n / np.einsum("ij,ij->i", likelihood, share[owner])
-        new = share * np.add.reduceat(likelihood * weight[:, None], starts, axis=0) / totals[:, None]
-        done = np.abs(new - share).max() < TOLERANCE
-        share = new
-        if done:
+        now = share[live]
+        weight = own / np.einsum("ij,ij->i", rows, np.repeat(now, length, axis=0))
+        new = now * np.add.reduceat(rows * weight[:, None], np.cumsum(length) - length, axis=0) / totals[live][:, None]
+        share[live] = new
+        moves = np.abs(new - now).max(axis=1) >= TOLERANCE
+        if not moves.any():
             break
-    return share, np.add.reduceat(n * np.log(np.einsum("ij,ij->i", likelihood, share[owner])), starts)
+        if not moves.all():
+            keep = np.repeat(moves, length)
+            live, rows, own, length = live[moves], rows[keep], own[keep], length[moves]
+    mixed = np.einsum("ij,ij->i", likelihood, np.repeat(share, sizes, axis=0))
+    return share, np.add.reduceat(n * np.log(mixed), np.cumsum(sizes) - sizes)
+
 
+def infer(buckets: np.ndarray, n: np.ndarray, owner: np.ndarray, n_texts: int, model: np.ndarray) -> np.ndarray:
+    """Proportions (texts x languages) under the set of languages that is best by penalised likelihood; zeros for a text without trigrams.
 
-def infer(buckets: np.ndarray, owner: np.ndarray, n_texts: int, model: np.ndarray) -> np.ndarray:
-    """Proportions (texts x languages) under the set of languages that is best by penalised likelihood; zeros for a text without trigrams."""
+    Sets are the 1, 2, ... languages that are largest when all are fitted. A size is left out only if
+    it would not win with the likelihood of all languages, and SLACK.
+    """
     n_langs = model.shape[1]
     out = np.zeros((n_texts, n_langs))
-    cuts = np.searchsorted(owner, np.arange(n_texts + 1))
-    at, n, sizes, texts = [], [], [], []
-    for i in range(n_texts):
-        if cuts[i] < cuts[i + 1]:
-            row = np.bincount(buckets[cuts[i] : cuts[i + 1]], minlength=BUCKETS)
-            own = np.flatnonzero(row)
-            at.append(own)
-            n.append(row[own])
-            sizes.append(len(own))
-            texts.append(i)
-    if not texts:
+    sizes = np.bincount(owner, minlength=n_texts)
+    texts = np.flatnonzero(sizes)
+    if not len(texts):
         return out
-    likelihood, n = model[np.concatenate(at)], np.concatenate(n).astype(float)
-    sizes, texts = np.array(sizes), np.array(texts)
-    starts = np.cumsum(sizes) - sizes
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    totals = np.add.reduceat(n, starts)
-    share, _ = _fit(likelihood, n, starts, owner, totals, np.ones((len(texts), n_langs)))
+    likelihood, n, sizes = model[buckets], n.astype(float), sizes[texts]
+    totals = np.add.reduceat(n, np.cumsum(sizes) - sizes)
+    share, most = _fit(likelihood, n, sizes, totals, np.ones((len(texts), n_langs)))
     order = np.argsort(-share, axis=1, kind="stable")
-    best, best_value = share, np.full(len(texts), -np.inf)
+    price = 0.5 * np.log(np.maximum(totals, 2))
+    best, best_value = np.zeros_like(share), np.full(len(texts), -np.inf)
     live = np.arange(len(texts))
     for size in range(1, n_langs + 1):
+        held = (most[live] + SLACK) / OVERLAP - size * price[live] > best_value[live]
+        rows = np.repeat(np.isin(np.arange(len(texts)), live[held]), sizes)
+        live = live[held]
+        if not len(live):
+            break
         allowed = np.zeros((len(live), n_langs))
         np.put_along_axis(allowed, order[live, :size], 1.0, axis=1)
-        rows = np.isin(owner, live)
-        own_sizes = sizes[live]
-        own_starts = np.cumsum(own_sizes) - own_sizes
-        fitted, value = _fit(likelihood[rows], n[rows], own_starts, np.repeat(np.arange(len(live)), own_sizes), totals[live], allowed)
-        value = value / OVERLAP - 0.5 * size * np.log(np.maximum(totals[live], 2))
+        fitted, value = _fit(likelihood[rows], n[rows], sizes[live], totals[live], allowed)
+        value = value / OVERLAP - size * price[live]
         better = value > best_value[live]
         best[live[better]], best_value[live[better]] = fitted[better], value[better]
-        live = live[better]
-        if not len(live):
-            break
     out[texts] = best
     return out
 
 
 def _judge(texts: list[bytes], names: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Predicted languages, scores and proportions."""
-    buckets, owner, has = _trigrams(texts)
-    share = infer(buckets, owner, len(texts), model) if names else np.zeros((len(texts), 1))
+    buckets, n, owner, has = _trigrams(texts)
+    share = infer(buckets, n, owner, len(texts), model) if names else np.zeros((len(texts), 1))
     top = share.argmax(axis=1)
     known = has & (share.max(axis=1) > 0) & bool(names)
     return [names[t] if k else "und" for t, k in zip(top, known, strict=True)], np.where(known, np.minimum(share.max(axis=1), 1.0), 0.0), share * known[:, None]
@@ -158,7 +194,9 @@ def identify(docs: DataFrame, langs: list[str], model: np.ndarray, id_col: str =
     """A row for each row of docs: id, lang_pred, score (the proportion of lang_pred) and mixture (languages with their proportions).
 
     `und` with score 0 stands for a text that is null or has no letter, and for every text where
-    nothing was learned. Equal proportions go to the first language in order. Only the text is read.
+    nothing was learned. Equal proportions go to the first language in order. A row's result depends on
+    its text alone, so repeated rows agree; an empty table has no rows. Long texts are counted slice by
+    slice. Only the text is read.
     """
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
 

@@ -88,19 +88,27 @@ def schedule(targets: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     return out.select("slot", "source_key", "rank", F.least(F.lit(block_tokens), F.col("quota") - begun).alias("tokens"))
 
 
+def _hashes(seed: int, row_id: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(seed), row_id, text).alias("hash"), F.xxhash64(text, row_id, F.lit(seed)).alias("other")]
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = BLOCK_TOKENS, max_repeats: int = MAX_REPEATS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(pieces, rows): what the mix takes, and one row for each row of docs.
 
-    pieces has (slot, row_key, first_word, n_words): slot by slot, in stream order within a slot, the
-    words of a document. rows has id_col, row_key, size, source_size, target (its source's) and taken.
+    pieces has (slot, at, row_key, row_check, first_word, n_words): slot by slot, in order of at within a
+    slot, the words of a document. rows has id_col, row_key and row_check (together the row's key), hash,
+    other and copy (of which the key is made), size, source_size, target (its source's), taken and
+    first_slot (null where nothing is taken).
     Null texts have no words; a null source is a source; documents of equal id and text are told apart
     by a number. A source without words has target 0, and an empty table an empty mix. The order is a
     hash of id, text and seed, so reruns agree.
     """
     text = F.col("text").cast("string")
-    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("hash"))
-    copy = F.row_number().over(Window.partitionBy("hash", "id", "source").orderBy("size")) - 1
-    sized = materialize(sized.withColumn("copy", copy).withColumn("row_key", F.xxhash64("hash", "copy", "source")), "sizes")
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col("text")).alias("size"), *_hashes(seed, F.col(id_col), text))
+    copy = F.row_number().over(Window.partitionBy("hash", "other", "id", "source").orderBy("size")) - 1
+    # Two hashes make a key of 128 bits: one alone would meet itself in a large corpus.
+    keys = [F.xxhash64("hash", "copy", "source").alias("row_key"), F.xxhash64(F.lit(~seed), "hash", "other", "copy", "source").alias("row_check")]
+    sized = materialize(sized.withColumn("copy", copy).select("id", "source", "size", "hash", "other", "copy", *keys), "sizes")
     targets = source_targets(sized, weights, max_repeats)
     targets = materialize(targets.withColumn("source_key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).withColumn("quota", F.round("target").cast("long")), "targets")
 
@@ -108,20 +116,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     keyed = keyed.withColumn("bucket", F.pmod(F.shiftright("row_key", 20), F.lit(SHUFFLE_BUCKETS)))
     totals = keyed.where("size > 0").groupBy("source_key", "bucket").agg(F.sum("size").alias("words"))
     totals = totals.select("source_key", "bucket", (F.sum("words").over(Window.partitionBy("source_key").orderBy("bucket")) - F.col("words")).alias("base"))
-    inside = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("row_key", "id", "copy").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    inside = F.sum("size").over(Window.partitionBy("source_key", "bucket").orderBy("row_key", "row_check").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     stream = keyed.where("size > 0").withColumn("inside", inside).join(totals, ["source_key", "bucket"]).join(targets.select("source_key", "source_size", "quota"), "source_key")
     # The stream repeats up to the quota; each pass of a document is cut where blocks end.
     passes = F.sequence(F.lit(0), F.lit(max_repeats - 1))
-    stream = stream.withColumn("again", F.explode(passes)).select("row_key", "source_key", "size", "quota", (F.col("base") + F.col("inside") + F.col("again") * F.col("source_size")).alias("start")).where("start < quota")
+    stream = stream.withColumn("again", F.explode(passes)).select("row_key", "row_check", "source_key", "size", "quota", (F.col("base") + F.col("inside") + F.col("again") * F.col("source_size")).alias("start")).where("start < quota")
     stop = F.least(F.col("start") + F.col("size"), F.col("quota"))
     blocks = stream.withColumn("stop", stop).withColumn("rank", F.explode(F.sequence(F.floor(F.col("start") / block_tokens), F.floor((F.col("stop") - 1) / block_tokens))))
     begin = F.greatest("start", F.col("rank") * block_tokens)
     end = F.least("stop", (F.col("rank") + 1) * block_tokens)
-    blocks = blocks.select("source_key", "rank", "row_key", begin.alias("at"), (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
-    pieces = schedule(targets, block_tokens).join(blocks, ["source_key", "rank"]).select("slot", "at", "row_key", "first_word", "n_words")
-    taken = pieces.groupBy("row_key").agg(F.sum("n_words").alias("taken"))
-    rows = keyed.join(targets.select("source_key", "source_size", "target"), "source_key").join(taken, "row_key", "left")
-    return pieces, rows.select(F.col("id").alias(id_col), "row_key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    blocks = blocks.select("source_key", "rank", "row_key", "row_check", begin.alias("at"), (begin - F.col("start")).alias("first_word"), (end - begin).alias("n_words"))
+    pieces = schedule(targets, block_tokens).join(blocks, ["source_key", "rank"]).select("slot", "at", "row_key", "row_check", "first_word", "n_words")
+    taken = pieces.groupBy("row_key", "row_check").agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"))
+    rows = keyed.join(targets.select("source_key", "source_size", "target"), "source_key").join(taken, ["row_key", "row_check"], "left")
+    return pieces, rows.select(F.col("id").alias(id_col), "row_key", "row_check", "hash", "other", "copy", "first_slot", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def digest_columns(docs: DataFrame) -> DataFrame:

@@ -6,9 +6,9 @@ import html
 import re
 import sys
 from collections.abc import Callable
-from hashlib import blake2b
 
 import numpy as np
+from xxhash import xxh3_64_hexdigest
 
 #: Fixed values of HTML: elements without content, elements whose content is not markup, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +33,6 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _CUT = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 _WORD = re.compile(r"[a-z0-9]+")
-_SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -48,7 +47,7 @@ class Node:
 
     def __init__(self, sign: str, marked: int, scope: int) -> None:
         self.sign, self.marked, self.scope, self.items = sign, marked, scope, []
-        self.digest, self.shape = b"", 0
+        self.digest, self.shape = "", 0
 
 
 def told_by(names: list[str]) -> int:
@@ -72,7 +71,7 @@ def parse(page: str) -> list[Node]:
 
     def flush() -> None:
         if line:
-            text = _SPACE.sub(" ", html.unescape("".join(line))).strip()
+            text = " ".join(html.unescape("".join(line)).split())
             if text:
                 stack[-1][1].items.append(text)
             line.clear()
@@ -158,22 +157,22 @@ def _close(stack: list[tuple[str, Node]], names: tuple[str, ...]) -> None:
 
 def _finish(node: Node) -> None:
     """Makes nodes of texts that stand among elements; sets digest and shape, those of the children being set."""
-    if any(isinstance(x, Node) for x in node.items):
-        for i, x in enumerate(node.items):
+    items = node.items
+    kinds = set(map(type, items))
+    if Node not in kinds:
+        node.digest, node.shape = xxh3_64_hexdigest("\n".join(items).encode("utf-8", "surrogatepass")), hash(node.sign)
+        return
+    if str in kinds:
+        for i, x in enumerate(items):
             if isinstance(x, str):
-                own = Node("#", node.marked, node.scope)
+                items[i] = own = Node("#", node.marked, node.scope)
                 own.items.append(x)
                 _finish(own)
-                node.items[i] = own
-    h, shapes = blake2b(digest_size=8), []
-    for x in node.items:
-        if isinstance(x, Node):
-            h.update(x.digest)
-            if not shapes or shapes[-1] != x.shape:
-                shapes.append(x.shape)
-        else:
-            h.update(x.encode("utf-8", "surrogatepass") + b"\n")
-    node.digest, node.shape = h.digest(), hash((node.sign, *shapes))
+    shapes = [node.sign]
+    for x in items:
+        if shapes[-1] != x.shape:
+            shapes.append(x.shape)
+    node.digest, node.shape = xxh3_64_hexdigest("".join([x.digest for x in items])), hash(tuple(shapes))
 
 
 class Outline:
@@ -199,10 +198,10 @@ def outline(root: Node) -> Outline:
     while todo:
         group, level = todo.pop()
         inner = len(group) == 1 and bool(group[0].items) and isinstance(group[0].items[0], Node)
-        members = [] if inner else [n.digest.hex() for n in group]
+        members = [] if inner else [n.digest for n in group]
         out.levels.append(level)
         out.signs.append(group[0].sign)
-        out.digests.append(group[0].digest.hex() if len(group) == 1 else blake2b("".join(members).encode(), digest_size=8).hexdigest())
+        out.digests.append(group[0].digest if len(group) == 1 else xxh3_64_hexdigest("".join(members)))
         out.members.append(members)
         out.nodes.append(group)
         if inner:

@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, context words adjust the score.
 
 Every kind has a pattern, a check of the match, a score to begin with and words that raise it when
-they stand within CONTEXT code points before the match. Base kinds (email, ip, card, phone) keep every
+they stand whole within CONTEXT code points before or after the match. Base kinds (email, ip, card, phone) keep every
 match that passes its check, with whatever score; added kinds must reach a threshold.
 """
 
@@ -78,22 +78,24 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 #: kind: finder, score of a confirmed match, words that raise it.
 KINDS: dict[str, tuple[Callable[[str], Iterator[tuple[int, int]]], float, tuple[str, ...]]] = {
-    "email": (_emails, 0.9, ("mail", "contact", "write")),
+    "email": (_emails, 0.9, ("mail", "email", "e-mail", "contact", "write")),
     "ip": (_matches(_IP, lambda m: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.split("."))), 0.6, ("ip", "host", "server", "address")),
     "card": (_matches(_CARD, lambda m: 12 <= len(d := _digits(m)) <= 19 and luhn(d)), 0.8, ("card", "visa", "credit", "payment")),
     "phone": (_matches(_PHONE, lambda m: 9 <= len(_digits(m)) <= 15), 0.7, ("phone", "tel", "call", "mobile", "fax")),
     "iban": (_matches(_IBAN, mod97), 0.8, ("iban", "account", "bank")),
     "ssn": (_matches(_SSN, _ssn), 0.3, ("ssn", "social security")),
 }
+_NEARBY = {kind: re.compile(rf"(?<![^\W_])(?:{'|'.join(words)})(?![^\W_])", re.I) for kind, (_, _, words) in KINDS.items()}
 
 
 def find_spans(text: str, threshold: float = 0.5) -> list[S.Span]:
     """All base spans of text, and the added ones whose score reaches threshold."""
     found = []
-    for kind, (find, score, words) in KINDS.items():
+    for kind, (find, score, _) in KINDS.items():
         for start, end in find(text):
-            before = text[max(0, start - CONTEXT) : start].lower()
-            now = min(1.0, score + 0.3 * any(w in before for w in words))
+            # A line feed stands for the match, so that no word reaches over it.
+            around = f"{text[max(0, start - CONTEXT) : start]}\n{text[end : end + CONTEXT]}"
+            now = min(1.0, score + 0.3 * (_NEARBY[kind].search(around) is not None))
             if kind in BASE or now >= threshold:
                 found.append((kind, start, end, now))
     return S.in_order(found, BASE + ADDED)
@@ -103,7 +105,8 @@ def detect(docs: DataFrame, id_col: str = "doc_id", threshold: float = 0.5) -> D
     """One row for each document and repeated row: id, found (kind, start, end, score structs in order) and redacted.
 
     A null text is empty and has no spans; redacted is null then. Extra columns are not read. The whole
-    text is scanned, whatever its length, without a shuffle.
+    text is scanned, whatever its length, without a shuffle; an empty table has no rows. Spans are in
+    order of start, then of kind as listed, so ties are settled.
     """
 
     def work(texts: list[bytes], kept: dict[str, list]) -> dict[str, object]:

@@ -19,9 +19,7 @@ from evispark.llm.texts import SPACES, map_texts, mix, word_hashes
 #: Features are hashed to so many.
 FEATURES = 1 << 18
 MAX_TRAINING = 8000
-SMOOTHING, COST, EPOCHS = 1.0, 0.5, 20
-#: Share of the naive Bayes ratios in the final weights; the rest is their mean size.
-BLEND = 0.5
+SMOOTHING, COST, EPOCHS, TOLERANCE = 1.0, 0.5, 50, 1e-3
 
 
 def features(texts: list[bytes]) -> list[np.ndarray]:
@@ -70,42 +68,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
         counts[int(c > 0)][r] += 1
     counts /= counts.sum(axis=1, keepdims=True)
     ratio = np.log(counts[1] / counts[0])
-    # Dual coordinate descent; the bias is a feature of value 1, each class weighs the same in all.
     scaled = [ratio[r] / max(1.0, np.sqrt(len(r))) for r in rows]
-    square = np.array([x @ x + 1 for x in scaled])
+    # Each class weighs the same in all.
     upper = np.where(y > 0, COST * len(y) / (2 * (y > 0).sum()), COST * len(y) / (2 * (y < 0).sum()))
-    w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(y))
+    w, bias, _ = descend(rows, scaled, y, upper, FEATURES, seed)
+    model = Model(w * ratio, bias, 1.0)
+    margins = model.margins(rows)
+    model.slope = 2.0 / max(1e-6, np.abs(margins - margins.mean()).mean())
+    return model
+
+
+def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, upper: np.ndarray, n_features: int, seed: int) -> tuple[np.ndarray, float, np.ndarray]:
+    """(weights, bias, dual variables) of the least hinge loss by dual coordinate descent; the bias is the weight of a feature of value 1 in all rows."""
+    square = np.array([x @ x + 1 for x in values])
+    w, bias, alpha = np.zeros(n_features), 0.0, np.zeros(len(y))
     order = np.random.Generator(np.random.PCG64(seed))
     for _ in range(EPOCHS):
         moved = 0.0
         for i in order.permutation(len(y)):
-            gradient = y[i] * (w[rows[i]] @ scaled[i] + bias) - 1
+            gradient = y[i] * (w[rows[i]] @ values[i] + bias) - 1
             new = min(max(alpha[i] - gradient / square[i], 0.0), upper[i])
             step = (new - alpha[i]) * y[i]
             if step:
-                w[rows[i]] += step * scaled[i]
+                w[rows[i]] += step * values[i]
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
-        if moved < 1e-3:
+        if moved < TOLERANCE:
             break
-    seen = np.abs(w) > 0
-    mean = np.abs(w[seen]).mean() if seen.any() else 0.0
-    w = (1 - BLEND) * mean * np.sign(w) * seen + BLEND * w if BLEND < 1 else w
-    model = Model(w * ratio, bias, 1.0)
-    margins = model.margins(rows)
-    # The blend moves the middle; the bias is set where both classes of the training rows err alike.
-    cuts = np.sort(margins)
-    cuts = (cuts[1:] + cuts[:-1]) / 2
-    low, high = np.sort(margins[y < 0]), np.sort(margins[y > 0])
-    errors = np.searchsorted(high, cuts) / len(high) + 1 - np.searchsorted(low, cuts) / len(low)
-    model.bias -= float(cuts[errors.argmin()]) if len(cuts) else 0.0
-    model.slope = 2.0 / max(1e-6, np.abs(margins - margins.mean()).mean())
-    return model
+    return w, bias, alpha
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_training: int = MAX_TRAINING) -> Model:
-    """Fits to at most max_training labelled documents. Labels other than 0 and 1 and null ids are not used; a document labelled both ways counts as 0."""
+    """Fits to at most max_training labelled documents.
+
+    Labels other than 0 and 1 and null ids are not used; a document labelled both ways counts as 0. Of
+    rows that repeat a labelled id one is used. Ids may be of any type that sorts. Null texts are empty.
+    """
     own = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("int").alias("label"))
     chosen = own.orderBy(F.xxhash64("id"), "id").limit(max_training)
     texts = docs.select(F.col(id_col).alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")
@@ -113,7 +112,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     def rows(ts: list[bytes], kept: dict[str, list]) -> dict[str, object]:
         return {"label": kept["label"], "id": kept["id"], "row": [r.tobytes() for r in features(ts)]}
 
-    got = map_texts(texts, ["label", "id"], "label int, id bigint, row binary", rows)
+    kind = texts.schema["id"].dataType.simpleString()
+    got = map_texts(texts, ["label", "id"], f"label int, id {kind}, row binary", rows).groupBy("id").agg(F.min(F.struct("label", "row")).alias("least"))
+    got = got.select("id", "least.label", "least.row")
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, ys, xs = [], [], []
@@ -126,7 +127,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         at = np.flatnonzero(model.weights)
         yield pa.RecordBatch.from_pydict({"at": [at.astype(np.int32).tobytes()], "weights": [model.weights[at].tobytes()], "bias": [model.bias], "slope": [model.slope]})
 
-    # One task fits: what it gets is bounded by max_training. The scan before it is not part of that task.
+    # One task fits: what it gets is bounded by max_training rows. The scan before it is not part of that task.
     r = got.repartition(1).mapInArrow(train, "at binary, weights binary, bias double, slope double").first()
     weights = np.zeros(FEATURES)
     weights[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["weights"], np.float64)

@@ -1,22 +1,24 @@
 """Secrets in versioned texts, through a ledger of blobs: each content is scanned once for each version of the rules.
 
-A path's every version is addressed by the SHA-256 of its content. Contents that the ledger holds for
-the present rules are not scanned again; the rest are deduplicated and scanned, and the findings are
-joined back to all paths by the address.
+A path's every version is addressed by the SHA-256 of its content. The ledger is a Parquet table that
+every scan adds to: contents that it holds for the present rules are not scanned again; the rest are
+deduplicated, scanned and appended, and the findings are joined back to all paths by the address.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm import spans as S
 from evispark.llm.texts import map_texts
-from evispark.shared import materialize
+from evispark.shared import shared_dir
 
 BASE = ["assign", "access", "hex"]
 ADDED = ["pem", "jwt", "hosted"]
@@ -40,7 +42,7 @@ def entropy(text: str) -> float:
 
 def find_secrets(text: str) -> list[S.Span]:
     """Spans of all kinds; the score is higher the less the secret part repeats its characters."""
-    score = lambda s: min(1.0, 0.4 + entropy(s[:256]) / 8)
+    score = lambda s: min(1.0, 0.4 + entropy(s) / 8)
     found = []
     low = text.lower()
     if any(k in low for k in _KEYS):
@@ -67,33 +69,52 @@ def scan_blobs(blobs: DataFrame) -> DataFrame:
     return map_texts(blobs, ["blob"], f"blob binary, found {FOUND}", work)
 
 
-def scan_versions(versions: DataFrame, path_cols: list[str], ledger: DataFrame | None = None, rules_version: str = RULES_VERSION) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger): a row for each row of versions with found, and the ledger with what was scanned now.
+LEDGER = f"blob binary, rules_version string, scan string, found {FOUND}"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """(blob, rules_version, scan, found): what was scanned, by which rules and in which scan; no rows where nothing was yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path)
+
+
+def scan_versions(versions: DataFrame, path_cols: list[str], ledger: str, scan: str = "", rules_version: str = RULES_VERSION) -> DataFrame:
+    """A row for each row of versions: path_cols, blob and found; what the ledger at that path lacked is scanned and appended to it.
 
     versions has a column text (null counts as empty) and path_cols, whose rows may repeat; other
-    columns are not read. ledger has (blob, rules_version, found); rows of other rule versions stay in
-    it but do not stop a scan. Copies of a content, however many, are collapsed before the texts are
-    shuffled. A text without a finding has an empty array.
+    columns are not read. Rows of other rule versions stay in the ledger but do not stop a scan. Copies
+    of a content, however many, are collapsed before the texts are shuffled. A text without a finding
+    has an empty array, an empty table no rows. A scan that fails appends nothing, and can be repeated.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    blob = F.unhex(F.sha2(text.cast("binary"), 256)).alias("blob")
-    blobs = versions.select(blob, text.alias("text"))
-    known = None
-    if ledger is not None:
-        known = ledger.where(F.col("rules_version") == rules_version).select("blob", "found")
-        blobs = blobs.join(known.select("blob"), "blob", "left_anti")
-    fresh = materialize(scan_blobs(blobs.dropDuplicates(["blob"])).withColumn("rules_version", F.lit(rules_version)), "ledger")
+    spark = versions.sparkSession
+    blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("blob")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    known = read_ledger(spark, ledger).where(F.col("rules_version") == rules_version).select("blob")
+    fresh = scan_blobs(versions.select(blob, text).join(known, "blob", "left_anti").dropDuplicates(["blob"]))
+    fresh.select("blob", F.lit(rules_version).alias("rules_version"), F.lit(scan).alias("scan"), "found").write.mode("append").parquet(ledger)
     # Most contents hold nothing: only the rest are joined back, by an address that few or many paths share.
-    hits = fresh.select("blob", "found")
-    if known is not None:
-        hits = hits.union(known)
-    hits = hits.where(F.size("found") > 0)
-    paths = versions.select(*path_cols, blob)
-    findings = paths.join(hits, "blob", "left").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
-    return findings, fresh if ledger is None else ledger.select(*fresh.columns).union(fresh)
-
-
-def digest_columns(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_assign, n_access, n_hex, base_sha256 and spans, from the findings of a first scan."""
-    findings, _ = scan_versions(docs, [id_col])
-    return S.digest_columns(findings, id_col, BASE)
+    hits = read_ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
+    return versions.select(*path_cols, blob).join(hits, "blob", "left").select(*path_cols, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
+
+
+def new_ledger(spark: SparkSession) -> str:
+    """A path in the shared folder at which there is no ledger yet."""
+    return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+
+
+def digest_columns(docs: DataFrame, id_col: str = "doc_id", ledger: str | None = None) -> DataFrame:
+    """id, n_assign, n_access, n_hex, base_sha256 and spans, from a scan with the ledger at that path (a new one by default)."""
+    return S.digest_columns(scan_versions(docs, [id_col], ledger or new_ledger(docs.sparkSession)), id_col, BASE)
+
+
+def ledger_growth(steps: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """(scan, rules_version, n_versions, n_blobs, n_scanned) for each of the steps (scan, versions, rules_version), done in turn on one new ledger."""
+    spark = steps[0][1].sparkSession
+    ledger, rows = new_ledger(spark), []
+    for scan, versions, rules_version in steps:
+        found = scan_versions(versions, [], ledger, scan, rules_version)
+        rows.append(found.agg(F.lit(scan).alias("scan"), F.lit(rules_version).alias("rules_version"), F.count("*").alias("n_versions"), F.countDistinct("blob").alias("n_blobs")))
+    scanned = read_ledger(spark, ledger).groupBy("scan").agg(F.count("*").alias("n_scanned"))
+    return reduce(DataFrame.union, rows).join(scanned, "scan", "left").withColumn("n_scanned", F.coalesce("n_scanned", F.lit(0)))

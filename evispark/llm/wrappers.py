@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_hexdigest
 
 from evispark.llm import pagetree
 from evispark.shared import materialize
@@ -48,11 +48,11 @@ def outlines(pages: DataFrame) -> DataFrame:
             for page in _texts(batch, "html"):
                 root = pagetree.parse(page)[0]
                 text = "\n".join(pagetree.main_blocks(root, set())).encode("utf-8", "surrogatepass")
-                articles.append(blake2b(text, digest_size=8).digest() if text else root.digest)
+                articles.append(xxh3_64_hexdigest(text) if text else root.digest)
                 found.append(json.dumps(pagetree.outline(root).rows(), separators=(",", ":")))
             yield pa.RecordBatch.from_pydict({"host": batch.column("host"), "rank": batch.column("rank"), "article": articles, "outline": found})
 
-    return pages.where("host IS NOT NULL").select("host", "rank", "html").mapInArrow(work, "host string, rank bigint, article binary, outline string")
+    return pages.where("host IS NOT NULL").select("host", "rank", "html").mapInArrow(work, "host string, rank bigint, article string, outline string")
 
 
 def _with_wrappers(pages: DataFrame, wrappers: DataFrame, columns: list[str], work, schema: str) -> DataFrame:

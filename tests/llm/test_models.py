@@ -52,6 +52,89 @@ def test_quality(spark, table):
     assert {x["score"] for x in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_a_language_does_not_depend_on_the_batch():
+    r = random.Random(3)
+    model = np.array([[r.random() + 0.01 for _ in range(5)] for _ in range(langid.BUCKETS)])
+    model /= model.sum(axis=0)
+    texts = [prose(r, r.choice([EN, FR]), r.randrange(1, 60)).encode() for _ in range(40)] + [b"", b"7"]
+    names = list("abcde")
+    pred, score, share = langid._judge(texts, names, model)
+    for i, t in enumerate(texts):
+        one = langid._judge([t], names, model)
+        assert one[0] == [pred[i]] and one[1][0] == score[i] and (one[2][0] == share[i]).all()
+
+
+def test_slices_count_what_the_whole_text_holds(monkeypatch):
+    r = random.Random(4)
+    for size in (1, 7, langid.SLICE):
+        monkeypatch.setattr(langid, "SLICE", size)
+        for _ in range(20):
+            text = "".join(r.choice("abÉ  .1") for _ in range(r.randrange(40)))
+            at, n, has = langid._counts_of(text)
+            plain = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+            plain = " " + " ".join(plain.split()) + " " if plain.strip() else " "
+            codes = np.array([ord(c) for c in plain], np.uint64)
+            want = np.bincount(langid._hashed(codes), minlength=langid.BUCKETS) if len(codes) > 2 else np.zeros(langid.BUCKETS, np.int64)
+            assert has == any(c.isalpha() for c in text) and (at == np.flatnonzero(want)).all() and (n == want[at]).all()
+
+
+def test_inference_matches_plain_em():
+    """All sets of the largest languages, fitted one text and one trigram at a time."""
+    r = random.Random(5)
+    model = np.array([[r.random() ** 3 + 1e-3 for _ in range(4)] for _ in range(langid.BUCKETS)])
+    model /= model.sum(axis=0)
+
+    def em(rows, allowed):
+        share = [a / sum(allowed) for a in allowed]
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * 4
+            for b, n in rows:
+                total = sum(model[b][j] * share[j] for j in range(4))
+                new = [x + n * model[b][j] * share[j] / total for j, x in enumerate(new)]
+            new = [x / sum(n for _, n in rows) for x in new]
+            moved = max(abs(x - y) for x, y in zip(new, share, strict=True))
+            share = new
+            if moved < langid.TOLERANCE:
+                break
+        return share, sum(n * np.log(sum(model[b][j] * share[j] for j in range(4))) for b, n in rows)
+
+    for _ in range(25):
+        texts = [" ".join("".join(r.choice("abcd") for _ in range(4)) for _ in range(r.randrange(1, 40))).encode() for _ in range(2)]
+        buckets, n, owner, _ = langid._trigrams(texts)
+        got = langid.infer(buckets, n, owner, 2, model)
+        for t in range(2):
+            rows = list(zip(buckets[owner == t].tolist(), n[owner == t].tolist(), strict=True))
+            order = sorted(range(4), key=lambda j: -em(rows, [1] * 4)[0][j])  # noqa: B023
+            tried = []
+            for size in range(1, 5):
+                share, value = em(rows, [float(j in order[:size]) for j in range(4)])
+                tried.append((value / langid.OVERLAP - 0.5 * size * np.log(max(2, sum(c for _, c in rows))), share))
+            assert np.allclose(got[t], max(tried, key=lambda x: x[0])[1], atol=1e-9)
+
+
+def test_dual_descent_reaches_the_optimum(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 2000)
+    monkeypatch.setattr(quality, "TOLERANCE", 1e-9)
+    r = np.random.default_rng(6)
+    for _ in range(5):
+        dense = r.normal(size=(30, 6)) * (r.random((30, 6)) < 0.6)
+        y = np.where(dense[:, 0] + 0.5 * r.normal(size=30) > 0, 1.0, -1.0)
+        rows = [np.flatnonzero(x) for x in dense]
+        upper = np.where(y > 0, 0.7, 0.4)
+        w, bias, alpha = quality.descend(rows, [x[i] for x, i in zip(dense, rows, strict=True)], y, upper, 6, 1)
+        primal = 0.5 * (w @ w + bias**2) + (upper * np.maximum(0, 1 - y * (dense @ w + bias))).sum()
+        own = np.append(dense, np.ones((30, 1)), axis=1).T @ (alpha * y)
+        dual = alpha.sum() - 0.5 * own @ own
+        assert np.allclose(own, [*w, bias]) and ((0 <= alpha) & (alpha <= upper)).all() and abs(primal - dual) < 1e-6
+
+
+def test_quality_with_string_ids_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(f"d{k % 20}", "good words here" if k % 2 else "bad text there") for k in range(60)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{k}", k % 2) for k in range(20)], "doc_id string, quality int")
+    out = quality.score(docs, quality.learn(docs, labels)).collect()
+    assert len(out) == 60 and all(x["predicted"] == int(x["doc_id"][1:]) % 2 for x in out)
+
+
 def naive(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
