@@ -1,48 +1,98 @@
 """Licences in files: a positional index of rare licence words, read with DataFrame functions only.
 
-Templates are licences with key phrases. Each phrase's ANCHORS rarest words, by inverse document
-frequency over all files, are its postings: (word, phrase, place in the phrase). A file's words are
-looked up in them; a hit proposes where the phrase would start, the phrase's other anchors must stand
-at their places relative to it, and then the whole phrase is verified.
+Templates are licence texts with a key phrase each. The ANCHORS rarest words of a key phrase, by inverse
+document frequency over all files, are its postings: (word, template, place). A file's words are looked
+up in them; a hit proposes where the template would start, the phrase's other postings must stand at
+their places relative to it, and then the whole phrase is verified. The score of a find is the share of
+all the template's words that stand at their places relative to the phrase.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed values: (label, phrase). The first three define the base; a label holds if any of its phrases stands in the file.
+#: Fixed values: (label, phrase), which define the base. Such a phrase is a template of its own.
 BASE_PHRASES = (
     ("mit", "under the mit license"),
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-ADDED_PHRASES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification"),
-    ("gpl", "gnu general public license"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mpl-2", "mozilla public license version 2"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("cc-by", "creative commons attribution 4"),
+#: Fixed values: (label, key phrase, text of the licence or of the notice that stands for it in a file).
+TEMPLATES = (
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+    ),
+    (
+        "gpl",
+        "gnu general public license",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    ),
+    (
+        "lgpl",
+        "gnu lesser general public license",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    ),
+    (
+        "mpl-2",
+        "mozilla public license version 2",
+        """This Source Code Form is subject to the terms of the Mozilla Public License, Version 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    ),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ),
+    (
+        "cc-by",
+        "creative commons attribution 4",
+        """This work is licensed under a Creative Commons Attribution 4.0 International License.""",
+    ),
 )
 ANCHORS = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The ASCII characters that are in no word.
+_BREAKS = "".join(chr(c) for c in range(0x80) if not re.match("[0-9A-Za-z]", chr(c)))
 
 
 def words_of(text: Column) -> Column:
-    """The words of the text with A-Z in lower case; null has none."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    """The words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z in lower case; null has none."""
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + _BREAKS, _LOWER + " " * len(_BREAKS))
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def template_words(text: str) -> tuple[str, ...]:
+    return tuple(re.findall("[0-9a-z]+", text.lower()))
+
+
+def _strings(words) -> Column:
+    return F.array(*map(F.lit, words))
 
 
 def document_frequencies(files: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many files each word of the vocabulary stands, over all files; as many rows as the vocabulary has words."""
-    wanted = F.array(*map(F.lit, vocabulary))
+    wanted = _strings(vocabulary)
     seen = files.select(F.explode(F.array_intersect(words_of(F.col("text")), wanted)).alias("word"))
     return {r["word"]: r["count"] for r in seen.groupBy("word").count().collect()}
 
@@ -51,45 +101,57 @@ def _idf(words: set[str], frequency: dict[str, int], n_files: int) -> dict[str,
     return {w: math.log((1 + n_files) / (1 + frequency.get(w, 0))) + 1e-9 for w in words}
 
 
-def find_licenses(files: DataFrame, added: tuple[tuple[str, str], ...] = ADDED_PHRASES, id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of files: id, n_words and hits (label, start in words, n words of the phrase, base).
+def all_templates(added: tuple[tuple[str, str, str], ...] = TEMPLATES) -> list[tuple[str, tuple[str, ...], tuple[str, ...], int, bool]]:
+    """(label, key phrase, words of the template, place of the phrase in it, base)."""
+    out = [(label, p, p, 0, True) for label, p in ((label, template_words(phrase)) for label, phrase in BASE_PHRASES)]
+    for label, phrase, text in added:
+        p, t = template_words(phrase), template_words(text)
+        out.append((label, p, t, next(i for i in range(len(t)) if t[i : i + len(p)] == p), False))
+    return out
+
+
+def find_licenses(files: DataFrame, added: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id") -> DataFrame:
+    """A row for each row of files: id, n_words and hits (start of the key phrase in words, label, n words of it, base, share of the template found).
 
-    Every place of every phrase is a hit, hits are in order of start, then label. A null or empty text
-    has none; other columns are not read. Nothing is shuffled but the vocabulary's counts.
+    Every place of every key phrase is a hit; hits are in order of start, then label. A null or empty
+    text has none, an empty table no rows; repeated rows get equal results; other columns are not read.
+    A text is one array of words, however long. Nothing is shuffled but the vocabulary's counts.
     """
-    phrases = [(label, tuple(p.split()), True) for label, p in BASE_PHRASES] + [(label, tuple(p.split()), False) for label, p in added]
-    vocabulary = sorted({w for _, p, _ in phrases for w in p})
-    n_files = files.count()
-    idf = _idf(set(vocabulary), document_frequencies(files, vocabulary), n_files)
-    postings: dict[str, list[int]] = defaultdict(list)
-    anchors = []
-    for k, (_, p, _) in enumerate(phrases):
+    templates = all_templates(added)
+    vocabulary = sorted({w for _, p, _, _, _ in templates for w in p})
+    idf = _idf(set(vocabulary), document_frequencies(files, vocabulary), files.count())
+    rare, anchors = set(), []
+    for _, p, _, _, _ in templates:
         places = sorted(range(len(p)), key=lambda i: (-idf[p[i]], i))[:ANCHORS]
         anchors.append(places)
-        postings[p[places[0]]].append(k)
+        rare.add(p[places[0]])
 
     def proposed(words: Column, place: Column, word: Column) -> Column:
-        """The phrases that word, at place, may belong to: other anchors stand where they should and all words agree."""
+        """The templates that word, at place, may belong to: the phrase's other postings stand where they should and all its words agree."""
         out = []
-        for k, (label, p, base) in enumerate(phrases):
-            first, *rest = anchors[k]
+        for (label, p, t, offset, base), (first, *rest) in zip(templates, anchors, strict=True):
             start = place - first
             holds = (word == p[first]) & (start >= 0) & (start + len(p) <= F.size(words))
             for i in rest:
                 holds = holds & (F.get(words, start + i) == p[i])
-            holds = holds & (F.slice(words, F.greatest(start, F.lit(0)) + 1, len(p)) == F.array(*map(F.lit, p)))
-            out.append(F.when(holds, F.struct(start.cast("long").alias("start"), F.lit(label).alias("label"), F.lit(len(p)).alias("n"), F.lit(base).alias("base"))))
+            holds = holds & (F.slice(words, F.greatest(start, F.lit(0)) + 1, len(p)) == _strings(p))
+            before = F.greatest(F.lit(offset) - start, F.lit(0))
+            same = F.zip_with(F.slice(_strings(t), before + 1, F.lit(len(t))), F.slice(words, F.greatest(start - offset, F.lit(0)) + 1, F.lit(len(t)) - before), lambda a, b: a == b)
+            share = F.lit(1.0) if base else F.size(F.filter(same, lambda x: x)) / F.lit(float(len(t)))
+            out.append(F.when(holds, F.struct(start.cast("long").alias("start"), F.lit(label).alias("label"), F.lit(len(p)).alias("n"), F.lit(base).alias("base"), share.alias("share"))))
         return F.array_compact(F.array(*out))
 
-    rare = sorted(postings)
+    rare = sorted(rare)
     words = files.select(F.col(id_col), words_of(F.col("text")).alias("words"))
-    found = words.select(id_col, "words", F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("place"), w.alias("word")))), lambda x: x.isNotNull()).alias("looked_up"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("place"), w.alias("word")))), lambda x: x.isNotNull())
+    found = words.select(id_col, "words", F.when(F.arrays_overlap("words", _strings(rare)), places).alias("looked_up"))
     hits = F.array_sort(F.flatten(F.transform("looked_up", lambda x: proposed(F.col("words"), x["place"], x["word"]))))
-    return found.select(id_col, F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    none = F.array().cast("array<struct<start:bigint,label:string,n:int,base:boolean,share:double>>")
+    return found.select(id_col, F.size("words").cast("long").alias("n_words"), F.coalesce(hits, none).alias("hits"))
 
 
 def digest_columns(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_words, n_base, first_word, last_word, base_labels, labels and score (1 for a base phrase, less for an added one, 0 for none)."""
+    """id, n_words, n_base, first_word, last_word, base_labels, labels and score (the largest share of a template that was found, a base phrase being one; 0 for none)."""
     found = find_licenses(files, id_col=id_col).withColumn("in_base", F.filter("hits", lambda h: h["base"]))
     labels = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
     return found.select(
@@ -100,5 +162,5 @@ def digest_columns(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.try_element_at("in_base", F.lit(-1))["start"].alias("last_word"),
         labels("in_base").alias("base_labels"),
         labels("hits").alias("labels"),
-        F.when(F.size("in_base") > 0, 1.0).when(F.size("hits") > 0, 0.9).otherwise(0.0).alias("score"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)).alias("score"),
     )

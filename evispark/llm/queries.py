@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evispark.llm import decontam, fuzzyhash, jaccard, langid, license, mixing, pii, quality, secrets, wrappers
 from evispark.llm.texts import part_of_id, read_table
@@ -55,27 +56,36 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (part_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality)}
+def secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 4 over four scans on one ledger: documents, the same again with conversations, pages, and documents by new rules."""
+    docs = read_table(spark, sf_dir, "documents").select("text")
+    talks = read_table(spark, sf_dir, "conversations").select("text")
+    pages = read_table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    return secrets.ledger_growth([("1 documents", docs, "1"), ("2 with conversations", docs.union(talks), "1"), ("3 pages", pages, "1"), ("4 new rules", docs, "2")])
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality, secrets_ledger)}
 
 #: Words of a text with A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP5 = f"""
-WITH phrase(label, base, phrase) AS (VALUES {", ".join(f"('{k}', {str(b).lower()}, '{p}')" for b, ps in ((True, license.BASE_PHRASES), (False, license.ADDED_PHRASES)) for k, p in ps)}),
-p AS (SELECT label, base, string_split(phrase, ' ') AS pw FROM phrase),
+WITH p(label, base, pw, tw, offs) AS (VALUES {", ".join(f"('{label}', {str(base).lower()}, {list(p)}, {list(t)}, {at})" for label, p, t, at, base in license.all_templates())}),
 d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-hit AS (
-  SELECT doc_id, label, base, i - 1 AS start
-  FROM (SELECT doc_id, w, label, base, pw, unnest(range(1, len(w) + 1)) AS i FROM d JOIN p ON list_has_all(w, pw))
+place AS (
+  SELECT doc_id, w, label, base, tw, offs, i - 1 AS start
+  FROM (SELECT doc_id, w, label, base, pw, tw, offs, unnest(range(1, len(w) + 1)) AS i FROM d JOIN p ON list_has_all(w, pw))
   WHERE w[i : i + len(pw) - 1] = pw
 ),
+word AS (SELECT doc_id, label, base, start, len(tw) AS n, k, w[start - offs + k] = tw[k] AND start - offs + k > 0 AS same FROM (SELECT *, unnest(range(1, len(tw) + 1)) AS k FROM place)),
+hit AS (SELECT doc_id, label, base, start, count(*) FILTER (same) / n::DOUBLE AS share FROM word GROUP BY doc_id, label, base, start, n),
 agg AS (
-  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(share) AS score,
     array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels
   FROM hit GROUP BY doc_id
 )
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 WHEN labels <> '' THEN 0.9 ELSE 0.0 END::DOUBLE AS score
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN agg USING (doc_id)"""
 
 _OP7 = f"""
@@ -100,4 +110,16 @@ e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e2.b FROM reach r JOIN e2 ON r.b = e2.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(b)::BIGINT AS component_id FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL"""
 
-ORACLE: dict[str, str] = {"op5_licenses": _OP5, "op7_decontamination": _OP7, "op9_jaccard": _OP9}
+_LEDGER = """
+WITH v AS (
+  SELECT '1 documents' AS scan, '1' AS rules_version, text FROM documents
+  UNION ALL SELECT '2 with conversations', '1', text FROM documents UNION ALL SELECT '2 with conversations', '1', text FROM conversations
+  UNION ALL SELECT '3 pages', '1', html FROM pages UNION ALL SELECT '4 new rules', '2', text FROM documents
+),
+b AS (SELECT scan, rules_version, sha256(coalesce(text, '')) AS blob FROM v),
+first AS (SELECT rules_version, blob, min(scan) AS scan FROM b GROUP BY ALL),
+fresh AS (SELECT scan, count(*) AS n_scanned FROM first GROUP BY scan)
+SELECT b.scan, b.rules_version, count(*) AS n_versions, count(DISTINCT blob) AS n_blobs, coalesce(any_value(n_scanned), 0)::BIGINT AS n_scanned
+FROM b LEFT JOIN fresh USING (scan) GROUP BY b.scan, b.rules_version"""
+
+ORACLE: dict[str, str] = {"secrets_ledger": _LEDGER, "op5_licenses": _OP5, "op7_decontamination": _OP7, "op9_jaccard": _OP9}

@@ -17,6 +17,14 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
 
 
+def test_words_are_split_as_the_contract_says(spark, table):
+    texts = [None, "", "".join(map(chr, range(1, 0x250))), "a\x00b É|é~ü\x7fx", " x\t\ty\x0bz\xa0q\x1cw ", "\x85\u2028 \u3000"]
+    rows = table(texts).select("doc_id", license.words_of(F.col("text")).alias("w"), mixing.n_words(F.col("text")).alias("n")).collect()
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        assert r["w"] == words(t) and r["n"] == len(re.findall(r"[^\x20\x09-\x0D]+", t))
+
+
 def test_licenses(spark, table):
     texts = [None, "", "Under the MIT license.", "x under\nthe, mit license CC BY-NC and Apache License, Version 2.0", "under the mit licensed", "mit " * 50, "ÀÉ cc by nc cc by nc", "GNU General Public License"]
     out = {r["doc_id"]: r for r in license.digest_columns(table(texts)).collect()}
@@ -26,7 +34,13 @@ def test_licenses(spark, table):
         assert (out[i]["n_words"], out[i]["n_base"]) == (len(w), len(hits)), t
         assert out[i]["first_word"] == (min(hits)[0] if hits else None) and out[i]["last_word"] == (max(hits)[0] if hits else None)
         assert out[i]["base_labels"] == ",".join(sorted({x for _, x in hits}))
-    assert out[7]["labels"] == "gpl" and 0 < out[7]["score"] < 1
+    assert out[7]["labels"] == "gpl" and 0 < out[7]["score"] < 0.1 and out[2]["score"] == 1.0
+    gpl = next(t for label, _, t in license.TEMPLATES if label == "gpl")
+    edited = ["Copyright 2020. " + gpl, gpl.replace("hope that it will be useful", "hope that you will like this"), "General Public License of GNU", gpl.split("redistribute ")[1]]
+    scores = [r["score"] for r in sorted(license.digest_columns(table(edited)).collect(), key=lambda r: r["doc_id"])]
+    assert scores[0] == 1.0 and 0.85 < scores[1] < 1.0 and scores[2] == 0.0 and 0.8 < scores[3] < 1.0
+    for label, p, t, at, _ in license.all_templates():
+        assert t[at : at + len(p)] == p, label
     assert license.digest_columns(table([])).count() == 0
 
 
