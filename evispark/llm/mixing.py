@@ -17,6 +17,8 @@ from evispark.shared import materialize
 WEIGHTS = (5, 2, 1)
 BLOCK_TOKENS = 256
 MAX_REPEATS = 3
+#: Of the shuffled order of documents.
+SEED = 42
 #: Hash ranges by which a source's documents, and runs of slots by which the schedule, are counted in parallel.
 SHUFFLE_BUCKETS, RUN = 4096, 65536
 #: frac(golden ratio) in units of 2^-48; odd, so points repeat only after 2^48 slots.
@@ -93,7 +95,7 @@ def _hashes(seed: int, row_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(F.lit(seed), row_id, text).alias("hash"), F.xxhash64(text, row_id, F.lit(seed)).alias("other")]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = BLOCK_TOKENS, max_repeats: int = MAX_REPEATS, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, block_tokens: int = BLOCK_TOKENS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(pieces, rows): what the mix takes, and one row for each row of docs.
 
     pieces has (slot, at, row_key, row_check, first_word, n_words): slot by slot, in order of at within a
@@ -133,6 +135,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", wei
     return pieces, rows.select(F.col("id").alias(id_col), "row_key", "row_check", "hash", "other", "copy", "first_slot", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+#: The columns that take() adds.
+TAKEN = ("size", "source_size", "target", "taken", "first_slot")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """The rows of docs that the mix takes, with their columns and size, source_size, target, taken (words, repeats counted) and first_slot.
+
+    Sorted by first_slot this is the mix, a row being repeated taken / size times. Rows equal in id,
+    text and source are the same document: each has its own taken, and the other columns of one of
+    them. Columns of docs named as those added are left out. Without words nothing is taken.
+    """
+    rows = mix(docs, id_col, source_col, weights)[1].where("taken > 0")
+    source_key = F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("_key")
+    kept = [c for c in docs.columns if c not in TAKEN]
+    own = docs.select(F.struct(*kept).alias("_row"), *_hashes(SEED, F.col(id_col), F.col("text").cast("string")), source_key)
+    one = own.groupBy("hash", "other", "_key").agg(F.first("_row").alias("_row"))
+    rows = rows.select("hash", "other", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_key"), *TAKEN)
+    return one.join(rows, ["hash", "other", "_key"]).select(*(F.col("_row")[c].alias(c) for c in kept), *TAKEN)
+
+
 def digest_columns(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     return mix(docs)[1].select("doc_id", "size", "source_size", "target", "taken")
