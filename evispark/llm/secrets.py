@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm import spans as S
 from evispark.llm.texts import map_texts
-from evispark.shared import shared_dir
+from evispark.shared import materialize, shared_dir
 
 BASE = ["assign", "access", "hex"]
 ADDED = ["pem", "jwt", "hosted"]
@@ -95,7 +95,9 @@ def scan_versions(versions: DataFrame, path_cols: list[str], ledger: str, scan:
     fresh = scan_blobs(versions.select(blob, text).join(known, "blob", "left_anti").dropDuplicates(["blob"]))
     fresh.select("blob", F.lit(rules_version).alias("rules_version"), F.lit(scan).alias("scan"), "found").write.mode("append").parquet(ledger)
     # Most contents hold nothing: only the rest are joined back, by an address that few or many paths share.
-    hits = read_ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("found") > 0)).select("blob", "found").dropDuplicates(["blob"])
+    # They are a table of their own, so that the join can be a broadcast, or be split where an address is hot.
+    hits = read_ledger(spark, ledger).where((F.col("rules_version") == rules_version) & (F.size("found") > 0)).select("blob", "found")
+    hits = materialize(hits.dropDuplicates(["blob"]), "hits")
     return versions.select(*path_cols, blob).join(hits, "blob", "left").select(*path_cols, "blob", F.coalesce("found", F.array().cast(FOUND)).alias("found"))
 
 
