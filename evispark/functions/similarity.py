@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -45,6 +47,7 @@ def jaro_winkler_column(a: Column, b: Column) -> Column:
     return score(a, b)
 
 
+@lru_cache(maxsize=1 << 18)
 def _fnv64(word: bytes) -> int:
     h = 14695981039346656037
     for byte in word:

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from evispark.shared import materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Rows (node, component) for every node of an edge; component is the least node that links reach.
 
     Self-edges count as nodes alone; null ends are ignored; repeated edges are one. Each round rewrites
     the edge list as stars around the least neighbour, so path lengths shrink geometrically; a star's
-    rows are combined with min() before they are shuffled, so a hub does not fill one task.
+    rows are combined with min() before they are shuffled, so a hub does not fill one task. Rounds end
+    when one changes nothing, which they come to however long the paths are.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -22,8 +23,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     def state(df: DataFrame):
         return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
-    before = state(now)
-    for _ in range(max_rounds if before[0] else 0):
+    before, changed = state(now), True
+    while changed and before[0]:
         # Large star: every greater neighbour of a node is tied to the node's least neighbour.
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
@@ -33,10 +34,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = big.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).union(least.select("a", F.col("low").alias("b")))
         now = materialize(small.where("a <> b").distinct(), "edges")
         after = state(now)
-        if after == before:
-            break
-        before = after
-    else:
-        if before[0]:
-            raise RuntimeError("components did not settle")
+        before, changed = after, after != before
     return nodes.join(now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("component"))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import itemgetter
 
 import pyarrow as pa
+from ahocorasick import Automaton
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,54 +20,75 @@ from evispark.operators.text import sentences
 TYPE_CONFIDENCE = {"cancer_code": 1.00, "cancer": 0.90, "mutation": 0.90, "chemical": 0.86, "pathway": 0.84, "cell_line": 0.83}
 
 
-class _Trie:
+class _Dictionary:
+    """An automaton over lower-cased terms; of rows with one term the first counts."""
+
     def __init__(self, terms: list[tuple]) -> None:
-        self.root: dict = {}
+        self.found = Automaton()
         for row in terms:
-            node = self.root
-            for c in row[0].lower():
-                node = node.setdefault(c, {})
-            node.setdefault("", row)
+            key = row[0].lower()
+            if key not in self.found:
+                self.found.add_word(key, (len(key), len(row[0]) < 4 or row[3], row))
+        self.found.make_automaton()
 
-    def matches(self, text: str) -> Iterator[tuple[int, int, tuple]]:
+    def matches(self, text: str) -> list[tuple[int, int, tuple]]:
         """Leftmost longest matches that do not overlap; short or flagged terms need bounds that are no letters or digits."""
-        low, i = text.lower(), 0
+        low = text.lower()
         if len(low) != len(text):  # a few letters change length in lower case
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-        while i < len(low):
-            node, j, best = self.root, i, None
-            while j < len(low) and low[j] in node:
-                node = node[low[j]]
-                j += 1
-                if "" in node:
-                    row = node[""]
-                    if not (len(row[0]) < 4 or row[3]) or ((i == 0 or not low[i - 1].isalnum()) and (j == len(low) or not low[j].isalnum())):
-                        best = (i, j, row)
-            if best:
-                yield best
-                i = best[1]
-            else:
-                i += 1
-
-
-def find_mentions(chunks: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "content", least: float = 0.75, max_terms: int = 1_000_000) -> DataFrame:
+        hits = []
+        for last, (n, bounded, row) in self.found.iter(low) if len(self.found) else ():
+            i, j = last - n + 1, last + 1
+            if not bounded or ((i == 0 or not low[i - 1].isalnum()) and (j == len(low) or not low[j].isalnum())):
+                hits.append((i, -j, row))
+        hits.sort(key=itemgetter(0, 1))
+        out, at = [], 0
+        for i, j, row in hits:
+            if i >= at:
+                at = -j
+                out.append((i, at, row))
+        return out
+
+
+@lru_cache(maxsize=4)
+def _dictionary(shared: _Shared) -> _Dictionary:
+    return _Dictionary(shared.value.value)
+
+
+class _Shared:
+    """A broadcast that a worker's cache knows again in its next task."""
+
+    def __init__(self, value: Broadcast, name: str) -> None:
+        self.value, self.name = value, name
+
+    def __hash__(self) -> int:
+        return hash(self.name)
+
+    def __eq__(self, other: object) -> bool:
+        return isinstance(other, _Shared) and self.name == other.name
+
+
+def find_mentions(chunks: DataFrame, lexicon: DataFrame, id_col: str = "id", text: str = "content", least: float = 0.75, max_bytes: int = 64 << 20) -> DataFrame:
     """(id, start, end, text, entity_type, canonical, confidence) by a dictionary (term, entity_type, canonical, confidence, word_boundary).
 
-    The dictionary is sent to all tasks as a trie and must not exceed max_terms. Terms under four
+    The dictionary is sent to all tasks, and each worker makes one automaton of it, which takes some 30
+    bytes for each character; its terms and canonical names must not exceed max_bytes. Terms under four
     characters lose .15, codes do not; matches under least are left out.
     """
-    rows = lexicon.select("term", "entity_type", "canonical", "word_boundary", "confidence").where("term <> ''").orderBy("term", F.desc("confidence"), "entity_type").limit(max_terms + 1).collect()
-    if len(rows) > max_terms:
-        raise ValueError(f"the dictionary has more than {max_terms} terms; split it")
-    shared = chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+    terms = lexicon.select("term", "entity_type", "canonical", "word_boundary", "confidence").where("term <> ''")
+    size = terms.agg(F.coalesce(F.sum(F.octet_length("term") + F.coalesce(F.octet_length("canonical"), F.lit(0)) + 32), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"the dictionary has {size} bytes, more than {max_bytes}; split it")
+    rows = terms.orderBy("term", F.desc("confidence"), "entity_type", "canonical").collect()
+    shared = _Shared(chunks.sparkSession.sparkContext.broadcast([tuple(r) for r in rows]), uuid.uuid4().hex)
     names = [id_col, "start", "end", "text", "entity_type", "canonical", "confidence"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = _Trie(shared.value)
+        known = _dictionary(shared)
         for batch in batches:
             out = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b, (term, kind, canonical, _, confidence) in trie.matches(t or ""):
+                for a, b, (term, kind, canonical, _, confidence) in known.matches(t or ""):
                     score = confidence - (0.15 if len(term) < 4 and kind != "cancer_code" else 0.0)
                     if score >= least:
                         out.append((i, a, b, t[a:b], kind, canonical, score))

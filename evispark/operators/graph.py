@@ -117,7 +117,7 @@ def scored_edges(facts: DataFrame, hub_suppression: float = 0.62) -> DataFrame:
 
 
 
-def cap_edges(scored: DataFrame, cap: int = 12, max_rounds: int = 200) -> DataFrame:
+def cap_edges(scored: DataFrame, cap: int = 12) -> DataFrame:
     """What a pass over edges in order of score keeps if a node may have cap edges.
 
     Each round keeps the open edges whose rank at both ends fits what is left there, and drops those
@@ -126,7 +126,7 @@ def cap_edges(scored: DataFrame, cap: int = 12, max_rounds: int = 200) -> DataFr
     order = [F.desc("score"), F.desc("weight"), F.asc("predicate"), F.asc("source"), F.asc("target")]
     open_edges = materialize(scored, "open")
     kept = None
-    for _ in range(max_rounds):
+    while True:
         now = open_edges
         if kept is not None:
             used = kept.select(F.col("source").alias("node")).union(kept.select("target")).groupBy("node").agg(F.count("*").alias("used"))
@@ -144,7 +144,6 @@ def cap_edges(scored: DataFrame, cap: int = 12, max_rounds: int = 200) -> DataFr
         open_edges = now.where("fits = 0").select(*scored.columns)
         if open_edges.isEmpty():
             return kept
-    raise RuntimeError("edges did not settle")
 
 
 def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -160,25 +159,28 @@ def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     return seen
 
 
-def shortest_path(e: DataFrame, start: str, end: str, extra: int = 2, max_hops: int = 12) -> DataFrame:
-    """Edges between neighbours on a shortest undirected path, and each path node's best extra edges; empty if there is none."""
+def shortest_path(e: DataFrame, start: str, end: str, extra: int = 2) -> DataFrame:
+    """Edges between neighbours on a shortest undirected path, and each path node's best extra edges; empty if there is none.
+
+    Names match ignoring case. The walk goes on, a round for each hop, until the end or nothing new is
+    reached; of several shortest paths the one through the least names, from the end backwards, is taken.
+    """
     both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source")).distinct()
     spark = e.sparkSession
-    seen = materialize(spark.createDataFrame([(start, None, 0)], "node string, parent string, hop int"), "path")
-    frontier, found = seen, start == end
-    for hop in range(1, max_hops + 1):
-        if found or frontier.isEmpty():
-            break
+    first = both.select(F.col("a").alias("node")).where(F.lower("node") == start.lower()).distinct()
+    seen = frontier = materialize(first.select("node", F.lit(None).cast("string").alias("parent"), F.lit(0).alias("hop")), "path")
+    hop, ends = 0, []
+    while not (ends := frontier.where(F.lower("node") == end.lower()).orderBy("node").take(1)) and not frontier.isEmpty():
+        hop += 1
         step = frontier.select(F.col("node").alias("a")).join(both, "a").groupBy(F.col("b").alias("node")).agg(F.min("a").alias("parent"))
-        frontier = materialize(step.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)), "path")
+        frontier = materialize(step.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(hop)), "path")
         seen = seen.union(frontier)
-        found = not frontier.where(F.col("node") == end).isEmpty()
-    path = [end] if found else []
-    while path and path[-1] != start:  # one row a hop
-        path.append(seen.where(F.col("node") == path[-1]).first()["parent"])
+    path = [ends[0]["node"]] if ends else []
+    for at in range(hop, 0, -1) if ends else ():  # one row a hop
+        path.append(seen.where((F.col("hop") == at) & (F.col("node") == path[-1])).first()["parent"])
     on_path = spark.createDataFrame([(a, b) for a, b in zip(path, path[1:], strict=False)], "a string, b string")
-    along = e.join(F.broadcast(on_path.union(on_path.select("b", "a"))), (F.col("source") == F.col("a")) & (F.col("target") == F.col("b")), "left_semi")
-    nodes = F.broadcast(spark.createDataFrame([(x,) for x in path], "node string"))
+    along = e.join(on_path.union(on_path.select("b", "a")).distinct(), (F.col("source") == F.col("a")) & (F.col("target") == F.col("b")), "left_semi")
+    nodes = spark.createDataFrame([(x,) for x in path], "node string")
     at = e.join(nodes, F.col("source") == F.col("node")).union(e.join(nodes, F.col("target") == F.col("node")))
     w = Window.partitionBy("node").orderBy(F.desc("score"), F.desc("weight"), "predicate", "source", "target")
     best = at.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= extra).select(*e.columns)
