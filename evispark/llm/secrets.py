@@ -92,7 +92,8 @@ def scan_versions(versions: DataFrame, path_cols: list[str], ledger: str, scan:
     blob = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)).alias("blob")
     text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     known = read_ledger(spark, ledger).where(F.col("rules_version") == rules_version).select("blob")
-    fresh = scan_blobs(versions.select(blob, text).join(known, "blob", "left_anti").dropDuplicates(["blob"]))
+    # Copies collapse first: after a join by address they would already stand together in one task.
+    fresh = scan_blobs(versions.select(blob, text).dropDuplicates(["blob"]).join(known, "blob", "left_anti"))
     fresh.select("blob", F.lit(rules_version).alias("rules_version"), F.lit(scan).alias("scan"), "found").write.mode("append").parquet(ledger)
     # Most contents hold nothing: only the rest are joined back, by an address that few or many paths share.
     # They are a table of their own, so that the join can be a broadcast, or be split where an address is hot.
