@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -13,7 +14,7 @@ from evispark.functions import rules
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Jaro similarity raised by a common prefix of up to four characters."""
+    """Jaro similarity (half the characters out of turn, rounded down, count as transposed), above 0.7 raised by a common prefix of up to four characters."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -28,21 +29,38 @@ def jaro_winkler(a: str, b: str) -> float:
                 break
     if not hits:
         return 0.0
-    swapped = sum(x != y for x, y in zip(hits, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) / 2
+    swapped = sum(x != y for x, y in zip(hits, (c for c, t in zip(b, taken, strict=True) if t), strict=True)) // 2
     m = len(hits)
     jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    if jaro <= 0.7:
+        return jaro
     prefix = 0
     while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
         prefix += 1
     return jaro + 0.1 * prefix * (1 - jaro)
 
 
-def jaro_winkler_column(a: Column, b: Column) -> Column:
-    """jaro_winkler() of two columns; null with either null."""
+@lru_cache(maxsize=1 << 14)
+def _letters(text: str) -> Counter:
+    return Counter(text)
+
+
+def _may_reach(a: str, b: str, least: float) -> bool:
+    """Whether the characters that both have, in any order, allow a Jaro-Winkler similarity of at least that."""
+    prefix = 0
+    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
+        prefix += 1
+    common = (_letters(a) & _letters(b)).total()
+    jaro = (common / max(1, len(a)) + common / max(1, len(b)) + 1) / 3
+    return jaro + 0.1 * prefix * (1 - jaro) >= least - 1e-9
+
+
+def jaro_winkler_column(a: Column, b: Column, least: float = 0.0) -> Column:
+    """jaro_winkler() of two columns; null with either null, and 0 for what cannot reach the least similarity."""
 
     @F.pandas_udf("double")
     def score(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) if _may_reach(p, q, least) else 0.0 for p, q in zip(x, y, strict=True)], dtype="float64")
 
     return score(a, b)
 

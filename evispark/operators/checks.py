@@ -55,14 +55,16 @@ def _worst(hits: list[tuple[Column, str]]) -> Column:
 
 def scan_leaks(df: DataFrame, text: str = "text", patterns=LEAK_PATTERNS) -> DataFrame:
     """Df with leaks (names found, in order of patterns), n_leaks, max_severity, blocked. A null text has none."""
+    # Each pattern runs once: its count tells whether it is found.
     t = F.coalesce(F.col(text), F.lit(""))
-    found = [(t.rlike(p), s, a, n) for n, p, s, a in patterns]
-    out = df.withColumn("leaks", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, _, _, n in found))))
-    out = out.withColumn("n_leaks", sum((F.regexp_count(t, F.lit(p)) for _, p, _, _ in patterns), F.lit(0)))
+    out = df.withColumn("_counts", F.array(*(F.regexp_count(t, F.lit(p)) for _, p, _, _ in patterns)))
+    found = [(F.element_at("_counts", i + 1) > 0, s, a, n) for i, (n, _, s, a) in enumerate(patterns)]
+    out = out.withColumn("leaks", F.array_compact(F.array(*(F.when(c, F.lit(n)) for c, _, _, n in found))))
+    out = out.withColumn("n_leaks", F.aggregate("_counts", F.lit(0), lambda total, n: total + n))
     blocked = F.lit(False)
     for c, _, a, _ in found:
         blocked = blocked | (c if a == "block" else F.lit(False))
-    return out.withColumn("max_severity", _worst([(c, s) for c, s, _, _ in found])).withColumn("blocked", blocked)
+    return out.withColumn("max_severity", _worst([(c, s) for c, s, _, _ in found])).withColumn("blocked", blocked).drop("_counts")
 
 
 def mask(secret: str) -> str:

@@ -71,9 +71,8 @@ def _manifest(s, d):
 
 def _matrix(s, d):
     scores, _ = A.dependency(s, d)
-    few = scores.where("substring(gene, 2)::int < 20").withColumn("gene", F.concat("gene", F.lit(" ("), F.lit("7"), F.lit(")")))
-    names = [f"G{i} (7)" for i in range(20)]
-    return files.read_dependency_matrix(s, _landed(s, few.groupBy("cell_line").pivot("gene", names).agg(F.first("score")).repartition(1), "csv", header=True))
+    wide = scores.withColumn("gene", F.concat("gene", F.lit(" (7)"))).groupBy("cell_line").pivot("gene", [f"G{i} (7)" for i in range(200)]).agg(F.first("score"))
+    return files.read_dependency_matrix(s, _landed(s, wide, "csv", header=True))
 
 
 def _frequencies(s, d):
@@ -87,7 +86,7 @@ def _payloads(s, d):
 
 
 def _works(s, d):
-    own = Q._docs(s, d).select(F.concat(F.lit("10.1/"), "doc_id").alias("DOI"), F.array(F.substring("text", 1, 40)).alias("title"), F.concat(F.lit("<p>"), "source", F.lit("</p>")).alias("abstract"))
+    own = Q._docs(s, d).select(F.concat(F.lit("10.1/"), "doc_id").alias("DOI"), F.array("text").alias("title"), F.concat(F.lit("<p>"), "source", F.lit("</p>")).alias("abstract"))
     return files.read_works(s, _landed(s, own, "json"))
 
 
@@ -132,7 +131,7 @@ QUERIES = {
     "r11_contexts": lambda s, d: _contexts(s, d).select("id", "paper_id", "score", "published_at", "genes", F.size("terms").alias("n_terms")),
     "r14_gene_profiles": lambda s, d: X.gene_profiles(_grouped(s, d), A.AS_OF),
     "r15_snippets": lambda s, d: X.snippets(_grouped(s, d)),
-    "r18_gene_links": lambda s, d: X.gene_links(X.feature_matrix(Q._profiles(s, d).orderBy("gene").limit(50), ["n_chunks", "n_recent", "n_duplicate"]), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.dayofyear("ts").alias("chunk_id")), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.col("event_type").alias("topic"))),
+    "r18_gene_links": lambda s, d: X.gene_links(X.feature_matrix(Q._profiles(s, d).orderBy(F.desc("n_chunks"), "gene").limit(50), ["n_chunks", "n_recent", "n_duplicate"]), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.dayofyear("ts").alias("chunk_id")), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.col("event_type").alias("topic"))),
     "p17_provider_components": lambda s, d: _components(s, d).select("gene", "cancer_code", F.round("survival", R).alias("survival"), F.round("expression", R).alias("expression"), F.round("dependency", R).alias("dependency")),
     "p21_literature_hits": lambda s, d: P.literature_hits(A.kg_facts(s, d), A.papers(s, d), "C3").select("id", "paper_id", "title", "confidence"),
     "o09_manifest_issues": lambda s, d: O.manifest_issues(_manifest(s, d), A.table(s, d, "orders").select("o_orderpriority").distinct()).groupBy("snapshot_id", "severity", "code").agg(F.count("*").alias("n")),
@@ -155,7 +154,7 @@ def _leak_sql() -> str:
     level = " ".join(f"WHEN {' OR '.join(hit[n] for n, _, s, _ in C.LEAK_PATTERNS if s == sev)} THEN '{sev}'" for sev in ("critical", "high", "medium"))
     blocked = " OR ".join(hit[n] for n, _, _, a in C.LEAK_PATTERNS if a == "block")
     total = " + ".join(f"len(regexp_extract_all(text, '{q(p)}'))" for _, p, _, _ in C.LEAK_PATTERNS)
-    return f"SELECT ({blocked}) AS blocked, CASE {level} END AS max_severity, count(*) AS n, sum({total})::BIGINT AS n_leaks FROM documents GROUP BY 1, 2"
+    return f"SELECT ({blocked}) AS blocked, CASE {level} END AS max_severity, count(*) AS n, sum({total})::BIGINT AS n_leaks FROM (SELECT {Q.dealt_sql('text', Q.SECRETS, 'doc_id')} AS text FROM documents) GROUP BY 1, 2"
 
 
 ORACLE = {
@@ -174,9 +173,9 @@ ORACLE = {
     "s05_export": "SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
     "s06_check": "SELECT unnest(['nation', 'customer', 'orders']) AS name, true AS ok_bytes, true AS ok_sha256, true AS ok_rows",
     "s07_import": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'bad', 0",
-    "s08_dependency_matrix": f"WITH {A.DEPENDENCY} SELECT gene, count(*) AS n, round(sum(score), 6) AS total FROM scores WHERE substring(gene, 2)::INT < 20 GROUP BY 1",
+    "s08_dependency_matrix": f"WITH {A.DEPENDENCY} SELECT gene, count(*) AS n, round(sum(score), 6) AS total FROM scores GROUP BY 1",
     "s10_mutation_frequencies": f"WITH {A.SIGNALS} SELECT gene_symbol AS gene, cancer_code AS cancer, mutated, profiled, round(mutated / profiled, 6) AS frequency FROM signals",
     "s11_api_candidates": f"WITH {A.SIGNALS} SELECT gene_symbol AS key, b[3]::BIGINT AS mutated, b[1]::BIGINT AS profiled, round(b[2], 6) AS frequency FROM (SELECT gene_symbol, max([profiled, value, mutated]) AS b FROM signals GROUP BY 1)",
     "s15_terms": "SELECT term FROM (SELECT lower(trim(p_name)) AS term FROM part UNION SELECT unnest(['gene', 'alpha', 'beta'])) ORDER BY term LIMIT 50000",
-    "s16_works": "SELECT concat('10.1/', doc_id) AS doi, substring(text, 1, 40) AS title, source AS abstract FROM documents",
+    "s16_works": "SELECT concat('10.1/', doc_id) AS doi, text AS title, source AS abstract FROM documents",
 }

@@ -134,7 +134,7 @@ QUERIES = {
     "p24_molecules": lambda s, d: _round(P.score_molecules(_molecules(s, d)), "qed", "composite").select("id", "violations", "qed", "composite", "rank"),
     "p25_system_metrics": lambda s, d: _round(P.system_metrics(P.ranked_targets(_facts(s, d), _conflicts(s, d)), _facts(s, d)), "value", n=5),
     "s03_delete_by_key": lambda s, d: S.delete_by_key(A.table(s, d, "orders"), A.table(s, d, "customer").where("c_acctbal < 0").select("c_custkey"), "o_custkey").groupBy("o_orderstatus").agg(F.count("*").alias("n")),
-    "s04_upsert": lambda s, d: _round(S.upsert(A.signals(s, d).where("profiled % 2 = 0"), A.signals(s, d).where("profiled % 3 = 0").withColumn("value", F.lit(0.5)), ["gene_symbol", "cancer_code"]), "value").select("gene_symbol", "cancer_code", "value"),
+    "s04_upsert": lambda s, d: _round(S.upsert(A.signals(s, d), A.signals(s, d).withColumn("value", F.lit(0.5)).withColumn("gene_symbol", F.when(F.col("profiled") % 3 == 0, F.concat("gene_symbol", F.lit("-new"))).otherwise(F.col("gene_symbol"))), ["gene_symbol", "cancer_code"]), "value").select("gene_symbol", "cancer_code", "value"),
     "s14_newest_runs": lambda s, d: S.retain_newest(A.table(s, d, "events").select(F.col("ts").alias("recorded_at"), F.col("event_id").cast("string").alias("query")), 400).select("query"),
 }
 
@@ -168,6 +168,6 @@ ORACLE = {
     "p24_molecules": "WITH v AS (SELECT p_partkey::VARCHAR AS id, (p_retailprice / 3 > 500)::INT + (p_size / 8.0 > 5)::INT + (p_size % 9 > 5)::INT + (p_size % 14 > 10)::INT AS violations, -p_retailprice / 200 AS d FROM part), q AS (SELECT *, greatest(1 - 0.25::DOUBLE * violations, 0.0) AS qed FROM v), c AS (SELECT *, -d * qed - 2.5::DOUBLE * violations AS composite FROM q) SELECT id, violations, round(qed, 6) AS qed, round(composite, 6) AS composite, row_number() OVER (ORDER BY round(composite, 9) DESC, id)::INT AS rank FROM c",
     "p25_system_metrics": f"WITH {_COHORT}, x AS (SELECT count(*) AS t, avg(adjusted_score) AS a, (count(*) FILTER (({_TIER}) = 'primary') + 2.0) / (count(*) + 8) AS p, (SELECT count(*) FROM facts) AS f FROM ranked) SELECT 'n_targets' AS metric, round(t::DOUBLE, 5) AS value FROM x UNION ALL SELECT 'mean_adjusted', round(a, 5) FROM x UNION ALL SELECT 'primary_rate', round(p, 5) FROM x UNION ALL SELECT 'evidence_density', round(f / t, 5) FROM x",
     "s03_delete_by_key": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY 1",
-    "s04_upsert": f"WITH {A.SIGNALS} SELECT gene_symbol, cancer_code, round(CASE WHEN profiled % 3 = 0 THEN 0.5 ELSE value END, 6)::DOUBLE AS value FROM signals WHERE profiled % 2 = 0 OR profiled % 3 = 0",
+    "s04_upsert": f"WITH {A.SIGNALS} SELECT gene_symbol, cancer_code, round(CASE WHEN profiled % 3 = 0 THEN value ELSE 0.5 END, 6)::DOUBLE AS value FROM signals UNION ALL SELECT gene_symbol || '-new', cancer_code, 0.5::DOUBLE FROM signals WHERE profiled % 3 = 0",
     "s14_newest_runs": "SELECT event_id::VARCHAR AS query FROM events ORDER BY ts DESC, event_id::VARCHAR DESC LIMIT 400",
 }

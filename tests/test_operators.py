@@ -296,3 +296,94 @@ def test_pages(spark):
     out = webpages.pages_to_markdown(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()
     assert [r["status"] for r in out] == ["ok", "empty", "not_article"]
     assert out[0]["title"] == "T & t" and out[0]["markdown"] == "## Head\n\nSome words of an article, long enough to count.\n\n- item"
+
+
+def test_titles_match_as_all_pairs_do(spark):
+    import random
+
+    from evispark.operators import dedup as D
+    from evispark.operators import text as T
+
+    r = random.Random(7)
+    words = [w + w[::-1] for w in ("alpha", "beta", "gamma", "delta", "kras", "tumor", "cell", "in")]
+    titles = [" ".join(r.choice(words) for _ in range(r.randrange(1, 16))) for _ in range(60)]
+    for t in list(titles):
+        c = list(t)
+        for _ in range(r.randrange(1, 3)):
+            k = r.randrange(len(c))
+            c[k] = r.choice("abcxyz")
+        titles += ["".join(c), t + " and more of it all" if len(t) > 42 else t, t[1:] + t[:1], t]
+    papers = spark.createDataFrame([(f"{i:04d}", t, ["Ann Lee" if i % 2 else "Bob Ray"]) for i, t in enumerate(titles)], "id string, title string, authors array<string>").repartition(4)
+    key = {x["id"]: x["t"] for x in papers.select("id", T.title_identity(F.col("title")).alias("t")).collect()}
+
+    def score(a, b):
+        return 1.0 if a == b or (min(len(a), len(b)) >= 42 and (a.startswith(b) or b.startswith(a))) else round(jaro_winkler(a, b), 9)
+
+    want = {}
+    for i, a in key.items():
+        best = max(((score(a, b), j) for j, b in key.items() if i != j and a and b), default=(0, ""))
+        if best[0] >= 0.992:
+            want[i] = best[1]
+    assert {x["id"]: x["duplicate_of"] for x in D.match_titles(papers, papers).collect()} == want and len(want) > 100
+    rows = {x["id"]: (x["title"].lower(), x["authors"][0]) for x in papers.collect()}
+    fuzzy = {}
+    for i, (a, who) in rows.items():
+        best = max(((round(jaro_winkler(a, b), 9), j) for j, (b, other) in rows.items() if i != j and who == other), default=(0, ""))
+        if best[0] >= 0.92:
+            fuzzy[i] = (best[1], best[0])
+    assert {x["id"]: (x["duplicate_of"], x["similarity"]) for x in D.match_fuzzy(papers, papers).collect()} == fuzzy
+
+
+def test_fingerprint_pairs_match_all_pairs(spark):
+    import random
+
+    from evispark.operators import dedup as D
+
+    r = random.Random(8)
+    prints = [r.getrandbits(64) for _ in range(60)]
+    for p in list(prints):
+        for n in (0, 3, 6, 7):
+            prints.append(p ^ sum(1 << b for b in r.sample(range(64), n)))
+    rows = [(i, p - (1 << 64) if p >> 63 else p) for i, p in enumerate(prints)]
+    found = {(x["a"], x["b"]): x["distance"] for x in D.simhash_pairs(spark.createDataFrame(rows, "id long, simhash long")).collect()}
+    least = {}
+    for i, p in enumerate(prints):
+        least.setdefault(p, i)
+    nodes = sorted((i, p) for p, i in least.items())
+    assert found == {(i, j): (p ^ q).bit_count() for i, p in nodes for j, q in nodes if i < j and (p ^ q).bit_count() <= 6}
+
+
+def test_long_paths_in_any_case(spark):
+    from evispark.operators import graph as G
+
+    edges = [(f"N{k}", f"n{k + 1}" if k == 7 else f"N{k + 1}") for k in range(20)] + [("N3", "side"), ("x", "y")]
+    e = spark.createDataFrame([(a, b, "p", 1, 0.5) for a, b in edges], "source string, target string, predicate string, weight int, score double")
+    assert {(x["source"], x["target"]) for x in G.shortest_path(e, "n0", "N7", extra=0).collect()} == set(edges[:7])
+    assert G.shortest_path(e, "n0", "y", extra=0).count() == 0 and G.shortest_path(e, "nowhere", "y").count() == 0
+    long = spark.createDataFrame([(f"M{k}", f"M{k + 1}", "p", 1, 0.5) for k in range(20)], e.schema)
+    assert G.shortest_path(long, "m0", "m20", extra=0).count() == 20
+    assert G.shortest_path(long, "m0", "M0", extra=0).count() == 0
+
+
+def test_mentions_match_a_plain_walk(spark):
+    import random
+
+    from evispark.operators import extract as N
+
+    r = random.Random(9)
+    terms = ["ab", "abc", "b", "cab ba", "abca", "ÉT", "a-b", "bca"]
+    rows = [(t, "gene", t.upper(), 0.95, bool(i % 2)) for i, t in enumerate(terms)]
+    texts = ["".join(r.choice("aAbBc -é") + r.choice(["", "", "t"]) for _ in range(r.randrange(40))) for _ in range(200)] + [None, "", "İab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = sorted((x["id"], x["start"], x["end"], x["canonical"]) for x in N.find_mentions(docs, spark.createDataFrame(rows, "term string, entity_type string, canonical string, confidence double, word_boundary boolean"), least=0.0).collect())
+    want = []
+    for i, t in enumerate(texts):
+        low, at = "".join(c.lower() if len(c.lower()) == 1 else c for c in t or ""), 0
+        while at < len(low):
+            fits = [(len(x), x, b) for x, _, _, _, b in rows if low.startswith(x.lower(), at)]
+            fits = [f for f in fits if not (f[0] < 4 or f[2]) or ((at == 0 or not low[at - 1].isalnum()) and (at + f[0] == len(low) or not low[at + f[0]].isalnum()))]
+            if fits:
+                n, x, _ = max(fits)
+                want.append((i, at, at + n, x.upper()))
+            at += max((f[0] for f in fits), default=1)
+    assert got == sorted(want)
