@@ -77,7 +77,7 @@ def _matrix(s, d):
 
 def _frequencies(s, d):
     own = A.signals(s, d).select(F.col("gene_symbol").alias("Gene"), F.col("cancer_code").alias("Cancer Type"), F.col("mutated").alias("Mutated Samples"), F.col("profiled").alias("Total Samples"))
-    return files.read_mutation_frequencies(s, _landed(s, own.repartition(1), "csv", header=True, sep="\t"))[0]
+    return files.read_mutation_frequencies(s, _landed(s, own, "csv", header=True, sep="\t"))[0]
 
 
 def _payloads(s, d):
@@ -101,6 +101,50 @@ def _imported(s, d):
     return good.groupBy("c_mktsegment").agg(F.count("*").alias("n")).union(bad.agg(F.lit("bad"), F.count("*")))
 
 
+def _appended(s, d):
+    path, own = f"{shared_dir(s)}/appended-{uuid.uuid4().hex}", A.table(s, d, "customer")
+    for batch in (own.drop("c_acctbal"), own):
+        tables.append(batch, path, own.schema)
+    return tables.scan(s, path, own.schema).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count("c_acctbal").alias("n_balances"))
+
+
+def _cell_lines(s, d):
+    code = F.when(F.col("c_custkey") % 4 > 0, F.lower("c_mktsegment"))
+    own = A.table(s, d, "customer").select(F.col("c_name").alias("Name"), code.alias("OncotreeCode"), F.col("c_custkey").alias("ModelID"))
+    return files.read_cell_lines(s, _landed(s, own, "csv", header=True))
+
+
+def _nomenclature(s, d):
+    key = F.col("p_partkey")
+    status = F.when(key % 3 > 0, "Approved").otherwise("Entry Withdrawn")
+    own = A.table(s, d, "part").select(F.concat(F.lit("S"), key).alias("symbol"), status.alias("status"), F.concat("p_brand", F.lit("| "), "p_name").alias("alias_symbol"), F.concat(F.lit("s"), key + 1).alias("prev_symbol"))
+    return files.read_symbols(s, _landed(s, own, "csv", header=True, sep="\t"))
+
+
+def _ontology(s, d):
+    """A tree for each order, with its lines as children."""
+    root = F.concat(F.lit("O"), "l_orderkey")
+    lines = A.table(s, d, "lineitem").select(root.alias("root"), *(F.col(c).cast("string").alias(n) for c, n in (("l_partkey", "name"), ("l_suppkey", "mainType"), ("l_linenumber", "tissue")))).distinct()
+    code = F.concat_ws("-", "root", "name", "mainType", "tissue")
+    child = F.struct(code.alias("code"), "name", "mainType", "tissue", F.col("root").alias("parent"))
+    trees = lines.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct(code, child))).alias("children"))
+    return files.ontology_rows(trees.select(F.to_json(F.create_map("root", F.struct(F.col("root").alias("code"), "children"))).alias("json")))
+
+
+#: Texts without signs that XML gives a meaning or forbids.
+PLAIN = "[^A-Za-z0-9 .,]"
+
+
+def _articles(s, d):
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), PLAIN, " ")
+    section = lambda title, *inside: F.concat(F.lit(f"<sec><title>{title}</title>"), *inside, F.lit("</sec>"))
+    paragraph = lambda c: F.concat(F.lit("<p>"), c, F.lit("</p>"))
+    key = F.col("doc_id").cast("string")
+    body = F.concat(section("Methods", paragraph(key), section("Inner", paragraph(text), section("Innermost", paragraph(key)))), section("Results", paragraph(text)))
+    xml = F.concat(F.lit("<article><front><abstract>"), paragraph(text), F.lit("</abstract></front><body>"), body, F.lit("</body></article>"))
+    return files.article_sections(A.table(s, d, "documents").select("doc_id", xml.alias("xml")), id_col="doc_id")
+
+
 def _components(s, d):
     sig = A.signals(s, d).select(F.col("gene_symbol").alias("gene"), "cancer_code", "value", "profiled")
     return P.provider_components(sig.select("gene", "cancer_code"), sig.select("gene", "cancer_code", (2 * F.col("value") - 1).alias("value")), sig.select("gene", "cancer_code", F.col("profiled").cast("double").alias("value")), sig.select("gene", "cancer_code", (-F.col("value")).alias("value")))
@@ -137,14 +181,19 @@ QUERIES = {
     "o09_manifest_issues": lambda s, d: O.manifest_issues(_manifest(s, d), A.table(s, d, "orders").select("o_orderpriority").distinct()).groupBy("snapshot_id", "severity", "code").agg(F.count("*").alias("n")),
     "o11_decide": lambda s, d: O.decide(A.table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("snapshot_id"), F.lit("pending").alias("status")), A.table(s, d, "orders").select(F.col("o_custkey").cast("string").alias("snapshot_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected").alias("decision"), F.col("o_orderdate").alias("decided_at")))[1].groupBy(F.year("merged_at").alias("year")).agg(F.count("*").alias("n")),
     "s01_page_of_rows": lambda s, d: tables.scan(s, f"{d}/orders.parquet", A.table(s, d, "orders").schema, "o_orderkey", 200, 100).select("o_orderkey"),
+    "s02_append": lambda s, d: _appended(s, d),
     "s05_export": lambda s, d: _snapshot(s, d)[1].select("name", "rows"),
     "s06_check": lambda s, d: tables.check_snapshot(s, *_snapshot(s, d)),
     "s07_import": lambda s, d: _imported(s, d),
     "s08_dependency_matrix": lambda s, d: _matrix(s, d).groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum("score"), R).alias("total")),
+    "s09_cell_lines": lambda s, d: _cell_lines(s, d),
     "s10_mutation_frequencies": lambda s, d: _frequencies(s, d).withColumn("frequency", F.round("frequency", R)),
     "s11_api_candidates": lambda s, d: files.best_candidate(files.api_candidates(_payloads(s, d)), ["key"]).select("key", "mutated", "profiled", F.round("frequency", R).alias("frequency")),
+    "s12_symbols": lambda s, d: _nomenclature(s, d),
+    "s13_ontology": lambda s, d: _ontology(s, d),
     "s15_terms": lambda s, d: tables.term_list(s, ["Gene"], _landed(s, A.table(s, d, "part").select(F.col("p_name").alias("value")), "text"), "alpha, beta"),
     "s16_works": lambda s, d: _works(s, d).select("doi", "title", F.trim("abstract_text").alias("abstract")),
+    "s17_article_sections": lambda s, d: _articles(s, d).select("doc_id", "ord", "section_type", "heading", F.length("text").alias("n_chars"), F.md5("text").alias("md5")),
 }
 
 
@@ -170,12 +219,35 @@ ORACLE = {
     "p17_provider_components": f"WITH {A.SIGNALS} SELECT gene_symbol AS gene, cancer_code, round(value, 6) AS survival, round(least(greatest(profiled / ((sum(profiled) OVER w - profiled) / (count(*) OVER w - 1)) / 10, 0), 1), 6)::DOUBLE AS expression, round(1 - (2 - value) / 2, 6) AS dependency FROM signals WINDOW w AS (PARTITION BY gene_symbol)",
     "o09_manifest_issues": "WITH m AS (SELECT (o_custkey % 50)::VARCHAR AS s, o_orderpriority AS p, o_orderkey AS k FROM orders), i AS (SELECT s, 'error' AS v, 'bad_sha256' AS c FROM m WHERE k % 5 = 0 UNION ALL SELECT s, 'error', 'bad_bytes' FROM m WHERE k % 7 = 0 UNION ALL SELECT s, 'warning', 'empty_artifact' FROM m WHERE k % 9 = 0 UNION ALL SELECT s, 'error', 'duplicate_name' FROM (SELECT s, p FROM m GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT a.s, 'error', 'missing_artifact' FROM (SELECT DISTINCT s FROM m) a, (SELECT DISTINCT p FROM m) b WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.s = a.s AND m.p = b.p)) SELECT s AS snapshot_id, v AS severity, c AS code, count(*) AS n FROM i GROUP BY 1, 2, 3",
     "s01_page_of_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200",
+    "s02_append": "SELECT c_mktsegment, 2 * count(*) AS n, count(c_acctbal) AS n_balances FROM customer GROUP BY 1",
     "s05_export": "SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
     "s06_check": "SELECT unnest(['nation', 'customer', 'orders']) AS name, true AS ok_bytes, true AS ok_sha256, true AS ok_rows",
     "s07_import": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'bad', 0",
     "s08_dependency_matrix": f"WITH {A.DEPENDENCY} SELECT gene, count(*) AS n, round(sum(score), 6) AS total FROM scores GROUP BY 1",
+    "s09_cell_lines": "SELECT c_custkey::VARCHAR AS cell_line, upper(c_mktsegment) AS cancer_code FROM customer WHERE c_custkey % 4 > 0",
     "s10_mutation_frequencies": f"WITH {A.SIGNALS} SELECT gene_symbol AS gene, cancer_code AS cancer, mutated, profiled, round(mutated / profiled, 6) AS frequency FROM signals",
     "s11_api_candidates": f"WITH {A.SIGNALS} SELECT gene_symbol AS key, b[3]::BIGINT AS mutated, b[1]::BIGINT AS profiled, round(b[2], 6) AS frequency FROM (SELECT gene_symbol, max([profiled, value, mutated]) AS b FROM signals GROUP BY 1)",
+    "s12_symbols": """
+WITH a AS (SELECT concat('S', p_partkey) AS approved, p_brand, p_name, concat('s', p_partkey + 1) AS prev FROM part WHERE p_partkey % 3 > 0),
+r AS (
+  SELECT approved, 0 AS tier_rank, 'preferred' AS tier, approved AS symbol FROM a
+  UNION ALL SELECT approved, 1, 'alias', unnest([p_brand, trim(p_name)]) FROM a
+  UNION ALL SELECT approved, 2, 'previous', prev FROM a
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY upper(symbol) ORDER BY tier_rank, approved) AS n FROM r)
+SELECT upper(symbol) AS symbol, approved, tier, tier_rank::INT AS tier_rank FROM n WHERE n = 1""",
+    "s13_ontology": """
+SELECT DISTINCT concat('O', l_orderkey) AS code, NULL::VARCHAR AS name, NULL::VARCHAR AS main_type, NULL::VARCHAR AS tissue, NULL::VARCHAR AS parent FROM lineitem
+UNION ALL
+SELECT DISTINCT concat_ws('-', concat('O', l_orderkey), l_partkey, l_suppkey, l_linenumber), l_partkey::VARCHAR, l_suppkey::VARCHAR, l_linenumber::VARCHAR, concat('O', l_orderkey) FROM lineitem""",
     "s15_terms": "SELECT term FROM (SELECT lower(trim(p_name)) AS term FROM part UNION SELECT unnest(['gene', 'alpha', 'beta'])) ORDER BY term LIMIT 50000",
     "s16_works": "SELECT concat('10.1/', doc_id) AS doi, text AS title, source AS abstract FROM documents",
+    "s17_article_sections": f"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{PLAIN}', ' ', 'g') AS text FROM documents),
+s AS (
+  SELECT doc_id, 0 AS ord, 'abstract' AS section_type, 'Abstract' AS heading, text FROM t
+  UNION ALL SELECT doc_id, 1, 'methods', 'Methods', concat_ws(' ', doc_id, nullif(text, ''), doc_id) FROM t
+  UNION ALL SELECT doc_id, 2, 'results', 'Results', text FROM t
+)
+SELECT doc_id, ord::INT AS ord, section_type, heading, length(text)::INT AS n_chars, md5(text) AS md5 FROM s WHERE trim(text) <> ''""",
 }

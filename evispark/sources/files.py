@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evispark.shared import materialize
+
 
 def read_dependency_matrix(spark: SparkSession, path: str) -> DataFrame:
     """(cell_line, gene, score) of a wide CSV whose first column is the cell line and others are "SYMBOL (id)"; what is no finite number is left out."""
@@ -79,14 +81,15 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
     return best.select("symbol", "b.approved", "b.tier", "b.tier_rank")
 
 
-def ontology_rows(trees: DataFrame, column: str = "json", depth: int = 12) -> DataFrame:
-    """(code, name, main_type, tissue, parent) of JSON trees of objects with code, name, mainType, tissue, parent and children by code."""
-    level = trees.select(F.explode(F.from_json(column, "map<string,string>")).alias("k", "node"))
-    out = None
-    for _ in range(depth):
-        rows = level.select(F.coalesce(F.get_json_object("node", "$.code"), "k").alias("code"), F.get_json_object("node", "$.name").alias("name"), F.get_json_object("node", "$.mainType").alias("main_type"), F.get_json_object("node", "$.tissue").alias("tissue"), F.get_json_object("node", "$.parent").alias("parent"))
+def ontology_rows(trees: DataFrame, column: str = "json") -> DataFrame:
+    """(code, name, main_type, tissue, parent) of JSON trees of objects with code, name, mainType, tissue, parent and children by code: level by level, each a table of its own, until one is empty."""
+    node = "code string, name string, mainType string, tissue string, parent string, children map<string,string>"
+    level, out = trees.select(F.explode(F.from_json(column, "map<string,string>")).alias("k", "v")), None
+    while out is None or not level.isEmpty():
+        level = materialize(level.select("k", F.from_json("v", node).alias("n")), "level")
+        rows = level.select(F.coalesce("n.code", "k").alias("code"), "n.name", F.col("n.mainType").alias("main_type"), "n.tissue", "n.parent")
         out = rows if out is None else out.union(rows)
-        level = level.select(F.explode(F.from_json(F.get_json_object("node", "$.children"), "map<string,string>")).alias("k", "node"))
+        level = level.select(F.explode("n.children").alias("k", "v"))
     return out.where("code IS NOT NULL").distinct()
 
 
@@ -152,15 +155,31 @@ def read_preprints(spark: SparkSession, path: str, keywords: list[str], as_of, d
     return out.where(F.datediff(F.lit(as_of).cast("timestamp"), "published_at").between(0, days))
 
 
+def _outer_sections(body: Column) -> Column:
+    """The outermost <sec> elements of a text, in order. A fold over pieces cut at the tags: a pattern for whole elements would recurse over long ones."""
+    pieces = F.split(body, r"(?=<sec\b)|(?<=</sec>)")
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.rlike(r"^<sec\b"), piece.endswith("</sec>")
+        depth = F.greatest(state["depth"] + opens.cast("int") - closes.cast("int"), F.lit(0))
+        own = F.when((state["depth"] > 0) | opens, F.concat(state["own"], piece)).otherwise("")
+        whole = (depth == 0) & (own != "")
+        done = F.when(whole, F.array_append(state["done"], own)).otherwise(state["done"])
+        return F.struct(depth.alias("depth"), F.when(whole, "").otherwise(own).alias("own"), done.alias("done"))
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("own"), F.array().cast("array<string>").alias("done"))
+    return F.aggregate(pieces, start, step, lambda state: state["done"])
+
+
 def article_sections(articles: DataFrame, column: str = "xml", id_col: str = "paper_id") -> DataFrame:
-    """(paper_id, ord, section_type, heading, text) of article XML texts: the abstract's paragraphs, then each outer section."""
+    """(paper_id, ord, section_type, heading, text) of article XML texts: the abstract's paragraphs, then each outer section with those inside it."""
     from evispark.operators.text import section_type
 
     x = F.col(column)
     abstract = F.array_join(F.xpath(x, F.lit("//abstract//p//text()")), " ")
     first = articles.select(id_col, F.lit(0).alias("ord"), F.lit("abstract").alias("section_type"), F.lit("Abstract").alias("heading"), abstract.alias("text"))
     # A path must be constant: the outer sections are cut out of the text, and each is read by itself.
-    outer = F.regexp_extract_all(F.regexp_extract(x, r"(?s)<body\b[^>]*>(.*)</body>", 1), F.lit(r"(?s)<sec\b(?:(?!<sec\b|</sec>).|<sec\b(?:(?!</sec>).)*</sec>)*</sec>"), F.lit(0))
+    outer = _outer_sections(F.regexp_extract(x, r"(?s)<body\b[^>]*>(.*)</body>", 1))
     sections = articles.select(id_col, F.posexplode(outer).alias("i", "s"))
     heading = F.xpath_string("s", F.lit("/sec/title"))
     rest = sections.select(id_col, (F.col("i") + 1).alias("ord"), section_type(heading).alias("section_type"), heading.alias("heading"), F.array_join(F.xpath("s", F.lit("//p//text()")), " ").alias("text"))

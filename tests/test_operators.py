@@ -274,6 +274,24 @@ def test_files(spark, tmp_path):
     assert [(r["section_type"], r["text"].strip()) for r in files.article_sections(xml).orderBy("ord").collect()] == [("abstract", "Abs"), ("methods", "M one"), ("results", "R")]
 
 
+def test_article_sections_of_any_depth_and_length(spark):
+    long = "word " * 100_000
+    nested = "<sec><title>A</title><p>a</p>" * 30 + "</sec>" * 30
+    body = f"<p>no section</p>{nested}<sec><title>Results</title><p>{long}</p></sec><section>other</section>"
+    xml = spark.createDataFrame([(1, f"<article><body>{body}</body></article>"), (2, "<article><body></body></article>"), (3, None)], "paper_id int, xml string")
+    got = [(r["paper_id"], r["ord"], r["text"]) for r in files.article_sections(xml).orderBy("paper_id", "ord").collect()]
+    assert got == [(1, 1, " ".join("a" * 30)), (1, 2, long)]
+
+
+def test_ontology_of_any_depth(spark):
+    tree = ""
+    for i in reversed(range(20)):
+        tree = f'{{"N{i}": {{"name": "n{i}", "parent": "N{i - 1}", "children": {tree or "{}"}}}}}'
+    got = files.ontology_rows(spark.createDataFrame([(tree,), (None,), ("{}",)], "json string"))
+    assert sorted((r["code"], r["name"]) for r in got.collect()) == sorted((f"N{i}", f"n{i}") for i in range(20))
+    assert files.ontology_rows(spark.createDataFrame([], "json string")).count() == 0
+
+
 def test_stream(spark, tmp_path):
     facts = spark.createDataFrame([("f1", "KRAS", "KRAS", "drives", "PAAD", "PAAD", 0.9, "2024-01-01"), ("f2", "TP53", "TP53", "drives", "PAAD", "PAAD", 0.9, "2024-01-01")], "id string, subject_id string, subject_name string, predicate string, object_id string, object_name string, confidence double, created_at string")
     facts.write.parquet(str(tmp_path / "facts"))
