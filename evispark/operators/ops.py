@@ -114,8 +114,8 @@ def admit(submissions: DataFrame, queue: DataFrame) -> DataFrame:
 
 
 def decide(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queue with the latest decision, lineage rows of what was approved); decisions (snapshot_id, decision, decided_at)."""
-    last = decisions.groupBy("snapshot_id").agg(F.max_by("decision", "decided_at").alias("_decision"), F.max("decided_at").alias("decided_at"))
+    """(queue with the latest decision, lineage rows of what was approved); decisions (snapshot_id, decision, decided_at); of those of one time the last by name."""
+    last = decisions.groupBy("snapshot_id").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("_decision"), F.max("decided_at").alias("decided_at"))
     out = queue.join(last, "snapshot_id", "left").withColumn("status", F.when(F.col("status") == "pending", F.coalesce("_decision", "status")).otherwise(F.col("status")))
     lineage = out.where((F.col("status") == "approved") & F.col("_decision").isNotNull()).select("snapshot_id", F.col("decided_at").alias("merged_at"))
     return out.select(*queue.columns), lineage

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.operators.dedup import cosine
+from evispark.operators.ranks import row_numbers
 
 
 def l2_normalise(v: Column) -> Column:
@@ -32,9 +33,9 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 10, vector: st
 def substring_search(chunks: DataFrame, term: str, order: tuple[str, ...] = ("paper_id", "chunk_index"), limit: int | None = None) -> DataFrame:
     """Chunks that contain the term ignoring case, ranked in scan order."""
     hit = chunks.where(F.lower("content").contains(term.lower()))
-    if limit:
-        hit = hit.orderBy(*order).limit(limit)
-    return hit.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    if not limit:
+        return row_numbers(hit, list(order))
+    return hit.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def full_text_search(chunks: DataFrame, query: str, k: int = 10, digits: int = 6) -> DataFrame:
@@ -63,8 +64,9 @@ def rank_fusion(lexical: DataFrame, vector: DataFrame, k: int = 60, n: int | Non
     scored = raw.crossJoin(F.broadcast(raw.agg(F.max("raw").alias("top")))).withColumn("score", F.round(F.col("raw") / F.col("top"), digits)).where(F.col("score") >= least)
     source = F.when(F.col("lexical_rank").isNull(), "vector").when(F.col("vector_rank").isNull(), "lexical").otherwise("hybrid")
     out = scored.select("id", "score", "lexical_rank", "vector_rank", source.alias("source"))
-    out = out.orderBy(F.desc("score"), "id").limit(n) if n else out
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    if not n:
+        return row_numbers(out, [F.desc("score"), F.col("id")])
+    return out.orderBy(F.desc("score"), "id").limit(n).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
 def hybrid_search(chunks: DataFrame, papers: DataFrame, term: str, vector: list[float], n: int = 10, must: str | None = None) -> DataFrame:
@@ -106,7 +108,7 @@ def semantic_rerank(targets: DataFrame, hits: DataFrame, weight: float = 0.045,
     strength = 0.60 / F.col("best") + 0.25 * F.least(F.col("n") / 5.0, F.lit(1.0)) + 0.15 * F.least(F.greatest("top", F.lit(0.0)), F.lit(1.0))
     out = targets.join(g, "gene", "left").withColumn("boost", F.coalesce(F.least(F.lit(most), weight * strength), F.lit(0.0)))
     out = out.withColumn("reranked_score", F.least(F.col("score") + F.col("boost"), F.lit(1.0))).drop("n", "best", "top")
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round("reranked_score", 9)), "gene")))
+    return row_numbers(out, [F.desc(F.round("reranked_score", 9)), F.col("gene")])
 
 
 def load_contexts(hits: DataFrame, chunks: DataFrame, papers: DataFrame, genes: DataFrame, n: int = 32, stop: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from evispark.functions import rules
 from evispark.functions.rules import clamp
 from evispark.operators.graph import with_signal
+from evispark.operators.ranks import row_numbers
+from evispark.shared import materialize
 
 
 def gene_evidence(facts: DataFrame) -> DataFrame:
@@ -191,21 +193,30 @@ def penalty(inhibitors: Column, expression: Column, structures: Column, plddt: C
     return F.when(inhibitors > 50, 0.15).otherwise(0.0) + F.when(expression < 1.5, 0.10).otherwise(0.0) + F.when(unresolved, 0.08).otherwise(0.0)
 
 
+#: The components that are ranks, and of what.
+RANKED = {"n1": "mutation_freq", "n3": "survival_correlation", "n4": "expression_specificity", "n9": "literature_novelty_velocity"}
+
+
 def cohort_scores(metrics: DataFrame, gene_col: str = "gene", digits: int = 9) -> DataFrame:
     """n1 to n9, penalty and composite_score of a cohort of candidates. Ranks are ordinal, equal values in order of gene.
 
-    The windows are over the candidates (genes), not their facts.
+    The four ranks are taken at once, as places of (component, value) in one table of four rows a candidate.
     """
-    size = F.count("*").over(Window.partitionBy())
-    rank = lambda c: F.row_number().over(Window.orderBy(F.round(c, digits), gene_col)) / size
+    own = materialize(metrics.withColumn("_row", F.monotonically_increasing_id()), "cohort")
+    size = own.count()
+    values = F.array(*(F.struct(F.lit(n).alias("component"), F.round(F.col(c).cast("double"), digits).alias("value")) for n, c in RANKED.items()))
+    long = own.select("_row", F.col(gene_col).alias("gene"), F.inline(values))
+    places = row_numbers(long, ["value", "gene", "_row"], ("component",)).groupBy("_row").pivot("component", list(RANKED)).agg(F.first("rank"))
+    ranks = places.select("_row", *(F.col(n).alias(f"_{n}") for n in RANKED))
+    rank = lambda n: F.col(f"_{n}") / size
     pocket = clamp(F.col("fpocket_best_score"), 0.0, 1.0)
     structures = F.col("pdb_structure_count")
-    out = metrics.withColumns({
-        "n1": rank("mutation_freq"), "n2": dependency_normalise(F.col("crispr_dependency")), "n3": rank("survival_correlation"), "n4": rank("expression_specificity"),
+    out = own.join(ranks, "_row").withColumns({
+        "n1": rank("n1"), "n2": dependency_normalise(F.col("crispr_dependency")), "n3": rank("n3"), "n4": rank("n4"),
         "n5": F.when(structures > 0, 0.40 * F.least(structures / 5.0, F.lit(1.0)) + 0.25 * pocket).otherwise(0.35 * F.col("af_plddt_mean") / 100 + 0.25 * pocket), "n6": pocket,
-        "n7": 1 / (1 + F.col("chembl_inhibitor_count")), "n8": 1 / (1 + F.col("reactome_escape_pathway_count")), "n9": rank("literature_novelty_velocity"),
+        "n7": 1 / (1 + F.col("chembl_inhibitor_count")), "n8": 1 / (1 + F.col("reactome_escape_pathway_count")), "n9": rank("n9"),
         "penalty": penalty(F.col("chembl_inhibitor_count"), F.col("expression_specificity"), structures, F.col("af_plddt_mean")),
-    })
+    }).drop("_row", *(f"_{n}" for n in RANKED))
     return out.withColumn("composite_score", composite(out, rules.COMPONENT_WEIGHTS, F.col("penalty"), curve=1.6, each=0.03))
 
 
@@ -250,9 +261,14 @@ def flags() -> Column:
 
 def final_ranking(df: DataFrame, score: str = "composite_score", second: str = "adjusted_score", gene_col: str = "gene", n: int | None = None, digits: int = 9) -> DataFrame:
     """Rank and percentile 100 * (1 - i/N) in order of score, second, gene; the first n."""
-    out = df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(F.round(score, digits)), F.desc(F.round(second, digits)), gene_col)))
-    out = out.withColumn("percentile", 100.0 * (1 - (F.col("rank") - 1) / F.count("*").over(Window.partitionBy())))
-    return out.where(F.col("rank") <= n) if n else out
+    order = [F.desc(F.round(score, digits)), F.desc(F.round(second, digits)), F.col(gene_col)]
+    own = materialize(df, "ranking")
+    total = own.count()
+    if n:
+        out = own.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+    else:
+        out = row_numbers(own, order)
+    return out.withColumn("percentile", 100.0 * (1 - (F.col("rank") - 1) / total))
 
 
 def ranked_targets(facts: DataFrame, conflict: DataFrame, n: int | None = None, gene: str = "", cancer: str = "") -> DataFrame:
@@ -332,7 +348,7 @@ def score_molecules(molecules: DataFrame) -> DataFrame:
     violations = (value("mw", 0.0) > 500).cast("int") + (value("logp", 0.0) > 5).cast("int") + (value("hbd", 0) > 5).cast("int") + (value("hba", 0) > 10).cast("int")
     out = molecules.withColumn("violations", violations).withColumn("qed", clamp(1 - 0.25 * F.col("violations"), 0.0, 1.0))
     out = out.withColumn("composite", -F.col("docking_score") * F.col("qed") - 2.5 * F.col("violations"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(F.round("composite", 9)), "id")))
+    return row_numbers(out, [F.desc_nulls_last(F.round("composite", 9)), F.col("id")])
 
 
 def system_metrics(scores: DataFrame, facts: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ QUERIES = {
     "n20_symbols": lambda s, d: Q._docs(s, d).select("doc_id", N.contains_symbol(F.col("text"), F.lit("The")).alias("plain"), N.contains_symbol(F.col("text"), F.lit("of"), underscore=True).alias("strict")),
     "r04_chunk_search": lambda s, d: X.vector_search(A.chunks(s, d), Q._queries(s, d), 5),
     "r06_hybrid_search": lambda s, d: X.hybrid_search(A.chunks(s, d), A.papers(s, d), "tion", [1.0] * 64, 20, must="re").select("id", "score", "source", "rank", "title"),
-    "r10_rerank": lambda s, d: _rerank(s, d).select("gene", F.round("boost", R).alias("boost"), F.round("reranked_score", R).alias("reranked_score"), "rank"),
+    "r10_rerank": lambda s, d: _rerank(s, d).select("gene", F.round("boost", R).alias("boost"), F.round("reranked_score", R).alias("reranked_score"), F.col("rank").cast("int").alias("rank")),
     "r11_contexts": lambda s, d: _contexts(s, d).select("id", "paper_id", "score", "published_at", "genes", F.size("terms").alias("n_terms")),
     "r14_gene_profiles": lambda s, d: X.gene_profiles(_grouped(s, d), A.AS_OF),
     "r15_snippets": lambda s, d: X.snippets(_grouped(s, d)),

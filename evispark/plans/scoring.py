@@ -131,7 +131,7 @@ QUERIES = {
     "p20_recalibrate": lambda s, d: _round(P.recalibrate(_scores(s, d).withColumn("confidence_adjusted_score", F.when(F.col("n") % 2 == 0, 0.95).otherwise(0.4)), _scores(s, d).groupBy("gene_id").agg(F.sum("n").alias("n_facts"))), "confidence_adjusted_score").select("gene_id", "cancer_id", "confidence_adjusted_score"),
     "p22_cache_report": lambda s, d: _round(P.cache_report(A.signals(s, d).select(F.col("gene_symbol").alias("gene")), A.signals(s, d).select("gene_symbol", F.col("cancer_code").alias("source"), "value", "fetched_at"), A.table(s, d, "nation").select(F.concat(F.lit("C"), "n_nationkey")), A.AS_OF), "value"),
     "p23_mutation_frequency": lambda s, d: _round(P.mutation_frequency(A.table(s, d, "lineitem").join(A.table(s, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select(F.concat(F.lit("G"), F.col("l_partkey") % 100).alias("gene"), F.concat(F.lit("C"), "s_nationkey").alias("cancer_code"), F.col("l_orderkey").alias("sample")), A.signals(s, d).groupBy("cancer_code").agg(F.sum("profiled").alias("profiled"))), "frequency"),
-    "p24_molecules": lambda s, d: _round(P.score_molecules(_molecules(s, d)), "qed", "composite").select("id", "violations", "qed", "composite", "rank"),
+    "p24_molecules": lambda s, d: _round(P.score_molecules(_molecules(s, d)), "qed", "composite").select("id", "violations", "qed", "composite", F.col("rank").cast("int").alias("rank")),
     "p25_system_metrics": lambda s, d: _round(P.system_metrics(P.ranked_targets(_facts(s, d), _conflicts(s, d)), _facts(s, d)), "value", n=5),
     "s03_delete_by_key": lambda s, d: S.delete_by_key(A.table(s, d, "orders"), A.table(s, d, "customer").where("c_acctbal < 0").select("c_custkey"), "o_custkey").groupBy("o_orderstatus").agg(F.count("*").alias("n")),
     "s04_upsert": lambda s, d: _round(S.upsert(A.signals(s, d), A.signals(s, d).withColumn("value", F.lit(0.5)).withColumn("gene_symbol", F.when(F.col("profiled") % 3 == 0, F.concat("gene_symbol", F.lit("-new"))).otherwise(F.col("gene_symbol"))), ["gene_symbol", "cancer_code"]), "value").select("gene_symbol", "cancer_code", "value"),

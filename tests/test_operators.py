@@ -11,6 +11,7 @@ from evispark.functions import rules
 from evispark.functions.similarity import jaro_winkler, simhash
 from evispark.operators import checks, dedup, extract, graph, ops, retrieve, score, text
 from evispark.operators.components import connected_components
+from evispark.operators.ranks import row_numbers
 from evispark.sources import files, tables, webpages
 from evispark.streaming import rescore
 
@@ -188,6 +189,21 @@ def test_ranking(spark):
     assert round(row["mean"], 4) == -0.7667 and row["median"] == -0.8
 
 
+def test_places_in_an_order(spark):
+    r = random.Random(4)
+    own = [(i, "big" if i % 3 else f"g{i % 7}", r.choice([None, *range(9)])) for i in range(900)]
+    df = spark.createDataFrame(own, "id long, kind string, v int").repartition(5).withColumn("rank", F.lit(-1))
+    least = lambda t: (t[2] is not None, t[2] or 0, t[0])
+    whole = {t[0]: n for n, t in enumerate(sorted(own, key=least), 1)}
+    assert {t["id"]: t["rank"] for t in row_numbers(df, ["v", "id"]).collect()} == whole
+    falling = sorted(own, key=lambda t: (t[2] is None, -(t[2] or 0), t[0]))
+    assert {t["id"]: t["rank"] for t in row_numbers(df, [F.desc_nulls_last("v"), F.col("id")]).collect()} == {t[0]: n for n, t in enumerate(falling, 1)}
+    grouped = {t["id"]: t["rank"] for t in row_numbers(df, ["v", "id"], ("kind",)).collect()}
+    for kind in {t[1] for t in own}:
+        assert [grouped[t[0]] for t in sorted((t for t in own if t[1] == kind), key=least)] == list(range(1, sum(t[1] == kind for t in own) + 1))
+    assert row_numbers(df.limit(0), ["v", "id"]).count() == 0 and row_numbers(df, ["v"]).columns == ["id", "kind", "v", "rank"]
+
+
 def test_citations(spark):
     assert one(spark, score.citation_count(F.col("a")), a='{"cited_by_count": 7}') == 7
     assert one(spark, score.citation_count(F.col("a")), a="not json") is None
