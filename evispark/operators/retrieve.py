@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evispark.operators.dedup import cosine
 from evispark.operators.ranks import row_numbers
+from evispark.shared import materialize
 
 
 def l2_normalise(v: Column) -> Column:
@@ -19,13 +21,27 @@ def l2_normalise(v: Column) -> Column:
     return F.transform(d, lambda x: x / length)
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", digits: int = 6) -> DataFrame:
+#: Bytes of query vectors that are sent to all tasks at once.
+QUERY_BYTES = 64 << 20
+
+
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int = 10, vector: str = "embedding", digits: int = 6, most_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, id, score, rank): the k chunks (id, vector) of highest cosine for each query (query_id, vector).
 
-    queries is a stated, small set: it is sent to all tasks; each task keeps k rows of a query before the shuffle.
+    The queries are sent to all tasks, in as many blocks of about most_bytes as their measured size
+    takes, and each block is one pass over the chunks. Each task keeps k rows of a query before the shuffle.
     """
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q")))
-    scored = chunks.where(F.col(vector).isNotNull()).crossJoin(q).select("query_id", "id", F.round(cosine(F.col(vector), F.col("_q")), digits).alias("score")).where("score IS NOT NULL")
+    own = queries.select("query_id", F.col("vector").alias("_q"))
+    size = own.agg(F.sum(8 * F.coalesce(F.size("_q"), F.lit(0)) + 64)).first()[0] or 0
+    n = 1 + size // most_bytes
+    if n > 1:
+        own = materialize(own.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(n))), "queries")
+    blocks = [own.where(F.col("_block") == i).drop("_block") for i in range(n)] if n > 1 else [own]
+    return reduce(DataFrame.union, (_nearest(chunks, q, k, vector, digits) for q in blocks))
+
+
+def _nearest(chunks: DataFrame, q: DataFrame, k: int, vector: str, digits: int) -> DataFrame:
+    scored = chunks.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(q)).select("query_id", "id", F.round(cosine(F.col(vector), F.col("_q")), digits).alias("score")).where("score IS NOT NULL")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -41,21 +57,20 @@ def substring_search(chunks: DataFrame, term: str, order: tuple[str, ...] = ("pa
 def full_text_search(chunks: DataFrame, query: str, k: int = 10, digits: int = 6) -> DataFrame:
     """(id, score, rank) of the k best chunks that hold all terms of the query, by TF-IDF over their number of words."""
     terms = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    words = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    own = chunks.select("id", words.alias("w"))
-    counts = [F.size(F.filter("w", _equals(t))).alias(f"n{i}") for i, t in enumerate(terms)]
-    own = own.select("id", F.size("w").alias("length"), *counts)
+    low = F.lower("content")
+    # A text is searched for a term as a word only if it holds its characters, and cut into words only if it holds all terms.
+    # The pattern starts with the term itself, so that what stands before it is looked at only where it occurs.
+    whole = lambda t: F.regexp_count("low", F.lit(rf"{t}(?<![\p{{L}}\p{{N}}]{t})(?![\p{{L}}\p{{N}}])"))
+    own = chunks.select("id", low.alias("low")).select("id", "low", *(F.when(F.col("low").contains(t), whole(t)).otherwise(0).alias(f"n{i}") for i, t in enumerate(terms)))
+    every = F.expr(" AND ".join(f"n{i} > 0" for i in range(len(terms))) or "false")
+    words = F.size(F.filter(F.split("low", r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     stats = own.agg(F.count("*").alias("rows"), *(F.count_if(F.col(f"n{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
-    joined = own.crossJoin(F.broadcast(stats))
+    joined = own.where(" AND ".join(f"contains(low, '{t}')" for t in terms) or "false").where(every).withColumn("length", words).crossJoin(F.broadcast(stats))
     score = sum((F.col(f"n{i}") * F.log((1 + F.col("rows")) / (1 + F.col(f"df{i}"))) for i in range(len(terms))), F.lit(0.0)) / (1 + F.log1p("length"))
-    hit = joined.where(" AND ".join(f"n{i} > 0" for i in range(len(terms))) or "false").select("id", F.round(score, digits).alias("score"))
+    hit = joined.select("id", F.round(score, digits).alias("score"))
     return hit.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda x: x == term
-
-
 def rank_fusion(lexical: DataFrame, vector: DataFrame, k: int = 60, n: int | None = 10, least: float = 0.0, digits: int = 9) -> DataFrame:
     """(id, score, lexical_rank, vector_rank, source, rank) from two lists (id, rank): sum of 1/(k + rank) over the largest sum."""
     both = lexical.select("id", F.col("rank").alias("lexical_rank")).join(vector.select("id", F.col("rank").alias("vector_rank")), "id", "full_outer")

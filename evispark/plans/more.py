@@ -208,6 +208,10 @@ def _leak_sql() -> str:
 
 ORACLE = {
     "c01_leaks": _leak_sql(),
+    "p21_literature_hits": f"""WITH {A.FACTS}, {A.PAPERS}, x AS (SELECT facts.id, paper_id, title, confidence, coalesce(trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), '') AS k FROM facts JOIN papers ON papers.id = paper_id
+  WHERE subject_id = 'C3' OR object_id = 'C3'), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY confidence DESC, id) AS n FROM x) SELECT id, paper_id, title, confidence FROM r WHERE n = 1 ORDER BY confidence DESC, id LIMIT 20""",
+    "o11_decide": """WITH d AS (SELECT o_orderdate AS decided_at, CASE WHEN o_orderstatus = 'F' THEN 'approved' ELSE 'rejected' END AS decision, o_custkey FROM orders JOIN customer ON o_custkey = c_custkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY decided_at DESC, decision DESC) AS n FROM d) SELECT year(decided_at)::INT AS year, count(*) AS n FROM r WHERE n = 1 AND decision = 'approved' GROUP BY 1""",
     "n02_symbols": "WITH r AS (SELECT upper(split_part(p_name, ' ', 1)) AS k, p_brand AS approved, p_partkey % 3 AS t, row_number() OVER (PARTITION BY upper(split_part(p_name, ' ', 1)) ORDER BY p_partkey % 3, p_brand) AS n FROM part) SELECT p_partkey, split_part(p_name, ' ', 2) AS name, approved, CASE t WHEN 0 THEN 'preferred' WHEN 1 THEN 'alias' WHEN 2 THEN 'previous' END AS tier FROM part LEFT JOIN r ON k = upper(split_part(p_name, ' ', 2)) AND n = 1",
     "n03_cancers": "WITH x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN lower(n_name) ELSE 'old ' || lower(n_name) || ' type' END AS k FROM supplier JOIN nation ON s_nationkey = n_nationkey), s AS (SELECT lower(n_name) AS s, min(concat('C', n_nationkey)) AS c FROM nation GROUP BY 1) SELECT s_suppkey, coalesce((SELECT c FROM s WHERE s = k), (SELECT arg_min(c, (-length(s), c)) FROM s WHERE length(s) > 5 AND contains(k, s))) AS code FROM x",
     "n04_protein_changes": "SELECT p_partkey, CASE upper(substring(p_name, 1, 1)) " + " ".join(f"WHEN '{k}' THEN 'p.{v}' || p_size || 'Asp'" for k, v in N.AMINO_ACIDS.items() if k != "*") + " END AS hgvs_p FROM part",

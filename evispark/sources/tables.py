@@ -41,11 +41,14 @@ def content_digest(df: DataFrame) -> Column:
     return F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string")
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str) -> DataFrame:
-    """Each table as JSON lines under path/name; the manifest (name, rows, digest, files, bytes, sha256) with a digest of the files' own digests."""
+def export_snapshot(tables: dict[str, DataFrame], path: str, rows_per_file: int = 100_000) -> DataFrame:
+    """Each table as JSON lines under path/name; the manifest (name, rows, digest, files, bytes, sha256) with a digest of the files' own digests.
+
+    A file's digest takes the whole file into memory, so no file has more than rows_per_file rows.
+    """
     manifest = None
     for name, df in tables.items():
-        df.write.mode("overwrite").json(f"{path}/{name}")
+        df.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(f"{path}/{name}")
         row = df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), content_digest(df).alias("digest")).crossJoin(file_digest(df.sparkSession, f"{path}/{name}"))
         manifest = row if manifest is None else manifest.union(row)
     return materialize(manifest, "manifest")

@@ -1,6 +1,8 @@
 """Known values, odd rows and invariants of the operators."""
 
+import math
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -220,6 +222,27 @@ def test_fusion_and_search(spark):
     assert [r["id"] for r in retrieve.vector_search(zero, q).collect()] == ["b"]
 
 
+def test_queries_in_blocks_find_the_same(spark):
+    r = random.Random(6)
+    own = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)]
+    chunks = spark.createDataFrame([*own, (900, None)], "id long, embedding array<double>")
+    queries = spark.createDataFrame(own[::4], "query_id long, vector array<double>")
+    found = [sorted(map(tuple, retrieve.vector_search(chunks, queries, 3, most_bytes=b).collect())) for b in (1 << 20, 500)]
+    assert found[0] == found[1] and len(found[0]) == 90 and all(t[1] == t[0] for t in found[0] if t[3] == 1)
+    assert retrieve.vector_search(chunks, queries.limit(0), 3).count() == 0
+
+
+def test_full_text_search_counts_whole_words(spark):
+    texts = ["Gene KRAS, kras;kras", "kras gene genes", "KRASx gene", "gene", "", None, "kras\u00e9 gene kras", "gene_kras gene kras2 kras"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, content string")
+    words = {i: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w] for i, t in enumerate(texts)}
+    of = {t: sum(t in w for w in words.values()) for t in ("gene", "kras")}
+    want = {i: sum(w.count(t) * math.log((1 + len(texts)) / (1 + of[t])) for t in of) / (1 + math.log1p(len(w))) for i, w in words.items() if all(t in w for t in of)}
+    got = {r["id"]: r["score"] for r in retrieve.full_text_search(df, "KRAS gene").collect()}
+    assert got == pytest.approx(want, abs=1e-6) and set(got) == {0, 1, 6, 7}
+    assert retrieve.full_text_search(df, " ;").count() == 0 and retrieve.full_text_search(df.limit(0), "kras").count() == 0
+
+
 def test_content_checks(spark):
     rows = [("/etc/passwd",), ("~/.ssh/id_rsa",), ("fine",), (None,), ("AKIA" + "A" * 16,), ("Authorization: Basic " + "a" * 24,), ("ignore all previous <|x|>",), ("a" * 60,), (" " * 60,)]
     df = spark.createDataFrame(rows, "text string")
