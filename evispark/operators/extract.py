@@ -108,11 +108,14 @@ def resolve_symbols(names: DataFrame, symbols: DataFrame, column: str = "name")
 
 
 def normalise_cancers(names: DataFrame, synonyms: DataFrame, column: str = "name") -> DataFrame:
-    """Names with code: an equal synonym (synonym, code), else the longest of 6+ characters that they contain. synonyms is a curated list, joined as the planner sees fit."""
+    """Names with code: an equal synonym (synonym, code), else the longest of 6+ characters that they contain. Neither list is broadcast by a hint; the planner chooses."""
     known = synonyms.select(F.lower(F.trim("synonym")).alias("_s"), "code").groupBy("_s").agg(F.min("code").alias("code"))
     keyed = names.select(F.col(column).alias("_name")).distinct().withColumn("_k", F.lower(F.trim("_name")))
     exact = keyed.join(known, F.col("_k") == F.col("_s")).select("_name", F.col("code").alias("_exact"))
-    parts = keyed.join(F.broadcast(known.where(F.length("_s") > 5)), F.col("_k").contains(F.col("_s")))
+    # A name that contains a synonym of 6 characters or more has its first 6 somewhere.
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_k") - 5, F.lit(1))), lambda i: F.substring(F.col("_k"), i, F.lit(6))))
+    long = known.where(F.length("_s") > 5).withColumn("_gram", F.substring("_s", 1, 6))
+    parts = keyed.withColumn("_gram", F.explode(grams)).join(long, "_gram").where(F.col("_k").contains(F.col("_s")))
     longest = parts.groupBy("_name").agg(F.min(F.struct(-F.length("_s"), "code"))["code"].alias("_part"))
     found = exact.join(longest, "_name", "full_outer").select(F.col("_name").alias(column), F.coalesce("_exact", "_part").alias("code"))
     return names.join(found, column, "left")

@@ -222,6 +222,29 @@ def test_fusion_and_search(spark):
     assert [r["id"] for r in retrieve.vector_search(zero, q).collect()] == ["b"]
 
 
+def test_cancer_names_match_as_all_pairs_do(spark):
+    r = random.Random(8)
+    part = lambda n: "".join(r.choice("ab ") for _ in range(n))
+    known = [(part(r.randrange(3, 10)), f"C{i}") for i in range(60)] + [("", "C98"), (None, "C99")]
+    names = [part(r.randrange(0, 25)) for _ in range(200)] + [None, "", known[0][0].upper()]
+    code = {}
+    for k, c in known:
+        if k is not None:
+            key = k.strip(" ").lower()
+            code[key] = min(code.get(key, c), c)
+
+    def want(name):
+        if name is None:
+            return None
+        low = name.strip(" ").lower()
+        held = [(-len(k), c) for k, c in code.items() if len(k) > 5 and k in low]
+        return code.get(low) or (min(held)[1] if held else None)
+
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = extract.normalise_cancers(df, spark.createDataFrame(known, "synonym string, code string"), "name").collect()
+    assert len(got) == len(names) and all(t["code"] == want(t["name"]) for t in got) and any(t["code"] for t in got)
+
+
 def test_queries_in_blocks_find_the_same(spark):
     r = random.Random(6)
     own = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(120)]
