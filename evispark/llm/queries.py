@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark.llm import decontam, fuzzyhash, jaccard, langid, license, mixing, pii, quality, secrets, wrappers
+from evispark.llm import decontam, fuzzyhash, jaccard, langid, lexical, license, mixing, negatives, pii, quality, secrets, topk, wrappers
 from evispark.llm.texts import part_of_id, read_table
 
 
@@ -56,6 +56,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (part_of_id("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10, scale=1024)
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, scale=256, label=label)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 4 over four scans on one ledger: documents, the same again with conversations, pages, and documents by new rules."""
     docs = read_table(spark, sf_dir, "documents").select("text")
@@ -64,7 +79,7 @@ def secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.ledger_growth([("1 documents", docs, "1"), ("2 with conversations", docs.union(talks), "1"), ("3 pages", pages, "1"), ("4 new rules", docs, "2")])
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality, secrets_ledger)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality, op11_topk, op12_negatives, op13_lexical, secrets_ledger)}
 
 #: Words of a text with A-Z in lower case.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -122,4 +137,30 @@ fresh AS (SELECT scan, count(*) AS n_scanned FROM first GROUP BY scan)
 SELECT b.scan, b.rules_version, count(*) AS n_versions, count(DISTINCT blob) AS n_blobs, coalesce(any_value(n_scanned), 0)::BIGINT AS n_scanned
 FROM b LEFT JOIN fresh USING (scan) GROUP BY b.scan, b.rules_version"""
 
-ORACLE: dict[str, str] = {"secrets_ledger": _LEDGER, "op5_licenses": _OP5, "op7_decontamination": _OP7, "op9_jaccard": _OP9}
+#: Rows of embeddings without a null or a component that is not finite, as whole numbers; their products are exact in doubles.
+_NUMBERS = "list_transform(embedding, lambda x: floor({} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+_OP11 = f"""
+WITH e AS (SELECT vec_id, {_NUMBERS.format(1024)}),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, list_inner_product(q.v, e.v)::BIGINT AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM s QUALIFY rank <= 10"""
+
+_OP12 = f"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, {_NUMBERS.format(256)} AND label IS NOT NULL),
+s AS (SELECT q.vec_id AS anchor_id, e.vec_id, q.label = e.label AS same, list_inner_product(q.v, e.v)::BIGINT AS score FROM e JOIN e q ON q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+_OP13 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT DISTINCT item_id, unnest({_WORDS}) AS term FROM benchmark),
+total AS (SELECT count(*) FILTER (len(w) > 0)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d),
+token AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d),
+tf AS (SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM token SEMI JOIN item USING (term) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term),
+gain AS (SELECT doc_id, term, w * (1000000000 * tf // (1000 * tf + 20 * (50 + 50 * n * nn // ll))) AS gain FROM tf JOIN weight USING (term), total),
+s AS (SELECT item_id, doc_id, sum(gain)::BIGINT AS score FROM gain JOIN item USING (term) GROUP BY ALL HAVING sum(gain) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s QUALIFY rank <= 50"""
+
+ORACLE: dict[str, str] = {"op11_topk": _OP11, "op12_negatives": _OP12, "op13_lexical": _OP13, "secrets_ledger": _LEDGER, "op5_licenses": _OP5, "op7_decontamination": _OP7, "op9_jaccard": _OP9}
