@@ -78,11 +78,9 @@ def simhash(text: str) -> int:
     words = [w for w in text.lower().split() if w not in rules.SIMHASH_STOP_WORDS]
     if not words:
         return 0
-    hashes = np.array([_fnv64(w.encode()) for w in words], np.uint64)
-    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-    votes = 2 * bits.sum(axis=0).astype(np.int64) - len(words)
-    value = sum(1 << i for i in range(64) if votes[i] > 0)
-    return value - (1 << 64) if value >> 63 else value
+    hashes = np.array([_fnv64(w.encode()) for w in words], "<u8")
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0])
 
 
 def simhash_column(text: Column, clamp: bool = False) -> Column:

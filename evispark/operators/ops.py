@@ -162,12 +162,23 @@ def estimate_factors(estimates: DataFrame, alpha: float = 0.1, least: int = 5) -
     An average that starts at x0 and takes x1 to xn is x0 (1-a)^n plus the sum of a (1-a)^(n-i) xi, so
     a category's rows are summed with their rank and never gathered.
     """
-    ratio = lambda a, e: F.coalesce(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(e).cast("double"), F.lit(0.0))), F.lit(1.0))
-    own = estimates.where("actual_cost IS NOT NULL AND actual_time_secs IS NOT NULL")
+    own = estimate_ratios(estimates)
     back = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("created_at"), F.desc("id"))) - 1
-    own = own.select("category", ratio("actual_cost", "estimated_cost").alias("c"), ratio("actual_time_secs", "estimated_time_secs").alias("t"), (alpha * F.pow(F.lit(1 - alpha), back)).alias("w"))
+    own = own.select("category", "c", "t", (alpha * F.pow(F.lit(1 - alpha), back)).alias("w"))
     left = F.pow(F.lit(1 - alpha), F.count("*"))
     out = own.groupBy("category").agg(F.count("*").alias("n"), (left + F.sum(F.col("w") * F.col("c"))).alias("cost_factor"), (left + F.sum(F.col("w") * F.col("t"))).alias("time_factor"), F.sum(F.col("w") * F.abs(F.col("c") - 1)).alias("cost_error"), F.sum(F.col("w") * F.abs(F.col("t") - 1)).alias("time_error"))
+    return estimate_confidence(out, least)
+
+
+def estimate_ratios(estimates: DataFrame) -> DataFrame:
+    """Estimates with actual values, and c and t: actual over estimated cost and time, 1 where nothing was estimated."""
+    ratio = lambda a, e: F.coalesce(F.try_divide(F.col(a).cast("double"), F.nullif(F.col(e).cast("double"), F.lit(0.0))), F.lit(1.0))
+    own = estimates.where("actual_cost IS NOT NULL AND actual_time_secs IS NOT NULL")
+    return own.withColumns({"c": ratio("actual_cost", "estimated_cost"), "t": ratio("actual_time_secs", "estimated_time_secs")})
+
+
+def estimate_confidence(out: DataFrame, least: int = 5) -> DataFrame:
+    """Factors with confidence, by how many estimates there were and how far off."""
     confidence = 0.5 + 0.3 * F.least(F.col("n") / 100.0, F.lit(1.0)) + 0.2 * (1 - F.least((F.col("cost_error") + F.col("time_error")) / 2, F.lit(1.0)))
     return out.withColumn("confidence", F.when(F.col("n") >= least, confidence).otherwise(0.3))
 

@@ -107,11 +107,16 @@ def parse_quality(sections: DataFrame, least_sections: int = 2, least_chars: int
     return own.select("paper_id", "n_sections", "n_chars", ok.alias("quality_ok"), (F.col("n_chars") < light).alias("light_path"), F.when(ok, "parsed").otherwise("parsed_light").alias("parse_status"))
 
 
+def chunk_fingerprint(content: Column) -> Column:
+    """SHA-256 of the first 512 bytes."""
+    return F.sha2(F.substring(content.cast("binary"), 1, 512), 256)
+
+
 def first_chunks(chunks: DataFrame, scope: str = "global", order: tuple[str, ...] = ("paper_id", "chunk_index")) -> DataFrame:
     """Chunks whose first 512 bytes were not seen before in the scope: off, paper or global."""
     if scope == "off":
         return chunks
-    key = F.sha2(F.substring(F.col("content").cast("binary"), 1, 512), 256)
+    key = chunk_fingerprint(F.col("content"))
     firsts = chunks.groupBy(*(["paper_id"] if scope == "paper" else []), key.alias("_key")).agg(F.min(F.struct(*order)).alias("_first")).select(*(F.col("_first")[c].alias(c) for c in order))
     return chunks.join(firsts, list(order), "left_semi").select(*chunks.columns)
 
