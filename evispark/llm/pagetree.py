@@ -6,24 +6,30 @@ import html
 import re
 import sys
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from xxhash import xxh3_64_hexdigest
 
 #: Fixed values of HTML: elements without content, elements whose content is not markup, elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q ruby rp rt s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mspace mstyle mtable mtr mtd".split())
 #: What starts inside an open paragraph or item and ends it.
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 ENDS_SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("html body article aside div section main nav header footer form table ul ol dl td th li blockquote figure details fieldset".split())
 #: Elements that are not the article; a form can hold a whole page, so it is only likely not to be.
 NOT_ARTICLE, LIKELY_NOT = frozenset("nav footer aside button dialog menu head".split()), frozenset(["form"])
-#: A class, id or role says what is not the article if all its words are of these lists, and one of the first two; the second is less sure.
-CERTAIN_WORDS = frozenset("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer login masthead menu nav navbar navigation newsletter pager pagination replies reply sidebar signup sponsor sponsored subscribe subscription".split())
-LIKELY_WORDS = frozenset("banner modal notice overlay popup promo promoted related respond share sharing social widget".split())
+#: A class, id or role says what is not the article if one of these words is in it, unless a word beside it says that there is none of it or that it is open.
+SURE_WORDS = frozenset("ad adbox ads adsbox adsense adslot adunit advert adverts advertisement advertisements advertising breadcrumb breadcrumbs commentarea commentbox commentform commentlist comments commentsection cookies dfp disqus masthead navbar newsletter outbrain pager sidebar sponsored taboola".split())
+QUALIFIERS = frozenset("closed disabled enabled has no not open with without".split())
+#: Or if all its words are of these lists, and one of the first two; the second is less sure.
+CERTAIN_WORDS = frozenset("comment complementary consent contentinfo cookie footer login pagination replies reply signup sponsor subscribe subscription".split()) | SURE_WORDS
+LIKELY_WORDS = frozenset("banner menu modal nav navigation notice overlay popup promo promoted related respond share sharing social widget".split())
 COMPANIONS = frozenset("area article articles bar block body bottom box btn button buttons container content form global header home icons inline inner item items js left link links list listing main message middle outer page panel post posts primary right row secondary section site slot text the thread title top unit widgets wrap wrapper".split())
+#: What these elements hold is text, so their names tell little; but an advert may be one.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dd dt figcaption caption".split())
 #: Elements nested deeper than this stand beside each other, as in browsers.
 MAX_OPEN = 512
 CERTAIN, LIKELY = 2, 1
@@ -33,20 +39,27 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _CUT = re.compile(r"<[/!?A-Za-z][^<>]*\Z")
 _WORD = re.compile(r"[a-z0-9]+")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+class Link(str):
+    """A text all of which is in a link."""
 
 
 class Node:
     """A block element, or a text among elements (sign "#").
 
-    items are its texts or child nodes in page order, never both. marked says how sure its names make
-    it that it is no part of an article, scope which element it stands in: 0 none, 1 main, or the
-    number of an outermost article element. digest stands for all its texts, shape for its structure.
+    items are its texts or child nodes in page order, never both. marked says how sure it is that it or
+    what it stands in is no part of an article: told by its kind, and named by its names, which count
+    for nothing if it holds the main element or the first article. scope is which element it stands in: 0 none, 1
+    main, or the number of an outermost article element. digest stands for all its texts, shape for its structure.
     """
 
-    __slots__ = ("digest", "items", "marked", "scope", "shape", "sign")
+    __slots__ = ("digest", "holds", "items", "marked", "named", "scope", "shape", "sign")
 
     def __init__(self, sign: str, marked: int, scope: int) -> None:
         self.sign, self.marked, self.scope, self.items = sign, marked, scope, []
+        self.named, self.holds = 0, False
         self.digest, self.shape = "", 0
 
 
@@ -54,7 +67,9 @@ def told_by(names: list[str]) -> int:
     """How sure class, id and role names make it that this is a menu, an advert, comments or the like."""
     found = 0
     for name in names:
-        parts = [p for p in _WORD.findall(name) if not p.isdigit()]
+        parts = [p.lower() for p in _PART.findall(name)]
+        if not SURE_WORDS.isdisjoint(parts) and QUALIFIERS.isdisjoint(parts):
+            return CERTAIN
         if all(p in CERTAIN_WORDS or p in LIKELY_WORDS or p in COMPANIONS for p in parts):
             if not CERTAIN_WORDS.isdisjoint(parts):
                 return CERTAIN
@@ -68,18 +83,22 @@ def parse(page: str) -> list[Node]:
     nodes, articles, beyond = [root], 1, 0
     stack: list[tuple[str, Node]] = [("", root)]
     line: list[str] = []
+    links, plain = 0, False
 
     def flush() -> None:
+        nonlocal plain
         if line:
             text = " ".join(html.unescape("".join(line)).split())
             if text:
-                stack[-1][1].items.append(text)
+                stack[-1][1].items.append(text if plain else Link(text))
             line.clear()
+        plain = False
 
     at, find = 0, _TOKEN.search
     while (m := find(page, at)) is not None:
         if m.start() > at:
             line.append(page[at : m.start()])
+            plain = plain or not (links or line[-1].isspace())
         at = m.end()
         name = m[2]
         if name is None:
@@ -94,6 +113,8 @@ def parse(page: str) -> list[Node]:
             if name in INLINE:
                 if name == "br":
                     line.append(" ")
+                elif name == "a":
+                    links += 1
                 continue
             flush()
             if name in ENDS_P:
@@ -103,22 +124,23 @@ def parse(page: str) -> list[Node]:
             if name in VOID:
                 continue
             above = stack[-1][1]
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).lower().split() if "=" in m[3] else []
+            written = " ".join(a or b or c for a, b, c in _NAMES.findall(m[3])).split() if "=" in m[3] else []
+            names = [n.lower() for n in written]
             scope = above.scope
             if name == "article" and scope < 2:
                 articles += 1
                 scope = articles
             elif scope == 0 and (name == "main" or ("main" in names and "role" in m[3])):
                 scope = 1
-            marked = above.marked
-            if name in NOT_ARTICLE or (above.scope == 0 and name == "header") or _HIDDEN.search(m[3]):
-                marked = CERTAIN
-            elif names and name not in ("html", "body"):
-                marked = max(marked, told_by(names), CERTAIN * (above.scope == 0 and "header" in names))
-            if name in LIKELY_NOT:
-                marked = max(marked, LIKELY)
+            marked = CERTAIN if name in NOT_ARTICLE or (above.scope == 0 and name == "header") or _HIDDEN.search(m[3]) else 0
+            named = LIKELY if name in LIKELY_NOT else 0
+            if names and name not in ("html", "body"):
+                named = max(named, told_by(written), CERTAIN * (above.scope == 0 and "header" in names))
+                if name in TEXTS and above.scope > 1 and not {"ad", "ads", "advert"} & {w for n in names for w in _WORD.findall(n)}:
+                    named = 0
             words = sorted({w for n in names for w in _WORD.findall(n) if w.isalpha()})
             node = Node(".".join([name, *words]), marked, scope)
+            node.named, node.holds = named, above.scope != scope <= 2
             above.items.append(node)
             nodes.append(node)
             if not m[3].endswith("/"):
@@ -126,7 +148,9 @@ def parse(page: str) -> list[Node]:
                     stack.append((name, node))
                 else:
                     beyond += 1
-        elif name not in INLINE:
+        elif name in INLINE:
+            links = max(0, links - (name == "a"))
+        else:
             flush()
             if beyond:
                 beyond -= 1
@@ -139,7 +163,17 @@ def parse(page: str) -> list[Node]:
                     break
     # A tag that the page's end cuts off is no text.
     line.append(_CUT.sub("", page[at:]))
+    plain = plain or not (links or line[-1].isspace())
     flush()
+    inside: set[int] = set()
+    for node in reversed(nodes):
+        if any(isinstance(x, Node) and (x.holds or id(x) in inside) for x in node.items):
+            inside.add(id(node))
+    for node in nodes:
+        node.marked = max(node.marked, 0 if id(node) in inside else node.named)
+        for x in node.items:
+            if isinstance(x, Node):
+                x.marked = max(x.marked, node.marked)
     for node in reversed(nodes):
         _finish(node)
     return nodes
@@ -162,7 +196,7 @@ def _finish(node: Node) -> None:
     if Node not in kinds:
         node.digest, node.shape = xxh3_64_hexdigest("\n".join(items).encode("utf-8", "surrogatepass")), hash(node.sign)
         return
-    if str in kinds:
+    if len(kinds) > 1:
         for i, x in enumerate(items):
             if isinstance(x, str):
                 items[i] = own = Node("#", node.marked, node.scope)
@@ -377,51 +411,67 @@ def compare(reference: Outline, page: Outline) -> list[tuple[int, bool, list[Nod
     return out
 
 
-def texts_of(root: Node, template: set[int], least_mark: int) -> list[tuple[int, str]]:
-    """(scope, text) in page order, without nodes marked that much and nodes whose id() is in template."""
-    todo, found = [root], []
+class Text(NamedTuple):
+    """A text with the scope, mark and kind of element it stands in."""
+
+    scope: int
+    marked: int
+    heading: str
+    text: str
+
+
+#: A text of so many code points is prose.
+PROSE = 80
+
+
+def texts_of(root: Node, template: set[int]) -> list[Text]:
+    """Texts in page order, without nodes that are certainly not the article and nodes whose id() is in template."""
+    todo, found = [(root, "")], []
     while todo:
-        x = todo.pop()
-        if x.marked < least_mark and id(x) not in template:
+        x, heading = todo.pop()
+        if x.marked < CERTAIN and id(x) not in template:
+            name = x.sign.split(".", 1)[0]
+            heading = name if name in HEADINGS else heading
             if x.items and isinstance(x.items[0], Node):
-                todo += reversed(x.items)
+                todo += [(c, heading) for c in reversed(x.items)]
             else:
-                found += [(x.scope, t) for t in x.items]
+                found += [Text(x.scope, x.marked, heading, t) for t in x.items]
     return found
 
 
-#: A text of so many code points is prose; so much more prose outside article elements makes these teasers of other pages.
-PROSE, MORE = 80, 2
+HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 
 
-def story(found: list[tuple[int, str]]) -> list[str]:
-    """Of (scope, text) those of the article: its article elements, unless far more prose stands outside; then its main element on the same terms; else all."""
-    size, prose = {"article": 0, "main": 0, "": 0}, {"article": 0, "main": 0, "": 0}
-    kind = lambda scope: "article" if scope > 1 else "main" if scope else ""
-    for scope, text in found:
-        size[kind(scope)] += len(text)
-        prose[kind(scope)] += len(text) * (len(text) >= PROSE)
-    if size["article"] and prose["main"] + prose[""] <= MORE * size["article"]:
-        # One article that outweighs all others together is the story, the rest teasers.
-        each: dict[int, int] = {}
-        for scope, text in found:
-            if scope > 1:
-                each[scope] = each.get(scope, 0) + len(text)
-        top = max(each, key=lambda s: (each[s], -s))
-        whole = each[top] <= MORE * (size["article"] - each[top])
-        return [text for scope, text in found if scope > 1 and (whole or scope == top)]
-    wanted = ("main",) if size["main"] and prose[""] <= MORE * size["main"] else ("main", "")
-    return [text for scope, text in found if kind(scope) in wanted]
+def story(found: list[Text]) -> list[str]:
+    """The texts of the article: all its article elements and the page's h1 in the main element around them; else its main element; else all.
+
+    An article element that holds nothing but headings and links is a teaser of another page, and so is one that
+    begins with a link, where another one does not; teasers count only where there is nothing else.
+    """
+    articles: dict[int, list[Text]] = {}
+    for x in found:
+        if x.scope > 1:
+            articles.setdefault(x.scope, []).append(x)
+    told = {s for s, own in articles.items() if any(not x.heading and not isinstance(x.text, Link) for x in own)}
+    plain = {s for s in told if not isinstance(articles[s][0].text, Link)}
+    if kept := plain or told:
+        return [x.text for x in found if x.scope in kept or (x.scope == 1 and x.heading == "h1")]
+    outside = [x for x in found if x.scope <= 1]
+    main = [x for x in outside if x.scope == 1]
+    if any(not isinstance(x.text, Link) and not x.heading for x in outside) or not articles:
+        return [x.text for x in main or outside]
+    return [x.text for x in found if x.scope > 1]
 
 
 def main_blocks(root: Node, template: set[int]) -> list[str]:
     """The article's texts in page order, without what the host's template and the names of elements exclude.
 
-    Where nothing is left, pages of the host are copies of one article, and names alone decide; where
-    that leaves nothing either, prose in elements that are only likely not to be the article is taken.
+    What names only make likely not to be the article is left out, unless the host's pages tell that it
+    varies, and it is prose and no link. Where nothing is left, pages of the host are copies of one article, and
+    names alone decide; where that leaves nothing either, what is likely not the article is taken.
     """
+    weak = lambda x: x.marked == LIKELY and not (template and len(x.text) >= PROSE and not isinstance(x.text, Link))
     for dropped in (template, set()) if template else (template,):
-        if found := story(texts_of(root, dropped, LIKELY)):
+        if found := story([x for x in texts_of(root, dropped) if not weak(x)]):
             return found
-    found = story(texts_of(root, template, CERTAIN))
-    return found if sum(len(t) for t in found if len(t) >= PROSE) >= MORE * PROSE else []
+    return story(texts_of(root, template))
