@@ -73,14 +73,45 @@ def _fnv64(word: bytes) -> int:
     return h
 
 
+#: Words of more bytes are hashed one by one, texts in groups of about so many characters.
+LONG_WORD, GROUP = 64, 1 << 18
+
+
+def _hashes(words: list[str]) -> np.ndarray:
+    """FNV-1a of all words: one step for each place in a word, over all words that reach it."""
+    data = [w.encode() for w in words]
+    sizes = np.array([len(b) for b in data])
+    order = np.argsort(-sizes, kind="stable")
+    starts, joined = (np.cumsum(sizes) - sizes)[order], np.frombuffer(b"".join(data), np.uint8).astype("<u8")
+    out = np.full(len(data), 14695981039346656037, "<u8")
+    long = int((sizes > LONG_WORD).sum())
+    reach = np.searchsorted(-sizes[order], -np.arange(LONG_WORD), "left")
+    for i, n in enumerate(reach.tolist()):
+        if n <= long:
+            break
+        out[long:n] = (out[long:n] ^ joined[starts[long:n] + i]) * np.uint64(1099511628211)
+    out[:long] = [_fnv64(data[k]) for k in order[:long]]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def simhashes(texts: list[str]) -> list[int]:
+    """Of each text 64 bits by majority of the FNV-1a hashes of lower-cased words that are not stop words, as a signed integer."""
+    counts = [Counter(w for w in t.lower().split() if w not in rules.SIMHASH_STOP_WORDS) for t in texts]
+    place = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+    if not place:
+        return [0] * len(texts)
+    bits = np.unpackbits(_hashes(list(place)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
+    out = []
+    for c in counts:
+        ones = np.fromiter(c.values(), np.float64, len(c)) @ bits[[place[w] for w in c]] if c else np.zeros(64)
+        out.append(int(np.packbits(2 * ones > c.total(), bitorder="little").view("<i8")[0]))
+    return out
+
+
 def simhash(text: str) -> int:
-    """64 bits by majority of the FNV-1a hashes of lower-cased words that are not stop words, as a signed integer."""
-    words = [w for w in text.lower().split() if w not in rules.SIMHASH_STOP_WORDS]
-    if not words:
-        return 0
-    hashes = np.array([_fnv64(w.encode()) for w in words], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(words), bitorder="little").view("<i8")[0])
+    return simhashes([text])[0]
 
 
 def simhash_column(text: Column, clamp: bool = False) -> Column:
@@ -88,7 +119,13 @@ def simhash_column(text: Column, clamp: bool = False) -> Column:
 
     @F.pandas_udf("long")
     def of(x: pd.Series) -> pd.Series:
-        return x.fillna("").map(simhash)
+        texts, out, start, size = x.fillna("").tolist(), [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= GROUP or end == len(texts):
+                out += simhashes(texts[start:end])
+                start, size = end, 0
+        return pd.Series(out, dtype="int64")
 
     out = of(text)
     return F.when(out < 0, F.lit((1 << 63) - 1)).otherwise(out) if clamp else out

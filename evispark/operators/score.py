@@ -262,13 +262,14 @@ def flags() -> Column:
 def final_ranking(df: DataFrame, score: str = "composite_score", second: str = "adjusted_score", gene_col: str = "gene", n: int | None = None, digits: int = 9) -> DataFrame:
     """Rank and percentile 100 * (1 - i/N) in order of score, second, gene; the first n."""
     order = [F.desc(F.round(score, digits)), F.desc(F.round(second, digits)), F.col(gene_col)]
-    own = materialize(df, "ranking")
-    total = own.count()
     if n:
-        out = own.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        # A report of n rows needs of the others only how many there are.
+        out = df.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        total = df.agg(F.count("*").alias("_total"))
     else:
-        out = row_numbers(own, order)
-    return out.withColumn("percentile", 100.0 * (1 - (F.col("rank") - 1) / total))
+        own = materialize(df, "ranking")
+        out, total = row_numbers(own, order), own.agg(F.count("*").alias("_total"))
+    return out.crossJoin(F.broadcast(total)).withColumn("percentile", 100.0 * (1 - (F.col("rank") - 1) / F.col("_total"))).drop("_total")
 
 
 def ranked_targets(facts: DataFrame, conflict: DataFrame, n: int | None = None, gene: str = "", cancer: str = "") -> DataFrame:
