@@ -140,3 +140,74 @@ def validate_text(df: DataFrame, text: str = "text", least: int = 1, most: int =
         F.when(n == 0, "empty"), F.when((n > 0) & (n < least), "too_short"), F.when(n > most, "too_long"), F.when(t.contains("\x00"), "null_bytes"), *(F.when(F.lower(t).contains(p.lower()), f"forbidden:{p}") for p in forbidden),
         F.when((n >= 50) & (spaces / F.greatest(F.length(t), F.lit(1)) > 0.9), "whitespace"), F.when((n >= 50) & t.rlike(r"(?s)(.)\1{20,}"), "repetition"),
     )))
+
+
+#: Bytes of a table of rules, which all workers hold.
+RULE_BYTES = 32 << 20
+
+
+def required_literal(pattern: str) -> str:
+    """The longest text, in lower case, that every match of the pattern holds at one place; empty if there is none."""
+    from re import _constants as kind, _parser
+
+    best, run = "", ""
+    todo = list(_parser.parse(pattern))
+    while todo:
+        op, value = todo.pop(0)
+        if op is kind.LITERAL and value < 128:
+            run += chr(value).lower()
+        elif op is kind.SUBPATTERN:
+            todo = [*value[3], *todo] if len(value[3]) and not any(o is kind.BRANCH for o, _ in value[3]) else [(None, None), *todo]
+            continue
+        elif op is kind.AT:
+            continue
+        else:
+            best, run = max(best, run, key=len), ""
+            if op in (kind.MAX_REPEAT, kind.MIN_REPEAT) and value[0] > 0 and all(o is kind.LITERAL and v < 128 for o, v in value[2]):
+                best = max(best, "".join(chr(v).lower() for _, v in value[2]), key=len)
+    return max(best, run, key=len)
+
+
+def scan_rules(df: DataFrame, rules: DataFrame, id_col: str, text: str = "text", max_bytes: int = RULE_BYTES) -> DataFrame:
+    """(id, names, n, max_severity, blocked) of texts by a table of rules (name, pattern, severity, action), any number of them.
+
+    The table, of a checked size, goes to all workers, and each compiles it once, in Python's dialect with
+    ASCII classes. One automaton finds which of the literal texts that patterns require stand in a text;
+    only rules whose literal does, and those that require none, are tried. names are sorted; of equal rules
+    each counts; a null text has none.
+    """
+    own = rules.select("name", "pattern", "severity", "action").where("name IS NOT NULL AND pattern IS NOT NULL")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("pattern") + F.octet_length("name") + 64), F.lit(0))).first()[0]
+    if size > max_bytes:
+        raise ValueError(f"the rules have {size} bytes, more than {max_bytes}; split them")
+    shared = df.sparkSession.sparkContext.broadcast(sorted(tuple(r) for r in own.collect()))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        import ahocorasick
+
+        automaton, always = ahocorasick.Automaton(), []
+        by_literal: dict[str, list[int]] = {}
+        compiled = [re.compile(p, re.A) for _, p, _, _ in shared.value]
+        for i, (_, p, _, _) in enumerate(shared.value):
+            literal = required_literal(p)
+            by_literal.setdefault(literal, []).append(i) if len(literal) > 1 else always.append(i)
+        for literal, which in by_literal.items():
+            automaton.add_word(literal, which)
+        automaton.make_automaton()
+        for batch in batches:
+            names, worst, blocked = [], [], []
+            for t in batch.column(1).to_pylist():
+                likely = set(always if t else ())
+                for _, which in automaton.iter(t.lower()) if t and by_literal else ():
+                    likely.update(which)
+                hit = [shared.value[i] for i in sorted(likely) if compiled[i].search(t)]
+                names.append([r[0] for r in hit])
+                level = max((SEVERITIES.index(r[2]) for r in hit if r[2] in SEVERITIES), default=-1)
+                worst.append(SEVERITIES[level] if level >= 0 else None)
+                blocked.append(any(r[3] == "block" for r in hit))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.list_(pa.string())), pa.array([len(x) for x in names], pa.int32()), pa.array(worst, pa.string()), pa.array(blocked, pa.bool_())], [id_col, "names", "n", "max_severity", "blocked"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, F.col(text).cast("string")).mapInArrow(work, f"`{id_col}` {kind}, names array<string>, n int, max_severity string, blocked boolean")

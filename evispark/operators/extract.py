@@ -231,11 +231,23 @@ def gene_candidates(chunks: DataFrame, mentions: DataFrame, hints: DataFrame, id
 
 
 def stitched_texts(chunks: DataFrame, facts: DataFrame, n: int = 6, most: int = 24000) -> DataFrame:
-    """(paper_id, content) of the first n chunks of papers without facts (paper_id), cut at most characters."""
+    """(paper_id, content) of the first n chunks of papers without facts (paper_id), a line each; none is added to more than so many bytes."""
     w = Window.partitionBy("paper_id").orderBy("chunk_index")
     own = chunks.join(facts.select("paper_id").distinct(), "paper_id", "left_anti").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "content"))), lambda x: x["content"]), " ")
-    return own.groupBy("paper_id").agg(F.substring(joined, 1, most).alias("content"))
+    before = F.sum(F.octet_length("content") + 1).over(w) - F.octet_length("content") - 2
+    own = own.withColumn("_before", before).where(F.col("_before") <= most)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_n", "content"))), lambda x: x["content"]), "\n")
+    return own.groupBy("paper_id").agg(joined.alias("content"))
+
+
+def stitched_facts(chunks: DataFrame, facts: DataFrame, hints: DataFrame, confidence: float = 0.62, **terms: list[str]) -> DataFrame:
+    """(paper_id, predicate, gene, object, confidence): what the stitched texts of papers without facts say of the gene that is hinted at (paper_id, gene).
+
+    terms are those of build_facts(). Papers without a hint have none.
+    """
+    texts = stitched_texts(chunks, facts)
+    own = hints.where(F.trim("gene") != "").select("paper_id", F.upper(F.trim("gene")).alias("gene")).distinct()
+    return build_facts(texts, own, "paper_id", "content", **terms).withColumn("confidence", F.lit(confidence))
 
 
 def top_genes(candidates: DataFrame, n: int = 4, id_col: str = "id") -> DataFrame:

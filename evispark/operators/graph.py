@@ -146,8 +146,8 @@ def cap_edges(scored: DataFrame, cap: int = 12) -> DataFrame:
             return kept
 
 
-def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
-    """(node, hop) within hops of the seed names, which match ignoring case; hop is the least."""
+def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2, most: int | None = None) -> DataFrame:
+    """(node, hop) within hops of the seed names, which match ignoring case; hop is the least. With most, the first so many by hop and name."""
     both = e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source")).distinct()
     names = seeds.toDF("seed").select(F.lower("seed").alias("seed")).distinct()
     seen = materialize(both.select(F.col("a").alias("node")).distinct().join(names, F.lower("node") == F.col("seed")).select("node", F.lit(0).alias("hop")), "hops")
@@ -156,7 +156,7 @@ def neighbourhood(e: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
         reached = frontier.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         frontier = materialize(reached.withColumn("hop", F.lit(hop)), "hops")
         seen = seen.union(frontier)
-    return seen
+    return seen.orderBy("hop", "node").limit(most) if most else seen
 
 
 def shortest_path(e: DataFrame, start: str, end: str, extra: int = 2) -> DataFrame:

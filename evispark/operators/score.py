@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -272,9 +273,23 @@ def final_ranking(df: DataFrame, score: str = "composite_score", second: str = "
     return out.crossJoin(F.broadcast(total)).withColumn("percentile", 100.0 * (1 - (F.col("rank") - 1) / F.col("_total"))).drop("_total")
 
 
-def ranked_targets(facts: DataFrame, conflict: DataFrame, n: int | None = None, gene: str = "", cancer: str = "") -> DataFrame:
-    """P04, P05, P11 to P16 in one: scored, tiered, flagged and ranked candidates."""
+#: Scorers by name: functions from a cohort with n1 to n9 and penalty to a column.
+SCORERS: dict[str, Callable[[DataFrame], Column]] = {}
+
+
+def register_scorer(name: str, score: Callable[[DataFrame], Column]) -> None:
+    """Makes a scorer known by name; it may use built-in functions or a pandas UDF. A name that is taken raises, unless it is the same scorer."""
+    if SCORERS.setdefault(name, score) is not score:
+        raise ValueError(f"there is another scorer {name!r}")
+
+
+def ranked_targets(facts: DataFrame, conflict: DataFrame, n: int | None = None, gene: str = "", cancer: str = "", scorer: str | None = None) -> DataFrame:
+    """P04, P05, P11 to P16 in one: scored, tiered, flagged and ranked candidates. With scorer (U02), the composite score is that of the scorer of this name, 0 to 1, null as 0."""
+    if scorer is not None and scorer not in SCORERS:
+        raise ValueError(f"no scorer {scorer!r}; there are {sorted(SCORERS)}")
     scored = cohort_scores(proxy_metrics(candidates(facts, conflict, gene, cancer)))
+    if scorer is not None:
+        scored = scored.withColumn("composite_score", clamp(F.coalesce(SCORERS[scorer](scored).cast("double"), F.lit(0.0)), 0.0, 1.0))
     scored = scored.withColumn("adjusted_score", confidence_adjusted(F.col("composite_score"), F.col("mean_confidence")))
     tier = shortlist_tier(F.col("adjusted_score"), F.col("mutation_freq"), F.col("n5"), F.col("chembl_inhibitor_count"), F.col("n7"))
     return final_ranking(scored.withColumn("shortlist_tier", tier).withColumn("flags", flags()), n=n)
@@ -320,11 +335,17 @@ def recalibrate(scores: DataFrame, facts_per_gene: DataFrame) -> DataFrame:
 
 
 def literature_hits(facts: DataFrame, papers: DataFrame, gene_id: str, n: int = 20) -> DataFrame:
-    """A gene's facts with paper titles, one for each title key, the most certain first."""
+    """A gene's facts with paper titles and snippets, one for each title key, or snippet where there is no title, the most certain first.
+
+    A snippet is the evidence, or what the fact says. Facts without either key are all kept.
+    """
     from evispark.operators.text import title_key
 
     own = facts.where((F.col("subject_id") == gene_id) | (F.col("object_id") == gene_id)).join(papers.select(F.col("id").alias("paper_id"), "title"), "paper_id")
-    w = Window.partitionBy(F.coalesce(title_key(F.col("title")), F.lit(""))).orderBy(F.desc("confidence"), "id")
+    says = F.concat_ws(" ", "subject_name", F.coalesce(F.nullif(F.trim(F.replace("predicate", F.lit("_"), F.lit(" "))), F.lit("")), F.lit("is related to")), "object_name")
+    own = own.withColumn("snippet", F.coalesce(F.when(F.trim("evidence") != "", F.col("evidence")), says))
+    key = F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), F.nullif(title_key(F.col("snippet")), F.lit("")))
+    w = Window.partitionBy(F.coalesce(key, F.concat(F.lit("\x01"), "id"))).orderBy(F.desc("confidence"), "id")
     return own.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").orderBy(F.desc("confidence"), "id").limit(n)
 
 

@@ -164,7 +164,7 @@ QUERIES = {
     "d03_match_titles": lambda s, d: D.match_titles(A.papers(s, d), A.papers(s, d)),
     "d05_simhash_pairs": lambda s, d: D.simhash_pairs(_docs(s, d).select(F.col("doc_id").alias("id"), simhash_column(F.col("text")).alias("simhash"))),
     "d06_match_fuzzy": lambda s, d: D.match_fuzzy(*[A.papers(s, d).withColumn("title", F.regexp_replace("title", "[^ -~]", "_"))] * 2),
-    "d07_upsert_papers": lambda s, d: D.upsert_papers(A.papers(s, d), A.papers(s, d))[0],
+    "d07_upsert_papers": lambda s, d: D.upsert_papers(*[A.papers(s, d).withColumn("title", F.regexp_replace("title", "[^ -~]", "_"))] * 2)[0],
     "d09_doi_rate": lambda s, d: D.duplicate_doi_rate(A.papers(s, d)).withColumn("rate", F.round("rate", R)),
     "n01_mentions": lambda s, d: _mentions(s, d),
     "n05_mutations": lambda s, d: _docs(s, d).select(F.explode(N.mutation_mentions(F.concat("text", F.lit(" G"), F.col("doc_id") % 900 + 1, F.lit("d, p.V600E and G12D, G12D")))).alias("mutation")).groupBy("mutation").agg(F.count("*").alias("n")),

@@ -66,6 +66,32 @@ def api_candidates(payloads: DataFrame, column: str = "payload") -> DataFrame:
     return rows.select(*others, F.upper(get("gene")).alias("gene"), F.upper(get("cancer")).alias("cancer"), mutated.cast("long").alias("mutated"), profiled.cast("long").alias("profiled"), F.coalesce(F.when(f.between(1, 100), f / 100).otherwise(f), F.try_divide(mutated, profiled)).alias("frequency")).where("gene IS NOT NULL")
 
 
+#: Keys under which payloads hold further payloads.
+NESTED = ("data", "results", "items", "payload")
+
+
+def nested_candidates(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """(key columns, gene, cancer, mutated, profiled, frequency) of every object, at any depth, that names a gene, a frequency or a number of samples.
+
+    Arrays and what stands under NESTED keys are walked level by level, each a table of its own, until one
+    is empty; texts that are not JSON have none. Of a column's names the first that an object has counts.
+    """
+    spark = payloads.sparkSession
+    names = [c for c in payloads.columns if c != column]
+    others = [f"_{i}" for i in range(len(names))]
+    level, out = payloads.select(*(F.col(c).alias(o) for c, o in zip(names, others, strict=True)), F.try_parse_json(column).alias("_v")).where("_v IS NOT NULL"), None
+    get = lambda key, kind: F.coalesce(*(F.try_variant_get("_v", f"$.{a}", kind) for a in ALIASES[key]))
+    while out is None or not level.isEmpty():
+        level = materialize(level, "level")
+        mutated, profiled, f = get("mutated", "double"), get("profiled", "double"), get("frequency", "double")
+        rows = level.select(*others, F.upper(get("gene", "string")).alias("gene"), F.upper(get("cancer", "string")).alias("cancer"), mutated.cast("long").alias("mutated"), profiled.cast("long").alias("profiled"), F.coalesce(F.when(f.between(1, 100), f / 100).otherwise(f), F.try_divide(mutated, profiled)).alias("frequency"), F.coalesce(f, mutated).isNotNull().alias("_told"))
+        found = rows.where("gene IS NOT NULL OR _told").drop("_told")
+        out = found if out is None else out.union(found)
+        inner = level.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
+        level = inner.where(F.col("key").isNull() | F.col("key").isin(*NESTED)).select(*others, F.col("value").alias("_v"))
+    return out.withColumnsRenamed(dict(zip(others, names, strict=True)))
+
+
 def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key the candidate with most profiled samples, then the highest frequency."""
     return candidates.groupBy(*keys).agg(F.max(F.struct("profiled", "frequency", "mutated")).alias("b")).select(*keys, "b.mutated", "b.profiled", "b.frequency")
@@ -93,6 +119,13 @@ def ontology_rows(trees: DataFrame, column: str = "json") -> DataFrame:
     return out.where("code IS NOT NULL").distinct()
 
 
+def ontology_patterns(rows: DataFrame) -> DataFrame:
+    """(pattern, code, kind) of ontology rows: codes and names in lower case. Of equal patterns a code comes before a name, then the least code."""
+    kinds = F.array(F.struct(F.lower("code").alias("pattern"), F.lit("code").alias("kind")), F.struct(F.lower("name").alias("pattern"), F.lit("name").alias("kind")))
+    own = rows.select("code", F.inline(kinds)).where("pattern <> ''")
+    return own.groupBy("pattern").agg(F.min(F.struct("kind", "code")).alias("b")).select("pattern", "b.code", "b.kind")
+
+
 PAPER = ["id", "doi", "pmid", "title", "abstract_text", "journal", "source", "published_at"]
 
 

@@ -82,11 +82,32 @@ def retain_newest(log: DataFrame, n: int = 400, order: tuple[str, ...] = ("recor
     return log.orderBy(*(F.desc(c) for c in order)).limit(n)
 
 
-def term_list(spark: SparkSession, built_in: list[str], path: str | None = None, listed: str = "", most: int = 50_000) -> DataFrame:
-    """(term) of built-in terms, the lines of a file (# starts a comment) and a comma list; lower case, distinct."""
+def append_runs(runs: DataFrame, path: str, n: int = 400, order: tuple[str, ...] = ("recorded_at", "query")) -> DataFrame:
+    """Appends to the run log at path and returns it: its n newest rows, as a new version beside the last one.
+
+    A version is a folder of its own, so one that fails half-way leaves the log as it was; readers take the last whole one.
+    """
+    spark = runs.sparkSession
+    version, log = last_runs(spark, path, runs)
+    retain_newest(log.unionByName(runs), n, order).write.parquet(f"{path}/version={version + 1}")
+    return last_runs(spark, path, runs)[1]
+
+
+def last_runs(spark: SparkSession, path: str, like: DataFrame) -> tuple[int, DataFrame]:
+    """The number of the last whole version of the run log, 0 if there is none, and its rows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in fs.listStatus(place)] if fs.exists(place) else []
+    whole = [int(x.getName().split("=")[1]) for x in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(x, "_SUCCESS"))]
+    version = max(whole, default=0)
+    return version, spark.read.schema(like.schema).parquet(f"{path}/version={version}") if version else like.limit(0)
+
+
+def term_list(spark: SparkSession, built_in: list[str], path: str | None = None, listed: str = "", most: int | None = None) -> DataFrame:
+    """(term) of built-in terms, the lines of a file (# starts a comment) and a comma list; lower case, distinct; with most, the first so many."""
     terms = spark.createDataFrame([(t,) for t in [*built_in, *listed.split(",")]], "term string")
     if path:
         lines = spark.read.text(path).toDF("term")
         terms = terms.union(lines.where(~F.trim("term").startswith("#")))
     out = terms.select(F.lower(F.trim("term")).alias("term")).where("term <> ''").distinct()
-    return out.orderBy("term").limit(most)
+    return out.orderBy("term").limit(most) if most else out
