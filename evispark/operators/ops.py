@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions.rules import clamp
+from evispark.operators.ranks import row_numbers
 
 ZERO = 0.0
 
@@ -122,11 +123,21 @@ def decide(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def latency_percentiles(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """(by, n, p50, p95, median): nearest rank of the sorted values, by rank rather than by gathering them."""
-    n = F.count("*").over(Window.partitionBy(by))
-    ranked = rows.select(by, F.col(value).alias("v"), (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("i"), n.alias("n"))
+    """(by, n, p50, p95, median): nearest rank of the sorted values, nulls first; the median is of those that are not null.
+
+    A group's values are ranked in ranges of their order, so that no task sorts or holds a whole group.
+    """
+    none = "\x00none"
+    own = rows.select(F.coalesce(F.col(by).cast("string"), F.lit(none)).alias("g"), F.col(value).alias("v"))
+    ranked = row_numbers(own, ["v"], ("g",))
+    sizes = ranked.groupBy("g").agg(F.count("*").alias("n"), F.count("v").alias("full"))
+    placed = ranked.join(F.broadcast(sizes), "g").withColumn("i", F.col("rank") - 1)
     at = lambda p: F.max(F.when(F.col("i") == F.round((F.col("n") - 1) * p), F.col("v")))
-    return ranked.groupBy(by).agg(F.max("n").alias("n"), at(0.50).alias("p50"), at(0.95).alias("p95"), F.median("v").alias("median"))
+    place = F.col("i") - (F.col("n") - F.col("full"))
+    middle = F.avg(F.when((2 * place >= F.col("full") - 2) & (2 * place <= F.col("full")) & (place >= 0), F.col("v")))
+    found = placed.groupBy("g").agg(F.max("n").alias("n"), at(0.50).alias("p50"), at(0.95).alias("p95"), middle.cast("double").alias("median"))
+    kind = rows.schema[by].dataType
+    return found.select(F.nullif("g", F.lit(none)).cast(kind).alias(by), "n", "p50", "p95", "median")
 
 
 def tool_statistics(actions: DataFrame) -> DataFrame:

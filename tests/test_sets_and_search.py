@@ -2,12 +2,13 @@
 
 import math
 import random
+import statistics
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.operators import dedup, fulltext, setjoin
+from evispark.operators import dedup, fulltext, hyperplanes, ops, retrieve, setjoin
 
 
 def some_sets(r, n):
@@ -115,3 +116,32 @@ def test_stems(spark):
     words = ["genes", "studies", "study", "classes", "binding", "mutated", "gas", "this", "kiwis", "virus", "need", "seeing", "s", "proteins"]
     got = spark.createDataFrame([(w,) for w in words], "w string").select(fulltext.stem(F.col("w"))).collect()
     assert [x[0] for x in got] == ["gene", "studi", "studi", "class", "bind", "mutat", "gas", "this", "kiwi", "virus", "need", "see", "s", "protein"]
+
+
+def test_search_by_hyperplanes(spark):
+    r = random.Random(12)
+    centres = [[r.gauss(0, 1) for _ in range(16)] for _ in range(30)]
+    rows = [(i, [x + r.gauss(0, 0.15) for x in centres[i % 30]]) for i in range(900)]
+    odd = [(1000, None), (1001, [1.0, None] + [0.0] * 14), (1002, [1.0]), (1003, [0.0] * 16)]
+    df = spark.createDataFrame([*rows, *odd], "id int, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(rows[:60], "query_id int, vector array<double>")
+    normals = hyperplanes.planes(8, 8, 16)
+    index = hyperplanes.build_index(df, normals)
+    assert index.count() == 8 * 901
+    got = {(x["query_id"], x["id"]): x["score"] for x in hyperplanes.search_index(index, queries, normals, 10, 8).collect()}
+    want = {(x["query_id"], x["id"]): x["score"] for x in retrieve.vector_search(df.where("size(embedding) = 16 AND id < 1000"), queries, 10).collect()}
+    assert len(got.keys() & want.keys()) >= 0.9 * len(want) and all(got[k] == want[k] for k in got.keys() & want.keys())
+    met = hyperplanes.probes(queries, normals, 8).join(index, "bucket").select("query_id", "id").distinct().count()
+    assert met < 0.5 * 60 * 901
+    assert hyperplanes.search_index(index, queries.limit(0), normals).count() == 0
+
+
+def test_percentiles_with_nulls_and_ties(spark):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "a", "b", None]), r.choice([None, 1, 2, 2, 3, 9])) for _ in range(200)] + [("c", None), ("d", 5)]
+    got = {x["k"]: (x["n"], x["p50"], x["p95"], x["median"]) for x in ops.latency_percentiles(spark.createDataFrame(rows, "k string, v int"), "k", "v").collect()}
+    for key in ("a", "b", "c", "d", None):
+        own = sorted((v for k, v in rows if k == key), key=lambda v: (v is not None, v))
+        full = sorted(v for v in own if v is not None)
+        at = lambda p: own[math.floor((len(own) - 1) * p + 0.5)]  # noqa: B023, E731
+        assert got[key] == (len(own), at(0.5), at(0.95), statistics.median(full) if full else None)
