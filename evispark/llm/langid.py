@@ -21,8 +21,8 @@ from evispark.llm.texts import group_ends, map_texts, text_column
 BUCKETS = 1 << 15
 #: Added to each bucket's count.
 SMOOTHING = 0.05
-#: Largest number of languages (the model, 256 KB for each, goes to all tasks); a column of labels with more is not one of languages, and learn() says so.
-MAX_LANGUAGES = 1024
+#: Trigrams times languages of texts that are fitted at once; a text with more is fitted by itself, slice by slice.
+CELLS = 1 << 22
 ROUNDS, TOLERANCE = 20, 1e-3
 #: Neighbouring trigrams share letters; so many count as one observation in the penalised likelihood.
 OVERLAP = 3
@@ -94,7 +94,8 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and their smoothed trigram probabilities, from all rows (text, lang) with a lang.
 
     Counts are summed within each task and then by (lang, bucket), so what reaches the driver is at
-    most BUCKETS rows for each language.
+    most BUCKETS rows for each language. The model is 256 KB for each language and goes to all tasks;
+    there is no limit to their number but that memory.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +119,6 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     labelled = docs.where("lang IS NOT NULL").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     table = labelled.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(table.column("lang").to_pylist()))
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} are expected")
     counts = np.zeros((BUCKETS, len(langs)))
     place = {x: i for i, x in enumerate(langs)}
     counts[table.column("bucket").to_numpy(), [place[x] for x in table.column("lang").to_pylist()]] = table.column("n").to_numpy()
@@ -146,39 +145,78 @@ def _fit(likelihood: np.ndarray, n: np.ndarray, sizes: np.ndarray, totals: np.nd
     return share, np.add.reduceat(n * np.log(mixed), np.cumsum(sizes) - sizes)
 
 
+def _fit_alone(buckets: np.ndarray, n: np.ndarray, model: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_fit() of one text, whose likelihoods are made slice by slice in each round."""
+    share, total, size = allowed / allowed.sum(axis=1, keepdims=True), n.sum(), max(1, CELLS // model.shape[1])
+    slices = [slice(at, at + size) for at in range(0, len(buckets), size)]
+    for _ in range(ROUNDS):
+        new = np.zeros_like(share)
+        for x in slices:
+            rows = model[buckets[x]]
+            new[0] += (n[x] / (rows @ share[0])) @ rows
+        new *= share / total
+        moves, share = np.abs(new - share).max() >= TOLERANCE, new
+        if not moves:
+            break
+    return share, np.array([sum(float(n[x] @ np.log(model[buckets[x]] @ share[0])) for x in slices)])
+
+
 def infer(buckets: np.ndarray, n: np.ndarray, owner: np.ndarray, n_texts: int, model: np.ndarray) -> np.ndarray:
     """Proportions (texts x languages) under the set of languages that is best by penalised likelihood; zeros for a text without trigrams.
 
     Sets are the 1, 2, ... languages that are largest when all are fitted. A size is left out only if
-    it would not win with the likelihood of all languages, and SLACK.
+    it would not win with the likelihood of all languages, and SLACK. Texts are fitted in groups of about
+    CELLS trigrams times languages, in order of text; a text that is larger is fitted alone.
     """
     n_langs = model.shape[1]
     out = np.zeros((n_texts, n_langs))
     sizes = np.bincount(owner, minlength=n_texts)
-    texts = np.flatnonzero(sizes)
-    if not len(texts):
-        return out
-    likelihood, n, sizes = model[buckets], n.astype(float), sizes[texts]
-    totals = np.add.reduceat(n, np.cumsum(sizes) - sizes)
-    share, most = _fit(likelihood, n, sizes, totals, np.ones((len(texts), n_langs)))
+    ends, n = np.cumsum(sizes), n.astype(float)
+    group: list[int] = []
+
+    def settle(texts: list[int]) -> None:
+        at = np.concatenate([np.arange(ends[t] - sizes[t], ends[t]) for t in texts])
+        own, weights, length = model[buckets[at]], n[at], sizes[texts]
+        totals = np.add.reduceat(weights, np.cumsum(length) - length)
+
+        def fit(live: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rows = np.repeat(np.isin(np.arange(len(texts)), live), length)
+            return _fit(own[rows], weights[rows], length[live], totals[live], allowed)
+
+        out[texts] = _best_sets(fit, totals, n_langs)
+
+    for t in np.flatnonzero(sizes).tolist():
+        if sizes[t] * n_langs > CELLS:
+            at = slice(ends[t] - sizes[t], ends[t])
+            out[t] = _best_sets(lambda _, allowed, at=at: _fit_alone(buckets[at], n[at], model, allowed), n[at].sum(keepdims=True), n_langs)[0]
+            continue
+        if group and (sizes[group].sum() + sizes[t]) * n_langs > CELLS:
+            settle(group)
+            group = []
+        group.append(t)
+    if group:
+        settle(group)
+    return out
+
+
+def _best_sets(fit, totals: np.ndarray, n_langs: int) -> np.ndarray:
+    """The proportions of the best set of languages of each text. fit(numbers of texts, languages allowed for each) gives proportions and log-likelihoods."""
+    texts = np.arange(len(totals))
+    share, most = fit(texts, np.ones((len(texts), n_langs)))
     order = np.argsort(-share, axis=1, kind="stable")
     price = 0.5 * np.log(np.maximum(totals, 2))
-    best, best_value = np.zeros_like(share), np.full(len(texts), -np.inf)
-    live = np.arange(len(texts))
+    best, best_value, live = np.zeros_like(share), np.full(len(texts), -np.inf), texts
     for size in range(1, n_langs + 1):
-        held = (most[live] + SLACK) / OVERLAP - size * price[live] > best_value[live]
-        rows = np.repeat(np.isin(np.arange(len(texts)), live[held]), sizes)
-        live = live[held]
+        live = live[(most[live] + SLACK) / OVERLAP - size * price[live] > best_value[live]]
         if not len(live):
             break
         allowed = np.zeros((len(live), n_langs))
         np.put_along_axis(allowed, order[live, :size], 1.0, axis=1)
-        fitted, value = _fit(likelihood[rows], n[rows], sizes[live], totals[live], allowed)
+        fitted, value = fit(live, allowed)
         value = value / OVERLAP - size * price[live]
         better = value > best_value[live]
         best[live[better]], best_value[live[better]] = fitted[better], value[better]
-    out[texts] = best
-    return out
+    return best
 
 
 def _judge(texts: list[bytes], names: list[str], model: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:

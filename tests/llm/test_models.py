@@ -64,6 +64,22 @@ def test_a_language_does_not_depend_on_the_batch():
         assert one[0] == [pred[i]] and one[1][0] == score[i] and (one[2][0] == share[i]).all()
 
 
+def test_many_languages_and_texts_that_are_fitted_alone(spark, table, monkeypatch):
+    r = np.random.default_rng(5)
+    model = r.random((langid.BUCKETS, 40)) ** 8 + 1e-6
+    model /= model.sum(axis=0)
+    texts = [" ".join("".join(map(chr, r.integers(97, 110, 5))) for _ in range(k)).encode() for k in (1, 3, 10, 200, 900)] + [b"", b"1"]
+    buckets, n, owner, _ = langid._trigrams(texts)
+    want = langid.infer(buckets, n, owner, len(texts), model)
+    for cells in (1, 4000, 40_000):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        assert np.abs(langid.infer(buckets, n, owner, len(texts), model) - want).max() < 1e-9
+    monkeypatch.undo()
+    langs, model = langid.learn(table([f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)} word" for i in range(1100)], langs=[f"l{i}" for i in range(1100)]))
+    assert len(langs) == 1100 and model.shape[1] == 1100
+    assert langid.identify(table(["aab word", None]), langs, model).count() == 2
+
+
 def test_slices_count_what_the_whole_text_holds(monkeypatch):
     r = random.Random(4)
     for size in (1, 7, langid.SLICE):
