@@ -72,11 +72,13 @@ def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def secrets_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Operator 4 over four scans on one ledger: documents, the same again with conversations, pages, and documents by new rules."""
+    """Operator 4 over six scans on one ledger: documents, the same again with conversations, pages, documents by newer rules, and documents with an address by both."""
     docs = read_table(spark, sf_dir, "documents").select("text")
     talks = read_table(spark, sf_dir, "conversations").select("text")
     pages = read_table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
-    return secrets.ledger_growth([("1 documents", docs, "1"), ("2 with conversations", docs.union(talks), "1"), ("3 pages", pages, "1"), ("4 new rules", docs, "2")])
+    address = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" see ftp://anna:hunter2@example.org/")))
+    old, new = secrets.RULES, secrets.NEWER_RULES
+    return secrets.ledger_growth([("1 documents", docs, "1", old), ("2 with conversations", docs.union(talks), "1", old), ("3 pages", pages, "1", old), ("4 new rules", docs, "2", new), ("5 old rules", address, "1", old), ("6 new rules", address, "2", new)])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_language, op3_pii, op4_secrets, op5_licenses, op6_html, op7_decontamination, op8_fingerprints, op9_jaccard, op10_quality, op11_topk, op12_negatives, op13_lexical, secrets_ledger)}
@@ -125,17 +127,24 @@ e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, e2.b FROM reach r JOIN e2 ON r.b = e2.a)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(b)::BIGINT AS component_id FROM d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY ALL"""
 
-_LEDGER = """
+_LEDGER = r"""
 WITH v AS (
   SELECT '1 documents' AS scan, '1' AS rules_version, text FROM documents
   UNION ALL SELECT '2 with conversations', '1', text FROM documents UNION ALL SELECT '2 with conversations', '1', text FROM conversations
   UNION ALL SELECT '3 pages', '1', html FROM pages UNION ALL SELECT '4 new rules', '2', text FROM documents
+  UNION ALL SELECT scan, rules_version, coalesce(text, '') || ' see ftp://anna:hunter2@example.org/' FROM documents, (VALUES ('5 old rules', '1'), ('6 new rules', '2')) s(scan, rules_version)
 ),
-b AS (SELECT scan, rules_version, sha256(coalesce(text, '')) AS blob FROM v),
+b AS (SELECT scan, rules_version, text, sha256(coalesce(text, '')) AS blob FROM v),
 first AS (SELECT rules_version, blob, min(scan) AS scan FROM b GROUP BY ALL),
-fresh AS (SELECT scan, count(*) AS n_scanned FROM first GROUP BY scan)
-SELECT b.scan, b.rules_version, count(*) AS n_versions, count(DISTINCT blob) AS n_blobs, coalesce(any_value(n_scanned), 0)::BIGINT AS n_scanned
-FROM b LEFT JOIN fresh USING (scan) GROUP BY b.scan, b.rules_version"""
+fresh AS (SELECT scan, count(*) AS n_scanned FROM first GROUP BY scan),
+count_of AS (SELECT scan, len(list_filter(regexp_extract_all(text, '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 12))
+    + len(list_filter(regexp_extract_all(text, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 18)) + len(list_filter(regexp_extract_all(text, '[0-9a-f]+'), lambda x: length(x) >= 16))
+    + len(regexp_extract_all(text, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----')) + len(regexp_extract_all(' ' || text, '[^A-Za-z0-9_-]eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}'))
+    + len(regexp_extract_all(' ' || text, '[^A-Za-z0-9](?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})'))
+    + CASE rules_version WHEN '2' THEN len(regexp_extract_all(text, '[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,100}:[^\s/@]{3,100}@')) ELSE 0 END AS n FROM b),
+found AS (SELECT scan, coalesce(sum(n), 0)::BIGINT AS n_found FROM count_of GROUP BY 1)
+SELECT b.scan, b.rules_version, count(*) AS n_versions, count(DISTINCT blob) AS n_blobs, coalesce(any_value(n_scanned), 0)::BIGINT AS n_scanned, any_value(n_found) AS n_found
+FROM b LEFT JOIN fresh USING (scan) JOIN found USING (scan) GROUP BY b.scan, b.rules_version"""
 
 #: Rows of embeddings without a null or a component that is not finite, as whole numbers; their products are exact in doubles.
 _NUMBERS = "list_transform(embedding, lambda x: floor({} * x::DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"

@@ -103,8 +103,13 @@ def test_ledger_scans_only_what_is_new(spark, table):
     scans = {r["scan"]: r["count"] for r in secrets.read_ledger(spark, ledger).groupBy("scan").count().collect()}
     assert scans == {"first": 2, "second": 2, "new rules": 3}
     assert secrets.scan_versions(docs.limit(0), ["doc_id"], ledger).count() == 0
-    grown = secrets.ledger_growth([("a", docs, "1"), ("b", docs.union(more), "1"), ("c", docs, "2")]).collect()
-    assert sorted(map(tuple, grown)) == [("a", "1", 3, 2, 2), ("b", "1", 6, 4, 2), ("c", "2", 3, 2, 2)]
+    rules = secrets.RULES
+    grown = secrets.ledger_growth([("a", docs, "1", rules), ("b", docs.union(more), "1", rules), ("c", docs, "2", rules)]).collect()
+    assert sorted((x["scan"], x["rules_version"], x["n_versions"], x["n_blobs"], x["n_scanned"], x["n_found"]) for x in grown) == [("a", "1", 3, 2, 2, 1), ("b", "1", 6, 4, 2, 3), ("c", "2", 3, 2, 2, 1)]
+    # Newer rules find what older ones did not, in texts that the ledger knew and in new ones, and the older findings stay.
+    texts = table(["at https://u:pw12@h.org", "token=abcdefghijklmn", "x"], ids=[20, 21, 22])
+    kinds = lambda version, own: {r["doc_id"]: [f["kind"] for f in r["found"]] for r in secrets.scan_versions(texts, ["doc_id"], ledger, version, version, own).collect()}
+    assert kinds("1", rules) == {20: [], 21: ["assign"], 22: []} and kinds("3", secrets.NEWER_RULES) == {20: ["address"], 21: ["assign"], 22: []} and kinds("1", rules)[20] == []
 
 
 @settings(max_examples=300, deadline=None)
