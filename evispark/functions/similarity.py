@@ -65,6 +65,37 @@ def jaro_winkler_column(a: Column, b: Column, least: float = 0.0) -> Column:
     return score(a, b)
 
 
+#: Counters of characters of a text; characters that share one only seem to be more in common.
+COUNTERS = 64
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counters of each text, its length, and its first four code points (those that it lacks differ for each text)."""
+    counts, first = np.zeros((len(texts), COUNTERS), np.int32), np.zeros((len(texts), 4), np.int64)
+    for i, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        counts[i] = np.bincount(codes % COUNTERS, minlength=COUNTERS)
+        first[i] = [*codes[:4].tolist(), *[-1 - i] * (4 - len(codes[:4]))]
+    return counts, counts.sum(axis=1), first
+
+
+def similar_pairs(left: list[str], right: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) of all pairs of different texts whose Jaro-Winkler similarity is at least that.
+
+    For most pairs the characters that both have, in any order, and their common start tell that they cannot be.
+    """
+    (a, n, start), (b, m, begin) = _counted(left), _counted(right)
+    out, m = [], np.maximum(m, 1)
+    for i in range(len(left)):
+        common = np.minimum(b, a[i]).sum(axis=1)
+        jaro = (common / max(1, n[i]) + common / m + 1) / 3
+        prefix = np.cumprod(begin == np.where(start[i] < 0, -len(right) - 1, start[i]), axis=1).sum(axis=1)
+        for j in np.flatnonzero(jaro + 0.1 * prefix * (1 - jaro) >= least - 1e-8).tolist():
+            if left[i] != right[j] and round(s := jaro_winkler(left[i], right[j]), 9) >= least:
+                out.append((i, j, s))
+    return out
+
+
 @lru_cache(maxsize=1 << 18)
 def _fnv64(word: bytes) -> int:
     h = 14695981039346656037

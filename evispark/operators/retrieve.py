@@ -180,29 +180,3 @@ def novelty(profiles: DataFrame) -> DataFrame:
 def feature_matrix(genes: DataFrame, columns: list[str]) -> DataFrame:
     """(gene, features): the columns as doubles in order, null as 0."""
     return genes.select("gene", F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns)).alias("features"))
-
-
-#: Genes of which all pairs are compared.
-MAX_COHORT = 5000
-
-
-def gene_links(features: DataFrame, gene_chunks: DataFrame, gene_topics: DataFrame, least: float = 0.55, n: int = 12) -> DataFrame:
-    """(a, b, score) of pairs of a cohort's genes, by .70 cosine (0 to 1) + .20 and .10 Jaccard of chunks and topics; kept if high or a chunk is shared.
-
-    features is a ranked cohort of a checked size; chunks and topics are taken of its genes alone.
-    """
-    if (genes := features.count()) > MAX_COHORT:
-        raise ValueError(f"{genes} genes; rank them and take at most {MAX_COHORT}")
-
-    def shared(df: DataFrame, c: str) -> DataFrame:
-        own = df.join(F.broadcast(features.select("gene")), "gene", "left_semi").select("gene", F.col(c).alias("x")).distinct()
-        sizes = own.groupBy("gene").agg(F.count("*").alias("n"))
-        both = own.select("x", F.col("gene").alias("a")).join(own.select("x", F.col("gene").alias("b")), "x").where("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-        side = lambda e: sizes.select(F.col("gene").alias(e), F.col("n").alias(f"{e}_n"))
-        return both.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("both") / (F.col("a_n") + F.col("b_n") - F.col("both"))).alias(c))
-
-    side = lambda e: features.select(F.col("gene").alias(e), F.col("features").alias(f"{e}_f"))
-    pairs = side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b")).join(shared(gene_chunks, "chunk_id"), ["a", "b"], "left").join(shared(gene_topics, "topic"), ["a", "b"], "left")
-    score = 0.70 * (F.coalesce(cosine(F.col("a_f"), F.col("b_f")), F.lit(0.0)) + 1) / 2 + 0.20 * F.coalesce("chunk_id", F.lit(0.0)) + 0.10 * F.coalesce("topic", F.lit(0.0))
-    kept = pairs.withColumn("score", F.round(score, 9)).where((F.col("score") >= least) | (F.col("chunk_id") > 0))
-    return kept.select("a", "b", "score").orderBy(F.desc("score"), "a", "b").limit(n)

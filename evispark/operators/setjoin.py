@@ -16,8 +16,9 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
 
     Two such sets share a term among the first n - ceil(least * n) + 1 of either, in any one order. Rare
     terms come first in it, so a term that most sets hold brings together only sets without rarer ones.
-    Sizes that rule a pair out, and what is left of both sets after the shared term, are looked at before
-    a pair is made. Null and empty sets are like nothing; repeated terms count once.
+    Sizes that rule a pair out are looked at before it is made. The terms that it shares there, with what
+    is left of both sets after the last of them, rule out most pairs before whole sets are compared. Null
+    and empty sets are like nothing; repeated terms count once.
     """
     if not 0 < least <= 1:
         raise ValueError("the least similarity is above 0 and at most 1")
@@ -34,9 +35,10 @@ def similar_sets(sets: DataFrame, least: float) -> DataFrame:
     right = side("y", F.explode(F.expr("sequence(0L, slice)")), F.col("slice"))
     x, y = F.col("x_id"), F.col("y_id")
     alike = F.least("x_n", "y_n") >= least * F.greatest("x_n", "y_n") - 1e-9
-    enough = F.least("x_rest", "y_rest") + 1 >= least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-9
-    met = left.join(right, ["term", "i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y)).where(alike & enough)
-    pairs = met.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
+    met = left.join(right, ["term", "i", "j"]).where(((F.col("i") < F.col("j")) & (x != y)) | (x < y)).where(alike)
+    # What a pair shares in its prefixes, and at most all that follows the last shared term in either.
+    shared = met.groupBy(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).agg(F.count("*").alias("both"), F.min(F.least("x_rest", "y_rest")).alias("left"), F.max(F.col("x_n") + F.col("y_n")).alias("sizes"))
+    pairs = shared.where(F.col("both") + F.col("left") >= least / (1 + least) * F.col("sizes") - 1e-9).select("a", "b")
     terms = lambda c: own.select(F.col("id").alias(c), F.col("terms").alias(f"{c}_terms"))
     both = F.size(F.array_intersect("a_terms", "b_terms"))
     found = pairs.join(terms("a"), "a").join(terms("b"), "b").select("a", "b", (both / (F.size("a_terms") + F.size("b_terms") - both)).alias("jaccard"))

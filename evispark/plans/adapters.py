@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evispark.shared import spread
+
 AS_OF = "2024-02-01 00:00:00"
 
 
+#: Tables of long rows, of which few files hold many; the work on a row is worth moving it.
+LONG_ROWS = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in LONG_ROWS else rows
 
 
 PREDICATES = {"RF": "inhibits", "AF": "activates", "NO": "has_mutation", "NF": "upregulated_in", "AO": "associated_with", "RO": "prognostic_for_poor_outcome"}

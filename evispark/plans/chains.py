@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from evispark.functions import rules
+from evispark.functions.similarity import hash_embedder
 from evispark.operators import extract as N
+from evispark.operators import retrieve as X
 from evispark.operators import text as T
 from evispark.plans import adapters as A
-from evispark.plans import graph, more
+from evispark.plans import graph, more, search
 from evispark.plans import texts as Q
+from evispark.sources import webpages
 
 
 def _values(terms) -> str:
@@ -128,6 +133,14 @@ f AS (SELECT coalesce(lexical.id, nearest.id) AS id, coalesce(1.0 / (60 + lexica
 g AS (SELECT id, round(raw / max(raw) OVER (), 9) AS score, source FROM f)
 SELECT id, score, g.source, row_number() OVER (ORDER BY score DESC, id)::INT AS rank, substring(text, 1, 80) AS title FROM g JOIN documents ON doc_id::VARCHAR = split_part(id, '-', 1) ORDER BY score DESC, id LIMIT 20"""
 
+#: Words hashed as in D04 are counted up or down in 64 places, and the vector has length 1.
+_R09 = rf"""
+WITH {_CHUNKS}, word AS (SELECT id, unnest(string_split_regex(lower(content), '\s+')) AS w FROM chunks WHERE v IS NULL),
+bytes AS (SELECT w, list_transform(range(0, octet_length(encode(w))), lambda i: ('0x' || hex(encode(w))[2 * i + 1 : 2 * i + 2])::HUGEINT) AS b FROM (SELECT DISTINCT w FROM word WHERE w <> '')),
+hashed AS (SELECT w, list_reduce(list_prepend(14695981039346656037::HUGEINT, b), lambda h, x: (xor(h, x) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT) AS h FROM bytes),
+place AS (SELECT id, (h % 64)::INT AS k, sum(CASE WHEN h >= 9223372036854775808::HUGEINT THEN 1 ELSE -1 END)::DOUBLE AS x FROM word JOIN hashed USING (w) GROUP BY ALL)
+SELECT id, round(sum(x * (k + 1)) / greatest(sqrt(sum(x * x)), 1e-10), 3) AS checksum FROM place GROUP BY 1"""
+
 _DISTINCT_TERMS = _ordered("list_filter(string_split_regex(lower(content), '[^a-z0-9]+'), lambda w: length(w) >= 3 AND w NOT IN ({}))".format(", ".join(f"'{w}'" for w in T.CONTEXT_STOP_WORDS)))
 _CONTEXTS = f"""{_CHUNKS},
 hits AS (SELECT c.id, c.paper_id, content, round(list_cosine_similarity(v, e.embedding::DOUBLE[]), 6) AS score FROM chunks c, embeddings e WHERE e.vec_id = 0 AND v IS NOT NULL ORDER BY score DESC, id LIMIT 32),
@@ -152,7 +165,21 @@ edge AS (SELECT node, e.* FROM e JOIN back ON node = source UNION ALL SELECT nod
 best AS (SELECT source, target, weight FROM edge QUALIFY row_number() OVER (PARTITION BY node ORDER BY score DESC, weight DESC, source, target) <= 2)
 SELECT source, target, weight FROM best UNION SELECT source, target, weight FROM e WHERE (source, target) IN (SELECT (a, b) FROM step UNION ALL SELECT (b, a) FROM step)"""
 
-QUERIES: dict = {}
+_R18 = """
+WITH f AS (SELECT user_id::VARCHAR AS gene, [count(*), count(*) FILTER (event_type = 'view'), count(*) FILTER (event_type = 'error')]::DOUBLE[] AS v, list_distinct(list(dayofyear(ts))) AS days, list_distinct(list(event_type)) AS kinds FROM events GROUP BY 1),
+p AS (SELECT x.gene AS a, y.gene AS b, list_cosine_similarity(x.v, y.v) AS c, len(list_intersect(x.days, y.days)) AS shared_chunks, len(x.days) + len(y.days) AS days, len(list_intersect(x.kinds, y.kinds)) AS shared_topics, len(x.kinds) + len(y.kinds) AS kinds FROM f x JOIN f y ON x.gene < y.gene),
+s AS (SELECT a, b, round(0.7 * (c + 1) / 2 + 0.2 * shared_chunks / (days - shared_chunks) + 0.1 * shared_topics / (kinds - shared_topics), 9) AS score, shared_chunks::BIGINT AS shared_chunks, shared_topics::BIGINT AS shared_topics FROM p)
+SELECT a, b, round(score, 6) AS score, shared_chunks, shared_topics FROM s WHERE score >= 0.55 OR shared_chunks > 0 OR shared_topics > 0 ORDER BY s.score DESC, a, b LIMIT 12"""
+
+def _backfilled(s, d):
+    """A number of each chunk that had no vector: the sum of its new vector's components times their places."""
+    own = A.chunks(s, d)
+    fresh = X.backfill_embeddings(own, hash_embedder(64)).join(own.where("embedding IS NULL").select("id"), "id", "left_semi")
+    terms = F.transform("embedding", lambda x, k: x.cast("double") * (k + 1))
+    return fresh.select("id", F.round(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b), 3).alias("checksum"))
+
+
+QUERIES = {"r09_backfilled_vectors": _backfilled}
 ORACLE = {
     "n07_typed_mentions": _N07,
     "n09_facts": f"WITH {_FACTS} SELECT doc_id, predicate, gene, object FROM built",
@@ -165,4 +192,47 @@ ORACLE = {
     "r14_gene_profiles": _R14,
     "r15_snippets": _R15,
     "k17_shortest_path": _K17,
+    "r09_backfilled_vectors": _R09,
+    "r18_gene_links": _R18,
 }
+
+#: A pass over edges in order of score that keeps one if both of its ends have kept fewer than 12.
+ORACLE["k15_capped_edges"] = f"""
+WITH RECURSIVE {graph._SMALL}, e AS (SELECT source, target, weight, round(score, 6) AS score FROM g),
+ordered AS (SELECT *, row_number() OVER (ORDER BY score DESC, weight DESC, source, target) AS i FROM e),
+fold AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS used, false AS taken
+  UNION ALL
+  SELECT i, CASE WHEN fits THEN list_concat(used, [source, target]) ELSE used END, fits
+  FROM (SELECT o.i, used, source, target, len(list_filter(used, lambda x: x = source)) < 12 AND len(list_filter(used, lambda x: x = target)) < 12 AS fits FROM fold f JOIN ordered o ON o.i = f.i + 1)
+)
+SELECT source, target, weight, score FROM fold JOIN ordered USING (i) WHERE taken"""
+
+
+def _page_sql() -> str:
+    """Markdown of pages by rules for text: skipped elements go, block tags end a line, headings and the like begin one."""
+    text = "regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?(-->|$)', '', 'g'), '<[/!?A-Za-z][^<>]*$', '')"
+    for name in sorted(webpages.SKIPPED):
+        text = f"regexp_replace({text}, '(?is)<{name}\\b.*?(</{name}\\s*>|$)', '', 'g')"
+    title = f"regexp_extract({text}, '(?is)<title[^>]*>(.*?)(</title|$)', 1)"
+    body = f"regexp_replace({text}, '(?is)<title[^>]*>.*?(</title\\s*>|$)', '', 'g')"
+    for level in range(1, 7):
+        body = f"regexp_replace({body}, '(?i)<h{level}\\b[^>]*>', chr(1) || '{'#' * level} ', 'g')"
+    body = f"regexp_replace(regexp_replace({body}, '(?i)<li\\b[^>]*>', chr(1) || '- ', 'g'), '(?i)<blockquote\\b[^>]*>', chr(1) || '> ', 'g')"
+    blocks = "|".join(sorted(webpages.BLOCKS))
+    body = f"regexp_replace(regexp_replace({body}, '(?i)</?({blocks})\\b[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g')"
+    plain = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace({}, '&amp;?', '&', 'g'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '\\s+', ' ', 'g'))".format
+    return f"""WITH t AS (SELECT page_id, html, {title} AS title, string_split({body}, chr(1)) AS parts FROM pages),
+m AS (SELECT page_id, html, {plain('title')} AS title, array_to_string(list_filter(list_transform(parts, lambda x: {plain('x')}), lambda x: NOT regexp_matches(x, '^(#{{1,6}}|-|>)?$')), chr(10) || chr(10)) AS markdown FROM t)
+SELECT page_id, CASE WHEN trim(coalesce(html, '')) <> '' THEN title END AS title, CASE WHEN trim(coalesce(html, '')) = '' THEN 'empty' WHEN length(markdown) >= 40 THEN 'ok' ELSE 'not_article' END AS status, CASE WHEN trim(coalesce(html, '')) <> '' THEN length(markdown)::INT END AS n FROM m"""
+
+
+ORACLE["s18_pages"] = _page_sql()
+
+
+ORACLE["d08_context_groups"] = f"""
+WITH RECURSIVE {_CHUNKS},
+hits AS (SELECT id, content, v, 1.0::DOUBLE / row_number() OVER (ORDER BY paper_id, chunk_index) AS score FROM chunks WHERE contains(lower(content), 'tion') ORDER BY paper_id, chunk_index LIMIT 400),
+d AS (SELECT id, v, score, {search._TERMS.replace("text", "content")} AS terms FROM hits),
+{search.GROUPS}
+SELECT component, size, round(max_similarity, 6) AS max_similarity, representative FROM grouped ORDER BY size DESC, max_similarity DESC, component LIMIT 5"""

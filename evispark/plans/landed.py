@@ -12,7 +12,7 @@ from evispark.operators import graph as K
 from evispark.plans import adapters as A
 from evispark.plans import chains, graph, more, scoring
 from evispark.plans import texts as Q
-from evispark.shared import shared_dir
+from evispark.shared import work_dir
 from evispark.sources import files, tables
 
 R = 6
@@ -30,7 +30,7 @@ def _nested(s, d):
 
 def _log(s, d):
     own = A.table(s, d, "events").select(F.col("ts").alias("recorded_at"), F.col("event_id").cast("string").alias("query"))
-    path = f"{shared_dir(s)}/runs-{uuid.uuid4().hex}"
+    path = f"{work_dir(s)}/runs-{uuid.uuid4().hex}"
     for part in range(3):
         log = tables.append_runs(own.where(F.col("query").cast("long") % 3 == part), path)
     return log
@@ -65,14 +65,14 @@ def _structures(s, d):
     """Each order as a structure: a line of an atom for each of its order lines, the quantity in the columns of confidence."""
     atom = F.concat(F.rpad(F.concat(F.lit("ATOM  "), F.lpad(F.col("l_linenumber").cast("string"), 5, " ")), 60, " "), F.lpad(F.format_number("l_quantity", 2), 6, " "), F.lit("           C"))
     own = A.table(s, d, "lineitem").select((F.col("l_orderkey") % LINES).cast("string").alias("part"), F.array(F.lit("HEADER"), atom, F.lit("TER")).alias("lines"))
-    path = f"{shared_dir(s)}/landed-{uuid.uuid4().hex}"
+    path = f"{work_dir(s)}/landed-{uuid.uuid4().hex}"
     own.select("part", F.explode("lines").alias("value")).repartition("part").write.partitionBy("part").text(path)
     return files.structure_confidence(s, f"{path}/*/*").select(F.regexp_extract("file", "part=([0-9]+)", 1).alias("part"), F.round("plddt", R).alias("plddt"))
 
 
 def _pockets(s, d):
     line = F.concat(F.lit("Pocket "), "l_linenumber", F.when(F.col("l_linenumber") % 3 == 0, " Volume Score : ").otherwise(" Druggability Score : "), F.round(F.col("l_tax") * 20 + 0.05, 3).cast("string"))
-    path = f"{shared_dir(s)}/landed-{uuid.uuid4().hex}"
+    path = f"{work_dir(s)}/landed-{uuid.uuid4().hex}"
     A.table(s, d, "lineitem").select((F.col("l_orderkey") % LINES).cast("string").alias("part"), line.alias("value")).repartition("part").write.partitionBy("part").text(path)
     return files.pocket_scores(s, path).select(F.regexp_extract("folder", "part=([0-9]+)", 1).alias("part"), F.round("score", R).alias("score"))
 

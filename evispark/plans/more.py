@@ -10,13 +10,14 @@ from evispark.functions.similarity import simhash_column
 from evispark.operators import checks as C
 from evispark.operators import dedup as D
 from evispark.operators import extract as N
+from evispark.operators import genes as G
 from evispark.operators import ops as O
 from evispark.operators import retrieve as X
 from evispark.operators import score as P
 from evispark.operators import text as T
 from evispark.plans import adapters as A
 from evispark.plans import texts as Q
-from evispark.shared import shared_dir
+from evispark.shared import work_dir
 from evispark.sources import files, tables
 
 R = 6
@@ -24,7 +25,7 @@ R = 6
 
 def _landed(spark, df, kind, **options):
     """df written as files in the shared folder, as a provider would land them."""
-    path = f"{shared_dir(spark)}/landed-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/landed-{uuid.uuid4().hex}"
     df.write.options(**options).format(kind).save(path)
     return path
 
@@ -60,6 +61,13 @@ def _contexts(s, d):
     return X.load_contexts(hits, c, A.papers(s, d), genes)
 
 
+def _lexical_contexts(s, d):
+    """The first 400 chunks that hold a term, copies of each other among them."""
+    c = A.chunks(s, d)
+    hits = X.substring_search(c, "tion", limit=400).select("id", (1.0 / F.col("rank")).alias("score"))
+    return X.load_contexts(hits, c, A.papers(s, d), c.select("id", F.lit("the").alias("gene")), 400)
+
+
 def _grouped(s, d):
     return _contexts(s, d).withColumn("dedup_group", F.when(F.col("paper_id").cast("long") % 3 == 0, F.col("paper_id"))).withColumn("section", F.lit("other"))
 
@@ -91,10 +99,17 @@ def _works(s, d):
 
 
 def _snapshot(s, d):
-    path = f"{shared_dir(s)}/snapshot-{uuid.uuid4().hex}"
+    path = f"{work_dir(s)}/snapshot-{uuid.uuid4().hex}"
     return path, tables.export_snapshot({t: A.table(s, d, t) for t in ("nation", "customer", "orders")}, path)
 
 
+def _changed(s, d):
+    """A check of a snapshot of which one table got rows again after the export."""
+    path, manifest = _snapshot(s, d)
+    A.table(s, d, "customer").limit(1).write.mode("append").json(f"{path}/customer")
+    return tables.check_snapshot(s, path, manifest)
+
+
 def _imported(s, d):
     path, _ = _snapshot(s, d)
     good, bad = tables.import_snapshot(s, f"{path}/customer", A.table(s, d, "customer").schema)
@@ -102,7 +117,7 @@ def _imported(s, d):
 
 
 def _appended(s, d):
-    path, own = f"{shared_dir(s)}/appended-{uuid.uuid4().hex}", A.table(s, d, "customer")
+    path, own = f"{work_dir(s)}/appended-{uuid.uuid4().hex}", A.table(s, d, "customer")
     for batch in (own.drop("c_acctbal"), own):
         tables.append(batch, path, own.schema)
     return tables.scan(s, path, own.schema).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.count("c_acctbal").alias("n_balances"))
@@ -156,6 +171,13 @@ def _rerank(s, d):
     return X.semantic_rerank(t, hits)
 
 
+def _event_links(s, d):
+    """Links between users by three counts, days and types of their events."""
+    counts = Q._profiles(s, d).select("gene", F.array(*(F.col(c).cast("double") for c in ("n_chunks", "n_recent", "n_duplicate"))).alias("scaled"))
+    sets = A.table(s, d, "events").groupBy(F.col("user_id").cast("string").alias("gene")).agg(F.collect_set(F.dayofyear("ts").cast("string")).alias("chunks"), F.collect_set("event_type").alias("topics"))
+    return G.gene_links(counts.join(sets, "gene"))
+
+
 TYPED = ("grew HCT116 and A-549 cells, MCF7 and MCF7", "in the MAPK signaling pathway of cells", "with Imatinib and Cisplatin", "the PI3K axis", "nothing")
 
 
@@ -172,7 +194,7 @@ def _typed(s, d):
 
 QUERIES = {
     "d04_simhash": lambda s, d: Q._docs(s, d).select("doc_id", simhash_column(F.col("text")).alias("simhash")),
-    "d08_context_groups": lambda s, d: D.context_groups(_contexts(s, d).select("id", "terms", "vector", "score")),
+    "d08_context_groups": lambda s, d: D.context_groups(_lexical_contexts(s, d).select("id", "terms", "vector", "score")).withColumn("max_similarity", F.round("max_similarity", R)),
     "n02_symbols": lambda s, d: N.resolve_symbols(A.table(s, d, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(2)).alias("name")), _symbols(s, d)),
     "n03_cancers": lambda s, d: N.normalise_cancers(A.table(s, d, "supplier").join(A.table(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.when(F.col("s_suppkey") % 2 == 0, F.col("n_name")).otherwise(F.concat(F.lit("old "), F.lower("n_name"), F.lit(" type"))).alias("name")), _nations(s, d)).select("s_suppkey", "code"),
     "n04_protein_changes": lambda s, d: A.table(s, d, "part").select("p_partkey", N.protein_change(F.concat(F.substring("p_name", 1, 1), "p_size", F.lit("d")))["hgvs_p"].alias("hgvs_p")),
@@ -189,7 +211,7 @@ QUERIES = {
     "r11_contexts": lambda s, d: _contexts(s, d).select("id", "paper_id", "score", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.array_join("genes", ",").alias("genes"), F.size("terms").alias("n_terms")),
     "r14_gene_profiles": lambda s, d: X.gene_profiles(_grouped(s, d), A.AS_OF),
     "r15_snippets": lambda s, d: X.snippets(_grouped(s, d)),
-    "r18_gene_links": lambda s, d: X.gene_links(X.feature_matrix(Q._profiles(s, d).orderBy(F.desc("n_chunks"), "gene").limit(50), ["n_chunks", "n_recent", "n_duplicate"]), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.dayofyear("ts").alias("chunk_id")), A.table(s, d, "events").select(F.col("user_id").cast("string").alias("gene"), F.col("event_type").alias("topic"))),
+    "r18_gene_links": lambda s, d: _event_links(s, d).withColumn("score", F.round("score", R)),
     "p17_provider_components": lambda s, d: _components(s, d).select("gene", "cancer_code", F.round("survival", R).alias("survival"), F.round("expression", R).alias("expression"), F.round("dependency", R).alias("dependency")),
     "p21_literature_hits": lambda s, d: P.literature_hits(A.kg_facts(s, d), A.papers(s, d), "C3").select("id", "paper_id", "title", "confidence"),
     "o09_manifest_issues": lambda s, d: O.manifest_issues(_manifest(s, d), A.table(s, d, "orders").select("o_orderpriority").distinct()).groupBy("snapshot_id", "severity", "code").agg(F.count("*").alias("n")),
@@ -198,6 +220,7 @@ QUERIES = {
     "s02_append": lambda s, d: _appended(s, d),
     "s05_export": lambda s, d: _snapshot(s, d)[1].select("name", "rows"),
     "s06_check": lambda s, d: tables.check_snapshot(s, *_snapshot(s, d)),
+    "s06_changed": lambda s, d: _changed(s, d),
     "s07_import": lambda s, d: _imported(s, d),
     "s08_dependency_matrix": lambda s, d: _matrix(s, d).groupBy("gene").agg(F.count("*").alias("n"), F.round(F.sum("score"), R).alias("total")),
     "s09_cell_lines": lambda s, d: _cell_lines(s, d),
@@ -239,6 +262,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY decided_at DE
     "s01_page_of_rows": "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200",
     "s02_append": "SELECT c_mktsegment, 2 * count(*) AS n, count(c_acctbal) AS n_balances FROM customer GROUP BY 1",
     "s05_export": "SELECT 'nation' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
+    "s06_changed": "SELECT unnest(['nation', 'customer', 'orders']) AS name, unnest([true, false, true]) AS ok_bytes, unnest([true, false, true]) AS ok_sha256, unnest([true, false, true]) AS ok_rows",
     "s06_check": "SELECT unnest(['nation', 'customer', 'orders']) AS name, true AS ok_bytes, true AS ok_sha256, true AS ok_rows",
     "s07_import": "SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 UNION ALL SELECT 'bad', 0",
     "s08_dependency_matrix": f"WITH {A.DEPENDENCY} SELECT gene, count(*) AS n, round(sum(score), 6) AS total FROM scores GROUP BY 1",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from evispark.plans import adapters as A
 from evispark.plans import operations, scoring
 from evispark.plans import texts as Q
-from evispark.shared import materialize, shared_dir
+from evispark.shared import materialize, work_dir
 from evispark.streaming import rescore, stateful
 
 R = 6
@@ -21,7 +21,7 @@ SLICES, FILES, LATE = 3, 2, 1800
 
 def landed(s: SparkSession, df: DataFrame, time: str) -> tuple[DataFrame, str]:
     """df as a stream and a folder for what becomes of it. Rows are dealt to slices by a time that is up to LATE seconds off."""
-    folder = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    folder = f"{work_dir(s)}/stream-{uuid.uuid4().hex}"
     when = F.unix_seconds(F.col(time).cast("timestamp")) + F.pmod(F.xxhash64(*df.columns), F.lit(LATE))
     own = materialize(df.withColumn("_when", when), "arrivals")
     low, high = own.agg(F.coalesce(F.min("_when"), F.lit(0)), F.coalesce(F.max("_when"), F.lit(0))).first()

@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that are deleted with their application.
+_OWNED: set[str] = set()
 #: The tables written inside each open temporary_tables(), the innermost last.
 _SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
@@ -28,13 +30,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The application's own folder in the shared one, for tables that nothing needs after it: it is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/evispark-{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(place)
+        fs.deleteOnExit(place)
+        _OWNED.add(path)
+    return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, where its files give fewer: work on long rows then keeps all of them busy. Rows of inputs with more are not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def materialize(df: DataFrame, name: str, outlives: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back, so later jobs survive lost executors without recomputing it.
 
-    Inside temporary_tables() the table is deleted at its end, unless it outlives that.
+    Inside temporary_tables() the table is deleted at its end, unless it outlives that; any other one with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     scopes = _SCOPES.get()
     for scope in scopes[:-1][-1:] if outlives else scopes[-1:]:
         scope.append(path)
