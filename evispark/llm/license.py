@@ -1,10 +1,11 @@
 """Licences in files: a positional index of rare licence words, read with DataFrame functions only.
 
-Templates are licence texts with a key phrase each. The ANCHORS rarest words of a key phrase, by inverse
-document frequency over all files, are its postings: (word, template, place). A file's words are looked
-up in them; a hit proposes where the template would start, the phrase's other postings must stand at
-their places relative to it, and then the whole phrase is verified. The score of a find is the share of
-all the template's words that stand at their places relative to the phrase.
+What is looked for is an entry: a key phrase, each word of which must stand, or the text of a licence, of
+which all but a share may. The rarest words of an entry, by inverse document frequency over all files, are
+its postings: (word, entry, place). A file's words are looked up in them, and each hit says where the
+entry would start. Starts on which two postings agree are verified: a phrase word by word, a text by the
+share of its words that stand at their places, among them half of its key phrase. A text has as many
+postings as may be missing, and two more, so none that would be verified lacks two that agree.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ TEMPLATES = (
         """This work is licensed under a Creative Commons Attribution 4.0 International License.""",
     ),
 )
-ANCHORS = 2
+#: Postings that must agree on a start. The share of a text's words that must stand at their places, in per cent.
+ANCHORS, LEAST_PERCENT = 2, 80
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII characters that are in no word.
 _BREAKS = "".join(chr(c) for c in range(0x80) if not re.match("[0-9A-Za-z]", chr(c)))
@@ -110,42 +112,62 @@ def all_templates(added: tuple[tuple[str, str, str], ...] = TEMPLATES) -> list[t
     return out
 
 
+def _entries(added: tuple[tuple[str, str, str], ...]) -> list[dict]:
+    """Phrases, of which all words must stand, and texts, of which most must: words, their label, the text and the phrase's place in it."""
+    out = []
+    for label, phrase, text, at, base in all_templates(added):
+        of = {"label": label, "base": base, "at": at, "n": len(phrase), "text": list(text)}
+        out.append(of | {"words": list(phrase), "whole": True})
+        if not base:
+            out.append(of | {"words": list(text), "whole": False})
+    return out
+
+
+def _postings(entries: list[dict], idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
+    """Of each rare word the entries (their numbers) it is in and its places there."""
+    out: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    for number, e in enumerate(entries):
+        missing = 0 if e["whole"] else len(e["words"]) * (100 - LEAST_PERCENT) // 100
+        for place in sorted(range(len(e["words"])), key=lambda i: (-idf[e["words"][i]], i))[: ANCHORS + missing]:  # noqa: B023
+            out[e["words"][place]].append((number, place))
+    return dict(sorted(out.items()))
+
+
 def find_licenses(files: DataFrame, added: tuple[tuple[str, str, str], ...] = TEMPLATES, id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of files: id, n_words and hits (start of the key phrase in words, label, n words of it, base, share of the template found).
+    """A row for each row of files: id, n_words and hits (start of the key phrase in words, label, n words of it, base, share of the text found).
 
-    Every place of every key phrase is a hit; hits are in order of start, then label. A null or empty
-    text has none, an empty table no rows; repeated rows get equal results; other columns are not read.
-    A text is one array of words, however long. Nothing is shuffled but the vocabulary's counts.
+    Every place of every key phrase is a hit, and every place at which LEAST_PERCENT of a licence's words
+    and half of its key phrase stand; hits are in order of start, then label. A null or empty text has
+    none, an empty table no rows; repeated rows get equal results; other columns are not read. A text is
+    one array of words, however long. Nothing is shuffled but the vocabulary's counts.
     """
-    templates = all_templates(added)
-    vocabulary = sorted({w for _, p, _, _, _ in templates for w in p})
-    idf = _idf(set(vocabulary), document_frequencies(files, vocabulary), files.count())
-    rare, anchors = set(), []
-    for _, p, _, _, _ in templates:
-        places = sorted(range(len(p)), key=lambda i: (-idf[p[i]], i))[:ANCHORS]
-        anchors.append(places)
-        rare.add(p[places[0]])
-
-    def proposed(words: Column, place: Column, word: Column) -> Column:
-        """The templates that word, at place, may belong to: the phrase's other postings stand where they should and all its words agree."""
-        out = []
-        for (label, p, t, offset, base), (first, *rest) in zip(templates, anchors, strict=True):
-            start = place - first
-            holds = (word == p[first]) & (start >= 0) & (start + len(p) <= F.size(words))
-            for i in rest:
-                holds = holds & (F.get(words, start + i) == p[i])
-            holds = holds & (F.slice(words, F.greatest(start, F.lit(0)) + 1, len(p)) == _strings(p))
-            before = F.greatest(F.lit(offset) - start, F.lit(0))
-            same = F.zip_with(F.slice(_strings(t), before + 1, F.lit(len(t))), F.slice(words, F.greatest(start - offset, F.lit(0)) + 1, F.lit(len(t)) - before), lambda a, b: a == b)
-            share = F.lit(1.0) if base else F.size(F.filter(same, lambda x: x)) / F.lit(float(len(t)))
-            out.append(F.when(holds, F.struct(start.cast("long").alias("start"), F.lit(label).alias("label"), F.lit(len(p)).alias("n"), F.lit(base).alias("base"), share.alias("share"))))
-        return F.array_compact(F.array(*out))
-
-    rare = sorted(rare)
+    entries = _entries(added)
+    vocabulary = sorted({w for e in entries for w in e["words"]})
+    postings = _postings(entries, _idf(set(vocabulary), document_frequencies(files, vocabulary), files.count()))
+    whole = lambda x: F.lit(x).cast("int")
+    index = F.create_map(*(c for w, own in postings.items() for c in (F.lit(w), F.array(*(F.struct(whole(e).alias("entry"), whole(k).alias("place")) for e, k in own)))))
+    known = F.array(*(F.struct(F.lit(e["label"]).alias("label"), F.lit(e["base"]).alias("base"), F.lit(e["whole"]).alias("whole"), whole(e["at"]).alias("at"), whole(e["n"]).alias("n"), _strings(e["text"]).alias("text")) for e in entries))
+    rare = list(postings)
     words = files.select(F.col(id_col), words_of(F.col("text")).alias("words"))
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(rare), F.struct(i.alias("place"), w.alias("word")))), lambda x: x.isNotNull())
-    found = words.select(id_col, "words", F.when(F.arrays_overlap("words", _strings(rare)), places).alias("looked_up"))
-    hits = F.array_sort(F.flatten(F.transform("looked_up", lambda x: proposed(F.col("words"), x["place"], x["word"]))))
+    found = words.select(id_col, "words", F.when(F.arrays_overlap("words", _strings(rare)), places).alias("places"))
+    starts = F.flatten(F.transform("places", lambda x: F.transform(F.element_at(index, x["word"]), lambda q: F.struct(q["entry"].alias("entry"), (x["place"] - q["place"]).alias("start")))))
+    found = found.select(id_col, "words", F.array_sort(starts).alias("starts"))
+    before = lambda i, n: F.get("starts", i - n)
+    agreed = F.filter("starts", lambda x, i: (i > 0) & x.eqNullSafe(before(i, 1)) & ~x.eqNullSafe(before(i, 2)))
+
+    def verified(words: Column, x: Column) -> Column:
+        """The hit of an entry at a start, or null."""
+        e = F.element_at(known, x["entry"] + 1)
+        text, phrase = x["start"] - F.when(e["whole"], e["at"]).otherwise(0), x["start"] + F.when(e["whole"], 0).otherwise(e["at"])
+        stands = F.transform(e["text"], lambda w, k: F.coalesce((text + k >= 0) & (w == F.get(words, F.greatest(text + k, F.lit(0)))), F.lit(False)))
+        in_phrase = F.size(F.filter(F.slice(stands, e["at"] + 1, e["n"]), lambda b: b))
+        n_text, n_stand = F.size(e["text"]), F.size(F.filter(stands, lambda b: b))
+        holds = F.when(e["whole"], in_phrase == e["n"]).otherwise((100 * n_stand >= LEAST_PERCENT * n_text) & (2 * in_phrase >= e["n"]))
+        return F.when(holds, F.struct(F.greatest(phrase, F.lit(0)).cast("long").alias("start"), e["label"].alias("label"), e["n"].alias("n"), e["base"].alias("base"), (n_stand / n_text.cast("double")).alias("share")))
+
+    found = found.select(id_col, "words", agreed.alias("agreed"))
+    hits = F.array_sort(F.array_distinct(F.array_compact(F.transform("agreed", lambda x: verified(F.col("words"), x)))))
     none = F.array().cast("array<struct<start:bigint,label:string,n:int,base:boolean,share:double>>")
     return found.select(id_col, F.size("words").cast("long").alias("n_words"), F.coalesce(hits, none).alias("hits"))
 

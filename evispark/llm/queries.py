@@ -95,7 +95,13 @@ place AS (
   WHERE w[i : i + len(pw) - 1] = pw
 ),
 word AS (SELECT doc_id, label, base, start, len(tw) AS n, k, w[start - offs + k] = tw[k] AND start - offs + k > 0 AS same FROM (SELECT *, unnest(range(1, len(tw) + 1)) AS k FROM place)),
-hit AS (SELECT doc_id, label, base, start, count(*) FILTER (same) / n::DOUBLE AS share FROM word GROUP BY doc_id, label, base, start, n),
+token AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS i FROM d),
+part AS (SELECT label, unnest(tw) AS t, generate_subscripts(tw, 1) - 1 AS k, len(tw) AS n, offs, len(pw) AS m FROM p WHERE NOT base),
+aligned AS (SELECT doc_id, label, i - k + offs AS start, n, m, count(*) AS same, count(*) FILTER (k >= offs AND k < offs + m) AS in_phrase FROM token JOIN part USING (t) GROUP BY doc_id, label, i - k, offs, n, m),
+hit AS (
+  SELECT doc_id, label, base, start, count(*) FILTER (same) / n::DOUBLE AS share FROM word GROUP BY doc_id, label, base, start, n
+  UNION ALL SELECT doc_id, label, false, start, same / n::DOUBLE FROM aligned WHERE 100 * same >= 80 * n AND 2 * in_phrase >= m
+),
 agg AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, max(share) AS score,
     array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm import spans as S
 from evispark.llm.texts import map_texts
-from evispark.shared import materialize, shared_dir
+from evispark.shared import materialize, work_dir
 
 FOUND = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
@@ -128,7 +128,7 @@ def scan_versions(versions: DataFrame, path_cols: list[str], ledger: str, scan:
 
 def new_ledger(spark: SparkSession) -> str:
     """A path in the shared folder at which there is no ledger yet."""
-    return f"{shared_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/secret-ledger-{uuid.uuid4().hex}"
 
 
 def digest_columns(docs: DataFrame, id_col: str = "doc_id", ledger: str | None = None) -> DataFrame:

@@ -44,6 +44,33 @@ def test_licenses(spark, table):
     assert license.digest_columns(table([])).count() == 0
 
 
+def test_licenses_with_altered_words(spark, table):
+    r = random.Random(6)
+    texts = []
+    for label, _, text in license.TEMPLATES:
+        own = words(text)
+        for changed in (0, 0.1, 0.2, 0.3):
+            for _ in range(4):
+                noise = ["lorem"] * r.randrange(4)
+                altered = [w if r.random() >= changed else "x" for w in own]
+                cut = r.choice([0, 0, 3])
+                texts.append(" ".join([*noise, *altered[cut:], *noise, *(own if r.random() < 0.2 else [])]))
+    got = {x["doc_id"]: x["hits"] for x in license.find_licenses(table(texts)).collect()}
+    rare = 0
+    for i, t in enumerate(texts):
+        w, want = words(t), set()
+        for label, p, own, at, base in license.all_templates():
+            for start in range(-len(own), len(w)):
+                stands = [0 <= start + k < len(w) and w[start + k] == own[k] for k in range(len(own))]
+                inside = sum(stands[at : at + len(p)])
+                tolerated = not base and 100 * sum(stands) >= 80 * len(own) and 2 * inside >= len(p)
+                if inside == len(p) or tolerated:
+                    want.add((max(start + at, 0), label, base, round(sum(stands) / len(own), 9)))
+                    rare += inside < len(p)
+        assert {(h["start"], h["label"], h["base"], round(h["share"], 9)) for h in got[i]} == want and len(got[i]) == len(want)
+    assert rare > 10
+
+
 def overlap(docs, items):
     out = {}
     for i, t in docs:
