@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.shared import materialize
+
 #: What one place of a cover weighs, whatever its term.
 WEIGHT = 0.1
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -22,7 +24,8 @@ ENDINGS = (
 
 def stem(word: Column) -> Column:
     """A lower-case word without the endings of English plurals and verb forms."""
-    return reduce(lambda w, e: F.regexp_replace(w, e[0], f"$1{e[1]}"), ENDINGS, word)
+    # Only words with one of these last letters can change.
+    return F.when(F.right(word, F.lit(1)).isin("s", "d", "g", "y"), reduce(lambda w, e: F.regexp_replace(w, e[0], f"$1{e[1]}"), ENDINGS, word)).otherwise(word)
 
 
 def stem_sql(word: str) -> str:
@@ -56,7 +59,8 @@ def cover_density_search(index: DataFrame, terms: list[str], k: int | None = 10,
     own = index.where(F.col("term").isin(*terms) if terms else F.lit(False)).select("id", "pos", "term").distinct()
     by = Window.partitionBy("id").orderBy("pos", "term")
     own = own.withColumn("at", F.struct("pos", F.row_number().over(by).alias("n")))
-    ahead = by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the end on, so that a row adds to what is known of those after it.
+    ahead = Window.partitionBy("id").orderBy(F.desc("pos"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     following = [F.min(F.when(F.col("term") == t, F.col("at"))).over(ahead).alias(f"next{i}") for i, t in enumerate(terms)]
     names = [f"next{i}" for i in range(len(terms))]
     whole = own.select("id", "at", *following).where(" AND ".join(f"{c} IS NOT NULL" for c in names) or "false")
@@ -67,5 +71,5 @@ def cover_density_search(index: DataFrame, terms: list[str], k: int | None = 10,
     if k is None:
         from evispark.operators.ranks import row_numbers
 
-        return row_numbers(hit, [F.desc("score"), F.col("id")])
+        return row_numbers(materialize(hit, "hits"), [F.desc("score"), F.col("id")])
     return hit.orderBy(F.desc("score"), "id").limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
