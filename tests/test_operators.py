@@ -136,6 +136,12 @@ def test_facts_from_text(spark):
     assert ("d", "has_mutation", "G12D") in got
 
 
+def test_words_end_at_letters_beyond_ascii(spark):
+    assert one(spark, extract.typed_mentions(F.col("a"), extract.CHEMICAL, [], 4), a="ê laaiviviré, écarboplatin") == ["LAAIVIVIR", "CARBOPLATIN"]
+    assert one(spark, extract.mutation_mentions(F.col("a")), a="éG12Dé aG13D") == ["G12D"]
+    assert one(spark, extract.matched_predicates(F.col("a")), a="éinhibitsé, xdrives") == ["inhibits"]
+
+
 def test_dictionary(spark):
     lexicon = spark.createDataFrame([("kras", "gene", "KRAS", 1.0, False), ("kras mutant", "gene", "KRAS", 0.9, False), ("met", "gene", "MET", 1.0, True), ("PAAD", "cancer_code", "PAAD", 1.0, False)], "term string, entity_type string, canonical string, confidence double, word_boundary boolean")
     chunks = spark.createDataFrame([("a", "KRAS mutant and KRASx metal met PAAD"), ("b", None)], "id string, content string")
