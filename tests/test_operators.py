@@ -142,6 +142,16 @@ def test_words_end_at_letters_beyond_ascii(spark):
     assert one(spark, extract.matched_predicates(F.col("a")), a="éinhibitsé, xdrives") == ["inhibits"]
 
 
+def test_facts_of_words_before_letters_beyond_ascii(spark):
+    chunks = spark.createDataFrame([("c", "KRAS ê laaiviviré")], "id string, content string")
+    genes = spark.createDataFrame([("c", "KRAS", 0.9)], "id string, gene string, confidence double")
+    built = extract.build_facts(chunks, genes.select("id", "gene"))
+    names = spark.createDataFrame([("gene", "KRAS"), ("chemical", "LAAIVIVIR")], "entity_type string, name string")
+    entities = extract.resolve_entities(names, spark.createDataFrame([], "id string, external_id string"))
+    got = extract.relation_facts(built, genes, entities).collect()
+    assert [(x["predicate"], x["object_name"]) for x in got] == [("targeted_by", "LAAIVIVIR")]
+
+
 def test_dictionary(spark):
     lexicon = spark.createDataFrame([("kras", "gene", "KRAS", 1.0, False), ("kras mutant", "gene", "KRAS", 0.9, False), ("met", "gene", "MET", 1.0, True), ("PAAD", "cancer_code", "PAAD", 1.0, False)], "term string, entity_type string, canonical string, confidence double, word_boundary boolean")
     chunks = spark.createDataFrame([("a", "KRAS mutant and KRASx metal met PAAD"), ("b", None)], "id string, content string")
