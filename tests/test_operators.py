@@ -430,6 +430,20 @@ def test_titles_match_as_all_pairs_do(spark):
     assert {x["id"]: (x["duplicate_of"], x["similarity"]) for x in D.match_fuzzy(papers, papers).collect()} == fuzzy
 
 
+def test_titles_are_scored_many_at_a_time(monkeypatch):
+    from evispark.functions import similarity
+
+    r = random.Random(2)
+    left, right = (["".join(r.choice("abcdefé ") for _ in range(r.choice([0, 1, 3, 5, 12, 12, 12, 20]))) for _ in range(120)] for _ in range(2))
+    one_by_one = jaro_winkler
+    for least in (0.5, 0.8, 0.92, 0.99):
+        calls = []
+        monkeypatch.setattr(similarity, "jaro_winkler", lambda a, b: calls.append(1) or one_by_one(a, b))
+        got = similarity.similar_pairs(left, right, least)
+        want = [(i, j, s) for i, a in enumerate(left) for j, b in enumerate(right) if a != b and round(s := one_by_one(a, b), 9) >= least]
+        assert sorted(got) == want and len(calls) < 400
+
+
 def test_fingerprint_pairs_match_all_pairs(spark):
     import random
 
