@@ -444,6 +444,18 @@ def test_titles_are_scored_many_at_a_time(monkeypatch):
         assert sorted(got) == want and len(calls) < 400
 
 
+def test_titles_of_one_language_meet_seldom(spark):
+    from evispark.operators import dedup as D
+
+    r = random.Random(3)
+    titles = {" ".join("".join(r.choice(("th", "er", "on", "an", "re", "ed")) for _ in range(3)) for _ in range(11)) for _ in range(300)}
+    titles |= {t[:k] + t[k + 1] + t[k] + t[k + 2 :] for t in sorted(titles)[:50] for k in (20, 70)}
+    df = spark.createDataFrame([(t,) for t in sorted(titles)], "title string")
+    want = {(a, b) for a in titles for b in titles if a != b and jaro_winkler(a, b) >= 0.992}
+    met = {(x[0], x[1]) for x in D.title_candidates(df, df, 0.992).collect()}
+    assert want <= met and len(want) >= 190 and len(met) < 1000
+
+
 def test_fingerprint_pairs_match_all_pairs(spark):
     import random
 
