@@ -33,6 +33,14 @@ def test_similar_sets(spark, monkeypatch, least, list_size):
         setjoin.similar_sets(df, 0.0)
 
 
+def test_sets_meet_only_where_enough_can_follow(spark):
+    # Of ten terms each, the last four in order are shared: less than the five that a Jaccard similarity of 0.3 asks for.
+    df = spark.createDataFrame([(i, [f"{i} {k}" for k in range(6)] + [f"z{k}" for k in range(4)]) for i in range(30)], "id int, terms array<string>")
+    assert setjoin.meetings(df, 0.3).count() == 0
+    more = df.withColumn("terms", F.when(F.col("id") < 2, F.concat("terms", F.array(F.lit("a")))).otherwise(F.col("terms")))
+    assert [(p["a"], p["b"]) for p in setjoin.similar_sets(more, 5 / 17).collect()] == [(0, 1)]
+
+
 def test_context_groups(spark):
     r = random.Random(7)
     direction = [[r.gauss(0, 1) for _ in range(4)] for _ in range(3)]
