@@ -3,12 +3,16 @@
 import math
 import random
 import statistics
+import time
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evispark.operators import dedup, fulltext, hyperplanes, ops, retrieve, setjoin
+from evispark.operators.dedup import cosine
 
 
 def some_sets(r, n):
@@ -153,3 +157,24 @@ def test_percentiles_with_nulls_and_ties(spark):
         full = sorted(v for v in own if v is not None)
         at = lambda p: own[math.floor((len(own) - 1) * p + 0.5)]  # noqa: B023, E731
         assert got[key] == (len(own), at(0.5), at(0.95), statistics.median(full) if full else None)
+
+
+def test_vector_search_finds_what_the_formula_finds(spark):
+    r = np.random.default_rng(3)
+    own = [[float(x) for x in v] for v in r.integers(-2, 3, (300, 4))] + [[1.0, 2.0, 3.0, 4.0]] * 40 + [[float("nan"), 1.0, 1.0, 1.0], [float("inf"), 0.0, 1.0, 0.0], [1e-170] * 4, [1e170] * 4, [1.0, 2.0], [None, 1.0, 1.0, 1.0], [], None]
+    rows = spark.createDataFrame([(f"é{i}", v) for i, v in enumerate(own)], "id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, v) for i, v in enumerate([*own[:70], *own[-9:]])], "query_id long, vector array<double>")
+    scored = rows.crossJoin(queries).select("query_id", "id", F.round(cosine(F.col("embedding"), F.col("vector")), 6).alias("score")).where("score IS NOT NULL")
+    want = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where("rank <= 7")
+    got = retrieve.vector_search(rows, queries, 7)
+    key = lambda df: sorted((x["query_id"], x["rank"], x["id"], str(x["score"] + 0.0)) for x in df.collect())
+    assert key(got) == key(want)
+
+
+def test_vector_search_of_many_queries_is_quick(spark):
+    vector = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * i + F.col("id") % 7 + 1))
+    rows = spark.range(40_000).withColumn("embedding", vector)
+    began = time.monotonic()
+    found = retrieve.vector_search(rows, rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector")), 10)
+    assert found.count() == 4_000 and found.where("rank = 1").count() == 400
+    assert time.monotonic() - began < 60
