@@ -233,10 +233,22 @@ def daily_spend(costs: DataFrame, limit: float) -> DataFrame:
     return out.withColumn("warn", F.col("spend") >= 0.8 * limit).withColumn("exceeded", F.col("spend") >= limit)
 
 
+HOUR = 3_600_000_000
+
+
 def calls_in_hour(calls: DataFrame, by: str = "model") -> DataFrame:
-    """Calls with n_last_hour, how many of their model's were made in the hour up to them."""
-    w = Window.partitionBy(by).orderBy(F.unix_micros(F.col("created_at").cast("timestamp"))).rangeBetween(-3_600_000_000, 0)
-    return calls.withColumn("n_last_hour", F.count("*").over(w))
+    """Calls with n_last_hour, how many of their model's were made in the hour up to them.
+
+    A call counts from its time on, and no more from an hour after it, so a running sum gives the number.
+    It also counts in the next hour of the clock; a task sums one hour of a model by itself.
+    """
+    hour, at = F.expr(f"(_at - pmod(_at, {HOUR}L)) div {HOUR}L"), F.col("_at")
+    place = lambda h, t, n, own: F.struct(h.alias("_hour"), t.alias("_when"), F.lit(n).alias("_n"), F.lit(own).alias("_own"))
+    own = place(hour, at, 1, True)
+    places = F.when(at.isNull(), F.array(own)).otherwise(F.array(own, place(hour + 1, at, 1, False), place(hour + 1, at + HOUR + 1, -1, False)))
+    dealt = calls.withColumn("_at", F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_place", F.explode(places)).select(*calls.columns, "_place.*")
+    w = Window.partitionBy(by, "_hour").orderBy("_when").rangeBetween(Window.unboundedPreceding, 0)
+    return dealt.withColumn("n_last_hour", F.sum("_n").over(w)).where("_own").drop("_hour", "_when", "_n", "_own")
 
 
 def tokens_by_model(calls: DataFrame) -> DataFrame:

@@ -191,3 +191,21 @@ def test_search_by_hyperplanes_of_many_queries_is_quick(spark):
     found = hyperplanes.search_index(index, queries, normals, 10, 40).cache()
     assert found.count() == 1_200 and found.where("rank = 1 AND query_id = id").count() == 120
     assert time.monotonic() - began < 20
+
+
+def test_calls_of_a_busy_hour_are_counted_in_one_go(spark):
+    n = 200_000
+    calls = spark.range(n).select("id", F.lit("m").alias("model"), F.timestamp_micros(F.col("id") * 10_000).alias("created_at"))
+    began = time.monotonic()
+    got = ops.calls_in_hour(calls).agg(F.count("*"), F.count_if(F.col("n_last_hour") == F.col("id") + 1)).first()
+    assert tuple(got) == (n, n)
+    assert time.monotonic() - began < 15
+
+
+def test_calls_in_hour_at_its_ends(spark):
+    r, hour = random.Random(9), ops.HOUR
+    at = [None, None, -1, 0, 1, hour - 1, hour, hour, hour + 1, 2 * hour, 2 * hour + 1, -hour, -hour - 1, *(r.randrange(-3 * hour, 3 * hour) for _ in range(200))]
+    rows = [(i, r.choice("ab"), t) for i, t in enumerate(at)]
+    calls = spark.createDataFrame(rows, "id long, model string, t long").withColumn("created_at", F.timestamp_micros("t"))
+    want = {i: sum(m == o and (s is None if t is None else s is not None and t - hour <= s <= t) for _, o, s in rows) for i, m, t in rows}
+    assert {x["id"]: x["n_last_hour"] for x in ops.calls_in_hour(calls).collect()} == want
