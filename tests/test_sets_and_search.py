@@ -100,6 +100,22 @@ def test_fingerprints_of_few_values(spark, short):
     assert {(p["a"], p["b"]): p["distance"] for p in got} == want and len(got) == len(want) > 1000
 
 
+def test_fingerprints_meet_in_a_list_for_each_block(spark):
+    r = random.Random(5)
+    centre = r.getrandbits(40)
+    values = sorted({centre ^ sum(1 << b for b in r.sample(range(40), r.randrange(1, 6))) for _ in range(500)})
+    old = {v: sorted(f"d{r.randrange(10_000)}" for _ in range(r.randrange(3))) for v in values}
+    nodes = spark.createDataFrame([(v, *[*ids, None, None][:2]) for v, ids in old.items()], "simhash long, one string, other string")
+    want = {v: sorted(i for w in values if w != v and (v ^ w).bit_count() <= 6 for i in old[w])[:2] for v in values}
+    for short in (64, 1000):
+        found = {}
+        for x in dedup.near_ids(nodes, short=short).collect():
+            found.setdefault(x["simhash"], set()).add(x["id"])
+        assert {v: sorted(i)[:2] for v, i in found.items()} == {v: i for v, i in want.items() if i}
+    # No fingerprint goes to more lists than there are blocks, however many are alike.
+    assert dedup._cells(nodes, 6, 1000).groupBy("simhash").count().agg({"count": "max"}).first()[0] <= 7
+
+
 def brute_covers(words, terms):
     spots = [i for i, w in enumerate(words) if w in terms]
     full = [(a, b) for a in spots for b in spots if a <= b and terms <= set(words[a : b + 1])]
