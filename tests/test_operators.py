@@ -509,3 +509,28 @@ def test_mentions_match_a_plain_walk(spark):
                 want.append((i, at, at + n, x.upper()))
             at += max((f[0] for f in fits), default=1)
     assert got == sorted(want)
+
+
+def test_stitched_texts_move_their_own_chunks_only(spark):
+    rows = [("a", 2, "a2"), ("a", 1, "a1"), ("a", 3, "a3"), ("b", 1, "b1"), ("c", 5, None), ("c", 6, "c6"), (None, 1, "n1"), (None, None, "n0"), ("d", 1, "d"), ("d", 1, "d")]
+    chunks = spark.createDataFrame(rows, "paper_id string, chunk_index int, content string")
+    facts = spark.createDataFrame([("b",)], "paper_id string")
+    out = extract.stitched_texts(chunks, facts, 2)
+    assert {tuple(x) for x in out.collect()} == {("a", "a1\na2"), (None, "n0\nn1"), ("d", "d\nd"), *((p, t) for p, t in out.where("paper_id = 'c'").collect())}
+    # Texts are cut down to the chunks wanted before they are ordered by paper.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.rindex("Window [") :]
+
+
+def test_embedders_get_few_texts_at_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        seen.add(1)
+        if len(texts) > retrieve.EMBEDDED:
+            raise ValueError("too many")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    df = spark.range(1000).coalesce(1).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("paper_id"), F.lit(0).alias("chunk_index"), F.when(F.col("id") > 0, "x").alias("content"), F.lit(None).cast("array<float>").alias("embedding"))
+    found = {x["id"]: x["embedding"] for x in retrieve.backfill_embeddings(df, embed).collect()}
+    assert len(found) == 1000 and found["0"] == [0.0, 1.0] and all(v is not None for v in found.values())
