@@ -222,22 +222,32 @@ def pending_embeddings(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("paper_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.col("embedding").isNull()).alias("n_pending")).where("n_pending > 0")
 
 
+#: Texts that an embedder gets at once.
+EMBEDDED = 256
+
+
 def backfill_embeddings(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], per_paper: int | None = None) -> DataFrame:
-    """Chunks with vectors, normalised, where they had none; with per_paper, so many of a paper, in order. A batch that fails stays null."""
+    """Chunks with vectors, normalised, where they had none; with per_paper, so many of a paper, in order.
+
+    A worker holds the texts and vectors of EMBEDDED chunks at a time, beside the batch that Spark hands it.
+    Such a part that fails stays null.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            try:
-                vectors = embed(pdf["content"].fillna("").tolist())
-            except ValueError:
-                vectors = [None] * len(pdf)
-            yield pd.DataFrame({"id": pdf["id"], "fresh": vectors})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), EMBEDDED):
+                part = batch.slice(k, EMBEDDED)
+                try:
+                    vectors = embed([t or "" for t in part.column(1).to_pylist()])
+                except ValueError:
+                    vectors = [None] * len(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64()))], ["id", "fresh"])
 
     todo = chunks.where("embedding IS NULL")
     if per_paper:
         w = Window.partitionBy("paper_id").orderBy("chunk_index", "id")
         todo = todo.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= per_paper)
-    fresh = todo.select("id", "content").mapInPandas(run, "id string, fresh array<double>")
+    fresh = todo.select(F.col("id").cast("string"), F.col("content").cast("string")).mapInArrow(run, "id string, fresh array<double>")
     fresh = fresh.select("id", F.transform(l2_normalise(F.col("fresh")), lambda x: x.cast("float")).alias("fresh"))
     return chunks.join(fresh, "id", "left").withColumn("embedding", F.coalesce("embedding", "fresh")).select(*chunks.columns)
 
