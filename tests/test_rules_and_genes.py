@@ -5,6 +5,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,21 @@ def test_gene_links(spark, monkeypatch, block):
     assert genes.gene_links(df.limit(0)).count() == 0
 
 
+def test_common_members_of_many_and_few():
+    r = np.random.default_rng(3)
+    lists = lambda n: pd.Series([np.concatenate([np.flatnonzero(r.random(600) < 0.3), 1000 + r.choice(5000, r.integers(0, 30), False)]) for _ in range(n)] + [np.array([], int)])
+    for rows, columns in ((90, 70), (3, 4), (0, 1)):
+        left, right = lists(rows), lists(columns)
+        assert (genes._common(left, right) == [[len(set(a) & set(b)) for b in right] for a in left]).all()
+    assert genes._common(pd.Series([], dtype=object), left).shape == (0, len(left))
+
+
+def test_members_go_to_blocks_as_numbers(spark):
+    df = spark.createDataFrame([(1, ["x", "y", None]), (2, ["y", None]), (3, []), (4, ["z"])], "row long, chunks array<string>")
+    got = {x["row"]: set(x["chunks"]) for x in genes._coded(df, "chunks").collect()}
+    assert [len(got[k]) for k in (1, 2, 4)] == [3, 2, 1] and got[2] < got[1] and not got[4] & got[1] and 3 not in got
+
+
 def test_fingerprints_of_abstracts(spark):
     texts = ["one two three four five six seven eight nine ten", "something else altogether here", None]
     rows = [(f"p{i}", t) for i, t in enumerate([texts[0], texts[0], texts[1], texts[0] + " ", texts[2]])]
