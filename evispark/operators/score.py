@@ -16,8 +16,8 @@ from evispark.operators.ranks import row_numbers
 from evispark.shared import materialize
 
 
-def gene_evidence(facts: DataFrame) -> DataFrame:
-    """Evidence of each gene-like name on either side of facts that are not mentions."""
+def _evidence_rows(facts: DataFrame) -> DataFrame:
+    """A row for each side of a fact that is not a mention and has a gene-like name, with what gene_evidence() sums."""
     own = facts.where(F.lower("predicate") != "mentions")
     p = F.lower("predicate")
 
@@ -28,12 +28,20 @@ def gene_evidence(facts: DataFrame) -> DataFrame:
             F.when(cancer, F.struct(F.col("created_at").alias("t"), F.col("id").alias("id"), F.col(other).alias("code"))).alias("last"),
         )
 
-    rows = side("subject_id", "subject_name", "object_id", "object_name", p.contains("mutation")).union(side("object_id", "object_name", "subject_id", "subject_name", F.lit(False)))
+    return side("subject_id", "subject_name", "object_id", "object_name", p.contains("mutation")).union(side("object_id", "object_name", "subject_id", "subject_name", F.lit(False)))
+
+
+def _summed_evidence(rows: DataFrame) -> DataFrame:
     return rows.groupBy("gene_id", "gene").agg(
         F.count("*").alias("total_evidence"), F.sum("mutation").alias("mutation_evidence"), F.sum("cancer").alias("cancer_evidence"), F.sum("confidence").alias("confidence_sum"), F.max("last")["code"].alias("cancer_code")
     )
 
 
+def gene_evidence(facts: DataFrame) -> DataFrame:
+    """Evidence of each gene-like name on either side of facts that are not mentions."""
+    return _summed_evidence(_evidence_rows(facts))
+
+
 def evidence_score(evidence: DataFrame) -> DataFrame:
     """composite_score, adjusted_score and shortlist_tier of gene_evidence()."""
     count = lambda c, scale: clamp(F.log1p(c) / F.log1p(F.lit(scale)), 0.0, 1.0)
@@ -47,11 +55,19 @@ def evidence_score(evidence: DataFrame) -> DataFrame:
     return out.withColumn("shortlist_tier", F.when(F.col("adjusted_score") >= 0.65, "primary").when(F.col("adjusted_score") >= 0.50, "secondary").otherwise("excluded"))
 
 
+#: Bytes of changed ids that go to all tasks.
+MAX_IDS = 64 << 20
+
+
 def rescore(facts: DataFrame, changed: DataFrame) -> DataFrame:
-    """Scores of the entity ids in changed (one column), from all facts that touch them on either side."""
-    ids = changed.toDF("gene_id").distinct()
-    touching = facts.join(ids.toDF("subject_id"), "subject_id", "left_semi").select(*facts.columns).union(facts.join(ids.toDF("object_id"), "object_id", "left_semi").join(ids.toDF("subject_id"), "subject_id", "left_anti").select(*facts.columns))
-    return evidence_score(gene_evidence(touching)).join(ids, "gene_id", "left_semi")
+    """Scores of the entity ids in changed (one column), from all facts that touch them on either side.
+
+    Ids are few against facts: as long as they fit in MAX_IDS they go to the facts, of which only sums are shuffled then.
+    """
+    ids = materialize(changed.toDF("gene_id").where("gene_id IS NOT NULL").distinct(), "changed")
+    # A row costs some 48 bytes beside its text.
+    size = ids.agg(F.coalesce(F.sum(F.octet_length(F.col("gene_id").cast("string")) + 48), F.lit(0))).first()[0]
+    return evidence_score(_summed_evidence(_evidence_rows(facts).join(F.broadcast(ids) if size <= MAX_IDS else ids, "gene_id", "left_semi")))
 
 
 POOR, BETTER, NORMAL = "poor|worse|decreased|shorter|reduced", "improved|better|longer|favorable|increased", "normal|healthy|non-tumor|adjacent"

@@ -59,11 +59,11 @@ def _first(scope):
 
 def _rescored(s, d):
     """Genes of which a fact changed: their scores as the last batch that touched them left them."""
-    facts = materialize(A.kg_facts(s, d), "facts")
     events, folder = landed(s, operations._events(s, d), "created_at")
-    facts.write.parquet(f"{folder}/facts")
-    rescore.start(events, f"{folder}/facts", f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return stateful.latest(s, f"{folder}/out", rescore.rescore(facts, rescore.changed_subjects(operations._events(s, d))), ["gene_id"])
+    A.kg_facts(s, d).write.parquet(f"{folder}/facts")
+    out = rescore.start(events, f"{folder}/facts", f"{folder}/out", f"{folder}/checkpoint")
+    out.awaitTermination()
+    return stateful.latest(s, f"{folder}/out", rescore.rescore(s.read.parquet(f"{folder}/facts").limit(0), s.createDataFrame([], "gene_id string")), ["gene_id"])
 
 
 QUERIES = {

@@ -370,6 +370,22 @@ def test_ontology_of_any_depth(spark):
     assert files.ontology_rows(spark.createDataFrame([], "json string")).count() == 0
 
 
+def test_rescoring_shuffles_no_facts(spark):
+    """Ids of changes go to the facts, also where the planner would shuffle both; what is dealt by key is sums of each gene."""
+    facts = spark.range(3000).select(F.concat(F.lit("f"), "id").alias("id"), *(F.concat(F.lit("G"), F.col("id") % 40).alias(c) for c in ("subject_id", "subject_name")), F.lit("drives").alias("predicate"), *(F.concat(F.lit("G"), F.col("id") % 7).alias(c) for c in ("object_id", "object_name")), F.lit(0.5).alias("confidence"), F.col("id").alias("created_at"))
+    changed = spark.createDataFrame([("G3",), ("G39",), ("G3",), (None,), ("other",)], "gene_id string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = score.rescore(facts, changed)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = {r["gene"]: r["total_evidence"] for r in got.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert rows == {"G3": 75 + 429, "G39": 75}
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_stream(spark, tmp_path):
     facts = spark.createDataFrame([("f1", "KRAS", "KRAS", "drives", "PAAD", "PAAD", 0.9, "2024-01-01"), ("f2", "TP53", "TP53", "drives", "PAAD", "PAAD", 0.9, "2024-01-01")], "id string, subject_id string, subject_name string, predicate string, object_id string, object_name string, confidence double, created_at string")
     facts.write.parquet(str(tmp_path / "facts"))
