@@ -59,28 +59,31 @@ def estimate_factors_stream(estimates: DataFrame, delay: str, alpha: float = 0.1
 def calls_in_hour_stream(calls: DataFrame, delay: str, by: str = "model") -> DataFrame:
     """O20 on a stream of calls (id, created_at): (model, id, n_last_hour), a call again when earlier ones have come late, in update mode.
 
-    A model's state is the calls of the last hour before the watermark and those after it.
+    A task has one hour of the clock of a model: its state is the calls of that hour and of the one before, until the watermark has passed the hour.
     """
 
     def count(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         at, ids, told = state.get if state.exists else ([], [], [])
         old = pd.DataFrame({"at": np.array(at, np.int64), "id": np.array(ids, np.int64), "told": np.array(told, np.int64)})
         rows = pd.concat([old, *(p[["at", "id"]].assign(told=0) for p in pdfs)], ignore_index=True).sort_values(["at", "id"], kind="stable", ignore_index=True)
-        mark, times = state.getCurrentWatermarkMs() * 1000, rows["at"].to_numpy()
+        mark, times, start = state.getCurrentWatermarkMs() * 1000, rows["at"].to_numpy(), int(key[1]) * HOUR
         n = np.searchsorted(times, times, "right") - np.searchsorted(times, times - HOUR, "left")
-        fresh = (times > mark) & (n != rows["told"].to_numpy())
-        rows["told"] = np.where(times > mark, n, rows["told"])
+        # Calls of the hour before are counted here and told by the task of their own hour.
+        fresh = (times >= start) & (times > mark) & (n != rows["told"].to_numpy())
+        rows["told"] = np.where(fresh, n, rows["told"])
         kept = rows[times > mark - HOUR]
-        if len(kept):
+        if len(kept) and start + HOUR > mark:
             state.update((kept["at"].tolist(), kept["id"].tolist(), kept["told"].tolist()))
-            state.setTimeoutTimestamp(max(int(kept["at"].max()) + HOUR, mark) // 1000 + 1)
+            state.setTimeoutTimestamp((start + HOUR) // 1000 + 1)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({by: key[0], "id": rows["id"][fresh], "n_last_hour": n[fresh]})
 
     timed = calls.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    own = timed.select("created_at", by, F.unix_micros("created_at").alias("at"), F.col("id").cast("long").alias("id"))
-    return own.groupBy(by).applyInPandasWithState(count, f"{by} string, id long, n_last_hour long", "at array<long>, id array<long>, told array<long>", "update", GroupStateTimeout.EventTimeTimeout)
+    own = timed.select("created_at", by, F.unix_micros("created_at").alias("at"), F.col("id").cast("long").alias("id")).where("at IS NOT NULL")
+    hour = F.expr(f"CAST(floor(at / {HOUR}) AS BIGINT)")
+    dealt = own.withColumn("hour", F.explode(F.array(hour, hour + 1)))
+    return dealt.groupBy(by, "hour").applyInPandasWithState(count, f"{by} string, id long, n_last_hour long", "at array<long>, id array<long>, told array<long>", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def first_chunks_stream(chunks: DataFrame, scope: str, time: str, delay: str) -> DataFrame:

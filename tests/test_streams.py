@@ -56,6 +56,19 @@ def test_calls_of_the_trailing_hour(spark, tmp_path):
     assert got == {x["id"]: x["n_last_hour"] for x in ops.calls_in_hour(make(rows)).collect()} and len(got) == 400
 
 
+def test_a_task_has_two_hours_of_calls(spark, tmp_path):
+    """A model's calls of 10 hours: no state holds more than those of an hour and the one before."""
+    def make(part):
+        return spark.createDataFrame([(i, "a", START + timedelta(seconds=s)) for i, s in part], "id long, model string, created_at timestamp")
+
+    rows = [(i, i * 36) for i in range(1000)]
+    out, path = run_in_parts(spark, tmp_path, rows, make, lambda s: stateful.calls_in_hour_stream(s, "30 minutes"))
+    got = {x["id"]: x["n_last_hour"] for x in stateful.latest(spark, path, out, ["id"]).collect()}
+    assert got == {i: min(i, 100) + 1 for i in range(1000)}
+    held = spark.read.format("statestore").load(f"{tmp_path}/checkpoint").select(F.size("value.groupState.at").alias("n")).collect()
+    assert held and max(x["n"] for x in held) <= 200
+
+
 @pytest.mark.parametrize("scope", ["off", "paper", "global"])
 def test_first_chunks(spark, tmp_path, scope):
     r = random.Random(3)
