@@ -75,6 +75,10 @@ POOR, BETTER, NORMAL = "poor|worse|decreased|shorter|reduced", "improved|better|
 MENTIONS = {"mutation": "mutation", "survival": "survival|hazard|mortality|prognosis|progression_free", "expression": "expression|overexpress|underexpress|upregulat|downregulat", "inhibitor": "inhibit|bind|target|antagon", "pathway": "pathway|reactome", "structural": "pdb|alphafold|structure", "pocket": "pocket|drugg"}
 
 
+#: Parts of a subject's facts, so that none of a subject with very many has them all.
+PARTS = 8
+
+
 def candidates(facts: DataFrame, conflict: DataFrame, gene: str = "", cancer: str = "") -> DataFrame:
     """Weighted counts of each subject's facts; facts with a conflict below .30 go, each up to .60 costs 30 % of the confidence."""
     own = with_signal(facts.where((F.lower("predicate") != "mentions") & rules.is_gene_like(F.col("subject_name"))))
@@ -82,29 +86,39 @@ def candidates(facts: DataFrame, conflict: DataFrame, gene: str = "", cancer: st
         own = own.where(F.lower("subject_name").contains(gene.lower()))
     if cancer:
         own = own.where(reduce(lambda a, b: a | b, (F.lower(c).contains(cancer.lower()) for c in ("subject_name", "object_name", "predicate"))))
+    own = own.withColumn("_p", F.lower("predicate")).withColumn("_text", F.lower(F.concat_ws("\x01", "subject_name", "object_name", F.coalesce("evidence", F.lit("")))))
+    kind = {k: F.col("_p").rlike(p) for k, p in MENTIONS.items()}
+    told = kind | {"poor": F.col("_text").rlike(POOR), "better": F.col("_text").rlike(BETTER), "normal": F.col("_text").rlike(NORMAL), "provider": F.col("provenance") == "provider", "high": F.col("tier") == "high"}
+    cancer_like = rules.is_cancer_like(F.col("object_name"))
+    # What a fact tells, as bits of a number: facts are moved and sorted without their texts.
+    bits = reduce(add, (F.when(c, 1 << i).otherwise(0) for i, c in enumerate(told.values())))
+    own = own.select("id", "subject_id", F.col("subject_name").alias("gene"), "paper_id", F.when(cancer_like, F.upper("object_name")).alias("code"), "confidence", F.col("signal_weight").alias("w"), "sample_size", bits.alias("bits"))
     ends = conflict.select(F.explode(F.array("fact_a_id", "fact_b_id")).alias("id"), "net_confidence")
     gate = ends.groupBy("id").agg(F.min("net_confidence").alias("_least"), F.count_if(F.col("net_confidence") <= 0.60).alias("_disputes"))
     own = own.join(gate, "id", "left").where(F.coalesce(F.col("_least") >= 0.30, F.lit(True)))
     confidence = clamp(F.col("confidence") * F.pow(F.lit(0.70), F.coalesce("_disputes", F.lit(0))), 0.0, 1.0)
-    own = own.withColumn("_confidence", confidence).withColumn("_p", F.lower("predicate")).withColumn("_text", F.lower(F.concat_ws("\x01", "subject_name", "object_name", F.coalesce("evidence", F.lit("")))))
-    kind = {k: F.col("_p").rlike(p) for k, p in MENTIONS.items()}
-    poor, better, normal = F.col("_text").rlike(POOR), F.col("_text").rlike(BETTER), F.col("_text").rlike(NORMAL)
-    cancer_like = rules.is_cancer_like(F.col("object_name"))
-    w = F.col("signal_weight")
-    weighed = {f"{k}_w": F.when(c, w).otherwise(0.0) for k, c in kind.items() if k not in ("expression",)}
+    own = own.withColumns({"confidence": confidence, "disputed": F.coalesce(F.col("_disputes") > 0, F.lit(False))})
+    # A subject's facts stand together, in so many parts; a paper's are in one part, where the first counts the paper.
+    part = F.pmod(F.xxhash64("paper_id"), F.lit(PARTS))
+    own = own.withColumn("part", part).repartition("subject_id", "part")
+    first = F.row_number().over(Window.partitionBy("subject_id", "part", "paper_id").orderBy("bits")) == 1
+    own = materialize(own.select("subject_id", "gene", "code", "confidence", "w", "sample_size", "bits", "disputed", (first & F.col("paper_id").isNotNull()).alias("paper")), "candidates")
+    says = {k: F.col("bits").bitwiseAND(1 << i) > 0 for i, k in enumerate(told)}
+    w = F.col("w")
+    weighed = {f"{k}_w": F.when(says[k], w).otherwise(0.0) for k in kind if k != "expression"}
     weighed |= {
-        "survival_negative_w": F.when(kind["survival"] & poor, w).otherwise(0.0), "survival_positive_w": F.when(kind["survival"] & ~poor & better, w).otherwise(0.0),
-        "expression_normal_w": F.when(kind["expression"] & normal, w).otherwise(0.0), "expression_tumor_w": F.when(kind["expression"] & ~normal, w).otherwise(0.0), "cancer_w": F.when(cancer_like, w).otherwise(0.0),
+        "survival_negative_w": F.when(says["survival"] & says["poor"], w).otherwise(0.0), "survival_positive_w": F.when(says["survival"] & ~says["poor"] & says["better"], w).otherwise(0.0),
+        "expression_normal_w": F.when(says["expression"] & says["normal"], w).otherwise(0.0), "expression_tumor_w": F.when(says["expression"] & ~says["normal"], w).otherwise(0.0), "cancer_w": F.when(F.col("code").isNotNull(), w).otherwise(0.0),
     }
     # Rounded, so that thresholds on them do not depend on the order of summing.
     total = lambda c: F.round(F.sum(c), 9)
     sums = [total(c).alias(k) for k, c in weighed.items()]
     grouped = own.groupBy("subject_id").agg(
-        F.min("subject_name").alias("gene"), F.count("*").alias("fact_count"), total(w).alias("evidence_w"), total("_confidence").alias("confidence_sum"), total(clamp(F.col("_confidence") * w, 0.0, 1.0)).alias("confidence_w"),
-        F.count_if(F.col("provenance") == "provider").alias("provider_facts"), F.count_if(F.col("tier") == "high").alias("high_facts"), F.count_distinct("paper_id").alias("n_papers"),
-        F.max(F.coalesce(F.col("_disputes") > 0, F.lit(False))).alias("disputed"), F.sum(F.when(F.col("sample_size") > 0, F.col("sample_size"))).alias("sample_sum"), F.count_if(F.col("sample_size") > 0).alias("sample_obs"), *sums,
+        F.min("gene").alias("gene"), F.count("*").alias("fact_count"), total(w).alias("evidence_w"), total("confidence").alias("confidence_sum"), total(clamp(F.col("confidence") * w, 0.0, 1.0)).alias("confidence_w"),
+        F.count_if(says["provider"]).alias("provider_facts"), F.count_if(says["high"]).alias("high_facts"), F.count_if("paper").alias("n_papers"),
+        F.max("disputed").alias("disputed"), F.sum(F.when(F.col("sample_size") > 0, F.col("sample_size"))).alias("sample_sum"), F.count_if(F.col("sample_size") > 0).alias("sample_obs"), *sums,
     )
-    codes = own.where(cancer_like).groupBy("subject_id", F.upper("object_name").alias("code")).agg(F.count("*").alias("n"))
+    codes = own.where("code IS NOT NULL").groupBy("subject_id", "code").agg(F.count("*").alias("n"))
     # The most frequent code, the first in order of equal ones.
     mode = codes.groupBy("subject_id").agg(F.min(F.struct(-F.col("n"), "code")).alias("mode")).select("subject_id", F.col("mode.code").alias("cancer_code"))
     return grouped.join(mode, "subject_id", "left")

@@ -386,6 +386,25 @@ def test_rescoring_shuffles_no_facts(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_candidates_move_facts_without_texts(spark):
+    """Facts are dealt by id and by subject once each, without predicates and evidence; papers are counted once."""
+    rows = [(f"f{i}", f"p{i % 5}" if i % 6 else None, f"G{i % 2}", f"G{i % 2}", ("has_mutation", "survival", "expression")[i % 3], "C1", f"C{i % 4}", 0.5 + i / 100, ("poor", "normal tissue", None)[i % 3], "text_mined", i % 3) for i in range(30)]
+    facts = spark.createDataFrame(rows, "id string, paper_id string, subject_id string, subject_name string, predicate string, object_id string, object_name string, confidence double, evidence string, evidence_type string, sample_size int")
+    conflict = spark.createDataFrame([("f0", "f1", 0.2), ("f2", "f3", 0.5), ("f2", "f4", 0.9)], "fact_a_id string, fact_b_id string, net_confidence double")
+    out = score.candidates(facts, conflict)
+    got = {r["gene"]: r for r in out.collect()}
+    for g in ("G0", "G1"):
+        own = [r for r in rows if r[2] == g and r[0] not in ("f0", "f1")]
+        r = got[g]
+        assert (r["fact_count"], r["n_papers"], r["sample_obs"]) == (len(own), len({x[1] for x in own} - {None}), sum(x[10] > 0 for x in own))
+        assert r["confidence_sum"] == pytest.approx(sum(x[7] * (0.7 if x[0] in ("f2", "f3") else 1) for x in own))
+        assert (r["mutation_w"] > 0, r["survival_w"] > 0, r["survival_positive_w"], r["expression_normal_w"]) == (True, True, 0.0, 0.0)
+        times = {c: sum(x[6] == c for x in own) for c in {x[6] for x in own}}
+        assert r["cancer_code"] == min(times, key=lambda c: (-times[c], c)) and r["disputed"]
+    # Only sums are read again: the table that the facts became has no text of theirs.
+    assert "predicate" not in out._jdf.queryExecution().executedPlan().toString() and "paper_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stream(spark, tmp_path):
     facts = spark.createDataFrame([("f1", "KRAS", "KRAS", "drives", "PAAD", "PAAD", 0.9, "2024-01-01"), ("f2", "TP53", "TP53", "drives", "PAAD", "PAAD", 0.9, "2024-01-01")], "id string, subject_id string, subject_name string, predicate string, object_id string, object_name string, confidence double, created_at string")
     facts.write.parquet(str(tmp_path / "facts"))
