@@ -405,6 +405,13 @@ def test_candidates_move_facts_without_texts(spark):
     assert "predicate" not in out._jdf.queryExecution().executedPlan().toString() and "paper_id" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_sections_need_one_lower_case_text(spark):
+    df = spark.createDataFrame([(1, "x ABSTRACT a\nMethods b\nRESULTS c"), (2, None), (3, "none")], "id int, text string")
+    out = text.detect_sections(df)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert sorted((r["heading"], r["start"], r["text"]) for r in out.collect()) == [("Abstract", 3, "ABSTRACT a"), ("Methods", 14, "Methods b"), ("Results", 24, "RESULTS c")]
+
+
 def test_stream(spark, tmp_path):
     facts = spark.createDataFrame([("f1", "KRAS", "KRAS", "drives", "PAAD", "PAAD", 0.9, "2024-01-01"), ("f2", "TP53", "TP53", "drives", "PAAD", "PAAD", 0.9, "2024-01-01")], "id string, subject_id string, subject_name string, predicate string, object_id string, object_name string, confidence double, created_at string")
     facts.write.parquet(str(tmp_path / "facts"))
