@@ -118,3 +118,10 @@ def test_fingerprints_of_abstracts(spark):
     new = spark.createDataFrame([("a", texts[0]), ("b", "quite new words and nothing known")], "id string, abstract_text string")
     assert {x["id"]: x["duplicate_of"] for x in dedup.match_fingerprints(new, df).collect()} == {"a": "p0"}
     assert df.select(F.count("*")).first()[0] == 5
+
+
+def test_topics_cut_texts_once(spark):
+    own = spark.createDataFrame([(1, "b a", 1.0), (2, "b a c", 2.0), (3, "d", 3.0)], "id int, text string, score double")
+    out = genes.topics(own.select("id", F.lit("s").alias("section"), F.split("text", " ").alias("terms"), F.array(F.concat(F.lit("G"), "id")).alias("genes"), "score"), 1)
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in out.collect()] == [(0, "s/a/b", 2, 1.5, ["a", "b", "c"], ["G1", "G2"])]
