@@ -45,7 +45,7 @@ def _features(s, d):
 
 
 def _links(s, d):
-    sets = _lines(s, d).groupBy("gene").agg(F.collect_set(F.col("l_orderkey").cast("string")).alias("chunks"), F.collect_set(F.col("s_nationkey").cast("string")).alias("topics"))
+    sets = _lines(s, d).groupBy("gene").agg(F.collect_set("l_orderkey").alias("chunks"), F.collect_set("s_nationkey").alias("topics"))
     return G.gene_links(_features(s, d).join(sets, "gene", "left"), n=50)
 
 

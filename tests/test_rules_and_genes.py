@@ -95,6 +95,30 @@ def test_gene_links(spark, monkeypatch, block):
     assert genes.gene_links(df.limit(0)).count() == 0
 
 
+def test_genes_are_not_shuffled_to_all_others(spark, monkeypatch):
+    monkeypatch.setattr(genes, "BLOCK", 7)
+    r = random.Random(4)
+    rows = [(f"g{i}", [r.random() for _ in range(5)], r.sample(range(900), r.randrange(6)) + [None] * (i % 90 == 0), r.sample(range(200), r.randrange(9))) for i in range(500)]
+    df = spark.createDataFrame(rows, "gene string, scaled array<double>, chunks array<int>, topics array<long>").repartition(4)
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    shuffled = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = shuffled()
+    one = [tuple(x) for x in genes.gene_links(df, n=30).collect()]
+    assert 0 < shuffled() - before < 20 * len(rows)
+    # So do many passes over little blocks, with many topics to a column and few pairs at once.
+    for name, value in (("SENT", 9000), ("COLUMNS", 3), ("SCORED", 8), ("LOOKED", 50)):
+        monkeypatch.setattr(genes, name, value, raising=False)
+    assert [tuple(x) for x in genes.gene_links(df, n=30).collect()] == one
+    want = []
+    for x, y in combinations(rows, 2):
+        (c, d), (s, t) = [(set(x[k]), set(y[k])) for k in (2, 3)]
+        a, b = np.array(x[1]), np.array(y[1])
+        value = 0.35 * (a @ b / np.sqrt((a @ a) * (b @ b)) + 1) + 0.2 * len(c & d) / max(1, len(c | d)) + 0.1 * len(s & t) / max(1, len(s | t))
+        want.append((-round(value, 9), *sorted((x[0], y[0])), len(c & d), len(s & t)))
+    assert [(-x[2], x[0], x[1], x[3], x[4]) for x in one] == [(pytest.approx(w[0], abs=2e-9), *w[1:]) for w in sorted(want)[:30]]
+
+
 def test_common_members_of_many_and_few():
     r = np.random.default_rng(3)
     lists = lambda n: pd.Series([np.concatenate([np.flatnonzero(r.random(600) < 0.3), 1000 + r.choice(5000, r.integers(0, 30), False)]) for _ in range(n)] + [np.array([], int)])
