@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evispark.operators import dedup, fulltext, hyperplanes, ops, retrieve, setjoin
+from evispark.operators import contextlinks, dedup, fulltext, hyperplanes, ops, retrieve, setjoin
 from evispark.operators.dedup import cosine
 from evispark.shared import materialize
 
@@ -87,6 +87,19 @@ def test_context_groups(spark):
     assert dedup.context_groups(df).count() == min(5, len(want)) and dedup.context_groups(df.limit(0)).count() == 0
 
 
+def test_groups_hand_on_few_links(spark, monkeypatch):
+    # All of a group are alike: 300 contexts have 44,850 links, by terms that everyone holds.
+    r = random.Random(9)
+    rows = [(i, [f"f{k}" for k in range(30)] + [f"{i % 3} {k}" for k in r.sample(range(40), 8)], None if i % 4 else [1.0, r.random()], r.random()) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, terms array<string>, vector array<double>, score double")
+    whole = [tuple(x) for x in dedup.context_groups(df, n=None).collect()]
+    links = contextlinks.connecting_links(df, 0.86, 0.38)
+    assert 299 <= links.count() < 44_850 / 3 and [x[:2] for x in whole] == [(0, 300)]
+    for name, value in (("SENT", 20_000), ("ROWS", 3), ("OTHERS", 5), ("OWN", 4), ("SHARED", 2), ("LOOKED", 40)):
+        monkeypatch.setattr(contextlinks, name, value)
+    assert [tuple(x) for x in dedup.context_groups(df, n=None).collect()] == whole
+
+
 @pytest.mark.parametrize("short", [2, 64])
 def test_fingerprints_of_few_values(spark, short):
     r = random.Random(short)
