@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -486,6 +487,32 @@ def test_titles_are_scored_many_at_a_time(monkeypatch):
         assert sorted(got) == want and len(calls) < 400
 
 
+def test_a_pair_of_titles_is_compared_once(spark, monkeypatch, tmp_path):
+    from evispark.operators import dedup as D
+
+    r = random.Random(6)
+    titles = ["".join(r.choice("abcdef ") for _ in range(24)) for _ in range(60)]
+    titles = [*titles, *(t[:k] + "z" + t[k + 1 :] for t in titles for k in (8, 20))]
+    rows = [(f"{i:03d}", t, ["Ann Lee" if i % 3 else "Bob Ray"]) for i, t in enumerate(titles)]
+    monkeypatch.setattr(D, "TITLES", 11)
+    compared, one = str(tmp_path), D.similar_pairs
+
+    def counted(left, right, least):
+        with open(f"{compared}/{uuid.uuid4().hex}", "w") as f:
+            f.write(str(len(left) * len(right)))
+        return one(left, right, least)
+
+    monkeypatch.setattr(D, "similar_pairs", counted)
+    for new, old in ((rows, rows), (rows[:100], rows[70:]), (rows[:20], rows[20:])):
+        for f in tmp_path.iterdir():
+            f.write_text("0")
+        got = {x["id"]: (x["duplicate_of"], x["similarity"]) for x in D.match_fuzzy(*(spark.createDataFrame(x, "id string, title string, authors array<string>") for x in (new, old))).collect()}
+        want = {i: max((round(jaro_winkler(a, b), 9), j) for j, b, other in old if i != j and who == other) for i, a, who in new}
+        assert got == {i: (j, s) for i, (s, j) in want.items() if s >= 0.92} and got
+        sizes = [[sum(who == x[2] for x in side) for who in (["Ann Lee"], ["Bob Ray"])] for side in (new, old)]
+        assert 0 < sum(int(f.read_text()) for f in tmp_path.iterdir()) <= sum(n * m for n, m in zip(*sizes)) * (0.65 if new == old else 1)
+
+
 def test_titles_of_one_language_meet_seldom(spark):
     from evispark.operators import dedup as D
 
