@@ -487,6 +487,25 @@ def test_titles_are_scored_many_at_a_time(monkeypatch):
         assert sorted(got) == want and len(calls) < 400
 
 
+def test_titles_with_one_beginning_meet_seldom(spark, monkeypatch):
+    from evispark.operators import dedup as D
+
+    r = random.Random(5)
+    licence = "this work is under a licence that many begin with, "
+    titles = {licence + "".join(r.choice("abcdefghij klmnop") for _ in range(40)) for _ in range(200)}
+    titles |= {t[:k] + s + t[k + 1 :] for t in sorted(titles)[:20] for k in (60, 80) for s in "\U0001f600z"}
+    df = spark.createDataFrame([(t,) for t in sorted(titles)], "title string")
+    met, one = [], D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df, name, **o: (lambda out: (met.append(out.count()) if name == "met" else None, out)[1])(one(df, name, **o)))
+    want = {(a, b): round(s, 9) for a in titles for b in titles if a != b and round(s := jaro_winkler(a, b), 9) >= 0.992}
+    assert {(x[0], x[1]): x[2] for x in D.alike_titles(df, df, 0.992).collect()} == want and len(want) > 150
+    # Of 39,000 pairs either way.
+    assert len(want) / 2 <= met[0] < 1000
+    some, rest = df.where("substring(title, 52, 1) < 'h'"), df.where("substring(title, 52, 1) >= 'c'")
+    left, right = ({x[0] for x in part.collect()} for part in (some, rest))
+    assert {(x[0], x[1]) for x in D.alike_titles(some, rest, 0.992).collect()} == {k for k in want if k[0] in left and k[1] in right}
+
+
 def test_a_pair_of_titles_is_compared_once(spark, monkeypatch, tmp_path):
     from evispark.operators import dedup as D
 
