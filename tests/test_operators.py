@@ -487,6 +487,23 @@ def test_titles_are_scored_many_at_a_time(monkeypatch):
         assert sorted(got) == want and len(calls) < 400
 
 
+def test_upserts_send_on_what_is_not_found(spark, monkeypatch):
+    from evispark.operators import dedup as D
+
+    rows = [(f"p{i}", f"10.1/{i % 5}" if i < 10 else None, None, f"title {i % 14 + 10} of its own {i % 14 + 10} again {i % 14 + 10} and {i % 14 + 10}", f"words of text {i % 16} " * 9, ["Ann Lee"]) for i in range(20)]
+    df = spark.createDataFrame(rows, "id string, doi string, pmid string, title string, abstract_text string, authors array<string>")
+    asked, made = {}, []
+    for name in ("match_titles", "match_fuzzy"):
+        one = getattr(D, name)
+        monkeypatch.setattr(D, name, lambda new, old, one=one, name=name: asked.update({name: {x["id"] for x in new.collect()}}) or one(new, old))
+    kept = D.materialize
+    monkeypatch.setattr(D, "materialize", lambda df, name, **o: made.append(name) or kept(df, name, **o))
+    got = {x["id"]: (x["duplicate_of"], x["method"]) for x in D.upsert_papers(df, df)[0].collect()}
+    assert [got[f"p{i}"] for i in (0, 1, 5)] == [("p5", "doi"), ("p6", "doi"), ("p0", "doi")]
+    assert asked["match_titles"] == {f"p{i}" for i in range(10, 20)} and asked["match_fuzzy"] == {k for k in asked["match_titles"] if got[k][1] in (None, "fuzzy_title")}
+    assert made.count("fingerprints") == 1 and got["p14"] == ("p0", "title")
+
+
 def test_titles_with_one_beginning_meet_seldom(spark, monkeypatch):
     from evispark.operators import dedup as D
 
